@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     roots = components(links(nodes.select("fp")))
     lowest = roots.join(nodes, roots.node == nodes.fp).groupBy("root").agg(F.min("first").alias("lowest"))
     moved = roots.join(lowest, "root").select(F.col("node").alias("fp"), "lowest")
-    classes = nodes.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
+    # stored, so that both sides of the last join are dealt anew and a fingerprint with many rows can be split
+    classes = cut(nodes.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")))
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
