@@ -49,7 +49,8 @@ def shingles_sql(words: str) -> str:
     """The shingles as text, each with its number among equal ones: sets of these are bags of shingles."""
     plain = f"""CASE WHEN size({words}) = 0 THEN cast(array() AS array<string>) WHEN size({words}) < {WORDS} THEN array(array_join({words}, ' '))
         ELSE transform(sequence(1, size({words}) - {WORDS - 1}), i -> array_join(slice({words}, i, {WORDS}), ' ')) END"""
-    return f"transform({plain}, (x, i) -> concat(size(filter(slice({plain}, 1, i + 1), y -> y = x)), ' ', x))"
+    # the outer transform binds the plain shingles, which would else be built again for each of them
+    return f"transform(array({plain}), p -> transform(p, (x, i) -> concat(size(filter(slice(p, 1, i + 1), y -> y = x)), ' ', x)))[0]"
 
 
 def simhash_sql(hashes: str) -> str:
@@ -87,7 +88,7 @@ def short_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words) of the best window of each similar pair."""
     # fingerprints are stored: filters on them would otherwise be pushed down and work them out again
-    items = cut(items_of(benchmark))
+    items = cut(items_of(benchmark).dropDuplicates(["item_id", "words"]))
     found = cut(windows(docs, items))
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "width")).alias("_windows")).withColumnRenamed("doc_id", "_doc")
     by_doc = small_side(cut(by_doc), 100_000)
@@ -100,14 +101,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     probes = marked.withColumn("k", F.explode(blocks)).select("doc_id", "first", "width", "own", "own_fp", "k.b", "k.v")
     near = ", ".join(f"{x}L" for x in _NEAR)
     keys = F.array(*(F.struct(F.lit(b).alias("b"), F.expr(f"shiftrightunsigned(fp, {b * BLOCK_BITS}) & 255L").alias("v")) for b in range(BLOCKS)))
-    index = items.withColumn("k", F.explode(keys)).withColumn("m", F.explode(F.expr(f"array({near})"))).select("item_id", "width", "words", "fp", "k.b", F.expr("k.v ^ m").alias("v"))
+    index = items.withColumn("k", F.explode(keys)).withColumn("m", F.explode(F.expr(f"array({near})"))).select("item_id", "width", "fp", "k.b", F.expr("k.v ^ m").alias("v"))
     apart = lambda b: f"bit_count(shiftrightunsigned(own_fp ^ fp, {b * BLOCK_BITS}) & 255L)"
     # a pair that meets in several blocks counts in the first of them
     first_met = "CASE " + " ".join(f"WHEN {apart(b)} <= {BLOCK_APART} THEN {b}" for b in range(BLOCKS)) + " END"
     pairs = probes.join(small_side(index), ["width", "b", "v"]).where(f"bit_count(own_fp ^ fp) <= {RADIUS}").where(f"b = {first_met}")
-    bags = pairs.select("doc_id", "item_id", "first", "width", F.expr(shingles_sql("own")).alias("x"), F.expr(shingles_sql("words")).alias("y"))
-    shared = bags.select("doc_id", "item_id", "first", "width", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    scored = shared.withColumn("similarity", F.col("both") / (F.col("sum") - F.col("both"))).where(f"similarity >= {LEAST}")
+    both = pairs.join(small_side(items.select("item_id", "words")), "item_id")
+    bags = f"array(named_struct('x', {shingles_sql('own')}, 'y', {shingles_sql('words')}))"
+    jaccard = f"transform(transform({bags}, s -> named_struct('n', size(array_intersect(s.x, s.y)), 'all', size(s.x) + size(s.y))), s -> s.n / (s.all - s.n))[0]"
+    scored = both.select("doc_id", "item_id", "first", "width", F.expr(jaccard).alias("similarity")).where(f"similarity >= {LEAST}")
     best = F.max(F.struct("similarity", (-F.col("first")).alias("back"), "width"))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), F.greatest(-F.col("best.back"), F.lit(0)).alias("first_word"), F.col("best.width").alias("n_words"))
 
