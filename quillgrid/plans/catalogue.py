@@ -1,4 +1,6 @@
-"""All queries of the engine and their SQL."""
+"""All queries of the engine and their SQL for DuckDB, gathered from the modules that define them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quillgrid.plans import queries_batches, queries_units
+
+QUERIES = queries_units.QUERIES | queries_batches.QUERIES
+ORACLE_SQL = queries_units.ORACLE_SQL | queries_batches.ORACLE_SQL
