@@ -35,17 +35,25 @@ def normalize(c) -> Column:
     return F.trim(F.regexp_replace(_col(c), SPACE_CLASS + "+", " "))
 
 
-def _class_count(c, cls: str) -> Column:
+def _gone(c: Column, cls: str) -> Column:
     """Characters of a class, as the length that goes when its runs are removed; no string is made for each character."""
-    return F.length(_col(c)) - F.length(F.regexp_replace(_col(c), cls + "++", ""))
+    return F.length(c) - F.length(F.regexp_replace(c, cls + "++", ""))
 
 
 def cjk_count(c) -> Column:
-    return _class_count(c, CJK_CLASS)
+    """A class of dozens of ranges costs time at every character, so runs of scripts without CJK go first."""
+    return _gone(F.regexp_replace(_col(c), r"[\x{0}-\x{2fff}]++", ""), CJK_CLASS)
 
 
 def latin_count(c) -> Column:
-    return _class_count(c, LATIN_CLASS)
+    """Plain letters, and the rest of the class in what is left without plain text and CJK."""
+    rest = F.regexp_replace(_col(c), r"[\x{0}-\x{a9}\x{2c80}-\x{a721}]++", "")
+    return _gone(_col(c), "[A-Za-z]") + _gone(rest, LATIN_CLASS)
+
+
+def has_text(c) -> Column:
+    """Not blank; looks no further than the first character that isn't a space."""
+    return _col(c).rlike("[^" + SPACE_CLASS[1:])
 
 
 def english_words(c) -> Column:

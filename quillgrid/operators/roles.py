@@ -14,7 +14,7 @@ PRESERVED, COPIED = "preserve_existing_english_once", "english_copy_of_existing_
 
 def units_of(lines: DataFrame) -> DataFrame:
     """Units of (doc_id, idx, text): non-blank lines with id, order, hash and detected direction."""
-    counted = lines.withColumn("normalized_text", T.normalize("text")).where(F.length("normalized_text") > 0)
+    counted = lines.where(T.has_text("text")).withColumn("normalized_text", T.normalize("text"))
     n = "normalized_text"
     counted = counted.withColumns({"cjk": T.cjk_count(n).cast("long"), "latin": T.latin_count(n).cast("long"), "english_words": T.english_words(n).cast("long")})
     return counted.select(

@@ -9,6 +9,7 @@ from quillgrid.functions.text import CJK_CLASS, SPACE_CLASS
 from quillgrid.operators import batching, checks, glossary, jobs, rendering, responses
 from quillgrid.operators import roles as R
 from quillgrid.plans.fixtures import DUCK, duck_count, units
+from quillgrid.plans.storage import stored
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -66,8 +67,8 @@ def _reviews(items):
 
 
 def _all(spark, d):
-    u = units(spark, d)
-    items = _items(u)
+    u = stored(units(spark, d))
+    items = stored(_items(u))
     translations = responses.accepted_translations(items, _answers(items))
     return u, items, responses.effective_targets(translations, responses.corrections(_reviews(items)))
 
@@ -90,19 +91,19 @@ def q12(spark, d):
 
 @query("q13_response_diff", f"{PACK} SELECT * FROM diffs")
 def q13(spark, d):
-    items = _items(units(spark, d))
+    items = stored(_items(stored(units(spark, d))))
     return responses.id_differences(items, _answers(items))
 
 
 @query("q14_hash_check", f"{PACK} SELECT *, ids_ok AND hash_ok AND target_ok AS accepted FROM verdicts")
 def q14(spark, d):
-    items = _items(units(spark, d))
+    items = stored(_items(stored(units(spark, d))))
     return responses.verdicts(items, _answers(items))
 
 
 @query("q14b_accepted", f"{PACK} SELECT * FROM translations")
 def q14b(spark, d):
-    items = _items(units(spark, d))
+    items = stored(_items(stored(units(spark, d))))
     return responses.accepted_translations(items, _answers(items))
 
 
