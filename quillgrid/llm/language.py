@@ -156,6 +156,8 @@ def training_rows(docs: DataFrame, each: int = SAMPLE_EACH) -> DataFrame:
 def _histograms(batches):
     for batch in batches:
         rows = [(t, s) for t, s in zip(batch["text"], batch["lang"], strict=True) if t and _LETTER.search(t)]
+        if not rows:
+            continue
         yield pd.DataFrame({"x": [histogram(t).tobytes() for t, _ in rows], "lang": [s for _, s in rows]})
 
 
