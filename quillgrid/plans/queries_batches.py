@@ -340,3 +340,13 @@ def flagship(spark, d):
     u, items, targets = _all(spark, d)
     out = rendering.bilingual_cells(u, targets).select("doc_id", "id", "out_text")
     return u.select("doc_id", "id", "direction").join(items.select("doc_id", "id", "batch_no"), ["doc_id", "id"], "left").join(out, ["doc_id", "id"]).withColumn("batch_no", F.coalesce("batch_no", F.lit(-1)))
+
+
+def q34(spark, d):
+    """Documents as Word (even ids) and Excel packages, read, rendered in both forms, read again and checked."""
+    from quillgrid.plans import office
+
+    return office.roundtrip(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+QUERIES["q34_ooxml_roundtrip"] = q34

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgrid.functions import text as T
+from quillgrid.sources import ooxml_xml as xml
+
 
 def decoded(cells: DataFrame, shared_strings: DataFrame) -> DataFrame:
     """Add ``cell_text``: shared strings by position, inline and plain strings; formulas and the rest are null."""
@@ -23,3 +30,95 @@ def not_wrapped(cells: DataFrame, styles: DataFrame) -> DataFrame:
     """Cells whose format doesn't wrap; an unreadable format position counts as the first format."""
     own = cells.withColumn("_s", F.coalesce(F.expr("try_cast(s AS bigint)"), F.lit(0)))
     return own.join(wrapped(styles), F.col("_s") == F.col("idx"), "left_anti").drop("_s")
+
+
+SUPPORTED = ("docx", "pdf", "xlsx", "xlsm")
+STORY = r"^word/(document|header\d+|footer\d+|footnotes|endnotes|comments)\.xml$"
+
+
+def packages(spark: SparkSession, path: str) -> DataFrame:
+    """Files under a path: (doc_id, path, ext, content, sha256, error); other kinds of file carry an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    out = files.select(F.sha2("path", 256).substr(1, 16).alias("doc_id"), "path", ext.alias("ext"), "content", F.sha2("content", 256).alias("sha256"))
+    return out.withColumn("error", F.when(~ext.isin(*SUPPORTED), F.concat(F.lit("unsupported file type: "), ext)))
+
+
+def parts(files: DataFrame) -> DataFrame:
+    """(doc_id, part, bytes) of the members of zip packages; one package at a time is open in a worker."""
+
+    def unzipped(batches):
+        for batch in batches:
+            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names = [n for n in z.namelist() if not n.endswith("/")]
+                    yield pd.DataFrame({"doc_id": [doc_id] * len(names), "part": names, "bytes": [z.read(n) for n in names]})
+
+    own = files.where(F.col("error").isNull() & (F.col("ext") != "pdf")) if "error" in files.columns else files
+    kind = dict(files.dtypes)["doc_id"]
+    return own.select("doc_id", "content").mapInPandas(unzipped, f"doc_id {kind}, part string, bytes binary")
+
+
+def _tables(parts_df: DataFrame, wanted: str, parse, schema: str) -> DataFrame:
+    """Rows that ``parse(part, bytes)`` gives for the parts that match a pattern."""
+
+    def parsed(batches):
+        for batch in batches:
+            rows = [(doc_id, part, *row) for doc_id, part, data in zip(batch["doc_id"], batch["part"], batch["bytes"], strict=True) for row in parse(part, data)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "part", *(x.split()[0] for x in schema.split(", "))])
+
+    kind = dict(parts_df.dtypes)["doc_id"]
+    return parts_df.where(F.col("part").rlike(wanted)).mapInPandas(parsed, f"doc_id {kind}, part string, {schema}")
+
+
+def paragraphs(parts_df: DataFrame) -> DataFrame:
+    """(doc_id, part, idx, text) of the non-blank paragraphs of Word story parts."""
+    return _tables(parts_df, STORY, lambda _, data: xml.paragraph_texts(data), "idx int, text string").where(T.has_text("text"))
+
+
+def sheets(parts_df: DataFrame) -> DataFrame:
+    """(doc_id, sheet_ord, sheet, state, part): sheets of the workbook joined to their targets by relation id."""
+    books = _tables(parts_df, r"^xl/workbook\.xml$", lambda _, data: xml.sheets(data), "sheet_ord int, sheet string, state string, rel string").drop("part")
+    rels = _tables(parts_df, r"^xl/_rels/workbook\.xml\.rels$", lambda _, data: xml.relations(data), "rel string, target string").drop("part")
+    return books.join(rels, ["doc_id", "rel"]).select("doc_id", "sheet_ord", "sheet", "state", T.resolve_part(F.lit("xl/workbook.xml"), "target").alias("part"))
+
+
+def shared_strings(parts_df: DataFrame) -> DataFrame:
+    return _tables(parts_df, r"^xl/sharedStrings\.xml$", lambda _, data: xml.shared_strings(data), "idx bigint, shared string").drop("part")
+
+
+def cells(parts_df: DataFrame) -> DataFrame:
+    """(doc_id, part, cell_order, cell, t, s, v, has_formula): all cells of the worksheets."""
+    return _tables(parts_df, r"^xl/worksheets/[^/]+\.xml$", lambda _, data: xml.cells(data), "cell_order int, cell string, t string, s string, v string, has_formula boolean")
+
+
+def styles(parts_df: DataFrame) -> DataFrame:
+    return _tables(parts_df, r"^xl/styles\.xml$", lambda _, data: xml.cell_formats(data), "idx bigint, wrap string").drop("part")
+
+
+def cell_texts(parts_df: DataFrame) -> DataFrame:
+    """(doc_id, sheet_ord, sheet, state, part, cell_order, cell, s, text) of text cells, hidden sheets too."""
+    own = cells(parts_df).join(sheets(parts_df), ["doc_id", "part"])
+    sst = shared_strings(parts_df).withColumnRenamed("doc_id", "_doc")
+    position = F.when(F.col("t") == "s", F.expr("try_cast(v AS bigint)"))
+    both = own.join(sst, (F.col("doc_id") == F.col("_doc")) & (position == F.col("idx")), "left")
+    text = F.when(F.col("has_formula"), None).when(F.col("t") == "s", F.col("shared")).when(F.col("t").isin("inlineStr", "str"), F.col("v"))
+    return both.withColumn("text", text).where(T.has_text("text")).select("doc_id", "sheet_ord", "sheet", "state", "part", "cell_order", "cell", "s", "text")
+
+
+def package_units(parts_df: DataFrame) -> DataFrame:
+    """Lines (doc_id, idx, text, part, place) of Word and Excel packages in reading order."""
+    words = paragraphs(parts_df).select("doc_id", F.lit(0).alias("o"), "part", F.col("idx").alias("k"), F.col("idx").cast("string").alias("place"), "text")
+    table = cell_texts(parts_df).select("doc_id", F.col("sheet_ord").alias("o"), "part", F.col("cell_order").alias("k"), F.col("cell").alias("place"), "text")
+    order = Window.partitionBy("doc_id").orderBy("o", "part", "k")
+    return words.union(table).select("doc_id", (F.row_number().over(order) - 1).alias("idx"), "text", "part", "place")
+
+
+def structure(parts_df: DataFrame) -> DataFrame:
+    """One row of counts and digests for each package, for comparing a source with its output."""
+    counted = _tables(parts_df, r"\.xml$|^word/media/|^xl/vbaProject", lambda part, data: [xml.structure(part, data)], "media int, tables int, sections int, merged int, validations int, conditional_formats int, hyperlinks int, formulas int, signature string")
+    sums = [F.sum(c).alias(c) for c in ("media", "tables", "sections", "merged", "validations", "conditional_formats", "hyperlinks", "formulas")]
+    signed = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part", F.lit("="), "signature"))), "\n"), 256)
+    names = parts_df.groupBy("doc_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("part")), "\n"), 256).alias("parts_digest"))
+    return counted.groupBy("doc_id").agg(*sums, signed.alias("format_signature")).join(names, "doc_id")
