@@ -11,6 +11,13 @@ Equal texts share a fingerprint and are folded before any join. A point where ma
 meet gives a spanning forest of its links, found by search, not its pairs: connectivity is the same
 and at most one link a fingerprint leaves the point.
 
+Radius 2 on 64 bits is what the query's contract fixes. Texts whose five-word shingles agree by 0.8 or more
+lie about 5 and up to 12 bits apart, too far for any grid of this kind to be selective. ``one_of_each`` therefore adds
+a second pass with 512-bit fingerprints of the sets of five-word shingles: bands of 21 bits propose, in
+each band's sort order, the neighbour before and the first of the band; all 512 bits filter, and the Jaccard
+similarity of the shingle sets themselves decides. It proposes at most two pairs for a fingerprint and band,
+however many copies a text has.
+
 Defined results: a null or empty text has fingerprint zero, which links like any other; rows that
 repeat a doc_id are one document; an empty table gives an empty result; long texts are hashed in
 pieces of bounded size.
@@ -27,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.shared import cut, small_batches
+from quillgrid.llm.decontaminate import hashes_sql, words_sql
+from quillgrid.llm.shared import cut, small_batches, small_side
 
 WORDS = 3
 SEED = 42
@@ -40,6 +48,10 @@ FEW = 24
 #: Beyond this many, partners are looked up by flipping bits instead of scanning the point.
 SCAN = 20_000
 
+#: Words of a wide fingerprint, bits of a band, and bits that may differ: at a similarity of 0.8 they are 78 of 512 with
+#: a deviation of 8, so that over two deviations are added before the exact test.
+WIDE, BAND, WIDE_APART, SIMILAR = 8, 21, 96, 0.8
+
 _FLIPS = np.array([1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(64) for j in range(i)], dtype=np.uint64)
 
 
@@ -54,8 +66,7 @@ def shingle_hashes(words: list[bytes], width: int = WORDS) -> np.ndarray:
     return np.fromiter((digest(b" ".join(g), SEED) for g in grams), dtype=np.uint64, count=len(words) - width + 1)
 
 
-def simhash(hashes: np.ndarray) -> int:
-    """A bit is 1 where over half of the hashes have it; zero without hashes."""
+def _majority(hashes: np.ndarray) -> int:
     n = len(hashes)
     if not n:
         return 0
@@ -66,6 +77,25 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is 1 where over half of the hashes have it; zero without hashes."""
+    return _majority(hashes)
+
+
+def wide_simhash(hashes: np.ndarray) -> list[int]:
+    """Eight words of fingerprint of the set of five-word shingles, from the hashes of the three-word ones."""
+    if len(hashes) > 2:
+        hashes = hashes[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ (hashes[2:] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
+    own = np.unique(hashes)
+    out = []
+    for k in range(WIDE):
+        x = own * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + np.uint64(k)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
 def fingerprint(text: str | None) -> int:
     """Fingerprint of a text: A-Z in lower case, words by ASCII gaps, three-word shingles."""
     return simhash(shingle_hashes(text.encode("utf-8", "surrogatepass").lower().split() if text else []))
@@ -76,6 +106,14 @@ def _fingerprints(text: pd.Series) -> pd.Series:
     return pd.Series(found.view(np.int64))
 
 
+def _both_fingerprints(text: pd.Series) -> pd.DataFrame:
+    fps, wide = np.zeros(len(text), dtype=np.uint64), np.zeros((len(text), WIDE), dtype=np.uint64)
+    for i, t in enumerate(text):
+        hashes = shingle_hashes(t.encode("utf-8", "surrogatepass").lower().split() if t else [])
+        fps[i], wide[i] = simhash(hashes), wide_simhash(hashes)
+    return pd.DataFrame({"fp": fps.view(np.int64), "wide": list(wide.view(np.int64))})
+
+
 def fingerprint_column(text):
     return F.pandas_udf(_fingerprints, "long")(text)
 
@@ -171,6 +209,46 @@ def links(fps: DataFrame) -> DataFrame:
     return at_points.mapInArrow(_verify, "a long, b long").distinct()
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows sorted by band: each with the one before it and with the first of its band."""
+    band, first, last = None, 0, 0
+    for batch in batches:
+        keys, fps = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        if not len(keys):
+            continue
+        new = np.concatenate([[band is None or keys[0] != band], keys[1:] != keys[:-1]])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
+        firsts = np.where(at >= 0, fps[np.maximum(at, 0)], first)
+        before = np.concatenate([[last], fps[:-1]])
+        a, b = np.concatenate([firsts[~new], before[~new]]), np.concatenate([fps[~new]] * 2)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+        band, first, last = keys[-1], firsts[-1], fps[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between fingerprints (fp, wide) whose wide ones are close."""
+    bands = [f"struct(xxhash64({k}, {j}, shiftrightunsigned(wide[{k}], {j * BAND}) & {(1 << BAND) - 1}L) AS band, wide[{(k + 1) % WIDE}] AS next)" for k in range(WIDE) for j in range(64 // BAND)]
+    rows = nodes.select("fp", F.explode(F.expr(f"array({', '.join(bands)})")).alias("k")).select("k.band", "fp", "k.next")
+    ordered = rows.repartition("band").sortWithinPartitions("band", "next", "fp").select("band", "fp")
+    pairs = cut(ordered.mapInArrow(_neighbours, "a long, b long").distinct())
+    one, two = (nodes.select(F.col("fp").alias(n), F.col("wide").alias(f"{n}_wide")) for n in ("a", "b"))
+    apart = " + ".join(f"bit_count(a_wide[{k}] ^ b_wide[{k}])" for k in range(WIDE))
+    return pairs.join(one, "a").join(two, "b").where(f"{apart} <= {WIDE_APART}").select("a", "b")
+
+
+def similar_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those pairs whose texts share 0.8 or more of their five-word shingles; only texts on a pair are read into it."""
+    met = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    named = cut(met.join(nodes.select("fp", "first"), "fp"))
+    texts = docs.select("doc_id", "_text").join(small_side(named), docs["doc_id"].eqNullSafe(named["first"]))
+    sets = texts.select("fp", F.expr(words_sql("_text")).alias("_words")).select("fp", F.array_distinct(F.expr(hashes_sql("_words"))).alias("set"))
+    sets = cut(sets.dropDuplicates(["fp"]))
+    one, two = (sets.select(F.col("fp").alias(n), F.col("set").alias(f"{n}_set")) for n in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("both"), (F.size("a_set") + F.size("b_set")).alias("all"))
+    return both.where(F.col("both") >= SIMILAR * (F.col("all") - F.col("both"))).select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node on an edge: the smallest node reachable.
 
@@ -193,17 +271,26 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable."""
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable.
+
+    With ``wide``, texts link by their similarity too.
+    """
     small_batches(docs.sparkSession)
-    marked = cut(docs.select(F.col(id_column).alias("doc_id"), fingerprint_column(F.col(text)).alias("fp")))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes.select("fp")))
+    own = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("_text"))
+    if wide:
+        marked = cut(own.select("doc_id", F.pandas_udf(_both_fingerprints, "fp long, wide array<long>")("_text").alias("_f")).select("doc_id", "_f.fp", "_f.wide"))
+        nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("wide").alias("wide")))
+    else:
+        marked = cut(own.select("doc_id", fingerprint_column(F.col("_text")).alias("fp")))
+        nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    edges = links(nodes.select("fp"))
+    roots = components(edges.union(similar_links(cut(wide_links(nodes)), nodes, own)).distinct() if wide else edges)
     lowest = roots.join(nodes, roots.node == nodes.fp).groupBy("root").agg(F.min("first").alias("lowest"))
     moved = roots.join(lowest, "root").select(F.col("node").alias("fp"), "lowest")
     # stored, so that both sides of the last join are dealt anew and a fingerprint with many rows can be split
     classes = cut(nodes.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return marked.select("doc_id", "fp").join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -213,8 +300,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Documents with one row kept of each group of near-duplicates: that of the smallest doc_id."""
-    found = near_duplicates(docs)
+    """Documents with one row kept of each group of near-duplicates, wide links included: that of the smallest doc_id."""
+    found = near_duplicates(docs, wide=True)
     firsts = cut(found.where("doc_id <=> component_id").select("doc_id", "component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
     kept = docs.join(firsts.select("doc_id"), docs["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi")
     if firsts.where("rows > 1").limit(1).count():

@@ -1,5 +1,5 @@
 from test_models import slow_matches
-from test_simhash import slow_components, slow_fingerprint
+from test_simhash import slow_components, slow_fingerprint, slow_sets
 
 import corpus_pipeline
 from quillgrid.llm import quality
@@ -18,7 +18,7 @@ def test_pipeline_equals_brute_force(spark):
         (n, _, _, _, repeat), x = quality.measure(t)
         if n >= 10 and 100 * repeat <= 20 * n and 1 / (1 + np.exp(-model.score(np.array([x]))[0])) >= 0.5:
             good.append((i, t))
-    roots = slow_components([slow_fingerprint(t) for _, t in good])
+    roots = slow_components([slow_fingerprint(t) for _, t in good], slow_sets([t for _, t in good]))
     firsts = [row for k, row in enumerate(good) if roots[k] == k]
     items = [(r.item_id, " ".join(r.text.lower().split())) for r in table(spark, sf, "benchmark").collect()]
     leaks = {i for i, t in firsts if any(s[: len(s) // 2] in " ".join(t.lower().split()) for _, s in items)}

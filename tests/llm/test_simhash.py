@@ -13,8 +13,13 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def slow_components(fps):
-    """{row: smallest row reachable} by all pairs."""
+def slow_sets(texts):
+    split = [t.lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+
+
+def slow_components(fps, sets=None):
+    """{row: smallest row reachable} by all pairs: 2 bits apart, or sets that share 0.8."""
     parent = list(range(len(fps)))
 
     def root(x):
@@ -24,7 +29,8 @@ def slow_components(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+            near = (fps[i] ^ fps[j]).bit_count() <= 2
+            if near or sets and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return [root(i) for i in range(len(fps))]
@@ -77,3 +83,19 @@ def test_odd_rows(odd, none):
     assert simhash.digest(none).count() == 0
     kept = [r.doc_id for r in simhash.one_of_each(odd).collect()]
     assert len(kept) == len(set(kept)) and 4 in kept and 5 not in kept and None in kept
+
+
+def test_edited_copies_leave_with_their_group(spark):
+    rng = random.Random(8)
+    texts = []
+    for k in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for _ in range(k % 4):
+            copy = list(words)
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(200)] = "edited"
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    roots = slow_components([slow_fingerprint(t) for t in texts], slow_sets(texts))
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {i for i, c in enumerate(roots) if c == i}
