@@ -13,7 +13,7 @@ and at most one link a fingerprint leaves the point.
 
 Radius 2 on 64 bits is what the query's contract fixes. Texts whose five-word shingles agree by 0.8 or more
 lie about 5 and up to 12 bits apart, too far for any grid of this kind to be selective. ``one_of_each`` therefore adds
-a second pass with 512-bit fingerprints of the sets of five-word shingles: bands of 21 bits propose, in
+a second pass with 512-bit fingerprints of the sets of five-word shingles: bands of 16 bits propose, in
 each band's sort order, the neighbour before and the first of the band; all 512 bits filter, and the Jaccard
 similarity of the shingle sets themselves decides. It proposes at most two pairs for a fingerprint and band,
 however many copies a text has.
@@ -50,7 +50,7 @@ SCAN = 20_000
 
 #: Words of a wide fingerprint, bits of a band, and bits that may differ: at a similarity of 0.8 they are 78 of 512 with
 #: a deviation of 8, so that over two deviations are added before the exact test.
-WIDE, BAND, WIDE_APART, SIMILAR = 8, 21, 96, 0.8
+WIDE, BAND, WIDE_APART, SIMILAR = 8, 16, 96, 0.8
 
 _FLIPS = np.array([1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(64) for j in range(i)], dtype=np.uint64)
 
