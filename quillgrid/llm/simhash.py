@@ -13,10 +13,10 @@ and at most one link a fingerprint leaves the point.
 
 Radius 2 on 64 bits is what the query's contract fixes. Texts whose five-word shingles agree by 0.8 or more
 lie about 5 and up to 12 bits apart, too far for any grid of this kind to be selective. ``one_of_each`` therefore adds
-a second pass with 512-bit fingerprints of the sets of five-word shingles: bands of 21 bits propose, in
-each band's sort order, the neighbour before and the first of the band; all 512 bits filter, and the Jaccard
-similarity of the shingle sets themselves decides. It proposes at most two pairs for a fingerprint and band,
-however many copies a text has.
+a second pass by another method, MinHash: 24 bands of 6 minima of the sets of five-word shingles propose, in each
+band's sort order, the neighbour before and the first of the band; two bits of each of 128 minima filter, and the
+Jaccard similarity of the shingle sets themselves decides. A pair at a similarity of 0.8 meets in a band with a chance
+of 0.9993. It proposes at most two pairs for a text and band, however many copies a text has.
 
 Defined results: a null or empty text has fingerprint zero, which links like any other; rows that
 repeat a doc_id are one document; an empty table gives an empty result; long texts are hashed in
@@ -48,9 +48,13 @@ FEW = 24
 #: Beyond this many, partners are looked up by flipping bits instead of scanning the point.
 SCAN = 20_000
 
-#: Words of a wide fingerprint, bits of a band, and bits that may differ: at a similarity of 0.8 they are 78 of 512 with
-#: a deviation of 8, so that over two deviations are added before the exact test.
-WIDE, BAND, WIDE_APART, SIMILAR = 8, 21, 96, 0.8
+#: Bands and minima of a band: at a similarity of 0.8 a pair meets in one with a chance of 1 - (1 - 0.8 ** 6) ** 24.
+BANDS, ROWS, SIMILAR = 24, 6, 0.8
+#: Minima of which two bits are kept, 32 to a word, and how many may differ: at a similarity of 0.8 they are 19 of 128
+#: with a deviation of 4, so that over three deviations are added before the exact test.
+SKETCH, SKETCH_APART = 128, 33
+#: Minima times shingles that are mixed at once.
+BLOCK = 1 << 15
 
 _FLIPS = np.array([1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(64) for j in range(i)], dtype=np.uint64)
 
@@ -82,18 +86,41 @@ def simhash(hashes: np.ndarray) -> int:
     return _majority(hashes)
 
 
-def wide_simhash(hashes: np.ndarray) -> list[int]:
-    """Eight words of fingerprint of the set of five-word shingles, from the hashes of the three-word ones."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_ODD = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_PLACE = _mixed(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """Minima of BANDS * ROWS hash functions over the set of five-word shingles, from the hashes of the three-word ones."""
     if len(hashes) > 2:
         hashes = hashes[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ (hashes[2:] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
     own = np.unique(hashes)
-    out = []
-    for k in range(WIDE):
-        x = own * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + np.uint64(k)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(_majority(x ^ (x >> np.uint64(31))))
-    return out
+    low = np.full(len(_ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
+    step = BLOCK // len(_ODD)
+    for at in range(0, len(own), step):
+        x = own[None, at : at + step] * _ODD[:, None]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        np.minimum(low, x.min(axis=1), out=low)
+    return low
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """A hash for each band of its number and its minima."""
+    number = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return _mixed((_mixed(low.reshape(BANDS, ROWS)) * _PLACE).sum(axis=1, dtype=np.uint64) + number)
+
+
+def sketch(low: np.ndarray) -> np.ndarray:
+    """Two bits of each of the first SKETCH minima, 32 to a word."""
+    bits = (_mixed(low[:SKETCH]) >> np.uint64(62)).reshape(-1, 32)
+    return (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64)
 
 
 def fingerprint(text: str | None) -> int:
@@ -106,12 +133,16 @@ def _fingerprints(text: pd.Series) -> pd.Series:
     return pd.Series(found.view(np.int64))
 
 
-def _both_fingerprints(text: pd.Series) -> pd.DataFrame:
-    fps, wide = np.zeros(len(text), dtype=np.uint64), np.zeros((len(text), WIDE), dtype=np.uint64)
+def _fingerprints_and_bands(text: pd.Series) -> pd.DataFrame:
+    n = len(text)
+    fps, names = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+    wide, bands = np.zeros((n, SKETCH // 32), dtype=np.uint64), np.zeros((n, BANDS), dtype=np.uint64)
     for i, t in enumerate(text):
         hashes = shingle_hashes(t.encode("utf-8", "surrogatepass").lower().split() if t else [])
-        fps[i], wide[i] = simhash(hashes), wide_simhash(hashes)
-    return pd.DataFrame({"fp": fps.view(np.int64), "wide": list(wide.view(np.int64))})
+        low = minima(hashes)
+        fps[i], wide[i], bands[i] = simhash(hashes), sketch(low), band_keys(low)
+        names[i] = xxhash.xxh64_intdigest(low.tobytes(), int(fps[i]))
+    return pd.DataFrame({"fp": fps.view(np.int64), "name": names.view(np.int64), "wide": list(wide.view(np.int64)), "bands": list(bands.view(np.int64))})
 
 
 def fingerprint_column(text):
@@ -226,27 +257,34 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def wide_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between fingerprints (fp, wide) whose wide ones are close."""
-    bands = [f"struct(xxhash64({k}, {j}, shiftrightunsigned(wide[{k}], {j * BAND}) & {(1 << BAND) - 1}L) AS band, wide[{(k + 1) % WIDE}] AS next)" for k in range(WIDE) for j in range(64 // BAND)]
-    rows = nodes.select("fp", F.explode(F.expr(f"array({', '.join(bands)})")).alias("k")).select("k.band", "fp", "k.next")
-    ordered = rows.repartition("band").sortWithinPartitions("band", "next", "fp").select("band", "fp")
+def similar_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b, a_fp, b_fp) of nodes (name, fp, wide, bands) that meet in a band and whose sketches are close.
+
+    Nodes that share a fingerprint are linked anyhow and no pair.
+    """
+    rows = nodes.select("name", "wide", F.posexplode("bands").alias("j", "band"))
+    rows = rows.select("band", "name", F.expr(f"wide[j % {SKETCH // 32}]").alias("next"))
+    ordered = rows.repartition("band").sortWithinPartitions("band", "next", "name").select("band", "name")
     pairs = cut(ordered.mapInArrow(_neighbours, "a long, b long").distinct())
-    one, two = (nodes.select(F.col("fp").alias(n), F.col("wide").alias(f"{n}_wide")) for n in ("a", "b"))
-    apart = " + ".join(f"bit_count(a_wide[{k}] ^ b_wide[{k}])" for k in range(WIDE))
-    return pairs.join(one, "a").join(two, "b").where(f"{apart} <= {WIDE_APART}").select("a", "b")
+    one, two = (nodes.select(F.col("name").alias(n), F.col("fp").alias(f"{n}_fp"), F.col("wide").alias(f"{n}_wide")) for n in ("a", "b"))
+    differ = [f"(a_wide[{k}] ^ b_wide[{k}])" for k in range(SKETCH // 32)]
+    apart = " + ".join(f"bit_count(({x} | shiftrightunsigned({x}, 1)) & {0x5555555555555555}L)" for x in differ)
+    return pairs.join(one, "a").join(two, "b").where(f"a_fp <> b_fp AND {apart} <= {SKETCH_APART}").select("a", "b", "a_fp", "b_fp")
 
 
 def similar_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs whose texts share 0.8 or more of their five-word shingles; only texts on a pair are read into it."""
-    met = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    named = cut(met.join(nodes.select("fp", "first"), "fp"))
+    """Links (a, b) between the fingerprints of those pairs whose texts share 0.8 or more of their five-word shingles.
+
+    Only texts on a pair are read into it.
+    """
+    met = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    named = cut(met.join(nodes.select("name", "first"), "name"))
     texts = docs.select("doc_id", "_text").join(small_side(named), docs["doc_id"].eqNullSafe(named["first"]))
-    sets = texts.select("fp", F.expr(words_sql("_text")).alias("_words")).select("fp", F.array_distinct(F.expr(hashes_sql("_words"))).alias("set"))
-    sets = cut(sets.dropDuplicates(["fp"]))
-    one, two = (sets.select(F.col("fp").alias(n), F.col("set").alias(f"{n}_set")) for n in ("a", "b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("both"), (F.size("a_set") + F.size("b_set")).alias("all"))
-    return both.where(F.col("both") >= SIMILAR * (F.col("all") - F.col("both"))).select("a", "b")
+    sets = texts.select("name", F.expr(words_sql("_text")).alias("_words")).select("name", F.array_distinct(F.expr(hashes_sql("_words"))).alias("set"))
+    sets = cut(sets.dropDuplicates(["name"]))
+    one, two = (sets.select(F.col("name").alias(n), F.col("set").alias(f"{n}_set")) for n in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").select("a_fp", "b_fp", F.size(F.array_intersect("a_set", "b_set")).alias("both"), (F.size("a_set") + F.size("b_set")).alias("all"))
+    return both.where(F.col("both") >= SIMILAR * (F.col("all") - F.col("both"))).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -274,18 +312,22 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable.
 
-    With ``wide``, texts link by their similarity too.
+    With ``wide``, texts link by the similarity of their five-word shingles too.
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("_text"))
     if wide:
-        marked = cut(own.select("doc_id", F.pandas_udf(_both_fingerprints, "fp long, wide array<long>")("_text").alias("_f")).select("doc_id", "_f.fp", "_f.wide"))
-        nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("wide").alias("wide")))
+        made = F.pandas_udf(_fingerprints_and_bands, "fp long, name long, wide array<long>, bands array<long>")
+        marked = cut(own.select("doc_id", made("_text").alias("_f")).select("doc_id", "_f.*"))
+        # texts with one fingerprint may differ in their shingles: each set of shingles is a node of its own
+        variants = cut(marked.groupBy("fp", "name").agg(F.min("doc_id").alias("first"), F.first("wide").alias("wide"), F.first("bands").alias("bands")))
+        nodes = cut(variants.groupBy("fp").agg(F.min("first").alias("first")))
+        edges = links(nodes.select("fp")).union(similar_links(cut(similar_pairs(variants)), variants, own)).distinct()
     else:
         marked = cut(own.select("doc_id", fingerprint_column(F.col("_text")).alias("fp")))
         nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = links(nodes.select("fp"))
-    roots = components(edges.union(similar_links(cut(wide_links(nodes)), nodes, own)).distinct() if wide else edges)
+        edges = links(nodes.select("fp"))
+    roots = components(edges)
     lowest = roots.join(nodes, roots.node == nodes.fp).groupBy("root").agg(F.min("first").alias("lowest"))
     moved = roots.join(lowest, "root").select(F.col("node").alias("fp"), "lowest")
     # stored, so that both sides of the last join are dealt anew and a fingerprint with many rows can be split
