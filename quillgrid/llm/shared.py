@@ -16,9 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what a Python worker holds of whole texts at once."""
+def small_batches(spark: SparkSession, rows: int = 10_000, size: str = "2m") -> None:
+    """Bound what a Python worker gets at once: by bytes, so that long texts come few at a time and narrow rows many."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shared_folder(spark: SparkSession) -> str:
