@@ -164,8 +164,10 @@ def grid_points(fps: DataFrame) -> DataFrame:
 
 
 def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sorted distinct fingerprints of one point."""
+    """A spanning forest of the links between the distinct fingerprints of one point, in any order."""
     n, links = len(fps), []
+    order = np.argsort(fps) if n > SCAN else None  # Spark sorts them as signed, the lookup is unsigned
+    ranked = fps[order] if n > SCAN else None
     left = np.ones(n, dtype=bool)
     for root in range(n):
         if not left[root]:
@@ -178,8 +180,8 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
                 near = np.flatnonzero(left & (np.bitwise_count(fps ^ fps[x]) <= BITS_APART))
             else:
                 wanted = fps[x] ^ _FLIPS
-                at = np.minimum(np.searchsorted(fps, wanted), n - 1)
-                near = np.unique(at[fps[at] == wanted])
+                at = np.minimum(np.searchsorted(ranked, wanted), n - 1)
+                near = np.unique(order[at[ranked[at] == wanted]])
                 near = near[left[near]]
             left[near] = False
             links += [(x, int(y)) for y in near]

@@ -99,3 +99,14 @@ def test_edited_copies_leave_with_their_group(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     roots = slow_components([slow_fingerprint(t) for t in texts], slow_sets(texts))
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {i for i, c in enumerate(roots) if c == i}
+
+
+def test_lookup_finds_links_in_the_order_of_spark(monkeypatch):
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, 400, dtype=np.uint64) << np.uint64(1)
+    fps = np.unique(np.concatenate([fps, fps ^ np.uint64(1 << 63 | 1), fps ^ np.uint64(1 << 17)]))
+    fps = np.sort(fps.view(np.int64)).view(np.uint64)
+    scan = simhash._forest(fps)
+    monkeypatch.setattr(simhash, "SCAN", 0)
+    look = simhash._forest(fps)
+    assert len(scan) == len(look) == 800 and {x for p in scan for x in p} == {x for p in look for x in p} == set(range(1200))
