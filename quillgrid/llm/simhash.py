@@ -13,10 +13,11 @@ and at most one link a fingerprint leaves the point.
 
 Radius 2 on 64 bits is what the query's contract fixes. Texts whose five-word shingles agree by 0.8 or more
 lie about 5 and up to 12 bits apart, too far for any grid of this kind to be selective. ``one_of_each`` therefore adds
-a second pass by another method, MinHash: 24 bands of 6 minima of the sets of five-word shingles propose, in each
-band's sort order, the neighbour before and the first of the band; two bits of each of 128 minima filter, and the
-Jaccard similarity of the shingle sets themselves decides. A pair at a similarity of 0.8 meets in a band with a chance
-of 0.9993. It proposes at most two pairs for a text and band, however many copies a text has.
+a second pass by another method, MinHash: all texts that meet in one of 24 bands of 6 minima of the sets of five-word
+shingles are compared; two bits of each of 128 minima filter, and the Jaccard similarity of the shingle sets themselves
+decides. A pair at a similarity of 0.8 meets in a band with a chance of 0.9993. Bands of up to 16 texts give their
+pairs; a larger band gets its texts' sets and gives a spanning forest of its exact links, so that at most one link a
+text leaves it, however many copies a text has.
 
 Defined results: a null or empty text has fingerprint zero, which links like any other; rows that
 repeat a doc_id are one document; an empty table gives an empty result; long texts are hashed in
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +55,10 @@ BANDS, ROWS, SIMILAR = 24, 6, 0.8
 #: Minima of which two bits are kept, 32 to a word, and how many may differ: at a similarity of 0.8 they are 19 of 128
 #: with a deviation of 4, so that over three deviations are added before the exact test.
 SKETCH, SKETCH_APART = 128, 33
+#: Up to this many rows of a band are compared pair by pair by their sketches; larger bands are linked by search.
+CROWD = 16
+#: Sets that a row is compared with at once.
+PAIRS = 1 << 12
 #: Minima times shingles that are mixed at once.
 BLOCK = 1 << 15
 
@@ -242,51 +248,146 @@ def links(fps: DataFrame) -> DataFrame:
     return at_points.mapInArrow(_verify, "a long, b long").distinct()
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows sorted by band: each with the one before it and with the first of its band."""
-    band, first, last = None, 0, 0
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minima whose two bits differ between sketches, by rows."""
+    x = a ^ b
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=-1, dtype=np.int64)
+
+
+def _whole_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows sorted by band, cut so that every band is complete."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        keys, fps = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        if not len(keys):
+        if not batch.num_rows:
             continue
-        new = np.concatenate([[band is None or keys[0] != band], keys[1:] != keys[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
-        firsts = np.where(at >= 0, fps[np.maximum(at, 0)], first)
-        before = np.concatenate([[last], fps[:-1]])
-        a, b = np.concatenate([firsts[~new], before[~new]]), np.concatenate([fps[~new]] * 2)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-        band, first, last = keys[-1], firsts[-1], fps[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(keys, keys[-1]))  # the last band may go on in the next batch
+        if last or held and held[0].column(0)[0].as_py() != keys[-1]:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs with close sketches of each band of up to CROWD rows; of larger bands their key as ``crowd``."""
+    for rows in _whole_bands(batches):
+        bands, names, fps, *words = (rows.column(k).to_numpy() for k in range(rows.num_columns))
+        wide = np.stack(words, axis=1).view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(bands)]]))
+        crowds = bands[starts[sizes > CROWD]]
+        few = np.repeat((sizes > 1) & (sizes <= CROWD), sizes)
+        g, n, f, w = bands[few], names[few], fps[few], wide[few]
+        found = [np.zeros((0, 4), dtype=np.int64)]
+        for step in range(1, CROWD):
+            if len(g) <= step or not (same := g[step:] == g[:-step]).any():
+                break
+            at = np.flatnonzero(same & (f[step:] != f[:-step]))
+            at = at[_apart(w[at], w[at + step]) <= SKETCH_APART]
+            found.append(np.stack([n[at], n[at + step], f[at], f[at + step]], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        columns = [pa.array(np.concatenate([pairs[:, k], np.zeros(len(crowds), dtype=np.int64)])) for k in range(4)]
+        columns.append(pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(crowds)]))
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "a_fp", "b_fp", "crowd"])
+
+
+def _similar_forest(codes: np.ndarray, starts: np.ndarray, fps: np.ndarray, wide: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the exact links of one band: rows with close sketches whose sets share 0.8.
+
+    Row i's set is codes[starts[i] : starts[i + 1]]. A row that is reached is compared with those not yet reached.
+    """
+    n, links = len(fps), []
+    size = np.diff(starts)
+    codes = np.unique(codes, return_inverse=True)[1]
+    many = np.bincount(codes, minlength=1)
+    # shingles of all rows count alike for every pair, and those of one row for none
+    rare = (many[codes] > 1) & (many[codes] < n)
+    core = int((many == n).sum())
+    at = np.concatenate([[0], np.cumsum(rare)])[starts]
+    codes = codes[rare]
+    marked = np.zeros(len(many), dtype=bool)
+    left = np.arange(n)
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            marked[codes[at[x] : at[x + 1]]] = True
+            reached = np.zeros(len(left), dtype=bool)
+            close = np.flatnonzero(_apart(wide[left], wide[x]) <= SKETCH_APART)
+            close = close[np.minimum(size[left[close]], size[x]) >= SIMILAR * np.maximum(size[left[close]], size[x])]
+            for k in range(0, len(close), PAIRS):
+                part = close[k : k + PAIRS]
+                begin, long = at[left[part]], at[left[part] + 1] - at[left[part]]
+                ends = np.cumsum(long)
+                sums = np.concatenate([[0], np.cumsum(marked[codes[np.repeat(begin - ends + long, long) + np.arange(long.sum())]])])
+                both = core + sums[ends] - sums[ends - long]
+                reached[part] = both >= SIMILAR * (size[left[part]] + size[x] - both)
+            marked[codes[at[x] : at[x + 1]]] = False
+            near, left = left[reached], left[~reached]
+            links += [(x, int(y)) for y in near]
+            queue += near.tolist()
+    return links
 
 
-def similar_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b, a_fp, b_fp) of nodes (name, fp, wide, bands) that meet in a band and whose sketches are close.
+def _crowd_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _whole_bands(batches):
+        bands, _, fps, *words = (rows.column(k).to_numpy() for k in range(rows.num_columns - 1))
+        wide = np.stack(words, axis=1).view(np.uint64)
+        sets = rows.column(rows.num_columns - 1).combine_chunks()
+        size = pa.compute.list_value_length(sets).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        codes = sets.flatten().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1], [True]]))
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            forest = np.array(_similar_forest(codes[starts[i] : starts[j]], starts[i : j + 1] - starts[i], fps[i:j], wide[i:j]), dtype=np.int64).reshape(-1, 2) + i
+            pairs = fps[forest]
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    Nodes that share a fingerprint are linked anyhow and no pair.
-    """
-    rows = nodes.select("name", "wide", F.posexplode("bands").alias("j", "band"))
-    rows = rows.select("band", "name", F.expr(f"wide[j % {SKETCH // 32}]").alias("next"))
-    ordered = rows.repartition("band").sortWithinPartitions("band", "next", "name").select("band", "name")
-    pairs = cut(ordered.mapInArrow(_neighbours, "a long, b long").distinct())
-    one, two = (nodes.select(F.col("name").alias(n), F.col("fp").alias(f"{n}_fp"), F.col("wide").alias(f"{n}_wide")) for n in ("a", "b"))
-    differ = [f"(a_wide[{k}] ^ b_wide[{k}])" for k in range(SKETCH // 32)]
-    apart = " + ".join(f"bit_count(({x} | shiftrightunsigned({x}, 1)) & {0x5555555555555555}L)" for x in differ)
-    return pairs.join(one, "a").join(two, "b").where(f"a_fp <> b_fp AND {apart} <= {SKETCH_APART}").select("a", "b", "a_fp", "b_fp")
+
+def band_rows(nodes: DataFrame) -> DataFrame:
+    """(band, name, fp, words of the sketch) of nodes (name, fp, wide, bands)."""
+    words = [F.expr(f"wide[{k}]").alias(f"w{k}") for k in range(SKETCH // 32)]
+    return nodes.select(F.explode("bands").alias("band"), "name", "fp", *words)
 
 
-def similar_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between the fingerprints of those pairs whose texts share 0.8 or more of their five-word shingles.
+def met_in_bands(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b, a_fp, b_fp) of nodes that meet in a band and whose sketches are close, and keys of crowded bands.
 
-    Only texts on a pair are read into it.
+    Nodes that share a fingerprint are linked anyhow and no pair.
     """
-    met = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    named = cut(met.join(nodes.select("name", "first"), "name"))
+    ordered = band_rows(nodes).repartition("band").sortWithinPartitions("band", "name")
+    return ordered.mapInArrow(_met, "a long, b long, a_fp long, b_fp long, crowd long").distinct()
+
+
+def shingle_sets(names: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(name, set) of the five-word shingles of the named nodes; no other texts are read into it."""
+    named = cut(names.join(nodes.select("name", "first"), "name"))
     texts = docs.select("doc_id", "_text").join(small_side(named), docs["doc_id"].eqNullSafe(named["first"]))
     sets = texts.select("name", F.expr(words_sql("_text")).alias("_words")).select("name", F.array_distinct(F.expr(hashes_sql("_words"))).alias("set"))
-    sets = cut(sets.dropDuplicates(["name"]))
+    return cut(sets.dropDuplicates(["name"]))
+
+
+def similar_links(met: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between the fingerprints of texts that met in a band and share 0.8 or more of their five-word shingles.
+
+    A crowded band gives a spanning forest of its exact links, worked out where its rows and their sets stand.
+    """
+    pairs = met.where("crowd IS NULL").drop("crowd")
+    sets = shingle_sets(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), nodes, docs)
     one, two = (sets.select(F.col("name").alias(n), F.col("set").alias(f"{n}_set")) for n in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b").select("a_fp", "b_fp", F.size(F.array_intersect("a_set", "b_set")).alias("both"), (F.size("a_set") + F.size("b_set")).alias("all"))
-    return both.where(F.col("both") >= SIMILAR * (F.col("all") - F.col("both"))).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+    found = both.where(F.col("both") >= SIMILAR * (F.col("all") - F.col("both"))).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+    crowds = met.where("crowd IS NOT NULL").select(F.col("crowd").alias("band"))
+    if not crowds.limit(1).count():
+        return found
+    crowded = cut(band_rows(nodes).join(small_side(crowds), "band"))
+    sets = shingle_sets(crowded.select("name").distinct(), nodes, docs)
+    whole = crowded.join(sets, "name").select(*crowded.columns, "set")
+    forests = whole.repartition("band").sortWithinPartitions("band", "name").mapInArrow(_crowd_links, "a long, b long")
+    return found.union(forests)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -324,7 +425,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         # texts with one fingerprint may differ in their shingles: each set of shingles is a node of its own
         variants = cut(marked.groupBy("fp", "name").agg(F.min("doc_id").alias("first"), F.first("wide").alias("wide"), F.first("bands").alias("bands")))
         nodes = cut(variants.groupBy("fp").agg(F.min("first").alias("first")))
-        edges = links(nodes.select("fp")).union(similar_links(cut(similar_pairs(variants)), variants, own)).distinct()
+        edges = links(nodes.select("fp")).union(similar_links(cut(met_in_bands(variants)), variants, own)).distinct()
     else:
         marked = cut(own.select("doc_id", fingerprint_column(F.col("_text")).alias("fp")))
         nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))

@@ -110,3 +110,37 @@ def test_lookup_finds_links_in_the_order_of_spark(monkeypatch):
     monkeypatch.setattr(simhash, "SCAN", 0)
     look = simhash._forest(fps)
     assert len(scan) == len(look) == 800 and {x for p in scan for x in p} == {x for p in look for x in p} == set(range(1200))
+
+
+def test_copies_among_texts_that_share_a_long_passage(spark):
+    rng = random.Random(5)
+    passage = [f"p{rng.randrange(5000)}" for _ in range(175)]
+    texts = []
+    for _ in range(100):
+        words = passage + [f"w{rng.randrange(5000)}" for _ in range(25)]
+        texts.append(" ".join(words))
+        for at in (179, 184, 189, 194):
+            words[at] = f"edited{rng.randrange(1000)}"
+        texts.append(" ".join(words))
+    order = rng.sample(range(len(texts)), len(texts))
+    texts = [texts[i] for i in order]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    roots = slow_components([slow_fingerprint(t) for t in texts], slow_sets(texts))
+    assert 1 < len(set(roots)) < len(texts)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {i for i, c in enumerate(roots) if c == i}
+
+
+def test_forest_of_a_crowded_band_connects_as_all_pairs(spark):
+    rng = random.Random(6)
+    sets = []
+    for k in range(80):
+        if k % 4 == 0:
+            base = rng.sample(range(70, 600), 30)
+        sets.append(set(range(70)) | set(base[rng.randrange(13) :]) | set(rng.sample(range(600, 900), rng.randrange(13))))
+    codes = np.array([x for s in sets for x in s])
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    links = simhash._similar_forest(codes, starts, np.arange(80), np.zeros((80, 4), dtype=np.uint64))
+    fps = [rng.getrandbits(64) for _ in sets]
+    roots = slow_components(fps, sets)
+    assert 1 < len(set(roots)) < 80 and len(links) == 80 - len(set(roots))
+    assert all(roots[a] == roots[b] for a, b in links)
