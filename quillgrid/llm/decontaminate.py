@@ -32,8 +32,8 @@ _NEAR = [0] + [sum(1 << b for b in c) for k in range(1, BLOCK_APART + 1) for c i
 _GAPS = "\\t\\n\\u000b\\f\\r "
 
 
-def words_sql(text: str) -> str:
-    trimmed = f"trim(BOTH '{_GAPS}' FROM lower({text}))"
+def words_sql(text: str, lowered: str = "lower({})") -> str:
+    trimmed = f"trim(BOTH '{_GAPS}' FROM {lowered.format(text)})"
     gap = WORD_GAP.replace("\\", "\\\\")
     return f"CASE WHEN {text} IS NULL OR length({trimmed}) = 0 THEN cast(array() AS array<string>) ELSE split({trimmed}, '{gap}') END"
 
@@ -80,7 +80,7 @@ def short_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     short = items.where(F.col("width") < WORDS)
     starts = short.select(F.col("words")[0].alias("word"), "width").distinct()
     if not short.limit(1).count():
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, first int, width int")
+        return docs.select("doc_id", F.lit(0).alias("first"), F.lit(0).alias("width")).limit(0)
     words = docs.select("doc_id", F.posexplode(F.expr(words_sql("text"))).alias("first", "word"))
     return words.join(small_side(starts), "word").select("doc_id", "first", "width")
 

@@ -3,21 +3,24 @@
 Rows get gapless global numbers; a Feistel network with cycle walking permutes 0..n-1; the
 permuted number p lies in shard ``p mod k`` at slot ``p div k``. Both ways are computable for any
 row number from (n, k, seed) alone, no table of the shuffle is kept, and shard sizes differ by at
-most one row.
+most one row. A row's number is its place among the hashes of its keys (``shard_rows``), or its place in
+the order that a table's files were written in (``shard_in_order``): file by file, row by row.
 
 Defined results: null keys sort first and take part like others; a null or empty text has size 8
 and CRC 0; rows that repeat get numbers of their own; an empty table gives an empty result; extra
-columns stay with their rows.
+columns stay with their rows, and those named like an added one get ``_input`` added to their names.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.shared import bucket_count, cut, gapless
+from quillgrid.llm.shared import NUMBER, apart, bucket_count, cut, gapless, small_side
 
 SHARDS = 24
 SEED = 20240607
@@ -88,8 +91,8 @@ def _placed(df: DataFrame, n: int, shards: int, seed: int) -> DataFrame:
     def permuted(number: pd.Series) -> pd.Series:
         return pd.Series(permute(number.to_numpy(), n, seed))
 
-    out = df.withColumn("_p", permuted("number"))
-    return out.withColumn("shard", F.pmod("_p", F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"_p div {shards}")).drop("_p", "number")
+    out = df.withColumn("__p", permuted(NUMBER))
+    return out.withColumn("shard", F.pmod("__p", F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"__p div {shards}")).drop("__p", NUMBER)
 
 
 def with_sizes(df: DataFrame, text: str = "text") -> DataFrame:
@@ -100,10 +103,41 @@ def with_sizes(df: DataFrame, text: str = "text") -> DataFrame:
 
 def shard_rows(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Put whole rows into shards in one shuffle; adds ``shard`` and ``slot``. The keys should tell rows apart."""
+    df = apart(df, ["shard", "slot"])
     n = df.count()
     return _placed(gapless(df, [], keys, bucket_count(n)), n, shards, seed)
 
 
+def _part_number(path: str) -> int:
+    found = re.search(r"/part-([0-9]+)[^/]*$", path)
+    return int(found[1]) if found else -1
+
+
+def shard_in_order(df: DataFrame, shards: int = SHARDS, seed: int = SEED, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Put rows into shards by their place in the Parquet files they are read from, without a shuffle; adds ``shard`` and ``slot``.
+
+    A row's number is that of the rows in earlier files (by the writer's part number, then name) and earlier in its own.
+    The driver holds one count of each file. A table that isn't whole files, such as a filtered one, has no such numbers:
+    its rows are numbered by the hashes of id and text, in one shuffle.
+    """
+    sizes = []
+    if df.inputFiles():
+        at = df.metadataColumn("_metadata")
+        places = df.select(at["file_path"].alias("file"), at["row_index"].alias("row"))
+        sizes = places.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.max("row").alias("last")).collect()
+    if not sizes or any(r["rows"] != r["last"] + 1 for r in sizes):
+        t = F.coalesce(F.col(text), F.lit(""))
+        own = apart(df, ["shard", "slot"]).withColumns({"__crc": F.crc32(t.cast("binary")), "__hash": F.xxhash64(t)})
+        return shard_rows(own, [id_column, "__crc", "__hash"], shards, seed).drop("__crc", "__hash")
+    starts, n = [], 0
+    for r in sorted(sizes, key=lambda r: (_part_number(r["file"]), r["file"])):
+        starts.append((r["file"], n))
+        n += r["rows"]
+    first = small_side(df.sparkSession.createDataFrame(starts, "__file string, __start long"))
+    own = apart(df.select("*", at["file_path"].alias("__file"), at["row_index"].alias("__row")), ["shard", "slot"])
+    return _placed(own.join(first, "__file").withColumn(NUMBER, F.col("__start") + F.col("__row")).drop("__start", "__row", "__file"), n, shards, seed)
+
+
 def shard_digests(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """As ``shard_rows`` for narrow rows, any of which may repeat without bound: equal rows are counted
     before the shuffle, numbered as one run and dealt out again in pieces of PIECE rows."""
@@ -114,9 +148,9 @@ def shard_digests(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Data
     runs = gapless(distinct, [], columns, bucket_count(n), weight="_copies")
     if most > PIECE:
         runs = runs.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.expr(f"(_copies - 1) div {PIECE}")))).repartition(*columns, "_piece")
-        runs = runs.withColumn("number", F.col("number") + F.col("_piece") * PIECE).withColumn("_copies", F.least(F.lit(PIECE), F.col("_copies") - F.col("_piece") * PIECE)).drop("_piece")
+        runs = runs.withColumn(NUMBER, F.col(NUMBER) + F.col("_piece") * PIECE).withColumn("_copies", F.least(F.lit(PIECE), F.col("_copies") - F.col("_piece") * PIECE)).drop("_piece")
     if most > 1:
-        runs = runs.withColumn("number", F.explode(F.sequence("number", F.col("number") + F.col("_copies") - 1)))
+        runs = runs.withColumn(NUMBER, F.explode(F.sequence(NUMBER, F.col(NUMBER) + F.col("_copies") - 1)))
     return _placed(runs.drop("_copies"), n, shards, seed)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 10_000, size: str = "2m") -> None:
-    """Bound what a Python worker gets at once: by bytes, so that long texts come few at a time and narrow rows many."""
+    """Bound what a Python worker gets at once: by bytes, so that long texts come few at a time and narrow rows many.
+
+    Spark reads these settings when a query is planned, so they stay set for the session: operators call this before
+    their first Python stage, training included.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
@@ -49,38 +54,79 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def apart(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with columns renamed that an operator's own columns would clash with.
+
+    A column named like one of ``names``, in any case, gets ``_input`` added until its name is free; so nothing is
+    lost and the operator's columns have their documented names.
+    """
+    taken = {n.lower() for n in names}
+    others = {c.lower() for c in df.columns if c.lower() not in taken}
+    out = []
+    for c in df.columns:
+        new = c
+        if c.lower() in taken:
+            while new.lower() in taken or new.lower() in others:
+                new += "_input"
+            others.add(new.lower())
+        out.append(new)
+    return df.toDF(*out) if out != df.columns else df
+
+
 def bucket_count(rows: int, rows_each: int = 2000, least: int = 64, most: int = 65536) -> int:
-    """Buckets for a numbering: as many as the rows ask for, so that no bucket grows with the input."""
+    """Buckets for a numbering: as many as the rows ask for. Beyond 131 million rows there are ``most`` buckets, whose
+    rows are then sorted by a task each, spilling as any sort does: 10 ** 10 rows make buckets of 150,000."""
     return max(least, min(most, -(-rows // rows_each)))
 
 
-def gapless(df: DataFrame, group: list[str], keys: list[str], buckets: int, weight: str | None = None) -> DataFrame:
-    """Add ``number``: rows of each group from 0 without gaps, in the order of (bucket, keys).
+#: Columns that ``gapless`` works with; its input must not have them (see ``apart``).
+BUCKET, START, RANK, MANY, NUMBER = "__bucket", "__start", "__rank", "__many", "__number"
+
+
+def bucket_starts(rows: DataFrame, group: list[str], many) -> DataFrame:
+    """(group, bucket, start, size) of rows with a bucket: how many rows of the group lie in earlier buckets."""
+    sizes = rows.groupBy(*group, BUCKET).agg(many.alias(MANY))
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn(START, F.coalesce(F.sum(MANY).over(before), F.lit(0)))
+
+
+def gapless(df: DataFrame, group: list[str], keys: list[str], buckets: int, weight: str | None = None, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Add NUMBER: rows of each group from 0 without gaps, in the order of (bucket, keys).
 
     A bucket is a hash of the keys, so a group that holds a third of all rows is spread over all
     buckets. Each bucket is ranked on its own; the offsets of the buckets come from a small count
     table. Rows with equal keys stand next to each other in no set order. With ``weight`` a row
-    stands for so many equal rows and ``number`` is the first of theirs.
+    stands for so many equal rows and NUMBER is the first of theirs. ``more`` may add columns to the table
+    (group, BUCKET, START, MANY) of buckets, which then come with each row without another shuffle of it.
     """
-    rows = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    many = F.sum(weight) if weight else F.count(F.lit(1))
-    by = [*group, "_bucket"]
-    sizes = rows.groupBy(*by).agg(many.alias("_many"))
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*by, F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_start"))
+    rows = df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    by = [*group, BUCKET]
+    starts = bucket_starts(rows, group, F.sum(weight) if weight else F.count(F.lit(1)))
+    starts = (more(starts) if more else starts).drop(MANY)
     inside = Window.partitionBy(*by).orderBy(*keys)
     if weight:
         rank = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     else:
         rank = F.row_number().over(inside) - 1
-    ranked = rows.withColumn("_rank", rank)
-    return ranked.join(starts, by).withColumn("number", (F.col("_start") + F.col("_rank")).cast("long")).drop("_start", "_rank", "_bucket")
+    ranked = rows.withColumn(RANK, rank)
+    return ranked.join(starts, by).withColumn(NUMBER, (F.col(START) + F.col(RANK)).cast("long")).drop(START, RANK, BUCKET)
 
 
 def sample_rows(df: DataFrame, most: int, *columns: str) -> DataFrame:
-    """A bounded, repeatable sample: the rows with the smallest hashes of doc_id. Only ids are sorted."""
-    ids = df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return df.select("doc_id", *columns).join(F.broadcast(ids), "doc_id")
+    """A bounded, repeatable sample: the rows with the smallest hashes of doc_id.
+
+    A threshold on the hash that follows from the number of rows leaves some twice ``most`` ids to sort; where it
+    leaves too few, because ids repeat, all are sorted.
+    """
+    h = F.xxhash64("doc_id")
+    ids = df.select("doc_id").where("doc_id IS NOT NULL")
+    rows = ids.count()
+    some = ids.where(F.pmod(h, F.lit(1_000_003)) < int(1_000_003 * 2 * most / rows) + 1) if rows > 4 * most else ids
+    some = some.distinct()
+    if rows > 4 * most and some.limit(most).count() < most:
+        some = ids.distinct()
+    chosen = some.orderBy(F.pmod(h, F.lit(1_000_003)), h, "doc_id").limit(most)
+    return df.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id")
 
 
 def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:

@@ -19,9 +19,11 @@ decides. A pair at a similarity of 0.8 meets in a band with a chance of 0.9993.
 pairs; a larger band gets its texts' sets and gives a spanning forest of its exact links, so that at most one link a
 text leaves it, however many copies a text has.
 
-Defined results: a null or empty text has fingerprint zero, which links like any other; rows that
-repeat a doc_id are one document; an empty table gives an empty result; long texts are hashed in
-pieces of bounded size.
+Defined results: a null or empty text has fingerprint zero, which links like any other; rows link by
+their texts alone, so rows that repeat a doc_id with unlike texts may have two components (the id stands
+in both), and a null doc_id is never the smallest unless all of a group are null; ties don't arise, as
+the smallest id decides; an empty table gives an empty result; long texts are hashed in pieces of bounded
+size; extra columns of any name stay with their rows.
 """
 
 from __future__ import annotations
@@ -52,6 +54,8 @@ SCAN = 20_000
 
 #: Bands and minima of a band: at a similarity of 0.8 a pair meets in one with a chance of 1 - (1 - 0.8 ** 6) ** 24.
 BANDS, ROWS, SIMILAR = 24, 6, 0.8
+#: SQL that puts A-Z into lower case, as the fingerprints and bands do.
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: Minima of which two bits are kept, 32 to a word, and how many may differ: at a similarity of 0.8 they are 19 of 128
 #: with a deviation of 4, so that over three deviations are added before the exact test.
 SKETCH, SKETCH_APART = 128, 33
@@ -362,21 +366,21 @@ def met_in_bands(nodes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_met, "a long, b long, a_fp long, b_fp long, crowd long").distinct()
 
 
-def shingle_sets(names: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def shingle_sets(names: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(name, set) of the five-word shingles of the named nodes; no other texts are read into it."""
-    named = cut(names.join(nodes.select("name", "first"), "name"))
-    texts = docs.select("doc_id", "_text").join(small_side(named), docs["doc_id"].eqNullSafe(named["first"]))
-    sets = texts.select("name", F.expr(words_sql("_text")).alias("_words")).select("name", F.array_distinct(F.expr(hashes_sql("_words"))).alias("set"))
-    return cut(sets.dropDuplicates(["name"]))
+    named = cut(names.join(nodes.select("name", F.col("first.key").alias("key")), "name"))
+    own = texts.select("key", "_text").join(small_side(named), "key")
+    words = own.select("name", F.expr(words_sql("_text", LOWERED)).alias("_words"))
+    return cut(words.select("name", F.array_distinct(F.expr(hashes_sql("_words"))).alias("set")).dropDuplicates(["name"]))
 
 
-def similar_links(met: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def similar_links(met: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between the fingerprints of texts that met in a band and share 0.8 or more of their five-word shingles.
 
     A crowded band gives a spanning forest of its exact links, worked out where its rows and their sets stand.
     """
     pairs = met.where("crowd IS NULL").drop("crowd")
-    sets = shingle_sets(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), nodes, docs)
+    sets = shingle_sets(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), nodes, texts)
     one, two = (sets.select(F.col("name").alias(n), F.col("set").alias(f"{n}_set")) for n in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b").select("a_fp", "b_fp", F.size(F.array_intersect("a_set", "b_set")).alias("both"), (F.size("a_set") + F.size("b_set")).alias("all"))
     found = both.where(F.col("both") >= SIMILAR * (F.col("all") - F.col("both"))).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
@@ -384,7 +388,7 @@ def similar_links(met: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFram
     if not crowds.limit(1).count():
         return found
     crowded = cut(band_rows(nodes).join(small_side(crowds), "band"))
-    sets = shingle_sets(crowded.select("name").distinct(), nodes, docs)
+    sets = shingle_sets(crowded.select("name").distinct(), nodes, texts)
     whole = crowded.join(sets, "name").select(*crowded.columns, "set")
     forests = whole.repartition("band").sortWithinPartitions("band", "name").mapInArrow(_crowd_links, "a long, b long")
     return found.union(forests)
@@ -412,25 +416,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable.
-
-    With ``wide``, texts link by the similarity of their five-word shingles too.
-    """
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("_text"))
-    if wide:
-        made = F.pandas_udf(_fingerprints_and_bands, "fp long, name long, wide array<long>, bands array<long>")
-        marked = cut(own.select("doc_id", made("_text").alias("_f")).select("doc_id", "_f.*"))
-        # texts with one fingerprint may differ in their shingles: each set of shingles is a node of its own
-        variants = cut(marked.groupBy("fp", "name").agg(F.min("doc_id").alias("first"), F.first("wide").alias("wide"), F.first("bands").alias("bands")))
-        nodes = cut(variants.groupBy("fp").agg(F.min("first").alias("first")))
-        edges = links(nodes.select("fp")).union(similar_links(cut(met_in_bands(variants)), variants, own)).distinct()
-    else:
-        marked = cut(own.select("doc_id", fingerprint_column(F.col("_text")).alias("fp")))
-        nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-        edges = links(nodes.select("fp"))
-    roots = components(edges)
+    marked = cut(own.select("doc_id", fingerprint_column(F.col("_text")).alias("fp")))
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(nodes.select("fp")))
     lowest = roots.join(nodes, roots.node == nodes.fp).groupBy("root").agg(F.min("first").alias("lowest"))
     moved = roots.join(lowest, "root").select(F.col("node").alias("fp"), "lowest")
     # stored, so that both sides of the last join are dealt anew and a fingerprint with many rows can be split
@@ -444,11 +436,34 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """Documents with one row kept of each group of near-duplicates, wide links included: that of the smallest doc_id."""
-    found = near_duplicates(docs, wide=True)
-    firsts = cut(found.where("doc_id <=> component_id").select("doc_id", "component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
-    kept = docs.join(firsts.select("doc_id"), docs["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi")
-    if firsts.where("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+def _text_key(text: str):
+    """A 128-bit name of a text, null as empty: two 64-bit hashes of it."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return F.struct(F.xxhash64(t).alias("h"), F.xxhash64(F.lit(SEED), t, F.lit(SEED)).alias("g"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents with one row kept of each group of near-duplicates: by 2 bits, and by shingles that agree by SIMILAR.
+
+    Groups are of texts, so ids may be null or repeat. The row that stays has the smallest id of its group (a null one
+    only where all are null), of equal ids the smallest hash of its text; of rows equal in both any one.
+    """
+    small_batches(docs.sparkSession)
+    made = F.pandas_udf(_fingerprints_and_bands, "fp long, name long, wide array<long>, bands array<long>")
+    marked = cut(docs.select(F.col(id_column).alias("doc_id"), _text_key(text).alias("key"), made(F.col(text)).alias("_f")).select("doc_id", "key", "_f.*"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    # texts with one fingerprint may differ in their shingles: each set of shingles is a node of its own
+    variants = cut(marked.groupBy("fp", "name").agg(least, F.first("wide").alias("wide"), F.first("bands").alias("bands")))
+    nodes = cut(variants.groupBy("fp").agg(F.min("first").alias("first")))
+    texts = docs.select(_text_key(text).alias("key"), F.col(text).alias("_text"))
+    edges = links(nodes.select("fp")).union(similar_links(cut(met_in_bands(variants)), variants, texts)).distinct()
+    roots = components(edges)
+    groups = nodes.join(roots, nodes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    firsts = cut(groups.select("first.doc_id", "first.key"))
+    repeated = marked.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    twice = repeated.join(firsts, repeated["doc_id"].eqNullSafe(firsts["doc_id"]) & (repeated["key"] == firsts["key"]), "left_semi").limit(1).count()
+    held = docs.select(F.struct("*").alias("__row"), F.col(id_column).alias("__id"), _text_key(text).alias("__key"))
+    kept = held.join(firsts, held["__id"].eqNullSafe(firsts["doc_id"]) & (held["__key"] == firsts["key"]), "left_semi")
+    if twice:
+        kept = kept.dropDuplicates(["__id", "__key"])
+    return kept.select("__row.*")

@@ -81,8 +81,17 @@ def test_odd_rows(odd, none):
     assert {r.doc_id for r in zero} == {0, 1, 2} and {r.component_id for r in zero} == {0}
     assert {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
     assert simhash.digest(none).count() == 0
-    kept = [r.doc_id for r in simhash.one_of_each(odd).collect()]
-    assert len(kept) == len(set(kept)) and 4 in kept and 5 not in kept and None in kept
+    kept = simhash.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 0, 3, 4, 6, 7, 8, 9, 10]
+
+
+def test_rows_without_an_id_or_with_one_id_stay_apart(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (9, texts[2]), (9, texts[3]), (9, texts[2]), (None, texts[2]), (1, texts[4]), (1, texts[3]), (2, texts[4]), (None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in simhash.one_of_each(df).collect()), key=str)
+    assert kept == sorted([(True, 0, texts[0]), (True, 0, texts[1]), (False, 9, texts[2]), (False, 1, texts[3]), (False, 1, texts[4]), (False, 7, "")], key=str)
 
 
 def test_edited_copies_leave_with_their_group(spark):
