@@ -1,24 +1,20 @@
-"""The corpus pipeline: quality rules, near-dedup, decontamination, mixing and sharding of documents."""
+"""The corpus pipeline: quality rules, near-dedup, decontamination, mixing and sharding of documents.
+
+Each stage takes and returns whole rows of ``documents``. Defined results: null and empty texts fail the quality rules;
+null ids, repeated rows and rows that share an id are documents of their own until their texts are near-duplicates, of
+which one stays; empty tables give empty results; extra columns stay with their rows, and in the last stage one named
+``shard`` or ``slot`` gets ``_input`` added to its name.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillgrid.llm import decontaminate, mixing, quality, sharding, simhash
 from quillgrid.llm.shared import shared_folder, table
 
-#: Rows of a part file of the mixed corpus.
-PART_ROWS = 20_000
-_IDENTITY = ["doc_id", "_crc", "_hash"]
-
-
-def _with_identity(docs: DataFrame) -> DataFrame:
-    t = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("_crc", F.crc32(t.cast("binary"))).withColumn("_hash", F.xxhash64(t))
-
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules and trees."""
@@ -37,16 +33,12 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: part files, and rows within them, follow the schedule."""
-    rows = docs.count()
-    parts = max(1, -(-rows // PART_ROWS))
-    placed = mixing.mix(_with_identity(docs), keys=tuple(_IDENTITY))
-    ordered = placed.repartitionById(parts, F.expr(f"cast(position * {parts} div {max(1, rows)} AS int)")).sortWithinPartitions("position")
-    return ordered.select(*docs.columns)
+    return mixing.in_mixed_order(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot."""
-    return sharding.shard_rows(_with_identity(docs), _IDENTITY).drop("_crc", "_hash")
+    """All documents with their shard and slot, dealt from their positions in the mix, which the part files keep."""
+    return sharding.shard_in_order(docs)
 
 
 STAGES = [
@@ -62,10 +54,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written to the shared folder and read again."""
+    """The stages applied to ``documents``, each written to the shared folder and read again.
+
+    A stage's folder goes when the next one is written; that of the last but one stays, as the result is read from it.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
@@ -73,4 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{i}-{name}"
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            _delete(spark, before)
+        before = path
     return docs
