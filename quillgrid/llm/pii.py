@@ -2,32 +2,37 @@
 
 Base spans follow the patterns exactly (leftmost, non-overlapping for each kind, failing matches dropped).
 Where a stretch of number-like or address-like chunks holds more than the base spans explain, a semi-Markov
-CRF reads the stretch: features of whole candidate spans (shape, digit counts, check digit, octet range,
-neighbours) score (span, kind), and dynamic programming over spans of bounded length chooses boundaries and
-kinds jointly. The field is trained here by conditional likelihood on generated stretches. Its spans are
-added where they overlap no base span.
+CRF reads the whole stretch, however long: features of whole candidate spans (shape, digit counts, check digit,
+octet range, neighbours) score (span, kind), and dynamic programming over spans of at most LONGEST tokens chooses
+boundaries and kinds jointly. A candidate holds one @, or no letter and either 7 to 19 digits or three dots. The
+field is trained here by conditional likelihood on generated stretches. Its spans are added where they overlap no base
+span.
 
 Defined results: a null or empty text has no spans (the digest is that of an empty string); offsets are code
-points, the end exclusive; rows that repeat get equal results; patterns and stretches cost linear time in
-the text; an empty table gives an empty result.
+points, the end exclusive; rows that repeat get equal results; of equally good segmentations the first found counts;
+patterns and stretches cost linear time in the text; an empty table gives an empty result; input columns that are named
+like an added one get ``_input`` added to their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import deque
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.shared import small_batches
+from quillgrid.llm.shared import apart, small_batches
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Most tokens of an entity, and most tokens of a stretch that is read at once.
-LONGEST, STRETCH = 16, 400
+#: Most tokens of an entity, and least and most digits of one without an @ or three dots.
+LONGEST, LEAST_DIGITS, MOST_DIGITS = 16, 7, 19
 EXAMPLES, EPOCHS, RATE, PENALTY = 160, 25, 0.5, 1e-3
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -36,9 +41,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TELLING = re.compile(r"[0-9@]")
-_STRETCH = re.compile(r"[^\s]*[0-9@][^\s]*(?:\x20[^\s]*[0-9@(+][^\s]*)*")
+#: Words with a digit or @, and those after them by one space that may go on with them; starts at words alone, for linear time.
+_STRETCH = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@(+]*+[0-9@(+]\S*+)*+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.DOTALL)
-_ALPHA = re.compile(r"[A-Za-z]")
 _OUTSIDE = re.compile(r"[0-9]{7}|@|[0-9](?:[ ().-]{1,2}[0-9]+){2}")
 
 
@@ -106,23 +111,54 @@ def span_features(text: str, start: int, end: int) -> list[float]:
     ]
 
 
+class Tokens:
+    """Tokens of a stretch, and how many digits, letters, @ and dots lie before each."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text = text
+        self.spans: list[tuple[int, int]] = []
+        self.before: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)]
+        digits = letters = ats = dots = 0
+        for m in _TOKEN.finditer(text, start, end):
+            c = text[m.start()]
+            if "0" <= c <= "9":
+                digits += m.end() - m.start()
+            elif c in "@.":
+                ats, dots = ats + (c == "@"), dots + (c == ".")
+            elif "a" <= c <= "z" or "A" <= c <= "Z":
+                letters += 1
+            self.spans.append(m.span())
+            self.before.append((digits, letters, ats, dots))
+
+    def starts(self, j: int) -> list[int]:
+        """First tokens of the candidate spans that end with token j."""
+        text, spans, before = self.text, self.spans, self.before
+        if not text[spans[j][0]].isalnum():
+            return []
+        low, (d, n, a, o) = max(0, j - LONGEST + 1), before[j + 1]
+        if d - before[low][0] < 4 and a == before[low][2]:
+            return []
+        out = []
+        for i in range(low, j + 1):
+            digits, letters, ats, dots = before[i]
+            if a - ats == 1 or n == letters and a == ats and (LEAST_DIGITS <= d - digits <= MOST_DIGITS or o - dots == 3 and d - digits >= 4):
+                first = text[spans[i][0]]
+                if first.isalnum() or first in "+(":
+                    out.append(i)
+        return out
+
+
 class Lattice:
     """Candidate spans of a stretch: for each end token the starts with their features."""
 
     def __init__(self, text: str, start: int, end: int):
-        tokens = [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(text[start:end])]
-        self.n, self.tokens = len(tokens), tokens
+        tokens = Tokens(text, start, end)
+        self.tokens, self.n = tokens.spans, len(tokens.spans)
         self.starts: list[np.ndarray] = []
         self.x: list[np.ndarray] = []
         for j in range(self.n):
-            own, x = [], []
-            last = text[tokens[j][0]]
-            if last.isalnum():
-                for i in range(max(0, j - LONGEST + 1), j + 1):
-                    first, s = text[tokens[i][0]], text[tokens[i][0] : tokens[j][1]]
-                    if (first.isalnum() or first in "+(") and ("@" in s or sum("0" <= c <= "9" for c in s) >= 4 and not _ALPHA.search(s)):
-                        own.append(i)
-                        x.append(span_features(text, tokens[i][0], tokens[j][1]))
+            own = tokens.starts(j)
+            x = [span_features(text, self.tokens[i][0], self.tokens[j][1]) for i in own]
             self.starts.append(np.array(own, dtype=np.int64))
             self.x.append(np.array(x, dtype=float).reshape(len(own), -1) if own else np.zeros((0, WIDTH)))
 
@@ -179,30 +215,39 @@ def likelihood(lat: Lattice, w: np.ndarray, t: np.ndarray, gold: list[tuple[int,
     return value, gw, gt
 
 
-def decode(lat: Lattice, w: np.ndarray, t: np.ndarray) -> list[tuple[int, int, int]]:
-    """Best spans (first token, last token, type) by dynamic programming."""
-    best = np.full((lat.n + 1, TYPES), -np.inf)
-    best[0, 0] = 0.0
-    back: dict[tuple[int, int], tuple[int, int]] = {}
-    for j in range(lat.n):
-        out = best[j] + t[:, 0]
-        back[j + 1, 0] = (j, int(out.argmax()))
-        best[j + 1, 0] = out.max()
-        if len(s := lat.starts[j]):
-            into = best[s][:, :, None] + t[None, :, 1:]
-            score = into.max(axis=1) + lat.x[j] @ w
-            at = score.argmax(axis=0)
-            for y in range(1, TYPES):
-                k = int(at[y - 1])
-                best[j + 1, y] = score[k, y - 1]
-                back[j + 1, y] = (int(s[k]), int(into[k, :, y - 1].argmax()))
-    spans, j, y = [], lat.n, int(best[lat.n].argmax())
+def decode(text: str, start: int, end: int, w: np.ndarray, t: np.ndarray) -> list[tuple[int, int, int]]:
+    """Best spans (start, end, type) of a stretch by dynamic programming; only the way back is kept of tokens read."""
+    tokens = Tokens(text, start, end)
+    spans, moves = tokens.spans, t.tolist()
+    never = float("-inf")
+    kinds = range(1, TYPES)
+    best = deque([[0.0] + [never] * (TYPES - 1)], maxlen=LONGEST)  # of the last token boundaries, the newest last
+    back: list[tuple[int, list[tuple[int, int]] | None]] = []
+    for j in range(len(spans)):
+        now = best[-1]
+        was = max(range(TYPES), key=lambda y: now[y] + moves[y][0])
+        new, ways = [now[was] + moves[was][0]] + [never] * (TYPES - 1), None
+        if own := tokens.starts(j):
+            scores = (np.array([span_features(text, spans[i][0], spans[j][1]) for i in own]) @ w).tolist()
+            ways = [(0, 0)] * (TYPES - 1)
+            for i, score in zip(own, scores, strict=True):
+                old = best[i - j - 1]
+                for y in kinds:
+                    z = max(range(TYPES), key=lambda x: old[x] + moves[x][y])
+                    if (value := old[z] + moves[z][y] + score[y - 1]) > new[y]:
+                        new[y], ways[y - 1] = value, (i, z)
+        best.append(new)
+        back.append((was, ways))
+    found, j, y = [], len(spans), max(range(TYPES), key=lambda x: best[-1][x])
     while j:
-        i, before = back[j, y]
+        was, ways = back[j - 1]
         if y:
-            spans.append((i, j - 1, y))
-        j, y = i, before
-    return spans[::-1]
+            i, z = ways[y - 1]
+            found.append((spans[i][0], spans[j - 1][1], y))
+            j, y = i, z
+        else:
+            j, y = j - 1, was
+    return found[::-1]
 
 
 def examples(seed: int = 5, many: int = EXAMPLES) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -229,7 +274,7 @@ def examples(seed: int = 5, many: int = EXAMPLES) -> list[tuple[str, list[tuple[
         lambda: ("card", card()),
         lambda: ("phone", phone()),
     ]
-    noise = [lambda: digits(r(1, 8)), lambda: f"{digits(r(1, 3))}.{digits(2)}", lambda: f"20{digits(2)}-0{r(1, 9)}-1{r(0, 9)}", lambda: f"v{r(0, 9)}.{r(0, 9)}.{r(0, 9)}", lambda: card(False), lambda: digits(r(17, 26)), lambda: f"{r(300, 999)}.{r(0, 255)}.{r(256, 999)}.{r(0, 9)}", lambda: f"{r(1, 12)}:{digits(2)}", lambda: word() + digits(4), lambda: word() + "=" + "".join(pick("0123456789abcdef") for _ in range(r(16, 40))), lambda: "".join(pick("0123456789abcdef") for _ in range(40)), lambda: f"@{word()}{digits(2)}"]
+    noise = [lambda: digits(r(1, 8)), lambda: f"{digits(r(1, 3))}.{digits(2)}", lambda: f"20{digits(2)}-0{r(1, 9)}-1{r(0, 9)}", lambda: f"v{r(0, 9)}.{r(0, 9)}.{r(0, 9)}", lambda: card(False), lambda: digits(r(17, 26)), lambda: f"{r(300, 999)}.{r(0, 255)}.{r(256, 999)}.{r(0, 9)}", lambda: f"{r(1, 12)}:{digits(2)}", lambda: word() + digits(4), lambda: word() + "=" + "".join(pick("0123456789abcdef") for _ in range(r(16, 40))), lambda: "".join(pick("0123456789abcdef") for _ in range(40)), lambda: f"@{word()}{digits(2)}", lambda: f"{word()}@{word()}"]
     out = []
     for _ in range(many):
         text, spans = "", []
@@ -278,27 +323,23 @@ def added_spans(text: str, base: list[tuple[str, int, int]], w: np.ndarray, t: n
     if not _OUTSIDE.search(text):
         return []
     out, taken = [], sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     at = 0
     for m in _STRETCH.finditer(text):
-        while at < len(taken) and taken[at][1] <= m.start():
+        while at < len(taken) and ends[at] <= m.start():
             at += 1
-        own, k = [], at
-        while k < len(taken) and taken[k][0] < m.end():
-            own.append(taken[k])
+        rest, p, k = [], m.start(), at
+        while k < len(taken) and starts[k] < m.end():
+            rest.append(text[p : max(p, starts[k])])
+            p = max(p, ends[k])
             k += 1
-        rest, p = [], m.start()
-        for a, b in own:
-            rest.append(text[p : max(p, a)])
-            p = max(p, b)
         rest.append(text[p : m.end()])
         if not any(_OUTSIDE.search(x) for x in rest):
             continue
-        for start in range(m.start(), m.end(), STRETCH):
-            lat = Lattice(text, start, min(m.end(), start + STRETCH))
-            for i, j, y in decode(lat, w, t):
-                a, b = lat.tokens[i][0], lat.tokens[j][1]
-                if not any(x < b and a < z for x, z in own):
-                    out.append((KINDS[y - 1], a, b))
+        for a, b, y in decode(text, m.start(), m.end(), w, t):
+            k = bisect_left(starts, b)
+            if not k or ends[k - 1] <= a:
+                out.append((KINDS[y - 1], a, b))
     return out
 
 
@@ -312,6 +353,7 @@ def find(text: str | None, w: np.ndarray, t: np.ndarray) -> tuple[list[tuple[str
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add arrays ``base`` and ``spans`` of (kind, start, end)."""
     small_batches(docs.sparkSession)
+    docs = apart(docs, ["base", "spans"])
     w, t = train()
 
     @F.pandas_udf("base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>")
@@ -320,7 +362,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
         return pd.DataFrame({"base": pd.Series([rows(b) for b, _ in found], dtype=object), "spans": pd.Series([rows(s) for _, s in found], dtype=object)})
 
-    return docs.withColumn("_f", scanned(F.col(text))).withColumn("base", F.col("_f.base")).withColumn("spans", F.col("_f.spans")).drop("_f")
+    return docs.withColumn("__f", scanned(F.col(text))).select(*docs.columns, F.col("__f.base").alias("base"), F.col("__f.spans").alias("spans"))
 
 
 def digest_of(spans: list[tuple[str, int, int]]) -> str:

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from quillgrid.llm import license, pii, secrets
 
 
@@ -43,6 +45,72 @@ def test_field_finds_generated_entities_and_splits_merged_ones():
     assert pii.added_spans("hash 4559894937c75946a5f11acdfb36bb72224148e6160f", [], w, t) == []
 
 
+def slow_decode(text, w, t):
+    """Scores of all segmentations of a stretch into candidates and single outside tokens; the best one's spans."""
+    lat = pii.Lattice(text, 0, len(text))
+    best = (float("-inf"), None)
+
+    def walk(j, before, score, spans):
+        nonlocal best
+        if j == lat.n:
+            best = max(best, (score, spans), key=lambda x: x[0])
+            return
+        walk(j + 1, 0, score + t[before, 0], spans)
+        for last in range(j, lat.n):
+            for k, i in enumerate(lat.starts[last]):
+                if i == j:
+                    for y in range(1, pii.TYPES):
+                        walk(last + 1, y, score + t[before, y] + float(lat.x[last][k] @ w[:, y - 1]), [*spans, (lat.tokens[j][0], lat.tokens[last][1], y)])
+
+    walk(0, 0, 0.0, [])
+    return best[1]
+
+
+def test_decoding_equals_all_segmentations():
+    import numpy as np
+
+    w, t = pii.train()
+    rng = np.random.default_rng(3)
+    texts = ["12 345 6789 12", "a@b.cc 1.2.3.4", "(269) 555-3296", "1.2.3.4.5 x@y", "+1 269 5553296"]
+    for text in texts:
+        for scale in (0, 1, 3):
+            ws, ts = w + scale * rng.normal(0, 1, w.shape), t + scale * rng.normal(0, 1, t.shape)
+            assert pii.decode(text, 0, len(text), ws, ts) == slow_decode(text, ws, ts)
+
+
+def test_an_entity_is_found_wherever_it_lies_in_a_long_stretch():
+    w, t = pii.train()
+    for n in range(0, 1000, 13):
+        before = " ".join(["12"] * (n // 3 + 1))[:n].strip()
+        text = f"{before} (269) 555-3296 " + " ".join(["7"] * 300)
+        at = text.index("(269)")
+        assert ("phone", at, at + 14) in pii.find(text, w, t)[1]
+    many = "(269) 555-3296 " * 500
+    assert [s for s in pii.find(many, w, t)[1] if s[0] == "phone"] == [("phone", 15 * i, 15 * i + 14) for i in range(500)]
+
+
+def test_long_texts_take_linear_time():
+    from time import perf_counter
+
+    w, t = pii.train()
+    for text in ("x@y.com " + "a" * 300_000, "a" * 300_000 + " 1234567", "1" * 300_000, "1 a" * 100_000):
+        began = perf_counter()
+        pii.find(text, w, t)
+        assert perf_counter() - began < 1
+
+
+def test_pii_columns_equal_a_plain_reading(docs):
+    w, t = pii.train()
+    rows = {r.doc_id: r for r in pii.digest(docs).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        base = plain_pii(r.text)
+        every = sorted(base + pii.added_spans(r.text, base, w, t), key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        got = rows[r.doc_id]
+        assert (got.n_email, got.n_ip, got.n_card, got.n_phone) == tuple(sum(k == n for k, _, _ in base) for n in pii.KINDS)
+        assert got.base_sha256 == pii.digest_of(base) and got.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in every)
+        assert all(x not in every[:i] for i, x in enumerate(every)) and set(base) <= set(every)
+
+
 def test_likelihood_gradient():
     import numpy as np
 
@@ -64,6 +132,8 @@ def test_pii_query(odd, none):
     rows = {r.doc_id: r for r in pii.digest(odd).collect()}
     assert rows[0].spans == rows[1].spans == "" and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert rows[10].spans == "email:9:16,ip:17:24" and rows[10].n_email == 1
+    clash = odd.withColumnsRenamed({"number": "base", "position": "_f"}).withColumn("spans", F.lit("kept"))
+    assert {(r.base_input, r._f, r.spans_input) for r in pii.scan(clash).collect()} == {(7, 7, "kept")}
     assert pii.digest(none).count() == 0
 
 
