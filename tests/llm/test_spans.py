@@ -172,13 +172,43 @@ def test_licences(odd, none, docs):
     for family, templates in license.TEMPLATES.items():
         for t in templates:
             assert model.classify(license.tokens(t))[0] == family, t
-    notices = {"Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit"}
-    wrong = 0
+    notices = {"Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit", "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl"}
     for r in docs.select("text").collect():
-        wrong += any(notices.get(r.text.split("\n")[i], f) != f for i, f, _ in model.scan(r.text))
-        found = {i for i, _, _ in model.scan(r.text)}
-        wrong += any(line in notices and i not in found for i, line in enumerate(r.text.split("\n")))
-    assert wrong == 0
+        assert [(i, f) for i, f, _ in model.scan(r.text)] == [(i, notices[line]) for i, line in enumerate(r.text.split("\n")) if line in notices]
     rows = {r.doc_id: r for r in license.digest(odd).collect()}
     assert rows[8].families == "mit" and rows[0].n_notices == 0 and rows[9].n_notices == 0
     assert license.digest(none).count() == 0
+    clash = odd.withColumnRenamed("number", "notices")
+    assert {r.notices_input for r in license.find_notices(clash, model).collect()} == {7}
+
+
+def test_licence_query_equals_plain_scans(docs):
+    model = license.train(docs)
+    rows = {r.doc_id: r for r in license.digest(docs).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        wanted = model.scan(r.text)
+        assert rows[r.doc_id].notices == ",".join(f"{i}:{f}" for i, f, _ in wanted) and rows[r.doc_id].families == ",".join(sorted({f for _, f, _ in wanted}))
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "apache": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+}
+
+
+def test_wrapped_notices_and_a_sample_full_of_licence_words(spark):
+    prose = ["The software shop gave permission for a release, and the public got a copy of the work.", "A license under the law is not the license of a driver; MIT students use this software."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(prose * 200)], "doc_id bigint, text string")
+    model = license.train(df)
+    for family, notice in WRAPPED.items():
+        for before, after in (("", ""), ("Plain words come first.\n\n", "\n\nand others last."), ("Some plain words stand above it.\n", "\nMore of them follow below it.")):
+            text = before + notice + after
+            assert {f for _, f, _ in model.scan(text)} == {family}, (family, model.scan(text))
+            first = before.count("\n")
+            assert all(first <= i <= first + notice.count("\n") for i, _, _ in model.scan(text))
+    for text, family in (("Released under the MIT License.", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache"), ("All rights\nreserved.", "proprietary")):
+        assert [f for _, f, _ in model.scan(text)] == [family]
+    assert all(model.scan(t) == [] for t in prose)
+    assert {f for _, f, _ in model.scan("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.")} == {"mit", "apache"}
