@@ -3,11 +3,13 @@
 A whole text becomes a normalised histogram of hashed byte n-grams of its letters. A one-versus-rest
 linear SVM picks the language family; within it one linear SVM for each pair of languages votes. Models
 are fitted with the squared hinge loss on a bounded sample of documents for each language, never on
-held-out ones.
+held-out ones. Every language that a usable label names can be predicted.
 
-Defined results: a null text or one without a letter is ``und`` with score 0; null labels teach nothing;
-without labels at all every text is ``und``; a language outside the family table is a family of its own;
-rows that repeat get equal results.
+Defined results: a null text or one without a letter (general category L) is ``und`` with score 0; null
+labels teach nothing; without labels at all every text is ``und``; a language outside the family table is
+a family of its own; equal votes go to the larger sum of margins, then to the first language by name;
+rows that repeat get equal results; whole texts of any length are counted; an empty table gives an empty
+result; an input column named ``lang_pred`` or ``score`` gets ``_input`` added to its name.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.shared import small_batches
+from quillgrid.llm.shared import apart, small_batches, small_side
 
 SIZE = 4096
-#: Most training documents of a language, and most languages (the most frequent ones).
-SAMPLE_EACH = 250
-MOST_LANGUAGES = 200
+#: Most training documents of a language, and of all together: with over 64 languages each has fewer, with thousands two.
+SAMPLE_EACH, SAMPLE = 250, 16_000
+#: Texts whose histograms are held at once.
+CHUNK = 512
 FOLDS, HELD_OUT = 5, 0
 PENALTY, STEPS, SLOPE = 1e-3, 150, 4.0
 
@@ -48,11 +51,15 @@ FAMILIES = {
 }
 
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _PRIMES = np.array([2654435761, 2246822519, 3266489917, 668265263], dtype=np.uint32)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character has the general category L."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def family_of(lang: str) -> str:
     return _FAMILY.get(re.split(r"[-_]", lang.lower())[0], f"only {lang}")
 
@@ -93,27 +100,35 @@ class Model:
     pairs: dict[str, list[tuple[int, int]]]
     pair_weights: dict[str, np.ndarray]
 
-    def predict(self, x: np.ndarray) -> tuple[str, float]:
-        x = np.append(x, np.float32(1))
-        margins = self.family_weights @ x
-        at = int(margins.argmax())
-        p = 1.0 if len(self.families) == 1 else _soft(margins)[at]
-        own = self.languages[self.families[at]]
-        if len(own) == 1:
-            return own[0], p
-        m = self.pair_weights[self.families[at]] @ x
-        votes, sums = np.zeros(len(own)), np.zeros(len(own))
-        for (i, j), v in zip(self.pairs[self.families[at]], m, strict=True):
-            votes[i if v >= 0 else j] += 1
-            sums[i] += v
-            sums[j] -= v
-        best = max(range(len(own)), key=lambda i: (votes[i], sums[i]))
-        return own[best], p * _soft(sums / (len(own) - 1))[best]
+    def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
+        """Language and score of each histogram."""
+        x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
+        margins = x @ self.family_weights.T
+        at = margins.argmax(axis=1)
+        sure = _soft(margins)[np.arange(len(x)), at] if len(self.families) > 1 else np.ones(len(x))
+        out: list[tuple[str, float]] = [("", 0.0)] * len(x)
+        for f in np.unique(at):
+            rows, own = np.flatnonzero(at == f), self.languages[self.families[f]]
+            if len(own) == 1:
+                names, p = np.zeros(len(rows), dtype=int), sure[rows]
+            else:
+                m = x[rows] @ self.pair_weights[self.families[f]].T
+                votes, sums = np.zeros((len(rows), len(own))), np.zeros((len(rows), len(own)))
+                for k, (i, j) in enumerate(self.pairs[self.families[f]]):
+                    votes[:, i] += m[:, k] >= 0
+                    votes[:, j] += m[:, k] < 0
+                    sums[:, i] += m[:, k]
+                    sums[:, j] -= m[:, k]
+                names = np.where(votes == votes.max(axis=1, keepdims=True), sums, -np.inf).argmax(axis=1)
+                p = sure[rows] * _soft(sums / (len(own) - 1))[np.arange(len(rows)), names]
+            for r, name, value in zip(rows, names, p, strict=True):
+                out[r] = (str(own[name]), round(float(min(1.0, max(0.0, value))), 4))  # rounded, as sums depend on the batch
+        return out
 
 
 def _soft(m: np.ndarray) -> np.ndarray:
-    e = np.exp(SLOPE * (m - m.max()))
-    return e / e.sum()
+    e = np.exp(SLOPE * (m - m.max(axis=1, keepdims=True)))
+    return e / e.sum(axis=1, keepdims=True)
 
 
 def fit(x: np.ndarray, langs: list[str]) -> Model | None:
@@ -136,51 +151,60 @@ def fold(doc_id="doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def training_rows(docs: DataFrame, each: int = SAMPLE_EACH) -> DataFrame:
-    """(text, lang) of at most ``each`` documents of a language, none held out.
+def training_rows(docs: DataFrame, each: int = SAMPLE_EACH, most: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, lang) of documents of each language, none held out: ``each``, or fewer where that makes over ``most``,
+    yet two at least.
 
     A hash threshold that follows from the language's count leaves a few hundred candidates of each
-    language wherever they lie, so no task ranks all rows of a common language.
+    language wherever they lie, so no task ranks all rows of a common language. The driver gets a count of each language.
     """
     usable = docs.where(F.col("lang").isNotNull() & (F.coalesce(fold(), F.lit(-1)) != HELD_OUT)).select("doc_id", "lang")
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2.0 * each / r["n"]))).otherwise(share)
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    each = max(2, min(each, most // max(1, counts.count())))
     h = F.xxhash64("doc_id")
-    some = usable.where((F.pmod(h, F.lit(1_000_003)) / 1_000_003) < share)
+    # at 40 expected candidates fewer than 2 are next to impossible
+    share = F.least(F.lit(1.0), F.lit(float(2 * each + 40)) / F.col("n"))
+    some = usable.join(small_side(counts), "lang").where((F.pmod(h, F.lit(1_000_003)) / 1_000_003) < share)
     ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))).where(F.col("_r") <= each)
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(ranked.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("doc_id", "text", "lang")
+    chosen = ranked.select("doc_id", "lang").distinct()
+    return docs.select("doc_id", "text", "lang").join(small_side(chosen), ["doc_id", "lang"])
 
 
 def _histograms(batches):
     for batch in batches:
-        rows = [(t, s) for t, s in zip(batch["text"], batch["lang"], strict=True) if t and _LETTER.search(t)]
+        rows = [(t, s) for t, s in zip(batch["text"], batch["lang"], strict=True) if has_letter(t)]
         if not rows:
             continue
         yield pd.DataFrame({"x": [histogram(t).tobytes() for t, _ in rows], "lang": [s for _, s in rows]})
 
 
 def train(docs: DataFrame) -> Model | None:
-    """Fit on the bounded sample; the driver gets ``SAMPLE_EACH`` histograms of a language."""
+    """Fit on the bounded sample; the driver gets a histogram of 16 KB of each of its documents, so some 260 MB at most."""
+    small_batches(docs.sparkSession)
     rows = training_rows(docs).mapInPandas(_histograms, "x binary, lang string").collect()
     rows = sorted((r["lang"], bytes(r["x"])) for r in rows)
     return fit(np.array([np.frombuffer(x, dtype=np.float32) for _, x in rows]).reshape(-1, SIZE), [s for s, _ in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Add a struct ``_l`` of lang_pred and score."""
+    """Add ``lang_pred`` and ``score``."""
     small_batches(docs.sparkSession)
+    docs = apart(docs, ["lang_pred", "score"])
 
     @F.pandas_udf("lang_pred string, score double")
     def identified(texts: pd.Series) -> pd.DataFrame:
-        out = [model.predict(histogram(t)) if model and t and _LETTER.search(t) else ("und", 0.0) for t in texts]
-        return pd.DataFrame({"lang_pred": [s for s, _ in out], "score": [float(min(1.0, max(0.0, p))) for _, p in out]})
+        out = [("und", 0.0)] * len(texts)
+        known = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
+        for at in range(0, len(known), CHUNK):
+            rows = known[at : at + CHUNK]
+            for i, found in zip(rows, model.predict(np.stack([histogram(texts.iat[i]) for i in rows])), strict=True):
+                out[i] = found
+        return pd.DataFrame({"lang_pred": [s for s, _ in out], "score": [p for _, p in out]})
 
-    return docs.withColumn("_l", identified(F.col(text)))
+    return docs.withColumn("__l", identified(F.col(text))).select(*docs.columns, F.col("__l.lang_pred").alias("lang_pred"), F.col("__l.score").alias("score"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The columns that the language query returns."""
     out = identify(docs.select("doc_id", "text"), train(docs))
-    return out.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), F.col("_l.lang_pred").alias("lang_pred"), F.col("_l.score").alias("score"))
+    return out.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -132,3 +132,15 @@ def sample_rows(df: DataFrame, most: int, *columns: str) -> DataFrame:
 def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most so many (narrow) rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def within(rows: DataFrame, binary: str, most: int) -> DataFrame:
+    """The rows of a bounded sample whose values of a binary column stay within ``most`` bytes together, by their hashes.
+
+    The rows are stored; only their hashes and lengths are ordered.
+    """
+    held = cut(rows.withColumn("__h", F.xxhash64(*rows.columns)))
+    sizes = held.groupBy("__h").agg(F.sum(F.octet_length(binary)).alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy("__h").rowsBetween(Window.unboundedPreceding, 0))
+    last = sizes.withColumn("__upto", upto).where(F.col("__upto") <= most).agg(F.max("__h")).first()[0]
+    return held.where(F.col("__h") <= last).drop("__h") if last is not None else held.drop("__h").limit(0)

@@ -72,6 +72,40 @@ def test_language_on_held_out(spark, odd, none):
     taught = language.training_rows(big)
     assert taught.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0).count() == 0
     assert max(r["count"] for r in taught.groupBy("lang").count().collect()) <= language.SAMPLE_EACH
+    model, wanted = language.train(big), {r.doc_id: r for r in rows}
+    for r in big.select("doc_id", "text").collect():
+        name, score = slow_language(model, r.text) if language.has_letter(r.text) else ("und", 0.0)
+        assert wanted[r.doc_id].lang_pred == name and abs(wanted[r.doc_id].score - score) < 2e-4
+
+
+def slow_language(model, text):
+    """Family by the largest margin, then one vote for each pair of its languages."""
+    x = np.append(language.histogram(text), np.float32(1))
+    margins = [float(w @ x) for w in model.family_weights]
+    family = margins.index(max(margins))
+    own = model.languages[model.families[family]]
+    soft = lambda values, at: 1 / sum(np.exp(language.SLOPE * (v - values[at])) for v in values)
+    score = soft(margins, family) if len(margins) > 1 else 1.0
+    if len(own) == 1:
+        return own[0], score
+    votes, sums = [0] * len(own), [0.0] * len(own)
+    for (i, j), w in zip(model.pairs[model.families[family]], model.pair_weights[model.families[family]], strict=True):
+        m = float(w @ x)
+        votes[i if m >= 0 else j] += 1
+        sums[i] += m
+        sums[j] -= m
+    best = max(range(len(own)), key=lambda i: (votes[i], sums[i]))
+    return own[best], score * soft([s / (len(own) - 1) for s in sums], best)
+
+
+def test_texts_without_a_letter_are_und_and_no_language_is_left_out(spark):
+    texts = ["²", "½ ① 12", "ª", "一", "ab", "٣", "_"]
+    langs = [(f"{chr(97 + i // 26)}{chr(97 + i % 26)}", f"w{i} " * 5 + f"{chr(97 + i // 26) * 5}{chr(97 + i % 26) * 5}") for i in range(230)]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)] + [(100 + 5 * i + k, t, s) for i, (s, t) in enumerate(langs) for k in range(5)], "doc_id bigint, text string, lang string")
+    assert {r.lang for r in language.training_rows(df).select("lang").distinct().collect()} == {s for s, _ in langs}
+    model = language.Model(["only aa"], np.zeros((1, language.SIZE + 1), dtype=np.float32), {"only aa": ["aa"]}, {"only aa": []}, {"only aa": np.zeros((0, language.SIZE + 1), dtype=np.float32)})
+    got = {r.doc_id: r.lang_pred for r in language.identify(df.where("doc_id < 100"), model).collect()}
+    assert [got[i] for i in range(len(texts))] == ["und", "und", "aa", "aa", "aa", "und", "und"]
 
 
 def test_toxicity_on_held_out(spark, odd, none, labels):
@@ -83,6 +117,34 @@ def test_toxicity_on_held_out(spark, odd, none, labels):
     assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.01 * len(rows)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert toxicity.digest(odd, labels).count() == odd.count() and toxicity.digest(none, labels).count() == 0
+    assert {r.score_input for r in toxicity.rate(odd, toxicity.train(odd, labels)).collect()} == {"y"}
+
+
+def test_scores_equal_the_sum_over_all_pairs():
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(60, rng.integers(1, 20), replace=False)).astype(np.int32) for _ in range(400)]
+    m = toxicity.fit(rows, np.array([float(3 in r or 5 in r and 7 in r) for r in rows]))
+    assert m.used.any()
+    for r in [*rows[:50], rows[0][:0]]:
+        raw = m.bias + sum(float(m.weights[i]) for i in r) + sum(float(m.factors[i].astype(float) @ m.factors[j].astype(float)) for k, i in enumerate(r) for j in r[:k])
+        assert abs(m.score(r) - 1 / (1 + np.exp(-raw))) < 1e-6
+    assert np.allclose(m.scores(rows), [m.score(r) for r in rows])
+
+
+def test_two_words_that_tell_nothing_alone_tell_by_their_pair():
+    a, b = toxicity.terms("alpha"), toxicity.terms("beta")
+    filler = [toxicity.terms(f"w{i}") for i in range(30)]
+    rng = np.random.default_rng(2)
+    rows, y = [], []
+    for _ in range(1200):
+        p, q = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(np.unique(np.concatenate([filler[rng.integers(30)], *([a] if p else []), *([b] if q else [])])))
+        y.append(float(p != q))
+    m, linear = toxicity.fit(rows, np.array(y)), toxicity.fit(rows, np.array(y), pairs=False)
+    cases = [(a, 1), (b, 1), (np.union1d(a, b), 0), (a[:0], 0)]
+    assert all((m.score(x) > 0.5) == wanted for x, wanted in cases)
+    right = [np.mean([(v > 0.5) == w for v, w in zip(k.scores(rows), y, strict=True)]) for k in (m, linear)]
+    assert right[0] > 0.98 and right[1] < 0.7
 
 
 def test_factorization_learns_pairs_that_single_terms_miss():
