@@ -9,8 +9,10 @@ values of each block and no window within the radius is missed. Pairs within the
 the exact weighted Jaccard similarity (shares of shingles with their repeats) of at least 0.8.
 
 Defined results: null or empty texts match nothing; items of under five words are one shingle and match
-that run of words; a document shorter than an item is one clipped window; rows that repeat a doc_id are
-one document; a null doc_id is a value like others; empty tables give an empty result.
+that run of words; a document shorter than an item is one clipped window; of windows with equal similarity
+the first counts, then the longer; ``matches`` has one row for each doc_id (a null one included) and item, and
+rows that repeat a doc_id share it; ``clean`` judges each row by its own id and text, so rows without an id or
+with one id stay or go alone; extra columns of any name stay with their rows; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -58,6 +60,24 @@ def simhash_sql(hashes: str) -> str:
     return f"aggregate(sequence(0, 63), 0L, (f, b) -> CASE WHEN 2 * size(filter({hashes}, h -> (shiftrightunsigned(h, b) & 1L) = 1L)) > size({hashes}) THEN f | shiftleft(1L, b) ELSE f END)"
 
 
+#: What tells rows apart: the id and a 128-bit name of the text.
+ROW = ["doc_id", "key"]
+#: Windows of a row that are gathered at once start in one stretch of so many words.
+NEAR_WORDS = 4096
+#: Most windows, and most rows with windows, that are broadcast; beyond, texts with windows are shuffled.
+FEW_WINDOWS, FEW_ROWS = 200_000, 1_000_000
+
+
+def text_key(text: str):
+    """A 128-bit name of a text, null as empty: two 64-bit hashes of it."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return F.struct(F.xxhash64(t).alias("h"), F.xxhash64(F.lit(42), t, F.lit(42)).alias("g"))
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return (a["key"] == b["_key"]) & a["doc_id"].eqNullSafe(b["_doc"])
+
+
 def items_of(benchmark: DataFrame) -> DataFrame:
     """Items with words, hashes, fingerprint and size; items without words go."""
     out = benchmark.select("item_id", F.expr(words_sql("text")).alias("words")).where("size(words) > 0")
@@ -66,10 +86,10 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Item-sized windows (doc_id, first, width) at the benchmark's shingles."""
+    """Item-sized windows (doc_id, key, first, width) of rows (doc_id, key, text) at the benchmark's shingles."""
     anchors = items.select("width", F.posexplode("hashes").alias("at", "h")).distinct()
-    shingles = docs.select("doc_id", F.expr(words_sql("text")).alias("_words")).select("doc_id", F.posexplode(F.expr(hashes_sql("_words"))).alias("pos", "h"))
-    met = shingles.join(small_side(anchors), "h").select("doc_id", (F.col("pos") - F.col("at")).alias("first"), "width")
+    shingles = docs.select(*ROW, F.expr(words_sql("text")).alias("_words")).select(*ROW, F.posexplode(F.expr(hashes_sql("_words"))).alias("pos", "h"))
+    met = shingles.join(small_side(anchors), "h").select(*ROW, (F.col("pos") - F.col("at")).alias("first"), "width")
     short = short_windows(docs, items)
     return met.union(short).distinct()
 
@@ -80,25 +100,32 @@ def short_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     short = items.where(F.col("width") < WORDS)
     starts = short.select(F.col("words")[0].alias("word"), "width").distinct()
     if not short.limit(1).count():
-        return docs.select("doc_id", F.lit(0).alias("first"), F.lit(0).alias("width")).limit(0)
-    words = docs.select("doc_id", F.posexplode(F.expr(words_sql("text"))).alias("first", "word"))
-    return words.join(small_side(starts), "word").select("doc_id", "first", "width")
+        return docs.select(*ROW, F.lit(0).alias("first"), F.lit(0).alias("width")).limit(0)
+    words = docs.select(*ROW, F.posexplode(F.expr(words_sql("text"))).alias("first", "word"))
+    return words.join(small_side(starts), "word").select(*ROW, "first", "width")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word, n_words) of the best window of each similar pair."""
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, key, item_id, similarity, first, width) of the similar windows of rows."""
+    docs = docs.select("doc_id", text_key("text").alias("key"), "text")
     # fingerprints are stored: filters on them would otherwise be pushed down and work them out again
     items = cut(items_of(benchmark).dropDuplicates(["item_id", "words"]))
     found = cut(windows(docs, items))
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "width")).alias("_windows")).withColumnRenamed("doc_id", "_doc")
-    by_doc = small_side(cut(by_doc), 100_000)
-    texts = docs.select("doc_id", "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", F.expr(words_sql("text")).alias("_words"), "_windows")
-    cuts = texts.select("doc_id", "_words", F.explode("_windows").alias("w"))
+    by_row = found.groupBy(*ROW, F.expr(f"floor(first / {NEAR_WORDS})").alias("_near")).agg(F.collect_list(F.struct("first", "width")).alias("_windows"))
+    by_row = by_row.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_windows")
+    if found.limit(FEW_WINDOWS + 1).count() <= FEW_WINDOWS:
+        by_row = F.broadcast(cut(by_row))
+    else:
+        by_row = cut(by_row)
+        rows = small_side(by_row.select("_doc", "_key").distinct(), FEW_ROWS)
+        docs = docs.join(rows, _same(docs, rows), "left_semi")
+    texts = docs.join(by_row, _same(docs, by_row)).select(*ROW, F.expr(words_sql("text")).alias("_words"), "_windows")
+    cuts = texts.select(*ROW, "_words", F.explode("_windows").alias("w"))
     inside = "slice(_words, greatest(w.first, 0) + 1, least(w.first + w.width, size(_words)) - greatest(w.first, 0))"
-    placed = cuts.where("least(w.first + w.width, size(_words)) > greatest(w.first, 0)").select("doc_id", F.col("w.first").alias("first"), F.col("w.width").alias("width"), F.expr(inside).alias("own"))
+    placed = cuts.where("least(w.first + w.width, size(_words)) > greatest(w.first, 0)").select(*ROW, F.col("w.first").alias("first"), F.col("w.width").alias("width"), F.expr(inside).alias("own"))
     marked = cut(placed.withColumn("_h", F.expr(hashes_sql("own"))).withColumn("own_fp", F.expr(simhash_sql("_h"))).drop("_h"))
     blocks = F.array(*(F.struct(F.lit(b).alias("b"), F.expr(f"shiftrightunsigned(own_fp, {b * BLOCK_BITS}) & 255L").alias("v")) for b in range(BLOCKS)))
-    probes = marked.withColumn("k", F.explode(blocks)).select("doc_id", "first", "width", "own", "own_fp", "k.b", "k.v")
+    probes = marked.withColumn("k", F.explode(blocks)).select(*ROW, "first", "width", "own", "own_fp", "k.b", "k.v")
     near = ", ".join(f"{x}L" for x in _NEAR)
     keys = F.array(*(F.struct(F.lit(b).alias("b"), F.expr(f"shiftrightunsigned(fp, {b * BLOCK_BITS}) & 255L").alias("v")) for b in range(BLOCKS)))
     index = items.withColumn("k", F.explode(keys)).withColumn("m", F.explode(F.expr(f"array({near})"))).select("item_id", "width", "fp", "k.b", F.expr("k.v ^ m").alias("v"))
@@ -109,12 +136,17 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = pairs.join(small_side(items.select("item_id", "words")), "item_id")
     bags = f"array(named_struct('x', {shingles_sql('own')}, 'y', {shingles_sql('words')}))"
     jaccard = f"transform(transform({bags}, s -> named_struct('n', size(array_intersect(s.x, s.y)), 'all', size(s.x) + size(s.y))), s -> s.n / (s.all - s.n))[0]"
-    scored = both.select("doc_id", "item_id", "first", "width", F.expr(jaccard).alias("similarity")).where(f"similarity >= {LEAST}")
+    return both.select(*ROW, "item_id", "first", "width", F.expr(jaccard).alias("similarity")).where(f"similarity >= {LEAST}")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, n_words) of the best window of each similar pair."""
     best = F.max(F.struct("similarity", (-F.col("first")).alias("back"), "width"))
-    return scored.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), F.greatest(-F.col("best.back"), F.lit(0)).alias("first_word"), F.col("best.width").alias("n_words"))
+    scored = _found(docs, benchmark).groupBy("doc_id", "item_id").agg(best.alias("best"))
+    return scored.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), F.greatest(-F.col("best.back"), F.lit(0)).alias("first_word"), F.col("best.width").alias("n_words"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents in which no benchmark item was found."""
-    bad = cut(matches(docs, benchmark).select(F.col("doc_id").alias("_doc")).distinct())
-    return docs.join(small_side(bad), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    """The rows in whose text no benchmark item was found."""
+    bad = small_side(cut(_found(docs, benchmark).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).distinct()), FEW_ROWS)
+    return docs.join(bad, (text_key("text") == bad["__key"]) & docs["doc_id"].eqNullSafe(bad["__doc"]), "left_anti")

@@ -9,8 +9,9 @@ grow and features in FALLING only lower it: a split against that is never taken,
 the two sides keep whole trees monotonic.
 
 Defined results: a null or empty text has no words and is rejected by the rules; without usable labels
-(none, or one class) the rules alone decide; rows that repeat get equal verdicts; lines and words of very
-long texts are counted in linear time.
+(none, or one class) the rules alone decide; rows that repeat get equal verdicts; of equally good splits the
+first feature and threshold count; lines and words of very long texts are counted in linear time; an empty
+table gives an empty result; extra columns of any name stay with their rows.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ FEATURES = ["log_words", "word_length", "symbols", "dup_lines", "repeats", "uppe
 RISING = {"log_words"}
 FALLING = {"symbols", "dup_lines", "repeats", "upper", "exclaims", "bare_words"}
 
+
 def measure(text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
     """The exact counts and the features of a whole text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -174,6 +176,7 @@ def _measured(batches):
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Trees | None:
     """Trees from at most ``most`` labelled rows, or None where labels are missing or of one class."""
+    small_batches(docs.sparkSession)
     rows = sampled(docs, labels, "quality", most).mapInPandas(_measured, "x array<double>, y int").collect()
     y = np.array([r.y for r in rows], dtype=float)
     if not len(y) or y.min() == y.max():
@@ -183,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Trees | Non
 
 
 def judge(docs: DataFrame, model: Trees | None, text: str = "text") -> DataFrame:
-    """Add a struct ``_q`` of the counts, base_failed, score and kept."""
+    """Add a struct ``__q`` of the counts, base_failed, score and kept."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
@@ -197,15 +200,15 @@ def judge(docs: DataFrame, model: Trees | None, text: str = "text") -> DataFrame
         out = pd.DataFrame(counts, columns=COUNTS)
         return out.assign(base_failed=failed, score=p, kept=~failed & (p >= KEEP_AT))
 
-    return docs.withColumn("_q", judged(F.col(text)))
+    return docs.withColumn("__q", judged(F.col(text)))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns that the quality query returns."""
     out = judge(docs.select("doc_id", "text"), train(docs, labels))
-    return out.select("doc_id", *(F.col(f"_q.{c}").alias(c) for c in [*COUNTS, "base_failed", "kept", "score"]))
+    return out.select("doc_id", *(F.col(f"__q.{c}").alias(c) for c in [*COUNTS, "base_failed", "kept", "score"]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass."""
-    return judge(docs, train(docs, labels)).where("_q.kept").drop("_q")
+    return judge(docs, train(docs, labels)).where("__q.kept").drop("__q")

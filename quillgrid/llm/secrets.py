@@ -2,13 +2,16 @@
 
 All of it runs on DataFrame functions. Base spans come from three patterns; their offsets follow from the
 lengths of the matches and of the pieces between them. The method adds spans: maximal tokens of key
-characters whose mean log-likelihood ratio per character pair, under a model of random strings against one
-of ordinary identifiers, exceeds a threshold. Both models are first-order chains over the key characters,
+characters (letters, digits and + / _ = -; a dot ends a token) of 20 characters or more, with a letter and a digit,
+whose mean log-likelihood ratio per character pair, under a model of random strings against one of ordinary
+identifiers, exceeds a threshold. Shorter tokens have too few pairs to tell and are left to the patterns. Both models are first-order chains over the key characters,
 trained on labelled samples: random strings are base secrets of a bounded sample of documents and generated
 keys in common encodings, ordinary ones are words of that sample and identifiers built from them.
 
 Defined results: a null or empty text has no spans (the digest is that of an empty string); rows that repeat get
-equal results; very long texts are scanned whole; an empty table gives an empty result.
+equal results; spans with one start stand in the order of the kinds; very long texts are scanned whole; an empty table
+gives an empty result; extra columns of any name stay with their rows, those named ``_base`` or ``_all`` with ``_input``
+added to their names.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.shared import sample_rows
+from quillgrid.llm.shared import apart, sample_rows
 
 #: kind, pattern, group whose length counts, least length; in the listed order.
 KINDS = [
@@ -66,7 +69,7 @@ def _matched(df: DataFrame, name: str, pattern: str, group: int) -> DataFrame:
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``_base``: the sorted base spans (s, rank, e, kind) of whole texts, in code points."""
+    """Add ``_base``: the sorted base spans (s, rank, e, kind) of whole texts, in code points; columns in INSIDE must be free."""
     out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     for rank, (kind, pattern, group, least) in enumerate(KINDS):
         out = _matched(out, f"_{kind}", pattern, group)
@@ -124,19 +127,26 @@ def score_sql(token: str, ratios: list[float]) -> str:
     return f"aggregate({codes}, named_struct('was', -1, 'sum', 0.0D), (a, c) -> named_struct('was', c, 'sum', a.sum + CASE WHEN a.was < 0 THEN 0.0D ELSE element_at({table}, a.was * {k} + c + 1) END), a -> a.sum / (length({token}) - 1))"
 
 
+#: Columns that a scan works with.
+INSIDE = ["_t", "_base", "_all", *(f"_{k}{x}" for k in ("assign", "access", "hex", "tok") for x in ("", "_hit", "_m", "_p", "_g"))]
+
+
 def scan(docs: DataFrame, text: str = "text", ratios: list[float] | None = None) -> DataFrame:
     """Add ``_base`` and ``_all``, sorted spans (s, rank, e, kind); added spans overlap no base span."""
     if ratios is None:
-        ratios = train(docs.withColumnRenamed(text, "text"))
+        ratios = train(docs.select("doc_id", F.col(text).alias("text")))
+    names, docs = docs.columns, docs.select("*", F.col(text).alias("__text"))
+    docs, text = apart(docs, INSIDE), "__text"
     out = _matched(base_spans(docs, text), "_tok", TOKEN, 0)
-    # \x2d\x2d: a token needs a letter and a digit, so words and numbers are not scored
+    # a token needs a letter and a digit, so words and numbers are not scored
     tokens = F.expr(_spans("_tok", len(KINDS), ADDED, 0, 1))
     out = out.withColumn("_tok", tokens)
     fits = f"x -> NOT exists(_base, b -> b.s < x.e AND x.s < b.e) AND substring(_t, x.s + 1, x.e - x.s) rlike '[0-9]' AND substring(_t, x.s + 1, x.e - x.s) rlike '[A-Za-z]'"
     out = out.withColumn("_tok", F.expr(f"transform(filter(_tok, {fits}), x -> named_struct('span', x, 'token', substring(_t, x.s + 1, x.e - x.s)))"))
     out = out.withColumn("_tok", F.expr(f"transform(filter(_tok, y -> {score_sql('y.token', ratios)} > {THRESHOLD}D), y -> y.span)"))
     out = out.withColumn("_all", F.array_sort(F.concat("_base", "_tok")))
-    return out.select(*docs.columns, "_base", "_all")
+    own = [F.col(now).alias(now if was.lower() in ("_base", "_all") else was) for was, now in zip(names, docs.columns, strict=False)]
+    return out.select(*own, "_base", "_all")
 
 
 def _joined(spans: str) -> str:

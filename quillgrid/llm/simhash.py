@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.decontaminate import hashes_sql, words_sql
+from quillgrid.llm.decontaminate import hashes_sql, text_key, words_sql
 from quillgrid.llm.shared import cut, small_batches, small_side
 
 WORDS = 3
@@ -436,12 +436,6 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _text_key(text: str):
-    """A 128-bit name of a text, null as empty: two 64-bit hashes of it."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return F.struct(F.xxhash64(t).alias("h"), F.xxhash64(F.lit(SEED), t, F.lit(SEED)).alias("g"))
-
-
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents with one row kept of each group of near-duplicates: by 2 bits, and by shingles that agree by SIMILAR.
 
@@ -450,19 +444,19 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     """
     small_batches(docs.sparkSession)
     made = F.pandas_udf(_fingerprints_and_bands, "fp long, name long, wide array<long>, bands array<long>")
-    marked = cut(docs.select(F.col(id_column).alias("doc_id"), _text_key(text).alias("key"), made(F.col(text)).alias("_f")).select("doc_id", "key", "_f.*"))
+    marked = cut(docs.select(F.col(id_column).alias("doc_id"), text_key(text).alias("key"), made(F.col(text)).alias("_f")).select("doc_id", "key", "_f.*"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     # texts with one fingerprint may differ in their shingles: each set of shingles is a node of its own
     variants = cut(marked.groupBy("fp", "name").agg(least, F.first("wide").alias("wide"), F.first("bands").alias("bands")))
     nodes = cut(variants.groupBy("fp").agg(F.min("first").alias("first")))
-    texts = docs.select(_text_key(text).alias("key"), F.col(text).alias("_text"))
+    texts = docs.select(text_key(text).alias("key"), F.col(text).alias("_text"))
     edges = links(nodes.select("fp")).union(similar_links(cut(met_in_bands(variants)), variants, texts)).distinct()
     roots = components(edges)
     groups = nodes.join(roots, nodes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     firsts = cut(groups.select("first.doc_id", "first.key"))
     repeated = marked.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     twice = repeated.join(firsts, repeated["doc_id"].eqNullSafe(firsts["doc_id"]) & (repeated["key"] == firsts["key"]), "left_semi").limit(1).count()
-    held = docs.select(F.struct("*").alias("__row"), F.col(id_column).alias("__id"), _text_key(text).alias("__key"))
+    held = docs.select(F.struct("*").alias("__row"), F.col(id_column).alias("__id"), text_key(text).alias("__key"))
     kept = held.join(firsts, held["__id"].eqNullSafe(firsts["doc_id"]) & (held["__key"] == firsts["key"]), "left_semi")
     if twice:
         kept = kept.dropDuplicates(["__id", "__key"])

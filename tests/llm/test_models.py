@@ -47,6 +47,26 @@ def test_trees_are_monotonic_and_flat_scoring_equals_a_walk():
     assert np.allclose(m.score(x[:50]), slow)
 
 
+def test_quality_columns_equal_brute_force(spark, docs, labels):
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    rows = {r.doc_id: r for r in quality.digest(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet")).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        counts, got = slow_counts(r.text), rows[r.doc_id]
+        assert tuple(got[c] for c in quality.COUNTS) == counts
+        failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+        score = 1 / (1 + np.exp(-model.score(np.array([quality.measure(r.text)[1]]))[0])) if model else 1.0
+        assert got.base_failed == failed and got.kept == (not failed and score >= 0.5) and abs(got.score - score) < 1e-9
+
+
+def test_verdicts_on_rows_that_the_trees_have_not_seen(spark):
+    big, real = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = quality.train(big, real.where(~held))
+    rows = quality.judge(big.select("doc_id", "text").join(real.where(held), "doc_id"), model).select("quality", "__q.*").collect()
+    good, bad = [r for r in rows if r.quality == 1 and not r.base_failed], [r for r in rows if r.quality == 0]
+    assert len(bad) > 50 and sum(r.kept for r in good) >= 0.97 * len(good) and sum(not r.kept for r in bad) >= 0.9 * len(bad)
+
+
 def test_quality_query(spark, docs, odd, none, labels):
     real = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -56,6 +76,7 @@ def test_quality_query(spark, docs, odd, none, labels):
     assert sum(r.kept for r in good) >= 0.97 * len(good) and sum(not r.kept for r in bad) >= 0.9 * len(bad)
     by = {r.doc_id: r for r in quality.digest(odd, labels).collect()}
     assert by[0].base_failed and not by[0].kept and by[0].n_words == 0 and by[3].base_failed
+    assert quality.keep_good(odd, labels).columns == odd.columns
     assert quality.digest(none, labels).count() == 0 and quality.digest(odd, labels.where("false")).count() == odd.count()
 
 
@@ -201,3 +222,27 @@ def test_leaks_odd_rows(spark, odd, none):
     assert decontaminate.matches(odd, bench).count() == 0 and decontaminate.matches(none, bench).count() == 0
     assert decontaminate.matches(odd, bench.where("false")).count() == 0
     assert decontaminate.clean(odd, bench).count() == odd.count()
+
+
+def test_rows_without_an_id_or_with_one_id_are_judged_alone(spark):
+    item = " ".join(f"t{i}" for i in range(50))
+    other = " ".join(f"u{i}" for i in range(60))
+    rows = [(None, item), (None, other), (5, f"x {item} y"), (5, other), (5, other), (6, None)]
+    df = spark.createDataFrame([(i, t, "kept", 1) for i, t in rows], "doc_id bigint, text string, _doc string, key int")
+    bench = spark.createDataFrame([(100, item)], "item_id bigint, text string")
+    left = decontaminate.clean(df, bench)
+    assert left.columns == df.columns
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in df.collect() if r.text is None or "t1 " not in r.text)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(df, bench).collect()} == {(None, 100), (5, 100)}
+
+
+def test_many_windows_of_a_row_and_of_a_table(spark, monkeypatch):
+    item = [f"t{i}" for i in range(30)]
+    texts = [(1, " ".join(item * 40)), (2, " ".join(["x", *item[2:], "y"] * 30)), (3, " ".join(item[:9] * 50))]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(100, " ".join(item)), (101, " ".join(item[:12]))], "item_id bigint, text string")
+    wanted = slow_matches(texts, [(r.item_id, r.text) for r in bench.collect()])
+    for few in (decontaminate.FEW_WINDOWS, 0):
+        monkeypatch.setattr(decontaminate, "FEW_WINDOWS", few)
+        monkeypatch.setattr(decontaminate, "NEAR_WORDS", 64)
+        assert {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(df, bench).collect()} == wanted
