@@ -1,19 +1,22 @@
 """The engine's commands over a work folder of tables.
 
-Each command reads and appends tables, so it can run again after a failure: events are keyed by document,
-phase and unit, batches are taken whole or not at all, and roles follow from the detected direction alone.
+Each command can run again after a failure: what an ingest takes is written to a partition named after its batches, so
+a repeated one replaces itself; of several answers to a unit the last counts; batches are taken whole or not at all, and
+roles follow from the detected direction alone.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.operators import batching, checks, glossary, jobs, provider, render_ooxml, rendering, responses, roles
+from quillgrid.functions import text as T
+from quillgrid.operators import batching, checks, glossary, jobs, package_checks, provider, render_ooxml, rendering, responses, roles
 from quillgrid.sources import ooxml
-from quillgrid.streaming.ingest import ITEMS, answered
+from quillgrid.streaming.ingest import answered
 
 PHASES = ("analysis", "translation", "review")
 
@@ -27,17 +30,15 @@ class Engine:
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
         """A table of the work folder; with a schema, an absent one is empty."""
-        from pyspark.errors import AnalysisException
-
         try:
             return self.spark.read.parquet(self._path(name))
-        except AnalysisException:
-            if schema is None:
+        except AnalysisException as e:
+            if schema is None or e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(self._path(name))
+    def _put(self, name: str, ingest: str, df: DataFrame) -> None:
+        df.withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{self._path(name)}/ingest={ingest}")
 
     def prepare(self, inputs: str) -> DataFrame:
         """Read Word and Excel packages; writes units and a manifest, which it returns. Other files are listed as rejected."""
@@ -68,69 +69,115 @@ class Engine:
         kind = dict(self.read("units").dtypes)["doc_id"]
         return self.read("events", f"doc_id {kind}, phase string, id string")
 
-    def next_batches(self, phase: str, limit: int = batching.LIMIT, chars: int = batching.CHARS) -> DataFrame:
-        """The open batch of each document whose gate for the phase is open."""
-        if phase not in PHASES or limit < 1 or chars < 1000:
-            raise ValueError("phase must be one of analysis, translation, review; limit at least 1; chars at least 1000")
+    def _open_units(self, phase: str) -> tuple[DataFrame, DataFrame, dict]:
+        """Units of documents whose gate for the phase is open, events of the phase, and what prompts need besides."""
+        if phase not in PHASES:
+            raise ValueError(f"phase must be one of {', '.join(PHASES)}")
         units, events = self.read("units"), self._events()
         gates = jobs.gates(jobs.progress(units, events))
         gate = {"analysis": F.lit(True), "translation": F.col("can_lock"), "review": F.col("can_review")}[phase]
         own = units.join(gates.where(gate).select("doc_id"), "doc_id", "left_semi")
-        return batching.next_batches(own, phase, events.where(F.col("phase") == phase), limit, chars)
+        more = {}
+        if phase != "analysis":
+            more["terms"] = self.read("glossary", "source string, target string, direction string, ord bigint")
+        if phase == "review":
+            more["targets"] = self.targets()
+        return own, events.where(F.col("phase") == phase), more
+
+    def next_batches(self, phase: str, limit: int = batching.LIMIT, chars: int = batching.CHARS) -> DataFrame:
+        """The open batch of each document whose gate for the phase is open; none when the phase is complete."""
+        if limit < 1 or chars < 1000:
+            raise ValueError("limit must be at least 1 and chars at least 1000")
+        own, done, more = self._open_units(phase)
+        return batching.next_batches(own, phase, done, limit, chars, **more)
+
+    def open_batches(self, phase: str, limit: int = batching.LIMIT, chars: int = batching.CHARS) -> DataFrame:
+        """All open batches of such documents, packed once."""
+        if limit < 1 or chars < 1000:
+            raise ValueError("limit must be at least 1 and chars at least 1000")
+        own, done, more = self._open_units(phase)
+        return batching.payloads(batching.pending(own, done), phase, limit, chars, **more)
 
     def ingest(self, phase: str, payloads: DataFrame, raw: DataFrame) -> DataFrame:
         """Take raw answers (doc_id, batch_no, content) to batches; returns the verdict on each batch."""
         units = self.read("units")
+        name = payloads.select(F.xxhash64("doc_id", "batch_no", "ids").alias("h")).agg(F.bit_xor("h"), F.count(F.lit(1))).first()
+        ingest = f"{phase}-{(name[0] or 0) & (1 << 64) - 1:016x}-{name[1]}"
         ids = payloads.select("doc_id", "batch_no", F.explode(F.split("ids", r"\|")).alias("id"))
         items = ids.join(units.select("doc_id", "id", "source_hash"), ["doc_id", "id"])
         got = answered(raw)
         if phase == "translation":
             verdicts = responses.verdicts(items, got)
-            self._append("translations", responses.accepted_translations(items, got))
+            self._put("translations", ingest, responses.accepted_translations(items, got))
         elif phase == "review":
             verdicts = responses.id_differences(items, got).withColumn("accepted", (F.col("missing") == "") & (F.col("extra") == ""))
-            rows = raw.select("doc_id", "batch_no", F.posexplode(F.from_json("content", ITEMS)["items"]).alias("item_pos", "i")).select("doc_id", "batch_no", "item_pos", "i.id", "i.status", "i.target")
-            self._append("corrections", responses.corrections(rows.join(verdicts.where("accepted"), ["doc_id", "batch_no"], "left_semi")))
+            self._put("corrections", ingest, responses.corrections(got.join(verdicts.where("accepted"), ["doc_id", "batch_no"], "left_semi")))
         else:
-            verdicts = raw.select("doc_id", "batch_no", F.from_json("content", "struct<terms:array<struct<source:string,target:string,direction:string,domain:string,confidence:string>>>").alias("a")).withColumn("accepted", F.col("a.terms").isNotNull())
+            parsed = F.from_json(T.extract_json("content"), f"struct<terms:array<{glossary.TERM}>>")
+            verdicts = raw.select("doc_id", "batch_no", parsed.alias("a")).withColumn("accepted", F.col("a.terms").isNotNull())
             terms = responses.terms_of(verdicts.where("accepted").select(F.xxhash64("doc_id", "batch_no").alias("ord"), F.col("a.terms").alias("terms")))
-            self._append("terms", terms.withColumn("src_rank", F.lit(1)))
+            self._put("terms", ingest, terms.withColumn("src_rank", F.lit(1)))
             verdicts = verdicts.select("doc_id", "batch_no", "accepted")
         good = items.join(verdicts.where("accepted"), ["doc_id", "batch_no"], "left_semi")
-        self._append("events", good.select("doc_id", F.lit(phase).alias("phase"), "id"))
+        self._put("events", ingest, good.select("doc_id", F.lit(phase).alias("phase"), "id"))
         return verdicts
 
-    def lock_glossary(self, supplied: DataFrame | None = None) -> DataFrame:
-        """Deduplicate supplied terms (source, target, ord) and found ones; documents must be analysed first."""
+    def lock_glossary(self, supplied: DataFrame | str | None = None) -> DataFrame:
+        """Deduplicate supplied terms (a table with source, target and ord, or a JSON file) and found ones; documents must be
+        analysed first. The glossary is stored in the order of its folded sources, and as a CSV file."""
         if jobs.gates(jobs.progress(self.read("units"), self._events())).where("NOT can_lock").limit(1).count():
             raise ValueError("every translatable unit must be analysed before the glossary is locked")
-        terms = self.read("terms", "ord bigint, pos int, source string, target string, direction string, domain string, confidence string, src_rank int")
-        terms = terms.select("source", "target", "src_rank", (F.struct("ord", "pos")).alias("ord"))
+        terms = self.read("terms", "ord bigint, pos int, source string, target string, direction string, domain string, confidence string, context_unit_ids array<string>, definition string, notes string, src_rank int")
+        place = F.struct(F.col("ord").cast("long").alias("ord"), F.col("pos").cast("int").alias("pos")).alias("ord")
+        terms = terms.select(*glossary.COLUMNS, "src_rank", place)
         if supplied is not None:
-            own = supplied.select("source", "target", F.lit(0).alias("src_rank"), F.struct(F.col("ord").cast("long").alias("ord"), F.lit(0).alias("pos")).alias("ord"))
-            terms = terms.unionByName(own)
-        glossary.deduped(terms).write.mode("overwrite").parquet(self._path("glossary"))
-        return self.read("glossary")
+            given = glossary.read_terms(self.spark, supplied) if isinstance(supplied, str) else supplied
+            lack = {c: F.lit(None).cast("array<string>" if c == "context_unit_ids" else "string") for c in glossary.COLUMNS if c not in given.columns}
+            terms = given.withColumns({**lack, "pos": F.lit(0), "src_rank": F.lit(0)}).select(*glossary.COLUMNS, "src_rank", place).unionByName(terms)
+        glossary.in_order(glossary.deduped(terms)).write.mode("overwrite").parquet(self._path("glossary"))
+        locked = self.read("glossary")
+        glossary.write_csv(locked, self._path("glossary.csv"))
+        return locked.orderBy("ord")
 
     def targets(self) -> DataFrame:
         kind = dict(self.read("units").dtypes)["doc_id"]
-        pair = f"doc_id {kind}, id string, target string"
-        return responses.effective_targets(self.read("translations", pair), self.read("corrections", pair))
+        pair = f"doc_id {kind}, id string, target string, at timestamp"
+        return responses.effective_targets(responses.latest(self.read("translations", pair)), responses.latest(self.read("corrections", pair)))
 
     def finalize(self) -> DataFrame:
-        """Render both outputs as rows, and packages where files were read; returns the checks of each document."""
-        units, targets = self.read("units"), self.targets()
+        """Render both outputs as rows, and packages where files were read; returns the checks of each document.
+
+        Packages are read again and checked; the result is stored as ``qa`` (and as JSON lines), with ``report`` and ``artefacts``.
+        """
+        units = self.read("units")
+        self.targets().write.mode("overwrite").parquet(self._path("targets"))
+        targets = self.read("targets")
         if units.where("translatable").join(targets, ["doc_id", "id"], "left_anti").limit(1).count():
             raise ValueError("some translatable units have no translation")
         rendering.bilingual_cells(units, targets).write.mode("overwrite").parquet(self._path("bilingual"))
         rendering.english_copy(units, targets).write.mode("overwrite").parquet(self._path("english"))
-        if units.where("part <> 'text'").limit(1).count():
-            files = self.read("files").where("error IS NULL")
-            placed = units.join(targets, ["doc_id", "id"]).select("doc_id", "part", "place", "text", "target", "bilingual_output", "english_output")
-            render_ooxml.rendered(files, placed.where("bilingual_output"), True).write.mode("overwrite").parquet(self._path("bilingual_files"))
-            copies = files.join(units.where("document_direction = 'zh-to-en'").select("doc_id").distinct(), "doc_id", "left_semi")
-            render_ooxml.rendered(copies, placed.where("english_output"), False).write.mode("overwrite").parquet(self._path("english_files"))
-        return checks.cells(units, targets, self.read("bilingual"))
+        if not units.where("part <> 'text'").limit(1).count():
+            return self._kept("qa", checks.cells(units, targets, self.read("bilingual")))
+        files = self.read("files").where("error IS NULL")
+        placed = units.join(targets, ["doc_id", "id"]).select("doc_id", "part", "place", "text", "target", "bilingual_output", "english_output")
+        two = self._kept("bilingual_files", render_ooxml.rendered(files, placed.where("bilingual_output"), True))
+        copies = files.join(units.where("document_direction = 'zh-to-en'").select("doc_id").distinct(), "doc_id", "left_semi")
+        one = self._kept("english_files", render_ooxml.rendered(copies, placed.where("english_output"), False))
+        qa = self._kept("qa", package_checks.packages(units, targets, files, two, one))
+        qa.write.mode("overwrite").json(self._path("qa.json"))
+        self._kept("report", package_checks.report(qa, files))
+        own = qa.join(files.select("doc_id", "path"), "doc_id")
+        self._kept("artefacts", own.select("doc_id", *(c.alias(n) for n, c in jobs.artefacts(F.col("path"), self._path("output"), F.col("english_required")).items())))
+        return qa
+
+    def _kept(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(self._path(name))
+        return self.read(name)
+
+    def export_units(self, path: str) -> None:
+        """Units as JSON lines, a document's in order."""
+        units = self.read("units")
+        units.repartition("doc_id").sortWithinPartitions("doc_id", "unit_ord").write.mode("overwrite").json(path)
 
     def validate(self) -> DataFrame:
         return jobs.completeness(self.read("units"), self._events())
@@ -138,15 +185,17 @@ class Engine:
     def progress(self) -> DataFrame:
         return jobs.progress(self.read("units"), self._events())
 
-    def run(self, model: provider.Provider, limit: int = batching.LIMIT, chars: int = batching.CHARS, supplied: DataFrame | None = None) -> DataFrame:
-        """All phases until no batch is open, then the outputs; finished phases are skipped, so it can be started again."""
+    def run(self, model: provider.Provider, limit: int = batching.LIMIT, chars: int = batching.CHARS, supplied: DataFrame | str | None = None) -> DataFrame:
+        """All phases until no batch is open, then the outputs; finished phases are skipped, so it can be started again.
+
+        A pass asks all open batches of a phase; batches that were rejected are packed again for the next.
+        """
         for phase in PHASES:
             if phase == "translation":
                 self.lock_glossary(supplied)
             while True:
                 path = self._path(f"answers/{phase}-{uuid.uuid4().hex}")
-                batches = self.next_batches(phase, limit, chars)
-                batches.write.parquet(path + "/payloads")
+                self.open_batches(phase, limit, chars).write.parquet(path + "/payloads")
                 payloads = self.spark.read.parquet(path + "/payloads")
                 if not payloads.limit(1).count():
                     break

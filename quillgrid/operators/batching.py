@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.operators import glossary
+
 LIMIT, CHARS = 8, 9000
 INSTRUCTIONS = {"analysis": "Find domain terms in every item before any translation.", "translation": "Translate exactly the listed items; keep numbers, names and units.", "review": "Compare each translation with its source and the glossary; correct only where needed."}
 
@@ -27,18 +29,30 @@ def packed(units: DataFrame, limit: int = LIMIT, chars: int = CHARS) -> DataFram
     return units.groupBy("doc_id").agg(F.expr(fold).alias("_o")).select("doc_id", F.explode("_o").alias("_u")).select("doc_id", "_u.*")
 
 
-def payloads(units: DataFrame, phase: str, limit: int = LIMIT, chars: int = CHARS) -> DataFrame:
-    """One row for each batch: its id, the ids in order and the items as JSON."""
+def payloads(units: DataFrame, phase: str, limit: int = LIMIT, chars: int = CHARS, targets: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """One row for each batch: its id, the ids in order and the items as JSON.
+
+    With ``targets`` (doc_id, id, target) each item carries its current translation, with ``terms`` (a glossary with
+    ``ord``) each batch the terms that matter to it, as JSON.
+    """
     own = packed(units, limit, chars).join(units, ["doc_id", "id", "unit_ord"])
-    item = F.struct("unit_ord", "id", "source_hash", "text", "normalized_text", "direction")
-    grouped = own.groupBy("doc_id", "batch_no").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    fields = ["unit_ord", "id", "source_hash", "text", "normalized_text", "direction"]
+    if targets is not None:
+        own, fields = own.join(targets, ["doc_id", "id"], "left"), [*fields, "target"]
+    grouped = own.groupBy("doc_id", "batch_no").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
     ids = F.array_join(F.transform("items", lambda x: x["id"]), "|")
-    return grouped.select(
+    out = grouped.select(
         "doc_id", "batch_no", F.lit(phase).alias("phase"), F.substring(F.sha2(F.concat(F.lit(phase + "|"), ids), 256), 1, 16).alias("batch_id"), ids.alias("ids"), F.size("items").cast("long").alias("n_items"),
-        F.lit(INSTRUCTIONS[phase]).alias("instructions"), F.to_json("items").alias("items"),
+        F.lit(INSTRUCTIONS[phase]).alias("instructions"), F.to_json("items").alias("items"), F.array_join(F.transform("items", lambda x: x["text"]), "\n").alias("_text"),
     )
+    if terms is None:
+        return out.drop("_text")
+    batch = F.struct("doc_id", "batch_no").alias("batch")
+    listed = glossary.for_batches(terms, out.select(batch, F.col("_text").alias("text")))
+    return out.join(listed.select("batch.*", "glossary"), ["doc_id", "batch_no"], "left").withColumn("glossary", F.coalesce("glossary", F.lit("[]"))).drop("_text")
 
 
-def next_batches(units: DataFrame, phase: str, done: DataFrame | None = None, limit: int = LIMIT, chars: int = CHARS) -> DataFrame:
+def next_batches(units: DataFrame, phase: str, done: DataFrame | None = None, limit: int = LIMIT, chars: int = CHARS, targets: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """The first open batch of each document."""
-    return payloads(pending(units, done), phase, limit, chars).where("batch_no = 0")
+    first = packed(pending(units, done), limit, chars).where("batch_no = 0").select("doc_id", "id")
+    return payloads(units.join(first, ["doc_id", "id"], "left_semi"), phase, limit, chars, targets, terms)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillgrid.functions import text as T
 
 
-def _ids(cond: Column) -> Column:
+def ids_where(cond: Column) -> Column:
+    """Ids of a group's rows that meet a condition, in order, joined by commas."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("unit_ord", "id")))), lambda x: x["id"]), ",")
 
 
@@ -25,8 +26,8 @@ def cells(units: DataFrame, targets: DataFrame, outputs: DataFrame) -> DataFrame
     gone = F.col("out_text").isNull()
     wanted = F.concat("text", F.lit("\n"), F.coalesce("target", F.lit("")))
     out = own.groupBy("doc_id").agg(
-        _ids(gone).alias("missing_original"), _ids(~gone & F.col("bilingual_output") & (F.col("out_text") != wanted)).alias("missing_translation"),
-        _ids(~gone & ~F.col("bilingual_output") & (F.col("out_text") != F.col("text"))).alias("changed_nontranslatable"),
+        ids_where(gone).alias("missing_original"), ids_where(~gone & F.col("bilingual_output") & (F.col("out_text") != wanted)).alias("missing_translation"),
+        ids_where(~gone & ~F.col("bilingual_output") & (F.col("out_text") != F.col("text"))).alias("changed_nontranslatable"),
     )
     return _verdict(out, "missing_original", "missing_translation", "changed_nontranslatable")
 
@@ -36,8 +37,8 @@ def english(units: DataFrame, targets: DataFrame, outputs: DataFrame) -> DataFra
     own = units.where("document_direction = 'zh-to-en'").join(targets, ["doc_id", "id"], "left").join(outputs.select("doc_id", "id", "out_text"), ["doc_id", "id"], "left")
     gone, swapped = F.col("out_text").isNull(), F.col("english_output") & F.col("target").isNotNull()
     out = own.groupBy("doc_id").agg(
-        _ids(gone).alias("missing_units"), _ids(~gone & swapped & (F.col("out_text") != F.col("target"))).alias("incorrect_replacements"), _ids(~gone & ~swapped & (F.col("out_text") != F.col("text"))).alias("changed_preserved"),
-        _ids(~gone & swapped & (T.cjk_count("target") > 0)).alias("residual_chinese_targets"),
+        ids_where(gone).alias("missing_units"), ids_where(~gone & swapped & (F.col("out_text") != F.col("target"))).alias("incorrect_replacements"), ids_where(~gone & ~swapped & (F.col("out_text") != F.col("text"))).alias("changed_preserved"),
+        ids_where(~gone & swapped & (T.cjk_count("target") > 0)).alias("residual_chinese_targets"),
     )
     return _verdict(out, "missing_units", "incorrect_replacements", "changed_preserved", "residual_chinese_targets")
 

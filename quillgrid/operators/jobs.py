@@ -17,6 +17,15 @@ def output_paths(path: Column, root: str) -> tuple[Column, Column]:
     return F.concat(folder, F.lit(".bilingual"), F.when(ext.isin(".xlsx", ".xlsm"), ext).otherwise(".docx")), F.concat(folder, F.lit(".qa.json"))
 
 
+def artefacts(path: Column, root: str, english: Column, flat: bool = False) -> dict[str, Column]:
+    """All outputs of an input by name; the English copy only where one is needed, in a folder of its own unless ``flat``."""
+    primary, qa = output_paths(path, root)
+    if flat:
+        primary, qa = (F.regexp_replace(x, "/[^/]*(/[^/]*)$", "$1") for x in (primary, qa))
+    base = F.regexp_replace(qa, r"\.qa\.json$", "")
+    return {"bilingual": primary, "english": F.when(english, F.concat(base, F.lit(".english"), F.regexp_extract(primary, r"(\.[^.]*)$", 1))), "glossary": F.concat(base, F.lit(".glossary.csv")), "report": F.concat(base, F.lit(".qa-report.md")), "qa": qa}
+
+
 def progress(units: DataFrame, events: DataFrame) -> DataFrame:
     """Distinct units done in each phase of a document; ``events`` is (doc_id, phase, id)."""
     total = units.groupBy("doc_id").agg(F.count_if("translatable").alias("total"))

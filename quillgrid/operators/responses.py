@@ -53,8 +53,19 @@ def effective_targets(translations: DataFrame, corrected: DataFrame) -> DataFram
 
 
 def terms_of(answers: DataFrame) -> DataFrame:
-    """Terms of analysis answers (ord, terms: array of structs) with defaults; those without source or target go."""
+    """Terms of analysis answers (ord, terms: array of structs) with defaults; those without source or target go.
+
+    Definition, units and notes come along where the structs have them.
+    """
     rows = answers.select("ord", F.posexplode("terms").alias("pos", "t"))
     out = rows.where((F.coalesce("t.source", F.lit("")) != "") & (F.coalesce("t.target", F.lit("")) != ""))
     default = lambda c, d: F.coalesce(f"t.{c}", F.lit(d)).alias(c)
-    return out.select("ord", "pos", F.trim("t.source").alias("source"), F.trim("t.target").alias("target"), default("direction", "auto"), default("domain", ""), default("confidence", "medium"))
+    have = rows.schema["t"].dataType.names
+    more = [F.coalesce("t.context_unit_ids", F.array().cast("array<string>")).alias("context_unit_ids")] if "context_unit_ids" in have else []
+    more += [default(c, "") for c in ("definition", "notes") if c in have]
+    return out.select("ord", "pos", F.trim("t.source").alias("source"), F.trim("t.target").alias("target"), default("direction", "auto"), default("domain", ""), default("confidence", "medium"), *more)
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """(doc_id, id, target) of rows (doc_id, id, target, at): what came last counts."""
+    return rows.groupBy("doc_id", "id").agg(F.max_by("target", "at").alias("target"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.operators import render_ooxml
-from quillgrid.operators import roles
+from quillgrid.operators import package_checks, render_ooxml, roles
+from quillgrid.plans.fixtures import units_src
 from quillgrid.plans.storage import stored
 from quillgrid.sources import ooxml
 
@@ -28,16 +30,19 @@ def word_package(lines: list[str]) -> bytes:
     return render_ooxml.zipped({"[Content_Types].xml": b"<Types/>", "word/document.xml": f"{_HEAD}<w:document xmlns:w='{W}'><w:body>{body}<w:sectPr/></w:body></w:document>".encode()})
 
 
+#: Parts of a workbook with one sheet.
+_BOOK = {
+    "xl/workbook.xml": f"{_HEAD}<workbook xmlns='{S}' xmlns:r='{R}'><sheets><sheet name='One' sheetId='1' r:id='rId1'/></sheets></workbook>",
+    "xl/_rels/workbook.xml.rels": f"{_HEAD}<Relationships xmlns='http://schemas.openxmlformats.org/package/2006/relationships'><Relationship Id='rId1' Target='worksheets/sheet1.xml'/></Relationships>",
+    "xl/styles.xml": f"{_HEAD}<styleSheet xmlns='{S}'><cellXfs count='1'><xf numFmtId='0'/></cellXfs></styleSheet>",
+}
+
+
 def excel_package(lines: list[str]) -> bytes:
     strings = "".join(f"<si><t xml:space='preserve'>{_clean(x)}</t></si>" for x in lines)
     rows = "".join(f"<row r='{i + 1}'><c r='A{i + 1}' t='s' s='0'><v>{i}</v></c></row>" for i in range(len(lines)))
-    members = {
-        "xl/workbook.xml": f"<workbook xmlns='{S}' xmlns:r='{R}'><sheets><sheet name='One' sheetId='1' r:id='rId1'/></sheets></workbook>",
-        "xl/_rels/workbook.xml.rels": "<Relationships xmlns='http://schemas.openxmlformats.org/package/2006/relationships'><Relationship Id='rId1' Target='worksheets/sheet1.xml'/></Relationships>",
-        "xl/sharedStrings.xml": f"<sst xmlns='{S}' uniqueCount='{len(lines)}'>{strings}</sst>", "xl/worksheets/sheet1.xml": f"<worksheet xmlns='{S}'><sheetData>{rows}</sheetData></worksheet>",
-        "xl/styles.xml": f"<styleSheet xmlns='{S}'><cellXfs count='1'><xf numFmtId='0'/></cellXfs></styleSheet>",
-    }
-    return render_ooxml.zipped({k: (_HEAD + v).encode() for k, v in members.items()})
+    own = {"xl/sharedStrings.xml": f"{_HEAD}<sst xmlns='{S}' uniqueCount='{len(lines)}'>{strings}</sst>", "xl/worksheets/sheet1.xml": f"{_HEAD}<worksheet xmlns='{S}'><sheetData>{rows}</sheetData></worksheet>"}
+    return render_ooxml.zipped({k: v.encode() for k, v in (_BOOK | own).items()})
 
 
 def made(docs: DataFrame) -> DataFrame:
@@ -52,6 +57,74 @@ def made(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(packed, "doc_id bigint, content binary")
 
 
+def lined(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, text): the lines of the unit source, some of them Chinese, as one text."""
+    lines = units_src(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("l"))
+    return lines.select("doc_id", F.array_join(F.transform("l", lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"))
+
+
+def shapes(docs: DataFrame) -> DataFrame:
+    """How many of each structure the package of a document gets."""
+    n = lambda k, c: F.expr(f"cast(CASE WHEN doc_id % 2 = {k} THEN {c} ELSE 0 END AS int)")
+    return docs.select(
+        "doc_id", n(0, "doc_id % 3").alias("media"), n(0, "doc_id % 5").alias("tables"), n(0, "1 + doc_id % 4").alias("sections"), n(1, "doc_id % 3").alias("merged"), n(1, "doc_id % 5").alias("validations"),
+        n(1, "doc_id % 4").alias("conditional_formats"), n(1, "doc_id % 7").alias("hyperlinks"), n(1, "doc_id % 9").alias("formulas"),
+    )
+
+
+def shaped(wanted: DataFrame) -> DataFrame:
+    """(doc_id, content): packages with so many tables, pictures, merged cells and so on."""
+
+    def packed(batches):
+        for batch in batches:
+            for r in batch.itertuples():
+                if r.doc_id % 2 == 0:
+                    body = "<w:tbl><w:tr><w:tc><w:p/></w:tc></w:tr></w:tbl>" * r.tables + "<w:p><w:pPr><w:sectPr/></w:pPr></w:p>" * (r.sections - 1) + "<w:sectPr/>"
+                    own = {"word/document.xml": f"{_HEAD}<w:document xmlns:w='{W}'><w:body>{body}</w:body></w:document>"} | {f"word/media/image{i}.png": "x" for i in range(r.media)}
+                else:
+                    body = "".join(f"<row r='{i + 1}'><c r='A{i + 1}'><f>B{i + 1}*2</f><v>0</v></c></row>" for i in range(r.formulas))
+                    more = "".join(f"<{outer}>{inner * n}</{outer}>" if outer else inner * n for outer, inner, n in (("mergeCells", "<mergeCell ref='A1:B1'/>", r.merged), ("", "<conditionalFormatting/>", r.conditional_formats), ("dataValidations", "<dataValidation/>", r.validations), ("hyperlinks", "<hyperlink/>", r.hyperlinks)) if n)
+                    own = {**_BOOK, "xl/worksheets/sheet1.xml": f"{_HEAD}<worksheet xmlns='{S}'><sheetData>{body}</sheetData>{more}</worksheet>"}
+                yield pd.DataFrame({"doc_id": [r.doc_id], "content": [render_ooxml.zipped({k: v.encode() for k, v in own.items()})]})
+
+    return wanted.mapInPandas(packed, "doc_id bigint, content binary")
+
+
+def _bent(files: DataFrame) -> DataFrame:
+    """Packages with planted faults of structure (doc_id % 11 = 3) and of formats (doc_id % 13 = 5)."""
+
+    def changed(doc_id: int, name: str, data: bytes) -> bytes:
+        if doc_id % 11 == 3 and name == "word/document.xml":
+            return data.replace(b"<w:sectPr/>", b"<w:tbl/><w:sectPr/>")
+        if doc_id % 11 == 3 and name.startswith("xl/worksheets/"):
+            return data.replace(b"</sheetData>", b"</sheetData><mergeCells><mergeCell ref='Y1:Z1'/></mergeCells>")
+        return data.replace(b'wrapText="1"', b'wrapText="0"') if doc_id % 13 == 5 and name == "xl/styles.xml" else data
+
+    def bent(batches):
+        for batch in batches:
+            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    own = {n: changed(doc_id, n, z.read(n)) for n in z.namelist()}
+                yield pd.DataFrame({"doc_id": [doc_id], "content": [render_ooxml.zipped(own)]})
+
+    return files.select("doc_id", "content").mapInPandas(bent, "doc_id bigint, content binary")
+
+
+def checked_with_faults(spark, sf_dir: str) -> DataFrame:
+    """Checks of packages in which translations are wrong (doc_id % 5 = 0), left out (1) or put where none belongs (2)."""
+    files = stored(made(lined(spark, sf_dir)))
+    units = stored(units_with_places(files).withColumn("k", F.expr("cast(substring_index(id, ':', -1) AS int)")))
+    target = F.concat(F.lit("T"), F.col("k").cast("string"), F.when(F.col("k") % 6 == 5, " 译").otherwise(""))
+    targets = stored(units.where("translatable").select("doc_id", "id", target.alias("target")))
+    planted = units.join(targets, ["doc_id", "id"], "left").where("NOT (doc_id % 5 = 1 AND k % 7 = 2)")
+    planted = planted.withColumn("target", F.expr("CASE WHEN doc_id % 5 = 0 AND k % 9 = 4 THEN concat(target, '!') ELSE target END")).withColumn("extra", F.expr("doc_id % 5 = 2 AND k % 3 = 0"))
+    edits = lambda own: planted.where(f"({own} AND target IS NOT NULL) OR (NOT {own} AND extra)").select("doc_id", "part", "place", "text", F.expr(f"CASE WHEN {own} THEN target ELSE 'X' END").alias("target"))
+    two = stored(_bent(render_ooxml.rendered(files, edits("bilingual_output"), True)))
+    copies = files.join(units.where("document_direction = 'zh-to-en'").select("doc_id").distinct(), "doc_id", "left_semi")
+    one = stored(_bent(render_ooxml.rendered(copies, edits("english_output"), False)))
+    return package_checks.packages(units, targets, files, two, one)
+
+
 def units_with_places(files: DataFrame) -> DataFrame:
     """Units with roles, and the part and place of each."""
     lines = stored(ooxml.package_units(ooxml.parts(files)))

@@ -148,15 +148,22 @@ def q17(spark, d):
     return glossary.csv_rows(g.withColumn("context_unit_ids", F.array(F.concat(F.lit("u"), "ord"), F.concat(F.lit("v"), "ord"))))
 
 
+#: Terms of the first six words of each item, so that the glossary is larger than what fills up a batch.
+_MANY = f"""m AS (SELECT item_id * 10 + k AS ord, split_part(text, ' ', k) AS source, 'Ziel ' || ((item_id + k) % 4) AS target, CAST(item_id % 2 AS INTEGER) AS src_rank FROM benchmark, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS k)),
+    n AS (SELECT ord, src_rank, {_norm('source')} AS source, {_norm('target')} AS target FROM m),
+    g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_FOLD.format('source')}, {_FOLD.format('target')} ORDER BY src_rank, ord) AS r FROM n WHERE source <> '' AND target <> '') WHERE r = 1)"""
+
+
 @query(
     "q18_relevant_glossary",
-    f"""WITH {_DEDUP}, b AS (SELECT doc_id AS batch, {_FOLD.format('text')} AS text FROM documents WHERE doc_id % 10 = 3), p AS (SELECT batch, source, target, ord, contains(text, {_FOLD.format('source')}) OR contains(text, {_FOLD.format('target')}) AS matched FROM b CROSS JOIN g)
-    SELECT batch, source, target, matched FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY matched DESC, ord) AS r FROM p) WHERE matched OR r <= 6""",
+    f"""WITH {_MANY}, b AS (SELECT doc_id AS batch, {_FOLD.format('text')} AS text FROM documents), p AS (SELECT batch, source, target, ord, contains(text, {_FOLD.format('source')}) OR contains(text, {_FOLD.format('target')}) AS matched FROM b CROSS JOIN g)
+    SELECT batch, source, target, matched FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY matched DESC, ord) AS r FROM p) WHERE matched OR r <= 60""",
 )
 def q18(spark, d):
-    # a tenth of the documents stands for the batches at hand; the cap of 6 is the top-k rule at this glossary's size
-    b = spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 10 = 3").select(F.col("doc_id").alias("batch"), "text")
-    return glossary.relevant(glossary.deduped(_terms(spark, d)), b, 6)
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select("*", F.explode(F.expr("sequence(1, 6)")).alias("k"))
+    terms = words.selectExpr("item_id * 10 + k AS ord", "split_part(text, ' ', k) AS source", "concat('Ziel ', (item_id + k) % 4) AS target", "cast(item_id % 2 AS int) AS src_rank")
+    batches = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("batch"), "text")
+    return glossary.relevant(glossary.deduped(terms), batches)
 
 
 @query("q19_effective_targets", f"{PACK} SELECT * FROM targets")
@@ -328,10 +335,48 @@ def q38(spark, d):
     return ooxml.not_wrapped(cells, styles).select("id")
 
 
-@query("q26_structure_counts", "SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<img[\\s>]')) AS BIGINT) AS media, CAST(len(regexp_extract_all(html, '(?i)<table[\\s>]')) AS BIGINT) AS tables, CAST(len(regexp_extract_all(html, '(?i)<(?:section|div)[\\s>]')) AS BIGINT) AS sections FROM pages")
+_SHAPES = ["media", "tables", "sections", "merged", "validations", "conditional_formats", "hyperlinks", "formulas"]
+_SHAPE = "SELECT doc_id, " + ", ".join(f"CAST(CASE WHEN doc_id % 2 = {k} THEN {e} ELSE 0 END AS BIGINT) AS {c}" for c, (k, e) in {"media": (0, "doc_id % 3"), "tables": (0, "doc_id % 5"), "sections": (0, "1 + doc_id % 4"), "merged": (1, "doc_id % 3"), "validations": (1, "doc_id % 5"), "conditional_formats": (1, "doc_id % 4"), "hyperlinks": (1, "doc_id % 7"), "formulas": (1, "doc_id % 9")}.items()) + " FROM documents"
+
+
+@query("q26_structure_counts", _SHAPE)
 def q26(spark, d):
-    count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", count(r"(?i)<img[\s>]").alias("media"), count(r"(?i)<table[\s>]").alias("tables"), count(r"(?i)<(?:section|div)[\s>]").alias("sections"))
+    from quillgrid.plans import office
+    from quillgrid.sources import ooxml
+
+    shapes = office.shapes(spark.read.parquet(f"{d}/documents.parquet"))
+    return ooxml.structure(ooxml.parts(office.shaped(shapes))).select("doc_id", *(F.col(c).cast("long").alias(c) for c in _SHAPES))
+
+
+_CHECKED = f"""WITH {DUCK}, u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord) - 1 AS idx FROM units),
+    v AS (SELECT *, 'doc/' || doc_id || ':' || idx AS pid, doc_id % 5 = 0 AND idx % 9 = 4 AND translatable AS wrong, doc_id % 5 = 1 AND idx % 7 = 2 AND translatable AS omitted, doc_id % 5 = 2 AND idx % 3 = 0 AS extra, doc_id % 2 = 1 AS sheet,
+        document_direction = 'zh-to-en' AS required, document_direction = 'zh-to-en' AND english_output AND translatable AS swapped, doc_id % 11 = 3 AS bent FROM u),
+    w AS (SELECT doc_id, any_value(required) AS english_required, any_value(bent) AS bent, LISTS FROM v GROUP BY doc_id),
+    x AS (SELECT *, NOT bent AS structure_ok, CASE WHEN english_required THEN NOT bent END AS english_structure_ok, CASE WHEN english_required THEN NOT bent END AS format_ok FROM w)
+    SELECT * EXCLUDE (bent), structure_ok AND coalesce(english_structure_ok AND format_ok, true) AND CLEAN AS passed FROM x"""
+_RULES = {
+    "missing_original": "false", "missing_translation": "bilingual_output AND (wrong OR omitted)", "changed_nontranslatable": "sheet AND NOT bilingual_output AND extra",
+    "not_wrapped": "sheet AND bilingual_output AND (omitted OR doc_id % 13 = 5)", "missing_units": "false", "incorrect_replacements": "swapped AND (wrong OR omitted)",
+    "changed_preserved": "required AND NOT swapped AND extra", "residual_chinese_targets": "swapped AND idx % 6 = 5",
+}
+
+
+@query("q41_package_checks", _CHECKED.replace("LISTS", ", ".join(f"coalesce(string_agg(pid, ',' ORDER BY idx) FILTER ({e}), '') AS {c}" for c, e in _RULES.items())).replace("CLEAN", " AND ".join(f"{c} = ''" for c in _RULES)))
+def q41(spark, d):
+    """Packages of all documents, rendered with planted faults, read again and checked."""
+    from quillgrid.plans import office
+
+    out = office.checked_with_faults(spark, d)
+    return out.select("doc_id", "english_required", *_RULES, "structure_ok", "english_structure_ok", "format_ok", "passed")
+
+
+@query("q42_package_units", f"WITH {DUCK} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'word/document.xml' ELSE 'xl/worksheets/sheet1.xml' END AS part, CASE WHEN doc_id % 2 = 0 THEN CAST(unit_ord AS VARCHAR) ELSE 'A' || (unit_ord + 1) END AS place, text FROM units")
+def q42(spark, d):
+    """Word and Excel packages of all documents, read as units: members, paragraphs, sheets, relations, strings and cells."""
+    from quillgrid.plans import office
+    from quillgrid.sources import ooxml
+
+    return ooxml.package_units(ooxml.parts(stored(office.made(office.lined(spark, d))))).select("doc_id", "part", "place", "text")
 
 
 @query("flagship", f"{PACK} SELECT c.doc_id, c.id, u.direction, coalesce(CAST(k.b AS INTEGER), -1) AS batch_no, c.out_text FROM cells0 c JOIN units u ON c.doc_id = u.doc_id AND c.id = u.id LEFT JOIN pack k ON k.doc_id = c.doc_id AND k.id = c.id")

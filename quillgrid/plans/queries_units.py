@@ -121,3 +121,38 @@ def q35(spark, d):
 
     blocks = pages.paragraphs(pages.page_texts(spark.read.parquet(f"{d}/pages.parquet")))
     return blocks.groupBy("page_id").agg(F.count_if(F.length(F.regexp_replace("block", r"\s+", "")) > 0).alias("n_paragraphs"), F.sum(F.length(F.regexp_replace("block", r"\s+", ""))).alias("n_chars"))
+
+
+_PAGE_TEXT = r"""t AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '</(?:p|div|h[1-6]|li|tr)>', chr(10) || chr(10), 'gi'), '<[^>]*>', ' ', 'g')) AS text FROM pages)"""
+
+
+@query(
+    "q43_reflow",
+    rf"""WITH {_PAGE_TEXT}, b AS (SELECT page_id, unnest(string_split_regex(text, '\n[ \t\r\f\v]*\n+')) AS block, CAST(generate_subscripts(string_split_regex(text, '\n[ \t\r\f\v]*\n+'), 1) - 1 AS INTEGER) AS k FROM t)
+    SELECT * FROM (SELECT page_id, k, trim(regexp_replace(block, '{T.SPACE_CLASS}+', ' ', 'g')) AS paragraph FROM b) WHERE length(paragraph) > 0""",
+)
+def q43(spark, d):
+    from quillgrid.sources import pages
+
+    return pages.reflow(pages.page_texts(spark.read.parquet(f"{d}/pages.parquet")))
+
+
+@query("q44_needs_ocr", f"WITH x AS (SELECT page_id, left(html, 10 + CAST(page_id % 25 AS INTEGER)) AS text FROM pages) SELECT page_id FROM x WHERE length(trim(regexp_replace(text, '{T.SPACE_CLASS}+', ' ', 'g'))) < 20")
+def q44(spark, d):
+    from quillgrid.sources import pages
+
+    return pages.needs_ocr(spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.expr("left(html, 10 + cast(page_id % 25 AS int))").alias("text"))).select("page_id")
+
+
+@query(
+    "q45_artefacts",
+    f"""WITH p AS ({_PATHS}), t AS (SELECT doc_id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS stem, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(\\.[^.]*)$', 1)) AS ext FROM p),
+    x AS (SELECT doc_id, '/out/' || stem AS base, CASE WHEN ext IN ('.xlsx', '.xlsm') THEN ext ELSE '.docx' END AS ext FROM t)
+    SELECT doc_id, base || '.bilingual' || ext AS bilingual, CASE WHEN doc_id % 4 = 0 THEN base || '.english' || ext END AS english, base || '.glossary.csv' AS glossary, base || '.qa-report.md' AS report, base || '.qa.json' AS qa FROM x""",
+)
+def q45(spark, d):
+    """All outputs of an input, flat."""
+    from quillgrid.operators import jobs
+
+    p = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr("concat('/in/', source, '/', CASE doc_id % 3 WHEN 0 THEN concat('Report ', doc_id, '.docx') WHEN 1 THEN concat('_Böok-', doc_id, '.XLSX') ELSE '..é.pdf' END)").alias("path"))
+    return p.select("doc_id", *(c.alias(n) for n, c in jobs.artefacts(F.col("path"), "/out", F.expr("doc_id % 4 = 0"), flat=True).items()))

@@ -13,31 +13,42 @@ from quillgrid.functions import text as T
 from quillgrid.sources import ooxml_xml as xml
 
 
-def decoded(cells: DataFrame, shared_strings: DataFrame) -> DataFrame:
-    """Add ``cell_text``: shared strings by position, inline and plain strings; formulas and the rest are null."""
-    position = F.when(F.col("t") == "s", F.expr("try_cast(v AS bigint)"))
-    own = cells.join(shared_strings, position == F.col("idx"), "left")
+def decoded(cells: DataFrame, shared_strings: DataFrame, *by: str) -> DataFrame:
+    """Add ``cell_text``: shared strings by position (of one book, or of the book that ``by`` names), inline and plain
+    strings; formulas and the rest are null."""
+    strings = shared_strings.withColumnsRenamed({c: f"_{c}" for c in by})
+    met = F.when(F.col("t") == "s", F.expr("try_cast(v AS bigint)")) == F.col("idx")
+    for c in by:
+        met = met & (F.col(c) == F.col(f"_{c}"))
+    own = cells.join(strings, met, "left").drop(*(f"_{c}" for c in by))
     text = F.when(F.col("has_formula"), None).when(F.col("t") == "s", F.col("shared")).when(F.col("t").isin("inlineStr", "str"), F.col("v"))
     return own.withColumn("cell_text", text).drop("idx", "shared")
 
 
-def wrapped(styles: DataFrame) -> DataFrame:
-    """Positions of cell formats that wrap text."""
-    return styles.where(F.col("wrap").isin("1", "true")).select("idx")
+def format_position(s: str):
+    """Position of a cell's format; an unreadable one counts as the first."""
+    return F.coalesce(F.expr(f"try_cast({s} AS bigint)"), F.lit(0))
+
+
+def wrapped(styles: DataFrame, *by: str) -> DataFrame:
+    """Positions of cell formats that wrap text, for each value of ``by``."""
+    return styles.where(F.col("wrap").isin("1", "true")).select(*by, "idx")
 
 
 def not_wrapped(cells: DataFrame, styles: DataFrame) -> DataFrame:
     """Cells whose format doesn't wrap; an unreadable format position counts as the first format."""
-    own = cells.withColumn("_s", F.coalesce(F.expr("try_cast(s AS bigint)"), F.lit(0)))
+    own = cells.withColumn("_s", format_position("s"))
     return own.join(wrapped(styles), F.col("_s") == F.col("idx"), "left_anti").drop("_s")
 
 
-SUPPORTED = ("docx", "pdf", "xlsx", "xlsm")
+SUPPORTED = ("docx", "xlsx", "xlsm")
+# Fixed value: parts of a Word package that hold text.
 STORY = r"^word/(document|header\d+|footer\d+|footnotes|endnotes|comments)\.xml$"
 
 
 def packages(spark: SparkSession, path: str) -> DataFrame:
-    """Files under a path: (doc_id, path, ext, content, sha256, error); other kinds of file carry an error."""
+    """Files under a path: (doc_id, path, ext, content, sha256, error); other kinds of file carry an error,
+    PDF files too, as no reader for them is here."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     out = files.select(F.sha2("path", 256).substr(1, 16).alias("doc_id"), "path", ext.alias("ext"), "content", F.sha2("content", 256).alias("sha256"))
@@ -54,7 +65,7 @@ def parts(files: DataFrame) -> DataFrame:
                     names = [n for n in z.namelist() if not n.endswith("/")]
                     yield pd.DataFrame({"doc_id": [doc_id] * len(names), "part": names, "bytes": [z.read(n) for n in names]})
 
-    own = files.where(F.col("error").isNull() & (F.col("ext") != "pdf")) if "error" in files.columns else files
+    own = files.where(F.col("error").isNull()) if "error" in files.columns else files
     kind = dict(files.dtypes)["doc_id"]
     return own.select("doc_id", "content").mapInPandas(unzipped, f"doc_id {kind}, part string, bytes binary")
 
@@ -73,8 +84,8 @@ def _tables(parts_df: DataFrame, wanted: str, parse, schema: str) -> DataFrame:
 
 
 def paragraphs(parts_df: DataFrame) -> DataFrame:
-    """(doc_id, part, idx, text) of the non-blank paragraphs of Word story parts."""
-    return _tables(parts_df, STORY, lambda _, data: xml.paragraph_texts(data), "idx int, text string").where(T.has_text("text"))
+    """(doc_id, part, idx, text, depth) of the non-blank paragraphs of Word story parts."""
+    return _tables(parts_df, STORY, lambda _, data: xml.paragraph_rows(data), "idx int, text string, depth int").where(T.has_text("text"))
 
 
 def sheets(parts_df: DataFrame) -> DataFrame:
@@ -100,19 +111,16 @@ def styles(parts_df: DataFrame) -> DataFrame:
 def cell_texts(parts_df: DataFrame) -> DataFrame:
     """(doc_id, sheet_ord, sheet, state, part, cell_order, cell, s, text) of text cells, hidden sheets too."""
     own = cells(parts_df).join(sheets(parts_df), ["doc_id", "part"])
-    sst = shared_strings(parts_df).withColumnRenamed("doc_id", "_doc")
-    position = F.when(F.col("t") == "s", F.expr("try_cast(v AS bigint)"))
-    both = own.join(sst, (F.col("doc_id") == F.col("_doc")) & (position == F.col("idx")), "left")
-    text = F.when(F.col("has_formula"), None).when(F.col("t") == "s", F.col("shared")).when(F.col("t").isin("inlineStr", "str"), F.col("v"))
-    return both.withColumn("text", text).where(T.has_text("text")).select("doc_id", "sheet_ord", "sheet", "state", "part", "cell_order", "cell", "s", "text")
+    both = decoded(own, shared_strings(parts_df), "doc_id").withColumnRenamed("cell_text", "text")
+    return both.where(T.has_text("text")).select("doc_id", "sheet_ord", "sheet", "state", "part", "cell_order", "cell", "s", "text")
 
 
 def package_units(parts_df: DataFrame) -> DataFrame:
-    """Lines (doc_id, idx, text, part, place) of Word and Excel packages in reading order."""
-    words = paragraphs(parts_df).select("doc_id", F.lit(0).alias("o"), "part", F.col("idx").alias("k"), F.col("idx").cast("string").alias("place"), "text")
-    table = cell_texts(parts_df).select("doc_id", F.col("sheet_ord").alias("o"), "part", F.col("cell_order").alias("k"), F.col("cell").alias("place"), "text")
+    """Lines (doc_id, idx, text, part, place, depth) of Word and Excel packages in reading order."""
+    words = paragraphs(parts_df).select("doc_id", F.lit(0).alias("o"), "part", F.col("idx").alias("k"), F.col("idx").cast("string").alias("place"), "text", "depth")
+    table = cell_texts(parts_df).select("doc_id", F.col("sheet_ord").alias("o"), "part", F.col("cell_order").alias("k"), F.col("cell").alias("place"), "text", F.lit(0).alias("depth"))
     order = Window.partitionBy("doc_id").orderBy("o", "part", "k")
-    return words.union(table).select("doc_id", (F.row_number().over(order) - 1).alias("idx"), "text", "part", "place")
+    return words.union(table).select("doc_id", (F.row_number().over(order) - 1).alias("idx"), "text", "part", "place", "depth")
 
 
 def structure(parts_df: DataFrame) -> DataFrame:
@@ -121,4 +129,6 @@ def structure(parts_df: DataFrame) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("media", "tables", "sections", "merged", "validations", "conditional_formats", "hyperlinks", "formulas")]
     signed = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part", F.lit("="), "signature"))), "\n"), 256)
     names = parts_df.groupBy("doc_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("part")), "\n"), 256).alias("parts_digest"))
-    return counted.groupBy("doc_id").agg(*sums, signed.alias("format_signature")).join(names, "doc_id")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet_ord", "sheet", "state"))), lambda x: F.concat(x["sheet"], F.lit("="), x["state"])), "\n")
+    books = sheets(parts_df).groupBy("doc_id").agg(F.sha2(listed, 256).alias("sheets_digest"))
+    return counted.groupBy("doc_id").agg(*sums, signed.alias("format_signature")).join(names, "doc_id").join(books, "doc_id", "left")

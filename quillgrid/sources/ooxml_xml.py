@@ -10,7 +10,9 @@ import re
 from xml.dom import minidom
 from xml.etree import ElementTree
 
-_CJK = re.compile("[㐀-䶿一-鿿]")
+from quillgrid.functions.text import CJK
+
+_CJK = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in CJK.split()) + "]")
 
 
 def _name(node) -> str:
@@ -50,6 +52,9 @@ def _put(node, text: str) -> None:
 
 
 def parse(data: bytes):
+    """A part as a tree. Office parts have no document type, and entities of untrusted files could grow without bound."""
+    if re.search(rb"<!(DOCTYPE|ENTITY)", data.replace(b"\0", b"")):
+        raise ValueError("a part with a document type declaration is not read")
     return minidom.parseString(data)
 
 
@@ -67,6 +72,18 @@ def paragraph_texts(data: bytes):
     return [(i, paragraph_text(p)) for i, p in enumerate(_all(parse(data), "p"))]
 
 
+def _depth(node) -> int:
+    """How many paragraphs a paragraph stands in, as those of text boxes do."""
+    n = 0
+    while (node := node.parentNode) is not None:
+        n += _name(node) == "p"
+    return n
+
+
+def paragraph_rows(data: bytes):
+    return [(i, paragraph_text(p), _depth(p)) for i, p in enumerate(_all(parse(data), "p"))]
+
+
 def sheets(data: bytes):
     out = []
     for i, s in enumerate(_all(parse(data), "sheet")):
@@ -106,7 +123,7 @@ def cell_formats(data: bytes):
 
 
 def structure(part: str, data: bytes):
-    """Counts of a part and a digest of its markup without text, values of cells that aren't formulas left out."""
+    """Counts of a part and a digest of its markup without text (a run's tabs and breaks too), values of cells that aren't formulas left out."""
     media = int(part.startswith("word/media/"))
     if not part.endswith(".xml"):
         return (media, 0, 0, 0, 0, 0, 0, 0, hashlib.sha256(data).hexdigest())
@@ -117,6 +134,10 @@ def structure(part: str, data: bytes):
         return (*counts, "")
     for node in list(_all(doc, "t", "delText")):
         _put(node, "")
+        if node.hasAttribute("xml:space"):
+            node.removeAttribute("xml:space")
+    for node in [x for x in _all(doc, "tab", "br", "cr") if part.startswith("word/") and _name(x.parentNode) == "r"]:
+        node.parentNode.removeChild(node)  # a run's tabs and breaks are read as text
     for c in list(_all(doc, "c")) if part.startswith("xl/worksheets/") else []:
         if _first(c, "f") is None:
             for x in [x for x in c.childNodes if _name(x) in ("v", "is")]:

@@ -14,10 +14,10 @@ ITEMS = "struct<items:array<struct<id:string,source_hash:string,target:string,st
 
 
 def answered(files: DataFrame) -> DataFrame:
-    """(doc_id, batch_no, item_pos, id, source_hash, target) of answers given as raw text; unreadable ones have no rows."""
+    """(doc_id, batch_no, item_pos, id, source_hash, target, status) of answers given as raw text; unreadable ones have no rows."""
     parsed = files.select("doc_id", "batch_no", F.from_json(T.extract_json("content"), ITEMS).alias("a"))
     rows = parsed.select("doc_id", "batch_no", F.posexplode("a.items").alias("item_pos", "i"))
-    return rows.select("doc_id", "batch_no", "item_pos", "i.id", "i.source_hash", "i.target")
+    return rows.select("doc_id", "batch_no", "item_pos", "i.id", "i.source_hash", "i.target", "i.status")
 
 
 def start(spark: SparkSession, folder: str, items: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -1,36 +1,62 @@
 import io
 import json
+import os
+import signal
+import sys
+import threading
+import time
 import zipfile
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 
+import pytest
+from pyspark import cloudpickle
+
+from quillgrid import background
 from quillgrid.engine import Engine
-from quillgrid.operators import provider, render_ooxml
+from quillgrid.operators import glossary, provider, render_ooxml
 from quillgrid.plans import office
 from quillgrid.sources import ooxml
 from quillgrid.sources import ooxml_xml as xml
 from quillgrid.streaming import ingest
 
 W, S, R = office.W, office.S, office.R
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this module
 
 
-def clinical_workbook() -> bytes:
-    strings = ["<si><t>Project Status</t></si>", "<si><t>Clinical trial protocol</t></si>", "<si><t>项目 Project Status</t></si>", "<si><r><rPr><b/></rPr><t>Quality </t></r><r><t>control</t></r></si>", "<si><t>监管要求</t></si>"]
-    one = "<row r='1'><c r='A1' t='s' s='1'><v>0</v></c></row><row r='2'><c r='A2' t='s'><v>1</v></c><c r='B2'><v>12</v></c></row><row r='3'><c r='A3' t='inlineStr'><is><t>患者安全</t></is></c><c r='B3'><f>B2*2</f><v>24</v></c></row><row r='4'><c r='A4' t='s'><v>2</v></c></row><row r='5'><c r='A5' t='s'><v>3</v></c><c r='C5' t='s'><v>99</v></c><c r='D5' t='str'><v>Plain result</v></c><c r='E5' t='str'><f>A1</f><v>Formula text</v></c></row>"
-    members = {
-        "[Content_Types].xml": "<Types/>",
-        "xl/workbook.xml": f"<workbook xmlns='{S}' xmlns:r='{R}'><sheets><sheet name='Overview' sheetId='1' r:id='rId1'/><sheet name='Hidden Terms' sheetId='2' state='hidden' r:id='rId2'/></sheets></workbook>",
-        "xl/_rels/workbook.xml.rels": "<Relationships><Relationship Id='rId1' Target='worksheets/sheet1.xml'/><Relationship Id='rId2' Target='/xl/worksheets/sheet2.xml'/></Relationships>",
-        "xl/styles.xml": f"<styleSheet xmlns='{S}'><cellXfs count='2'><xf numFmtId='0'/><xf numFmtId='9'/></cellXfs></styleSheet>",
-        "xl/sharedStrings.xml": f"<sst xmlns='{S}' count='6' uniqueCount='5'>{''.join(strings)}</sst>",
-        "xl/worksheets/sheet1.xml": f"<worksheet xmlns='{S}'><sheetData>{one}</sheetData><mergeCells><mergeCell ref='A9:B9'/></mergeCells></worksheet>",
-        "xl/worksheets/sheet2.xml": f"<worksheet xmlns='{S}'><sheetData><row r='1'><c r='A1' t='s'><v>4</v></c></row></sheetData></worksheet>",
-        "xl/vbaProject.bin": "macro-bytes",
-    }
-    return render_ooxml.zipped({k: v.encode() for k, v in members.items()})
+def harbour_workbook() -> bytes:
+    """Two sheets, the second very hidden: plain, rich, inline and computed cells, one string used twice, one out of range."""
+    strings = ["<si><t>Crane number four lifts the red container</t></si>", "<si><r><t>Berth </t></r><r><rPr><i/></rPr><t>fees apply</t></r></si>", "<si><t>泊位 berth charges due today</t></si>", "<si><t>Tide table</t></si>"]
+    quay = "<row r='2'><c r='B2' t='s'><v>0</v></c><c r='C2'><v>4.5</v></c><c r='D2' t='s'><v>0</v></c></row><row r='5'><c r='B5' t='s' s='1'><v>1</v></c><c r='C5' t='b'><v>1</v></c></row><row r='6'><c r='B6' t='inlineStr'><is><t>Fog signal at night</t></is></c><c r='C6' t='str'><f>B2&amp;\"!\"</f><v>computed words</v></c><c r='D6' t='s'><v>77</v></c></row><row r='9'><c r='B9' t='s'><v>2</v></c><c r='C9' t='str'><v>Pilot boat waiting</v></c></row>".replace('\\"', "&quot;")
+    own = {
+        "[Content_Types].xml": "<Types/>", "docProps/app.xml": "<Properties/>",
+        "xl/workbook.xml": f"<workbook xmlns='{S}' xmlns:r='{R}'><sheets><sheet name='Quay' sheetId='7' r:id='q'/><sheet name='Store' sheetId='9' state='veryHidden' r:id='s'/></sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": "<Relationships><Relationship Id='s' Target='/xl/worksheets/store.xml'/><Relationship Id='q' Target='./worksheets/quay.xml'/></Relationships>",
+        "xl/styles.xml": f"<styleSheet xmlns='{S}'><cellXfs count='3'><xf numFmtId='0'/><xf numFmtId='4'><alignment wrapText='true'/></xf><xf numFmtId='2'/></cellXfs></styleSheet>",
+        "xl/sharedStrings.xml": f"<sst xmlns='{S}' count='5' uniqueCount='4'>{''.join(strings)}</sst>",
+        "xl/worksheets/quay.xml": f"<worksheet xmlns='{S}'><sheetData>{quay}</sheetData><mergeCells><mergeCell ref='F1:G2'/><mergeCell ref='F4:G4'/></mergeCells><hyperlinks><hyperlink ref='B2'/></hyperlinks></worksheet>",
+        "xl/worksheets/store.xml": f"<worksheet xmlns='{S}'><sheetData><row r='3'><c r='A3' t='s' s='2'><v>3</v></c></row></sheetData></worksheet>", "xl/vbaProject.bin": "compiled",
+    }
+    return render_ooxml.zipped({k: v.encode() for k, v in own.items()})
 
 
 def word_document() -> bytes:
-    body = "<w:p><w:pPr><w:tabs><w:tab w:val='left'/></w:tabs><w:numPr><w:numId w:val='3'/></w:numPr></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>设备</w:t></w:r><w:r><w:tab/><w:t>说明文字</w:t></w:r></w:p><w:p><w:r><w:t>外面的段落</w:t></w:r><w:r><w:pict><w:txbxContent><w:p><w:r><w:t>框内的文字</w:t></w:r></w:p></w:txbxContent></w:pict></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>备用零件</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
-    return render_ooxml.zipped({"[Content_Types].xml": b"<Types/>", "word/document.xml": f"<w:document xmlns:w='{W}' xmlns:w14='urn:x' xmlns:mc='urn:mc' mc:Ignorable='w14'><w:body>{body}<w:sectPr/></w:body></w:document>".encode(), "word/header1.xml": f"<w:hdr xmlns:w='{W}'><w:p><w:r><w:t>页眉文字内容</w:t></w:r></w:p></w:hdr>".encode()})
+    body = "<w:p><w:pPr><w:tabs><w:tab w:val='left'/></w:tabs><w:numPr><w:numId w:val='3'/></w:numPr></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>灯塔</w:t></w:r><w:r><w:tab/><w:t>守望海面</w:t></w:r></w:p><w:p><w:r><w:t>码头上的工人</w:t></w:r><w:r><w:pict><w:txbxContent><w:p><w:r><w:t>框里写着潮汐</w:t></w:r></w:p></w:txbxContent></w:pict></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>吊车六号</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+    return render_ooxml.zipped({"[Content_Types].xml": b"<Types/>", "word/document.xml": f"<w:document xmlns:w='{W}' xmlns:w14='urn:x' xmlns:mc='urn:mc' mc:Ignorable='w14'><w:body>{body}<w:sectPr/></w:body></w:document>".encode(), "word/header1.xml": f"<w:hdr xmlns:w='{W}'><w:p><w:r><w:t>港口日志第九页</w:t></w:r></w:p></w:hdr>".encode()})
+
+
+class Clerk:
+    """Answers in the wanted script and writes down what it was shown."""
+
+    def __init__(self, notes: str, terms: list | None = None, replace: str | None = None):
+        self.notes, self.terms, self.replace = notes, terms or [], replace
+
+    def answer(self, system: str, prompt: str) -> str:
+        with open(self.notes, "a", encoding="utf-8") as f:
+            f.write(json.dumps([system, prompt]) + "\n")
+        items = json.loads(prompt.rpartition("Items:\n")[2])
+        done = [{"id": i["id"], "source_hash": i["source_hash"], "status": "replace" if self.replace else "ok", "target": self.replace or (f"Words number {i['unit_ord']}" if i["direction"] == "zh-to-en" else f"译文{i['unit_ord']}")} for i in items]
+        return "<think>{hm}</think>\n```json\n" + json.dumps({"terms": self.terms, "items": done}, ensure_ascii=False) + "\n```"
 
 
 def members(content: bytes) -> dict:
@@ -39,47 +65,199 @@ def members(content: bytes) -> dict:
 
 
 def test_whole_run_over_packages(spark, tmp_path):
-    inputs = tmp_path / "in"
+    inputs, notes = tmp_path / "in", tmp_path / "notes"
     inputs.mkdir()
-    (inputs / "clinic.xlsm").write_bytes(clinical_workbook())
+    (inputs / "harbour.xlsm").write_bytes(harbour_workbook())
     (inputs / "list.docx").write_bytes(word_document())
     (inputs / "note.txt").write_text("no")
+    (inputs / "scan.pdf").write_bytes(b"%PDF-1.7")
     engine = Engine(spark, str(tmp_path / "work"))
     manifest = {r.unit_count: r for r in engine.prepare(str(inputs)).collect()}
     assert manifest[7].document_direction == "en-to-zh" and manifest[7].translatable_count == 6
     assert manifest[5].document_direction == "zh-to-en" and manifest[5].english_copy_required
-    assert "unsupported file type: txt" in [r.error for r in engine.read("files").collect()]
-    result = engine.run(provider.Echo("译 T "), limit=2).collect()
-    assert len(result) == 2 and all(r.passed for r in result)
+    assert {"unsupported file type: txt", "unsupported file type: pdf"} <= {r.error for r in engine.read("files").collect()}
+    (tmp_path / "terms.json").write_text(json.dumps({"terms": [{"source": "码头", "target": "quay"}, {"source": "Zebra crossing", "target": "斑马线"}, {"source": " crane ", "target": "吊车"}]}, ensure_ascii=False))
+    result = engine.run(Clerk(str(notes), [{"source": "Crane", "target": "吊车", "notes": "found"}, {"source": "anchor", "target": "锚", "context_unit_ids": ["u1", "u2"]}]), limit=2, supplied=str(tmp_path / "terms.json")).collect()
+    assert len(result) == 2 and all(r.passed and r.phase == "complete" and r.contract_version == 3 for r in result), result
+    assert {(r.original_units, r.output_units, r.requested_replacements) for r in result} == {(7, 7, 0), (5, 10, 5)}
     assert all(r.ok for r in engine.validate().collect())
     files = {r.doc_id: r for r in engine.read("bilingual_files").collect()}
     assert all(r.requested == r.inserted for r in files.values())
     ext = {r.doc_id: r.ext for r in engine.read("files").collect()}
     book = next(members(r.content) for i, r in files.items() if ext[i] == "xlsm")
     texts = [t for _, t in xml.shared_strings(book["xl/sharedStrings.xml"])]
-    assert "Quality control\n译 T Quality control" in texts and texts[:5] == ["Project Status", "Clinical trial protocol", "项目 Project Status", "Quality control", "监管要求"]
-    assert b"B2*2" in book["xl/worksheets/sheet1.xml"] and book["xl/vbaProject.bin"] == b"macro-bytes"
+    assert texts[0] == "Crane number four lifts the red container" and texts[0] + "\n译文0" in texts and texts[0] + "\n译文1" in texts
+    assert b"mergeCell ref=\"F4:G4\"" in book["xl/worksheets/quay.xml"] and book["xl/vbaProject.bin"] == b"compiled"
     wraps = dict(xml.cell_formats(book["xl/styles.xml"]))
-    cells = {c[1]: c for c in xml.cells(book["xl/worksheets/sheet1.xml"])}
-    assert all(wraps[int(cells[r][3])] == "1" for r in ("A1", "A2", "A3", "A5", "D5")) and cells["A4"][3] == "0"
-    assert cells["D5"][4] == "Plain result\n译 T Plain result" and cells["E5"][4] == "Formula text"
+    cells = {c[1]: c for c in xml.cells(book["xl/worksheets/quay.xml"])}
+    assert all(wraps[int(cells[r][3])] in ("1", "true") for r in ("B2", "D2", "B5", "B6", "C9")) and cells["B5"][3] == "1" and cells["B9"][3] == "0"
+    assert cells["C9"][4].startswith("Pilot boat waiting\n译文") and cells["C6"][4] == "computed words"
     word = next(members(r.content) for i, r in files.items() if ext[i] == "docx")
     lines = [t for _, t in xml.paragraph_texts(word["word/document.xml"])]
-    assert lines[:2] == ["设备\t说明文字", "译 T 设备\t说明文字"] and "框内的文字" in lines and "译 T 框内的文字" in lines
+    assert lines[0] == "灯塔\t守望海面" and lines[1].startswith("Words number") and "框里写着潮汐" in lines
     assert b"mc:Ignorable" in word["word/document.xml"] and b'w:numId w:val="0"' in word["word/document.xml"]
     english = next(members(r.content) for r in engine.read("english_files").collect())
-    assert "译 T 设备\t说明文字" in [t for _, t in xml.paragraph_texts(english["word/document.xml"])]
+    assert all(xml.paragraph_texts(english["word/document.xml"])[k][1].startswith("Words number") for k in (0, 1, 2))
+    # supplied terms win, are sorted by folded source, and stand in a file with a byte order mark
+    locked = engine.read("glossary").orderBy("ord").collect()
+    assert [(r.source, r.target) for r in locked] == [("anchor", "锚"), ("crane", "吊车"), ("Zebra crossing", "斑马线"), ("码头", "quay")]
+    csv = next((tmp_path / "work" / "glossary.csv").glob("part-*.csv")).read_bytes()
+    assert csv.startswith("\ufeffsource,target,direction,domain,definition,context_unit_ids,confidence,notes\n".encode()) and "锚,auto,,,\"u1,u2\",medium," in csv.decode()
+    # prompts carry the terms, those that occur first, and reviews the translation as well
+    seen = [json.loads(x) for x in notes.read_text("utf-8").splitlines()]
+    shown = [p for s, p in seen if "Glossary:" in p]
+    assert sum("Glossary:" not in p for _, p in seen) == 6 and len(shown) == 12
+    crane = [json.loads(p.split("Glossary:\n")[1].split("\n")[0]) for p in shown if "Crane number four" in p]
+    assert crane and all(t[0]["source"] == "crane" and len(t) == 4 for t in crane)
+    reviews = [json.loads(p.rpartition("Items:\n")[2]) for s, p in seen if "status is ok" in s]
+    assert reviews and all(i["target"].startswith(("Words number", "译文")) for items in reviews for i in items)
+    report = {r.doc_id: r.report for r in engine.read("report").collect()}
+    assert all("- Result: **PASS**" in r for r in report.values()) and sum("## Pure English copy" in r for r in report.values()) == 1
+    names = {r.bilingual.rsplit("/", 1)[1]: r for r in engine.read("artefacts").collect()}
+    assert set(names) == {"harbour.bilingual.xlsm", "list.bilingual.docx"} and names["list.bilingual.docx"].english.endswith("/list/list.english.docx") and names["harbour.bilingual.xlsm"].english is None
+    engine.export_units(str(tmp_path / "units.jsonl"))
+    assert spark.read.json(str(tmp_path / "units.jsonl")).count() == 12
     # a second run finds nothing to do
     assert engine.next_batches("translation").count() == 0 and all(r.passed for r in engine.run(provider.Echo()).collect())
 
 
+def test_a_repeated_ingest_changes_nothing_and_fenced_reviews_keep_their_corrections(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "work"))
+    engine.prepare_lines(spark.createDataFrame([(1, 0, "The gate is open now"), (1, 1, "A second plain line")], "doc_id bigint, idx int, text string"))
+
+    def answer(phase, clerk):
+        payloads = spark.createDataFrame(engine.open_batches(phase).collect(), engine.open_batches(phase).schema)
+        content = clerk.answer("", "Items:\n" + payloads.first()["items"])
+        return payloads, spark.createDataFrame([(1, 0, content)], "doc_id bigint, batch_no int, content string")
+
+    notes = str(tmp_path / "notes")
+    for phase, clerk in (("analysis", Clerk(notes)), ("translation", Clerk(notes)), ("review", Clerk(notes, replace="新的"))):
+        payloads, raw = answer(phase, clerk)
+        for _ in range(2):
+            assert [r.accepted for r in engine.ingest(phase, payloads, raw).collect()] == [True]
+        if phase == "analysis":
+            engine.lock_glossary()
+    assert engine.read("translations").count() == 2 and engine.read("events").count() == 6
+    assert {r.target for r in engine.targets().collect()} == {"新的"}
+    assert engine.finalize().first().passed and engine.read("bilingual").count() == 2
+
+
+def test_a_broken_table_is_not_an_empty_one(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    engine = Engine(spark, str(tmp_path))
+    (tmp_path / "terms").mkdir()
+    assert engine.read("events", "doc_id bigint").count() == 0
+    with pytest.raises(AnalysisException):
+        engine.read("terms", "doc_id bigint")
+
+
+def test_a_glossary_file_must_hold_terms(spark, tmp_path):
+    for text, ok in (('[{"source": "a", "target": "b"}]', True), ('{"terms": []}', True), ('{"other": 1}', False), ('"x"', False)):
+        (tmp_path / "g.json").write_text(text)
+        if ok:
+            glossary.read_terms(spark, str(tmp_path / "g.json")).collect()
+        else:
+            with pytest.raises(Exception, match="glossary must be"):
+                glossary.read_terms(spark, str(tmp_path / "g.json")).collect()
+
+
+def test_relevant_terms_fill_up_to_the_cap(spark):
+    terms = spark.createDataFrame([(i, f"term{i:03d}", f"Ziel{i:03d}") for i in range(100)], "ord bigint, source string, target string")
+    batches = spark.createDataFrame([(1, "TERM099 and ziel050"), (2, None), (3, " ".join(f"term{i:03d}" for i in range(20, 90)))], "batch bigint, text string")
+    got = {}
+    for r in glossary.relevant(terms, batches).collect():
+        got.setdefault(r.batch, []).append((r.source, r.matched))
+    assert sorted(s for s, m in got[1] if m) == ["term050", "term099"] and sorted(s for s, m in got[1] if not m) == sorted(f"term{i:03d}" for i in [*range(50), *range(51, 59)])
+    assert len(got[2]) == 60 and not any(m for _, m in got[2]) and len(got[3]) == 70 and all(m for _, m in got[3])
+
+
 def test_skipped_rows_survive_a_refresh(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "clinic.xlsx").write_bytes(clinical_workbook())
+    (tmp_path / "in" / "harbour.xlsx").write_bytes(harbour_workbook())
     engine = Engine(spark, str(tmp_path / "work"))
     engine.prepare(str(tmp_path / "in"))
     for _ in range(2):
-        assert engine.refresh_roles("2-3").first().translatable_count == 4
+        assert engine.refresh_roles("2-5").first().translatable_count == 2
+
+
+class Stub(BaseHTTPRequestHandler):
+    def do_GET(self):
+        self._reply({"data": []})
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.server.seen.append((self.path, self.headers.get("Authorization"), body))
+        if len(self.server.seen) == 1:
+            self.send_error(503)
+            return
+        items = json.loads(body["messages"][1]["content"].rpartition("Items:\n")[2])
+        done = {"terms": [], "items": [{"id": i["id"], "source_hash": i["source_hash"], "status": "ok", "target": "T " + i["text"]} for i in items]}
+        self._reply({"choices": [{"message": {"content": f"```json\n{json.dumps(done)}\n```"}}]})
+
+    def _reply(self, value):
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(value).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_a_server_answers_over_http(spark, tmp_path, monkeypatch):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Stub)
+    server.seen = []
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("STUB_KEY", "k1")
+    monkeypatch.setenv("http_proxy", "http://127.0.0.1:9")
+    own = provider.Http(f"http://127.0.0.1:{server.server_port}/v1/", "m", "STUB_KEY", max_tokens=512, extra={"seed": 3})
+    assert own.available() and not provider.Http("http://127.0.0.1:9", "m").available()
+    answer, tries, trouble = provider.ask(own, "translation", [{"id": "a", "source_hash": "h", "text": "x"}], glossary=[{"source": "s"}])
+    assert json.loads(answer)["items"][0]["target"] == "T x" and (tries, trouble) == (2, "")
+    path, key, body = server.seen[-1]
+    assert path == "/v1/chat/completions" and key == "Bearer k1" and body["model"] == "m" and body["max_tokens"] == 512 and body["seed"] == 3
+    assert "503" in body["messages"][1]["content"] and '"source": "s"' in body["messages"][1]["content"]
+    engine = Engine(spark, str(tmp_path / "work"))
+    engine.prepare_lines(spark.createDataFrame([(1, 0, "The gate is open now")], "doc_id bigint, idx int, text string"))
+    assert engine.run(own).first().passed
+    server.shutdown()
+    for bad in ({"model": ""}, {"model": "m", "max_tokens": 255}):
+        with pytest.raises(ValueError):
+            provider.Http("http://x", **bad)
+
+
+def test_jobs_run_on_their_own_and_resume(tmp_path):
+    work = tmp_path / "job"
+    assert background.status(work)["status"] == "not-found"
+    code = "import sys, time; sys.path.insert(0, sys.argv[2]); from pathlib import Path; from quillgrid import background as b\np = Path(sys.argv[1]) / 'tries'; n = int(p.read_text()) if p.exists() else 0; p.write_text(str(n + 1)); print('try', n, flush=True); b.note_progress(sys.argv[1], {'analysis': n})\nif n == 0: time.sleep(60)\nif n == 1: sys.exit(3)\nb.note_verdict(sys.argv[1], True)"
+    command = [sys.executable, "-c", code, str(work), str(Path(background.__file__).parents[1])]
+    first = background.start(work, "in.docx", command)
+    assert first["launch"] == "started"
+    for _ in range(200):
+        if background.status(work)["progress"]:
+            break
+        time.sleep(0.05)
+    assert background.status(work)["status"] == "running" and background.start(work, "in.docx", command)["launch"] == "already-running"
+    os.killpg(first["worker"], signal.SIGKILL)
+    heard = []
+    assert background.wait(work, heard.append, 0.05)["status"] == "interrupted"
+    assert background.resume(work)["launch"] == "resumed"
+    ended = background.wait(work, heard.append, 0.05)
+    assert ended["status"] == "failed" and ended["exit"] == 3
+    background.resume(work)
+    done = background.wait(work, heard.append, 0.05)
+    assert done["status"] == "completed" and done["passed"] and "try 2" in done["log"]
+    for _ in range(200):  # the check of its output completes a job before its process has ended
+        if background.log_tail(work, 1)[0].endswith("ends with 0"):
+            break
+        time.sleep(0.05)
+    assert background.log_tail(work, 2) == ["try 2", background.log_tail(work, 1)[0]]
+    marks = [(h["status"], str(h["progress"]), h["run"]) for h in heard]
+    assert len(marks) == len(set(marks))
+    assert background.start(work, "in.docx", command)["launch"] == "already-completed" and background.resume(work)["launch"] == "already-completed"
+    assert background.start(work, "other.docx", [sys.executable, "-c", "pass"])["launch"] == "started"
+    again = background.wait(work, every=0.05)
+    assert again["status"] == "completed" and not again["passed"]
 
 
 def test_stale_units_are_not_touched():
@@ -88,11 +266,11 @@ def test_stale_units_are_not_touched():
 
 
 def test_structure_tells_changes(spark):
-    a, b = clinical_workbook(), members(clinical_workbook())
-    b["xl/worksheets/sheet1.xml"] = b["xl/worksheets/sheet1.xml"].replace(b"B2*2", b"B2*3")
+    a, b = harbour_workbook(), members(harbour_workbook())
+    b["xl/worksheets/quay.xml"] = b["xl/worksheets/quay.xml"].replace(b"<f>B2", b"<f>B3")
     df = spark.createDataFrame([(1, bytearray(a)), (2, bytearray(render_ooxml.zipped(b)))], "doc_id bigint, content binary")
     rows = {r.doc_id: r for r in ooxml.structure(ooxml.parts(df)).collect()}
-    assert rows[1].merged == rows[2].merged == 1 and rows[1].formulas == 2
+    assert rows[1].merged == rows[2].merged == 2 and rows[1].formulas == rows[1].hyperlinks == 1
     assert rows[1].format_signature != rows[2].format_signature and rows[1].parts_digest == rows[2].parts_digest
 
 
@@ -130,3 +308,8 @@ def test_stream_takes_each_file_once(spark, tmp_path):
 def test_packages_of_documents_come_back_whole(spark):
     rows = office.roundtrip(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
     assert len(rows) == 200 and all(r.structure_ok and r.wrong_texts == 0 and r.requested == r.inserted for r in rows)
+
+
+def test_parts_with_entities_are_refused():
+    with pytest.raises(ValueError, match="document type"):
+        xml.parse(b"<!DOCTYPE a [<!ENTITY b 'c'>]><a>&b;</a>")
