@@ -22,7 +22,11 @@ def _verdict(df: DataFrame, *names: str) -> DataFrame:
 
 def cells(units: DataFrame, targets: DataFrame, outputs: DataFrame) -> DataFrame:
     """Checks of same-cell bilingual output (doc_id, id, out_text) against units and targets."""
-    own = units.join(targets, ["doc_id", "id"], "left").join(outputs.select("doc_id", "id", "out_text"), ["doc_id", "id"], "left")
+    return cell_rows(units.join(targets, ["doc_id", "id"], "left").join(outputs.select("doc_id", "id", "out_text"), ["doc_id", "id"], "left"))
+
+
+def cell_rows(own: DataFrame) -> DataFrame:
+    """The same checks of units that have their target and their ``out_text``, null where there is none."""
     gone = F.col("out_text").isNull()
     wanted = F.concat("text", F.lit("\n"), F.coalesce("target", F.lit("")))
     out = own.groupBy("doc_id").agg(
@@ -34,7 +38,12 @@ def cells(units: DataFrame, targets: DataFrame, outputs: DataFrame) -> DataFrame
 
 def english(units: DataFrame, targets: DataFrame, outputs: DataFrame) -> DataFrame:
     """Checks of the English copy against units and targets."""
-    own = units.where("document_direction = 'zh-to-en'").join(targets, ["doc_id", "id"], "left").join(outputs.select("doc_id", "id", "out_text"), ["doc_id", "id"], "left")
+    own = units.where("document_direction = 'zh-to-en'").join(targets, ["doc_id", "id"], "left")
+    return english_rows(own.join(outputs.select("doc_id", "id", "out_text"), ["doc_id", "id"], "left"))
+
+
+def english_rows(own: DataFrame) -> DataFrame:
+    """The same checks of units of such documents that have their target and their ``out_text``, null where there is none."""
     gone, swapped = F.col("out_text").isNull(), F.col("english_output") & F.col("target").isNotNull()
     out = own.groupBy("doc_id").agg(
         ids_where(gone).alias("missing_units"), ids_where(~gone & swapped & (F.col("out_text") != F.col("target"))).alias("incorrect_replacements"), ids_where(~gone & ~swapped & (F.col("out_text") != F.col("text"))).alias("changed_preserved"),
@@ -44,19 +53,25 @@ def english(units: DataFrame, targets: DataFrame, outputs: DataFrame) -> DataFra
 
 
 def paragraphs(units: DataFrame, targets: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Checks of bilingual paragraphs (doc_id, out_ord, out_text): sources are met in order, each followed by its translation.
-
-    A greedy forward scan for each document, as an ordered fold over its units with the place reached as state.
-    """
+    """Checks of bilingual paragraphs (doc_id, out_ord, out_text): sources are met in order, each followed by its translation."""
     own = units.where("bilingual_output").join(targets, ["doc_id", "id"], "left")
     wanted = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit_ord", "id", "text", T.normalize(F.coalesce("target", F.lit(""))).alias("target")))).alias("w"))
-    got = outputs.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("out_ord", "out_text", T.normalize("out_text").alias("n")))), lambda x: x).alias("g"))
+    got = outputs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("out_ord", "out_text", T.normalize("out_text").alias("n")))).alias("g"))
+    return paragraph_rows(wanted.join(got, "doc_id", "left"))
+
+
+def paragraph_rows(documents: DataFrame) -> DataFrame:
+    """The same checks of documents with their wanted units ``w`` and output paragraphs ``g``, both sorted.
+
+    A greedy forward scan, as an ordered fold over the units with the place reached as state. Lists of what is missing
+    grow by what is wrong alone.
+    """
     fold = """aggregate(w, named_struct('c', 0, 'mo', cast(array() AS array<string>), 'mt', cast(array() AS array<string>)), (s, x) ->
-        transform(array(cast(array_position(slice(texts, s.c + 1, greatest(size(texts) - s.c, 0)), x.text) AS int)), p -> CASE
+        transform(array(CASE WHEN coalesce(get(texts, s.c), '') = x.text AND s.c < size(texts) THEN 1 ELSE cast(array_position(slice(texts, s.c + 1, greatest(size(texts) - s.c, 0)), x.text) AS int) END), p -> CASE
             WHEN p = 0 THEN named_struct('c', s.c, 'mo', array_append(s.mo, x.id), 'mt', s.mt)
             WHEN coalesce(get(normal, s.c + p), '') <> x.target THEN named_struct('c', s.c + p, 'mo', s.mo, 'mt', array_append(s.mt, x.id))
             ELSE named_struct('c', s.c + p + 1, 'mo', s.mo, 'mt', s.mt) END)[0])"""
-    both = wanted.join(got, "doc_id", "left").select("doc_id", "w", F.expr("coalesce(transform(g, x -> x.out_text), cast(array() AS array<string>))").alias("texts"), F.expr("coalesce(transform(g, x -> x.n), cast(array() AS array<string>))").alias("normal"))
+    both = documents.select("doc_id", "w", F.expr("coalesce(transform(g, x -> x.out_text), cast(array() AS array<string>))").alias("texts"), F.expr("coalesce(transform(g, x -> x.n), cast(array() AS array<string>))").alias("normal"))
     out = both.withColumn("r", F.expr(fold)).select("doc_id", F.array_join("r.mo", ",").alias("missing_original"), F.array_join("r.mt", ",").alias("missing_translation"))
     return _verdict(out, "missing_original", "missing_translation")
 

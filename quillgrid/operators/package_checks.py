@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,21 +34,25 @@ def not_wrapped(units: DataFrame, parts: DataFrame) -> DataFrame:
     return flat.groupBy("doc_id").agg(checks.ids_where(F.lit(True)).alias("not_wrapped"))
 
 
-def packages(units: DataFrame, targets: DataFrame, files: DataFrame, bilingual: DataFrame, english: DataFrame) -> DataFrame:
+def packages(units: DataFrame, targets: DataFrame, files: DataFrame, bilingual: DataFrame, english: DataFrame, kept: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
     """One row for each document: violation lists, structure, signature and one verdict.
 
+    ``kept`` stores a named table and gives it back, so that each package is opened and read once.
+
     ``units`` have part and place; ``files``, ``bilingual`` and ``english`` are (doc_id, content). Cells are met by their
     place; paragraphs of a bilingual text by order, as translations stand between them, those in text boxes on their own, as
     they stand before the translation of the paragraph around them; those of an English copy by place.
     """
     sheet = F.startswith("part", F.lit("xl/"))
     own = units.select("doc_id", "id", "unit_ord", "part", "place", "text", "translatable", "bilingual_output", "english_output", "document_direction")
-    two = ooxml.package_units(ooxml.parts(bilingual)).select("doc_id", F.col("idx").cast("long").alias("out_ord"), "part", "place", "depth", F.col("text").alias("out_text"))
-    one = ooxml.package_units(ooxml.parts(english)).select("doc_id", "part", "place", F.col("text").alias("out_text"))
+    opened = {n: kept(f"parts_{n}", ooxml.parts(x)) for n, x in (("source", files), ("bilingual", bilingual), ("english", english))}
+    before, after, copied = (kept(f"structure_{n}", ooxml.structure(x)) for n, x in opened.items())
+    two = kept("lines_bilingual", ooxml.package_units(opened["bilingual"])).select("doc_id", F.col("idx").cast("long").alias("out_ord"), "part", "place", "depth", F.col("text").alias("out_text"))
+    one = kept("lines_english", ooxml.package_units(opened["english"])).select("doc_id", "part", "place", F.col("text").alias("out_text"))
     books, texts = own.where(sheet), own.where(~sheet)
     by_place = lambda got: own.select("doc_id", "id", "part", "place").join(got, ["doc_id", "part", "place"]).select("doc_id", "id", "out_text")
     in_cells = checks.cells(books, targets, by_place(two.where(sheet))).drop("passed")
-    depths = ooxml.package_units(ooxml.parts(files)).select("doc_id", "part", "place", "depth").where("depth > 0")
+    depths = ooxml.paragraphs(opened["source"]).select("doc_id", "part", F.col("idx").cast("string").alias("place"), "depth").select("doc_id", "part", "place", "depth").where("depth > 0")
     level = F.struct("doc_id", "depth").alias("doc_id")
     leveled = texts.join(depths, ["doc_id", "part", "place"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     meant = leveled.join(targets, ["doc_id", "id"]).select(level, "id", "target")
@@ -55,12 +61,11 @@ def packages(units: DataFrame, targets: DataFrame, files: DataFrame, bilingual:
     in_order = found.groupBy("doc_id").agg(merged("missing_original"), merged("missing_translation")).withColumn("changed_nontranslatable", F.lit(""))
     lists = in_cells.unionByName(in_order)
     copies = checks.english(own, targets, by_place(one)).drop("passed")
-    before, after, copied = (ooxml.structure(ooxml.parts(x)) for x in (files, bilingual, english))
     counted = units.groupBy("doc_id").agg(F.first("document_direction").alias("document_direction"), F.count(F.lit(1)).alias("original_units"), F.count_if("translatable").alias("translatable_count"))
     wanted = own.where("english_output AND document_direction = 'zh-to-en'").join(targets, ["doc_id", "id"], "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("requested_replacements"))
     out = counted
     for more in (
-        two.groupBy("doc_id").agg(F.count(F.lit(1)).alias("output_units")), lists, not_wrapped(units, ooxml.parts(bilingual)), _same(before, after, COUNTS, "structure_ok"),
+        two.groupBy("doc_id").agg(F.count(F.lit(1)).alias("output_units")), lists, not_wrapped(units, opened["bilingual"]), _same(before, after, COUNTS, "structure_ok"),
         wanted, copies, _same(before, copied, COUNTS, "english_structure_ok"), _same(before, copied, ["format_signature"], "format_ok"),
     ):
         out = out.join(more, "doc_id", "left")

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bilingual_cells(units: DataFrame, targets: DataFrame) -> DataFrame:
-    """Text of each cell: source, newline and target where output is bilingual, else the source."""
-    own = units.join(targets, ["doc_id", "id"], "left")
+def bilingual_text() -> Column:
+    """Text of a cell, over units with targets: source, newline and target where output is bilingual, else the source."""
     both = F.col("bilingual_output") & F.col("target").isNotNull()
-    return own.select("doc_id", "id", "unit_ord", F.when(both, F.concat("text", F.lit("\n"), "target")).otherwise(F.col("text")).alias("out_text"))
+    return F.when(both, F.concat("text", F.lit("\n"), "target")).otherwise(F.col("text"))
+
+
+def english_text() -> Column:
+    """Text of a unit in the English copy, over units with targets."""
+    return F.when(F.col("english_output"), F.coalesce("target", "text")).otherwise(F.col("text"))
+
+
+def bilingual_cells(units: DataFrame, targets: DataFrame) -> DataFrame:
+    """Text of each cell of a bilingual output."""
+    return units.join(targets, ["doc_id", "id"], "left").select("doc_id", "id", "unit_ord", bilingual_text().alias("out_text"))
 
 
 def bilingual_paragraphs(units: DataFrame, targets: DataFrame) -> DataFrame:
@@ -23,4 +32,4 @@ def bilingual_paragraphs(units: DataFrame, targets: DataFrame) -> DataFrame:
 def english_copy(units: DataFrame, targets: DataFrame) -> DataFrame:
     """Text of each unit of documents that need an English copy."""
     own = units.where("document_direction = 'zh-to-en'").join(targets, ["doc_id", "id"], "left")
-    return own.select("doc_id", "id", "unit_ord", F.when(F.col("english_output"), F.coalesce("target", "text")).otherwise(F.col("text")).alias("out_text"))
+    return own.select("doc_id", "id", "unit_ord", english_text().alias("out_text"))

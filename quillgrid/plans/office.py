@@ -122,7 +122,7 @@ def checked_with_faults(spark, sf_dir: str) -> DataFrame:
     two = stored(_bent(render_ooxml.rendered(files, edits("bilingual_output"), True)))
     copies = files.join(units.where("document_direction = 'zh-to-en'").select("doc_id").distinct(), "doc_id", "left_semi")
     one = stored(_bent(render_ooxml.rendered(copies, edits("english_output"), False)))
-    return package_checks.packages(units, targets, files, two, one)
+    return package_checks.packages(units, targets, files, two, one, lambda _, df: stored(df))
 
 
 def units_with_places(files: DataFrame) -> DataFrame:

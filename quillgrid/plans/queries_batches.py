@@ -73,6 +73,16 @@ def _all(spark, d):
     return u, items, responses.effective_targets(translations, responses.corrections(_reviews(items)))
 
 
+def _own(u, targets):
+    """Units with their targets: what output and checks are worked out from, row by row, without another join."""
+    return u.join(targets, ["doc_id", "id"], "left")
+
+
+def _spoilt(text):
+    """Output texts with planted faults, null where a unit is left out."""
+    return F.when(F.expr(f"NOT ({_DROPPED})"), F.when(F.expr("unit_ord % 9 = 4 AND doc_id % 5 = 0"), F.concat(text, F.lit("!"))).otherwise(text))
+
+
 @query("q10_pending", f"WITH {DUCK} SELECT doc_id, id FROM units WHERE translatable AND unit_ord % 3 <> 0")
 def q10(spark, d):
     u = units(spark, d)
@@ -211,7 +221,7 @@ _CELLS = f"""{PACK}, o AS (SELECT *, CASE WHEN {_DROPPED} THEN NULL ELSE {_FAULT
 @query("q23_qa_cells", f"{_CELLS} SELECT * FROM qa")
 def q23(spark, d):
     u, _, targets = _all(spark, d)
-    return checks.cells(u, targets, _faulty(rendering.bilingual_cells(u, targets)))
+    return checks.cell_rows(_own(u, targets).withColumn("out_text", _spoilt(rendering.bilingual_text())))
 
 
 @query(
@@ -239,7 +249,8 @@ def q24(spark, d):
 )
 def q25(spark, d):
     u, _, targets = _all(spark, d)
-    return checks.english(u, targets, _faulty(rendering.english_copy(u, targets)))
+    own = _own(u.where("document_direction = 'zh-to-en'"), targets)
+    return checks.english_rows(own.withColumn("out_text", _spoilt(rendering.english_text())))
 
 
 _N = "CASE WHEN {0} = '' THEN 0 ELSE len(string_split({0}, ',')) END"
@@ -252,7 +263,7 @@ _N = "CASE WHEN {0} = '' THEN 0 ELSE len(string_split({0}, ',')) END"
 )
 def q28(spark, d):
     u, _, targets = _all(spark, d)
-    return checks.report(R.manifest(u), checks.cells(u, targets, _faulty(rendering.bilingual_cells(u, targets))))
+    return checks.report(R.manifest(u), checks.cell_rows(_own(u, targets).withColumn("out_text", _spoilt(rendering.bilingual_text()))))
 
 
 @query("q27_ordered_hash", f"WITH {DUCK} SELECT doc_id, count(*) AS n_records, sha256(string_agg(id || '|' || source_hash, chr(10) ORDER BY unit_ord)) AS digest FROM classified GROUP BY doc_id")
@@ -383,8 +394,8 @@ def q42(spark, d):
 def flagship(spark, d):
     """Which units are translated in which direction, in which batch, to what text."""
     u, items, targets = _all(spark, d)
-    out = rendering.bilingual_cells(u, targets).select("doc_id", "id", "out_text")
-    return u.select("doc_id", "id", "direction").join(items.select("doc_id", "id", "batch_no"), ["doc_id", "id"], "left").join(out, ["doc_id", "id"]).withColumn("batch_no", F.coalesce("batch_no", F.lit(-1)))
+    own = _own(u, targets).select("doc_id", "id", "direction", rendering.bilingual_text().alias("out_text"))
+    return own.join(items.select("doc_id", "id", "batch_no"), ["doc_id", "id"], "left").select("doc_id", "id", "direction", F.coalesce("batch_no", F.lit(-1)).alias("batch_no"), "out_text")
 
 
 def q34(spark, d):
