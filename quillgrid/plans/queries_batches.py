@@ -143,7 +143,7 @@ def _norm(x: str) -> str:
     return f"trim(regexp_replace({x}, '{SPACE_CLASS}+', ' ', 'g'))"
 
 
-_DEDUP = f"""t AS ({_TERMS}), n AS (SELECT ord, src_rank, {_norm('source')} AS source, {_norm('target')} AS target FROM t),
+_DEDUP = f"""t AS ({_TERMS}), n AS (SELECT ord, src_rank, direction, {_norm('source')} AS source, {_norm('target')} AS target FROM t),
     g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_FOLD.format('source')}, {_FOLD.format('target')} ORDER BY src_rank, ord) AS r FROM n WHERE source <> '' AND target <> '') WHERE r = 1)"""
 
 
@@ -152,7 +152,7 @@ def q16(spark, d):
     return glossary.deduped(_terms(spark, d)).select("ord", "source", "target")
 
 
-@query("q17_glossary_csv", f"WITH {_DEDUP} SELECT source, target, 'u' || ord || ',v' || ord AS context_unit_ids FROM g")
+@query("q17_glossary_csv", f"WITH {_DEDUP} SELECT source, target, coalesce(direction, '') AS direction, '' AS domain, '' AS definition, 'u' || ord || ',v' || ord AS context_unit_ids, '' AS confidence, '' AS notes FROM g")
 def q17(spark, d):
     g = glossary.deduped(_terms(spark, d))
     return glossary.csv_rows(g.withColumn("context_unit_ids", F.array(F.concat(F.lit("u"), "ord"), F.concat(F.lit("v"), "ord"))))

@@ -117,8 +117,8 @@ def test_whole_run_over_packages(spark, tmp_path):
     assert set(names) == {"harbour.bilingual.xlsm", "list.bilingual.docx"} and names["list.bilingual.docx"].english.endswith("/list/list.english.docx") and names["harbour.bilingual.xlsm"].english is None
     engine.export_units(str(tmp_path / "units.jsonl"))
     assert spark.read.json(str(tmp_path / "units.jsonl")).count() == 12
-    # a second run finds nothing to do
-    assert engine.next_batches("translation").count() == 0 and all(r.passed for r in engine.run(provider.Echo()).collect())
+    # a second run would find nothing to ask
+    assert engine.next_batches("translation").count() == 0 and engine.open_batches("review").count() == 0
 
 
 def test_a_repeated_ingest_changes_nothing_and_fenced_reviews_keep_their_corrections(spark, tmp_path):
