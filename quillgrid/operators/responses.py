@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as T
 
 BATCH = ["doc_id", "batch_no"]
+#: What a batch of translations must have: exactly its ids, current hashes and a target everywhere.
+CHECKS = ("ids_ok", "hash_ok", "target_ok")
 CORRECTING = ("replace", "correct", "fix")
 
 
@@ -15,29 +17,42 @@ def _given(c) -> Column:
     return F.length(T.normalize(c)) > 0
 
 
+def _by_id(items: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row for each id of a batch: whether it is expected and received, whether its answers have the current hash and
+    a target everywhere, and its last target. Items and answers are dealt by batch once; all that follows stays there."""
+    answer = F.struct("source_hash", "target", "item_pos")
+    wanted = items.select(*BATCH, "id", F.col("source_hash").alias("_hash"), F.lit(None).cast(answers.select(answer.alias("a")).schema["a"].dataType).alias("_a"))
+    both = wanted.unionByName(answers.select(*BATCH, "id", F.lit(None).cast("string").alias("_hash"), answer.alias("_a"))).repartition(*BATCH)
+    got = F.col("_a").isNotNull()
+    rows = both.groupBy(*BATCH, "id").agg(
+        F.bool_or(~got).alias("expected"), F.bool_or(got).alias("received"), F.max("_hash").alias("_hash"), F.bool_or(got & F.col("_a.source_hash").isNull()).alias("_none"), F.min("_a.source_hash").alias("_least"),
+        F.max("_a.source_hash").alias("_most"), F.bool_and(F.when(got, F.coalesce(_given("_a.target"), F.lit(False)))).alias("given"), F.max_by("_a.target", "_a.item_pos").alias("target"), F.max("_a.item_pos").alias("item_pos"),
+    )
+    current = F.col("_hash").isNull() | (~F.col("_none") & F.coalesce((F.col("_least") == F.col("_hash")) & (F.col("_most") == F.col("_hash")), F.lit(False)))
+    return rows.withColumn("current", F.when(F.col("received"), current)).drop("_hash", "_none", "_least", "_most")
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"ids_ok": F.col("expected") & F.col("received"), "hash_ok": F.col("current"), "target_ok": F.col("given")})
+
+
 def id_differences(items: DataFrame, answers: DataFrame) -> DataFrame:
-    """Missing and extra ids of each batch (full outer join of the expected and the received ids)."""
-    expected = items.select(*BATCH, "id").distinct().withColumn("_e", F.lit(True))
-    received = answers.select(*BATCH, "id").distinct().withColumn("_r", F.lit(True))
-    both = expected.join(received, [*BATCH, "id"], "full")
-    listed = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("id")))), ",")
-    return both.groupBy(*BATCH).agg(listed(F.col("_r").isNull()).alias("missing"), listed(F.col("_e").isNull()).alias("extra"))
+    """Missing and extra ids of each batch; an answer without an id is the extra id ``null``."""
+    listed = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.coalesce("id", F.lit("null"))))), ",")
+    return _by_id(items, answers).groupBy(*BATCH).agg(listed(F.col("expected") & ~F.col("received")).alias("missing"), listed(F.col("received") & ~F.col("expected")).alias("extra"))
 
 
 def verdicts(items: DataFrame, answers: DataFrame) -> DataFrame:
     """Whether each batch of translations is accepted: exact ids, current hashes and a target everywhere."""
-    own = answers.join(items.select(*BATCH, "id", F.col("source_hash").alias("_hash")), [*BATCH, "id"], "left")
-    checks = own.groupBy(*BATCH).agg(F.bool_and(F.col("source_hash").eqNullSafe(F.col("_hash")) | F.col("_hash").isNull()).alias("hash_ok"), F.bool_and(F.coalesce(_given("target"), F.lit(False))).alias("target_ok"))
-    out = id_differences(items, answers).join(checks, BATCH, "left")
-    ids_ok = (F.col("missing") == "") & (F.col("extra") == "")
-    flags = out.select(*BATCH, ids_ok.alias("ids_ok"), F.coalesce("hash_ok", F.lit(False)).alias("hash_ok"), F.coalesce("target_ok", F.lit(False)).alias("target_ok"))
+    flags = _checked(_by_id(items, answers)).groupBy(*BATCH).agg(*(F.coalesce(F.bool_and(c), F.lit(False)).alias(c) for c in CHECKS))
     return flags.withColumn("accepted", F.col("ids_ok") & F.col("hash_ok") & F.col("target_ok"))
 
 
 def accepted_translations(items: DataFrame, answers: DataFrame) -> DataFrame:
     """(doc_id, id, target) of accepted batches; of an id given twice the last counts."""
-    good = verdicts(items, answers).where("accepted").select(*BATCH)
-    return answers.join(good, BATCH, "left_semi").groupBy("doc_id", "id").agg(F.max_by("target", "item_pos").alias("target"))
+    rows, batch = _checked(_by_id(items, answers)), Window.partitionBy(*BATCH)
+    good = rows.withColumns({c: F.coalesce(F.bool_and(c).over(batch), F.lit(False)) for c in CHECKS}).where(F.col("ids_ok") & F.col("hash_ok") & F.col("target_ok"))
+    return good.groupBy("doc_id", "id").agg(F.max_by("target", "item_pos").alias("target"))
 
 
 def corrections(reviews: DataFrame) -> DataFrame:

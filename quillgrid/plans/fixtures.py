@@ -16,8 +16,12 @@ _MIXED = _CASES.format(zh=f"translate(line, '{_FROM}', '{_TO}')")
 
 
 def units_src(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, idx, text): lines of documents, some turned into Chinese."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """(doc_id, idx, text): lines of documents, some turned into Chinese.
+
+    Whole documents are dealt by id before they are cut: the one shuffle moves raw text alone, and what follows, windows,
+    folds and joins by document, finds its rows together.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition("doc_id")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
     return lines.select("doc_id", "idx", F.expr(_MIXED).alias("text"))
 

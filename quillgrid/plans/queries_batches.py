@@ -51,13 +51,12 @@ def _items(units_df):
 
 
 def _answers(items):
-    first = items.where("pos = 0")
-    plain = items.where("NOT (m = 1 AND pos = 0)").select(
-        "doc_id", "batch_no", F.col("pos").alias("item_pos"), "id", F.expr("CASE WHEN m = 3 AND pos = 0 THEN 'bad' ELSE source_hash END").alias("source_hash"), F.expr("CASE WHEN m = 4 AND pos = 0 THEN '  ' ELSE concat('T', unit_ord, ' ', left(text, 5)) END").alias("target")
-    )
-    extra = first.where("m = 2").select("doc_id", "batch_no", F.lit(100).alias("item_pos"), F.lit("doc/extra").alias("id"), F.lit("x").alias("source_hash"), F.lit("y").alias("target"))
-    twice = first.where("m = 5").select("doc_id", "batch_no", F.lit(101).alias("item_pos"), "id", "source_hash", F.lit("second").alias("target"))
-    return plain.union(extra).union(twice)
+    """Answers with planted faults, all from one pass over the items."""
+    one = "struct({} AS item_pos, {} AS id, {} AS source_hash, {} AS target)"
+    plain = one.format("pos", "id", "CASE WHEN m = 3 AND pos = 0 THEN 'bad' ELSE source_hash END", "CASE WHEN m = 4 AND pos = 0 THEN '  ' ELSE concat('T', unit_ord, ' ', left(text, 5)) END")
+    extra, twice = one.format("100", "'doc/extra'", "'x'", "'y'"), one.format("101", "id", "source_hash", "'second'")
+    given = f"array(CASE WHEN NOT (m = 1 AND pos = 0) THEN {plain} END, CASE WHEN m = 2 AND pos = 0 THEN {extra} END, CASE WHEN m = 5 AND pos = 0 THEN {twice} END)"
+    return items.select("doc_id", "batch_no", F.inline(F.array_compact(F.expr(given))))
 
 
 def _reviews(items):
