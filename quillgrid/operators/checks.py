@@ -60,6 +60,14 @@ def paragraphs(units: DataFrame, targets: DataFrame, outputs: DataFrame) -> Data
     return paragraph_rows(wanted.join(got, "doc_id", "left"))
 
 
+def unit_rows(own: DataFrame, out: Column) -> DataFrame:
+    """The same checks of units that have their target, with ``out`` the output paragraphs (out_ord, out_text) of each unit."""
+    w = F.when(F.col("bilingual_output"), F.struct("unit_ord", "id", "text", T.normalize(F.coalesce("target", F.lit(""))).alias("target")))
+    g = F.transform(out, lambda x: F.struct(x["out_ord"].alias("out_ord"), x["out_text"].alias("out_text"), T.normalize(x["out_text"]).alias("n")))
+    rows = own.select("doc_id", w.alias("w"), g.alias("g")).groupBy("doc_id")
+    return paragraph_rows(rows.agg(F.array_sort(F.collect_list("w")).alias("w"), F.array_sort(F.flatten(F.collect_list("g"))).alias("g")).where(F.size("w") > 0))
+
+
 def paragraph_rows(documents: DataFrame) -> DataFrame:
     """The same checks of documents with their wanted units ``w`` and output paragraphs ``g``, both sorted.
 

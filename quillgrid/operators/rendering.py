@@ -22,11 +22,15 @@ def bilingual_cells(units: DataFrame, targets: DataFrame) -> DataFrame:
     return units.join(targets, ["doc_id", "id"], "left").select("doc_id", "id", "unit_ord", bilingual_text().alias("out_text"))
 
 
+def unit_paragraphs() -> Column:
+    """Paragraphs (part, out_text) of a unit, over units with targets: its source, then its translation where output is bilingual."""
+    source, translation = (F.struct(F.lit(i).alias("part"), F.col(c).alias("out_text")) for i, c in enumerate(("text", "target")))
+    return F.array_compact(F.array(source, F.when(F.col("bilingual_output") & F.col("target").isNotNull(), translation)))
+
+
 def bilingual_paragraphs(units: DataFrame, targets: DataFrame) -> DataFrame:
     """Paragraphs in order (unit_ord, part): each source, followed by its translation where output is bilingual."""
-    own = units.join(targets, ["doc_id", "id"], "left")
-    rows = F.array(F.struct(F.lit(0).alias("part"), F.col("text").alias("out_text")), F.when(F.col("bilingual_output") & F.col("target").isNotNull(), F.struct(F.lit(1).alias("part"), F.col("target").alias("out_text"))))
-    return own.select("doc_id", "unit_ord", F.inline(F.array_compact(rows)))
+    return units.join(targets, ["doc_id", "id"], "left").select("doc_id", "unit_ord", F.inline(unit_paragraphs()))
 
 
 def english_copy(units: DataFrame, targets: DataFrame) -> DataFrame:

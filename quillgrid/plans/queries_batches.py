@@ -207,10 +207,6 @@ _FAULTY = "CASE WHEN unit_ord % 9 = 4 AND doc_id % 5 = 0 THEN {0} || '!' ELSE {0
 _DROPPED = "doc_id % 5 = 1 AND unit_ord % 7 = 2"
 
 
-def _faulty(df):
-    return df.where(f"NOT ({_DROPPED})").withColumn("out_text", F.expr("CASE WHEN unit_ord % 9 = 4 AND doc_id % 5 = 0 THEN concat(out_text, '!') ELSE out_text END"))
-
-
 _LISTED = "coalesce(string_agg(id, ',' ORDER BY unit_ord) FILTER ({}), '') AS {}"
 _CELLS = f"""{PACK}, o AS (SELECT *, CASE WHEN {_DROPPED} THEN NULL ELSE {_FAULTY.format('out_text')} END AS got FROM cells0),
     q AS (SELECT doc_id, {_LISTED.format('got IS NULL', 'missing_original')}, {_LISTED.format("got IS NOT NULL AND bilingual_output AND got <> text || chr(10) || coalesce(target, '')", 'missing_translation')}, {_LISTED.format('got IS NOT NULL AND NOT bilingual_output AND got <> text', 'changed_nontranslatable')} FROM o GROUP BY doc_id),
@@ -236,8 +232,9 @@ def q23(spark, d):
 )
 def q24(spark, d):
     u, _, targets = _all(spark, d)
-    out = _faulty(rendering.bilingual_paragraphs(u, targets)).withColumn("out_ord", F.col("unit_ord") * 2 + F.col("part"))
-    return checks.paragraphs(u, targets, out)
+    there = F.filter(rendering.unit_paragraphs(), lambda _: F.expr(f"NOT ({_DROPPED})"))
+    out = F.transform(there, lambda x: F.struct((F.col("unit_ord") * 2 + x["part"]).alias("out_ord"), _spoilt(x["out_text"]).alias("out_text")))
+    return checks.unit_rows(_own(u, targets), out)
 
 
 @query(
