@@ -60,7 +60,7 @@ def _lives(pid: int | None) -> bool:
     return True
 
 
-def log_tail(work: str | Path, lines: int = 20) -> list[str]:
+def log_tail(work: str | Path, lines: int = 12) -> list[str]:
     """The last lines of a job's log; however long the log is, only its end is read."""
     try:
         with open(Path(work) / LOG, "rb") as f:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions import text as T
 from quillgrid.operators import batching, checks, glossary, jobs, package_checks, provider, render_ooxml, rendering, responses, roles
 from quillgrid.sources import ooxml
+from quillgrid.sources.files import write_files
 from quillgrid.streaming.ingest import answered
 
 PHASES = ("analysis", "translation", "review")
@@ -149,7 +150,7 @@ class Engine:
 
         Packages are read again and checked; the result is stored as ``qa`` (and as JSON lines), with ``report`` and ``artefacts``.
         """
-        units = self.read("units")
+        units = roles.completed(self.read("units"))
         self.targets().write.mode("overwrite").parquet(self._path("targets"))
         targets = self.read("targets")
         if units.where("translatable").join(targets, ["doc_id", "id"], "left_anti").limit(1).count():
@@ -170,6 +171,26 @@ class Engine:
         self._kept("artefacts", own.select("doc_id", *(c.alias(n) for n, c in jobs.artefacts(F.col("path"), self._path("output"), F.col("english_required")).items())))
         return qa
 
+    def deliver(self, root: str, flat: bool = False) -> DataFrame:
+        """Write the output files of finalized packages under ``root``, a folder for each or all in one; returns (path, bytes).
+
+        Inputs whose outputs would have the same name are refused before anything is written.
+        """
+        qa = self.read("qa")
+        own = qa.join(self.read("files").select("doc_id", "path"), "doc_id")
+        names = jobs.artefacts(F.col("path"), "", F.col("english_required"), flat)
+        named = own.select("doc_id", *(c.alias(n) for n, c in names.items()), F.to_json(F.struct(*qa.columns), {"ignoreNullFields": "false"}).alias("_qa"))
+        twice = named.groupBy("qa").count().where("count > 1").select("qa").first()
+        if twice:
+            raise ValueError(f"several inputs would be written to {root}{twice[0]}")
+        text = lambda name, value: F.struct(F.col(name).alias("path"), F.encode(value, "UTF-8").alias("content"))
+        told = named.join(self.read("report").withColumnRenamed("report", "_report"), "doc_id")
+        terms = F.lit(glossary.csv_text(self.read("glossary")))
+        rows = told.select(F.inline(F.array(text("qa", F.col("_qa")), text("report", F.col("_report")), text("glossary", terms))))
+        for name in ("bilingual", "english"):
+            rows = rows.union(named.where(F.col(name).isNotNull()).join(self.read(f"{name}_files"), "doc_id").select(F.col(name).alias("path"), "content"))
+        return self._kept("delivered", write_files(rows, root))
+
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(self._path(name))
         return self.read(name)

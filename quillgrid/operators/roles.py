@@ -61,6 +61,22 @@ def with_roles(units: DataFrame) -> DataFrame:
     )
 
 
+def completed(units: DataFrame) -> DataFrame:
+    """Units of older work folders with the output flags they lack, column or value: bilingual output follows
+    ``translatable``, the English copy the unit's direction, in documents that need one."""
+    have = set(units.columns)
+    if "document_direction" not in have:
+        n = F.coalesce("normalized_text", T.normalize("text"))
+        counts = {"cjk": T.cjk_count(n).cast("long"), "latin": T.latin_count(n).cast("long"), "detected_direction": F.col("direction")}
+        lack = {c: v for c, v in counts.items() if c not in have}
+        by_doc = Window.partitionBy("doc_id")
+        sums = {c: v.over(by_doc) for c, v in _evidence().items() if c.endswith("score")}
+        units = units.withColumns(lack).withColumns(sums).withColumn("document_direction", _verdict()[2]).drop(*sums, *lack)
+    given = lambda c, rule: F.coalesce(c, rule) if c in have else rule
+    english = given("english_output", F.coalesce(F.col("direction") == ZH, F.lit(False)))
+    return units.withColumns({"bilingual_output": given("bilingual_output", F.col("translatable")), "english_output": english & (F.col("document_direction") == ZH)})
+
+
 def manifest(units: DataFrame) -> DataFrame:
     """Counts of each document's units with roles."""
     return units.groupBy("doc_id").agg(

@@ -156,3 +156,10 @@ def q45(spark, d):
 
     p = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr("concat('/in/', source, '/', CASE doc_id % 3 WHEN 0 THEN concat('Report ', doc_id, '.docx') WHEN 1 THEN concat('_Böok-', doc_id, '.XLSX') ELSE '..é.pdf' END)").alias("path"))
     return p.select("doc_id", *(c.alias(n) for n, c in jobs.artefacts(F.col("path"), "/out", F.expr("doc_id % 4 = 0"), flat=True).items()))
+
+
+@query("q46_older_units", f"WITH {DUCK}, o AS (SELECT *, CASE WHEN doc_id % 3 = 1 THEN NULL ELSE bilingual_output END AS b, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE english_output END AS e FROM units) SELECT doc_id, id, coalesce(b, translatable) AS bilingual_output, coalesce(e, direction = 'zh-to-en') AND document_direction = 'zh-to-en' AS english_output FROM o")
+def q46(spark, d):
+    """Output flags of units that were written before there were any, in part."""
+    older = units(spark, d).withColumns({"bilingual_output": F.expr("CASE WHEN doc_id % 3 = 1 THEN NULL ELSE bilingual_output END"), "english_output": F.expr("CASE WHEN doc_id % 2 = 0 THEN NULL ELSE english_output END")})
+    return roles.completed(older).select("doc_id", "id", "bilingual_output", "english_output")

@@ -14,9 +14,9 @@ from pyspark import cloudpickle
 
 from quillgrid import background
 from quillgrid.engine import Engine
-from quillgrid.operators import glossary, provider, render_ooxml
+from quillgrid.operators import glossary, provider, render_ooxml, responses, roles
 from quillgrid.plans import office
-from quillgrid.sources import ooxml
+from quillgrid.sources import files, ooxml
 from quillgrid.sources import ooxml_xml as xml
 from quillgrid.streaming import ingest
 
@@ -115,6 +115,13 @@ def test_whole_run_over_packages(spark, tmp_path):
     assert all("- Result: **PASS**" in r for r in report.values()) and sum("## Pure English copy" in r for r in report.values()) == 1
     names = {r.bilingual.rsplit("/", 1)[1]: r for r in engine.read("artefacts").collect()}
     assert set(names) == {"harbour.bilingual.xlsm", "list.bilingual.docx"} and names["list.bilingual.docx"].english.endswith("/list/list.english.docx") and names["harbour.bilingual.xlsm"].english is None
+    delivered = {r.path: r.bytes for r in engine.deliver(str(tmp_path / "out")).collect()}
+    there = {"/" + str(p.relative_to(tmp_path / "out")): p for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert set(there) == set(delivered) == {f"/harbour/harbour.{x}" for x in ("bilingual.xlsm", "glossary.csv", "qa-report.md", "qa.json")} | {f"/list/list.{x}" for x in ("bilingual.docx", "english.docx", "glossary.csv", "qa-report.md", "qa.json")}
+    assert all(p.stat().st_size == delivered[n] for n, p in there.items())
+    assert members(there["/harbour/harbour.bilingual.xlsm"].read_bytes()) == book and there["/list/list.glossary.csv"].read_bytes() == csv
+    assert json.loads(there["/list/list.qa.json"].read_text("utf-8"))["passed"] and "**PASS**" in there["/list/list.qa-report.md"].read_text("utf-8")
+    assert {r.path for r in engine.deliver(str(tmp_path / "flat"), flat=True).collect()} == {"/" + n.rsplit("/", 1)[1] for n in there}
     engine.export_units(str(tmp_path / "units.jsonl"))
     assert spark.read.json(str(tmp_path / "units.jsonl")).count() == 12
     # a second run would find nothing to ask
@@ -152,6 +159,43 @@ def test_a_broken_table_is_not_an_empty_one(spark, tmp_path):
         engine.read("terms", "doc_id bigint")
 
 
+def test_json_objects_of_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"phase": "review",\n "n": 3}\n')
+    read = lambda name, default=None: files.read_objects(spark, str(tmp_path / name), "struct<phase:string,n:int>", default).collect()
+    assert [(r.path.endswith("/a.json"), r.value.phase, r.value.n) for r in read("a.json")] == [(True, "review", 3)]
+    assert [(r.path, r.value.n) for r in read("none.json", '{"n": 0}')] == [(None, 0)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read("none.json")
+    for bad in ("[1]", "{", ""):
+        (tmp_path / "bad.json").write_text(bad + "\n")
+        with pytest.raises(Exception, match="expected a JSON object in .*bad.json"):
+            read("bad.json", "{}")
+
+
+def test_two_inputs_of_one_name_are_not_delivered(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "work"))
+    spark.createDataFrame([(1, True, True), (2, True, True)], "doc_id int, english_required boolean, passed boolean").write.parquet(str(tmp_path / "work/qa"))
+    spark.createDataFrame([(1, "/in/a/plan.docx"), (2, "/in/b/plan.docx")], "doc_id int, path string").write.parquet(str(tmp_path / "work/files"))
+    with pytest.raises(ValueError, match="several inputs"):
+        engine.deliver(str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_older_units_get_their_flags(spark):
+    rows = [(1, "灯塔守望海面", "zh-to-en", True), (1, "Harbour notes", "keep", False), (2, "Harbour notes for crews", "en-to-zh", True)]
+    units = spark.createDataFrame([(d, f"u{i}", t, t, x, k) for i, (d, t, x, k) in enumerate(rows)], "doc_id int, id string, text string, normalized_text string, direction string, translatable boolean")
+    got = {r.id: (r.document_direction, r.bilingual_output, r.english_output) for r in roles.completed(units).collect()}
+    assert got == {"u0": ("zh-to-en", True, True), "u1": ("zh-to-en", False, False), "u2": ("en-to-zh", True, False)}
+
+
+def test_an_answer_without_an_id_rejects_its_batch(spark):
+    items = spark.createDataFrame([(1, 0, "a", "h")], "doc_id int, batch_no int, id string, source_hash string")
+    answers = spark.createDataFrame([(1, 0, 0, "a", "h", "x"), (1, 0, 1, None, None, "y")], "doc_id int, batch_no int, item_pos int, id string, source_hash string, target string")
+    assert [tuple(r) for r in responses.id_differences(items, answers).collect()] == [(1, 0, "", "null")]
+    assert responses.accepted_translations(items, answers).count() == 0
+    assert [tuple(r) for r in responses.accepted_translations(items, answers.where("id IS NOT NULL")).collect()] == [(1, "a", "x")]
+
+
 def test_a_glossary_file_must_hold_terms(spark, tmp_path):
     for text, ok in (('[{"source": "a", "target": "b"}]', True), ('{"terms": []}', True), ('{"other": 1}', False), ('"x"', False)):
         (tmp_path / "g.json").write_text(text)
