@@ -19,14 +19,19 @@ def pending(units: DataFrame, done: DataFrame | None = None) -> DataFrame:
 
 def packed(units: DataFrame, limit: int = LIMIT, chars: int = CHARS) -> DataFrame:
     """(doc_id, id, unit_ord, batch_no): an ordered prefix at a time; a batch closes before the unit that would exceed
-    the count or the characters, and its first unit always goes in. One ordered fold for each document."""
-    fold = f"""aggregate(array_sort(collect_list(struct(unit_ord, id, length(text) AS n))),
-        named_struct('b', 0, 'k', 0, 't', 0L, 'o', cast(array() AS array<struct<unit_ord:bigint,id:string,batch_no:int>>)),
+    the count or the characters, and its first unit always goes in.
+
+    One ordered fold for each document, which keeps only where batches start; the units are then cut there.
+    """
+    starts = f"""aggregate(u, named_struct('i', 0, 'k', 0, 't', 0L, 'o', array(0)),
         (s, x) -> CASE WHEN s.k > 0 AND (s.k >= {limit} OR s.t + x.n > {chars})
-            THEN named_struct('b', s.b + 1, 'k', 1, 't', cast(x.n AS bigint), 'o', array_append(s.o, named_struct('unit_ord', x.unit_ord, 'id', x.id, 'batch_no', s.b + 1)))
-            ELSE named_struct('b', s.b, 'k', s.k + 1, 't', s.t + x.n, 'o', array_append(s.o, named_struct('unit_ord', x.unit_ord, 'id', x.id, 'batch_no', s.b))) END,
+            THEN named_struct('i', s.i + 1, 'k', 1, 't', cast(x.n AS bigint), 'o', array_append(s.o, s.i))
+            ELSE named_struct('i', s.i + 1, 'k', s.k + 1, 't', s.t + x.n, 'o', s.o) END,
         s -> s.o)"""
-    return units.groupBy("doc_id").agg(F.expr(fold).alias("_o")).select("doc_id", F.explode("_o").alias("_u")).select("doc_id", "_u.*")
+    cut = "transform(starts, (a, b) -> struct(b AS batch_no, slice(u, a + 1, coalesce(get(starts, b + 1), size(u)) - a) AS own))"
+    rows = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.expr("struct(unit_ord, id, length(text) AS n)"))).alias("u")).withColumn("starts", F.expr(starts))
+    batches = rows.select("doc_id", F.inline(F.expr(cut)))
+    return batches.select("doc_id", "batch_no", F.explode("own").alias("x")).select("doc_id", "x.id", "x.unit_ord", "batch_no")
 
 
 def payloads(units: DataFrame, phase: str, limit: int = LIMIT, chars: int = CHARS, targets: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
