@@ -51,8 +51,10 @@ def shingles_sql(words: str) -> str:
     """The shingles as text, each with its number among equal ones: sets of these are bags of shingles."""
     plain = f"""CASE WHEN size({words}) = 0 THEN cast(array() AS array<string>) WHEN size({words}) < {WORDS} THEN array(array_join({words}, ' '))
         ELSE transform(sequence(1, size({words}) - {WORDS - 1}), i -> array_join(slice({words}, i, {WORDS}), ' ')) END"""
-    # the outer transform binds the plain shingles, which would else be built again for each of them
-    return f"transform(array({plain}), p -> transform(p, (x, i) -> concat(size(filter(slice(p, 1, i + 1), y -> y = x)), ' ', x)))[0]"
+    # the outer transform binds the plain shingles, which would else be built again for each of them; where none repeats,
+    # as in nearly all windows, each is the first of its kind, without looking back at the others
+    numbered = "transform(p, (x, i) -> concat(size(filter(slice(p, 1, i + 1), y -> y = x)), ' ', x))"
+    return f"transform(array({plain}), p -> CASE WHEN size(array_distinct(p)) = size(p) THEN transform(p, x -> concat('1 ', x)) ELSE {numbered} END)[0]"
 
 
 def simhash_sql(hashes: str) -> str:
