@@ -46,7 +46,7 @@ class Engine:
         files = ooxml.packages(self.spark, inputs)
         files.write.mode("overwrite").parquet(self._path("files"))
         files = self.read("files")
-        lines = ooxml.package_units(ooxml.parts(files))
+        lines = ooxml.package_units(files)
         lines.write.mode("overwrite").parquet(self._path("lines"))
         return self.refresh_roles()
 
@@ -164,7 +164,7 @@ class Engine:
         two = self._kept("bilingual_files", render_ooxml.rendered(files, placed.where("bilingual_output"), True))
         copies = files.join(units.where("document_direction = 'zh-to-en'").select("doc_id").distinct(), "doc_id", "left_semi")
         one = self._kept("english_files", render_ooxml.rendered(copies, placed.where("english_output"), False))
-        qa = self._kept("qa", package_checks.packages(units, targets, files, two, one, lambda n, df: self._kept(f"checked/{n}", df)))
+        qa = self._kept("qa", package_checks.packages(units, targets, files, two, one))
         qa.write.mode("overwrite").json(self._path("qa.json"))
         self._kept("report", package_checks.report(qa, files))
         own = qa.join(files.select("doc_id", "path"), "doc_id")

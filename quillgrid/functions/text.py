@@ -23,6 +23,11 @@ def char_class(ranges: str) -> str:
     return "[" + "".join("-".join(rf"\x{{{x}}}" for x in part.split("-")) for part in ranges.split()) + "]"
 
 
+def python_class(ranges: str) -> str:
+    """The same class for Python."""
+    return "[" + "".join("-".join(rf"\U{int(x, 16):08x}" for x in part.split("-")) for part in ranges.split()) + "]"
+
+
 SPACE_CLASS, CJK_CLASS, LATIN_CLASS = char_class(SPACES), char_class(CJK), char_class(LATIN)
 
 

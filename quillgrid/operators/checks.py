@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,17 @@ def cells(units: DataFrame, targets: DataFrame, outputs: DataFrame) -> DataFrame
 
 def cell_rows(own: DataFrame) -> DataFrame:
     """The same checks of units that have their target and their ``out_text``, null where there is none."""
-    gone = F.col("out_text").isNull()
-    wanted = F.concat("text", F.lit("\n"), F.coalesce("target", F.lit("")))
-    out = own.groupBy("doc_id").agg(
-        ids_where(gone).alias("missing_original"), ids_where(~gone & F.col("bilingual_output") & (F.col("out_text") != wanted)).alias("missing_translation"),
-        ids_where(~gone & ~F.col("bilingual_output") & (F.col("out_text") != F.col("text"))).alias("changed_nontranslatable"),
-    )
-    return _verdict(out, "missing_original", "missing_translation", "changed_nontranslatable")
+    rules = cell_rules(F.col)
+    return _verdict(own.groupBy("doc_id").agg(*(ids_where(c).alias(n) for n, c in rules.items())), *rules)
+
+
+def cell_rules(x: Callable[[str], Column]) -> dict[str, Column]:
+    """What is wrong with a unit's cell, over its columns or fields."""
+    gone = x("out_text").isNull()
+    wanted = F.concat(x("text"), F.lit("\n"), F.coalesce(x("target"), F.lit("")))
+    return {
+        "missing_original": gone, "missing_translation": ~gone & x("bilingual_output") & (x("out_text") != wanted), "changed_nontranslatable": ~gone & ~x("bilingual_output") & (x("out_text") != x("text")),
+    }
 
 
 def english(units: DataFrame, targets: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -44,12 +50,17 @@ def english(units: DataFrame, targets: DataFrame, outputs: DataFrame) -> DataFra
 
 def english_rows(own: DataFrame) -> DataFrame:
     """The same checks of units of such documents that have their target and their ``out_text``, null where there is none."""
-    gone, swapped = F.col("out_text").isNull(), F.col("english_output") & F.col("target").isNotNull()
-    out = own.groupBy("doc_id").agg(
-        ids_where(gone).alias("missing_units"), ids_where(~gone & swapped & (F.col("out_text") != F.col("target"))).alias("incorrect_replacements"), ids_where(~gone & ~swapped & (F.col("out_text") != F.col("text"))).alias("changed_preserved"),
-        ids_where(~gone & swapped & (T.cjk_count("target") > 0)).alias("residual_chinese_targets"),
-    )
-    return _verdict(out, "missing_units", "incorrect_replacements", "changed_preserved", "residual_chinese_targets")
+    rules = english_rules(F.col)
+    return _verdict(own.groupBy("doc_id").agg(*(ids_where(c).alias(n) for n, c in rules.items())), *rules)
+
+
+def english_rules(x: Callable[[str], Column]) -> dict[str, Column]:
+    """What is wrong with a unit of an English copy, over its columns or fields."""
+    gone, swapped = x("out_text").isNull(), x("english_output") & x("target").isNotNull()
+    return {
+        "missing_units": gone, "incorrect_replacements": ~gone & swapped & (x("out_text") != x("target")), "changed_preserved": ~gone & ~swapped & (x("out_text") != x("text")),
+        "residual_chinese_targets": ~gone & swapped & (T.cjk_count(x("target")) > 0),
+    }
 
 
 def paragraphs(units: DataFrame, targets: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -68,19 +79,23 @@ def unit_rows(own: DataFrame, out: Column) -> DataFrame:
     return paragraph_rows(rows.agg(F.array_sort(F.collect_list("w")).alias("w"), F.array_sort(F.flatten(F.collect_list("g"))).alias("g")).where(F.size("w") > 0))
 
 
+def scanned(w: str, texts: str, normal: str) -> str:
+    """The scan of ``paragraph_rows`` as SQL over arrays of wanted units, output texts and normalised output texts."""
+    return f"""aggregate({w}, named_struct('c', 0, 'mo', cast(array() AS array<string>), 'mt', cast(array() AS array<string>)), (s, x) ->
+        transform(array(CASE WHEN coalesce(get({texts}, s.c), '') = x.text AND s.c < size({texts}) THEN 1 ELSE cast(array_position(slice({texts}, s.c + 1, greatest(size({texts}) - s.c, 0)), x.text) AS int) END), p -> CASE
+            WHEN p = 0 THEN named_struct('c', s.c, 'mo', array_append(s.mo, x.id), 'mt', s.mt)
+            WHEN coalesce(get({normal}, s.c + p), '') <> x.target THEN named_struct('c', s.c + p, 'mo', s.mo, 'mt', array_append(s.mt, x.id))
+            ELSE named_struct('c', s.c + p + 1, 'mo', s.mo, 'mt', s.mt) END)[0])"""
+
+
 def paragraph_rows(documents: DataFrame) -> DataFrame:
     """The same checks of documents with their wanted units ``w`` and output paragraphs ``g``, both sorted.
 
     A greedy forward scan, as an ordered fold over the units with the place reached as state. Lists of what is missing
     grow by what is wrong alone.
     """
-    fold = """aggregate(w, named_struct('c', 0, 'mo', cast(array() AS array<string>), 'mt', cast(array() AS array<string>)), (s, x) ->
-        transform(array(CASE WHEN coalesce(get(texts, s.c), '') = x.text AND s.c < size(texts) THEN 1 ELSE cast(array_position(slice(texts, s.c + 1, greatest(size(texts) - s.c, 0)), x.text) AS int) END), p -> CASE
-            WHEN p = 0 THEN named_struct('c', s.c, 'mo', array_append(s.mo, x.id), 'mt', s.mt)
-            WHEN coalesce(get(normal, s.c + p), '') <> x.target THEN named_struct('c', s.c + p, 'mo', s.mo, 'mt', array_append(s.mt, x.id))
-            ELSE named_struct('c', s.c + p + 1, 'mo', s.mo, 'mt', s.mt) END)[0])"""
     both = documents.select("doc_id", "w", F.expr("coalesce(transform(g, x -> x.out_text), cast(array() AS array<string>))").alias("texts"), F.expr("coalesce(transform(g, x -> x.n), cast(array() AS array<string>))").alias("normal"))
-    out = both.withColumn("r", F.expr(fold)).select("doc_id", F.array_join("r.mo", ",").alias("missing_original"), F.array_join("r.mt", ",").alias("missing_translation"))
+    out = both.withColumn("r", F.expr(scanned("w", "texts", "normal"))).select("doc_id", F.array_join("r.mo", ",").alias("missing_original"), F.array_join("r.mt", ",").alias("missing_translation"))
     return _verdict(out, "missing_original", "missing_translation")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.functions import text as T
+from quillgrid.functions.rows import settled
 from quillgrid.operators import checks
 from quillgrid.operators.jobs import CONTRACT
 from quillgrid.sources import ooxml
@@ -16,68 +16,70 @@ ENGLISH = ["missing_units", "incorrect_replacements", "changed_preserved", "resi
 COUNTS = ["media", "tables", "sections", "merged", "validations", "conditional_formats", "hyperlinks", "formulas", "sheets_digest", "parts_digest"]
 
 
-def _same(before: DataFrame, after: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """(doc_id, name): whether a package has the same values before and after."""
-    own = before.join(after.select("doc_id", *(F.col(c).alias(f"_{c}") for c in columns)), "doc_id", "left")
-    same = F.lit(True)
-    for c in columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return own.select("doc_id", same.alias(name))
-
-
-def not_wrapped(units: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc_id, not_wrapped): ids of bilingual cells whose format in the package doesn't wrap, in order."""
-    wanted = units.where(F.col("bilingual_output") & F.startswith("part", F.lit("xl/"))).select("doc_id", "part", F.col("place").alias("cell"), "id", "unit_ord")
-    cells = ooxml.cells(parts).join(wanted, ["doc_id", "part", "cell"])
-    styles = ooxml.wrapped(ooxml.styles(parts), "doc_id").withColumnRenamed("idx", "_s")
-    flat = cells.withColumn("_s", ooxml.format_position("s")).join(styles, ["doc_id", "_s"], "left_anti")
-    return flat.groupBy("doc_id").agg(checks.ids_where(F.lit(True)).alias("not_wrapped"))
+def packages(units: DataFrame, targets: DataFrame, files: DataFrame, bilingual: DataFrame, english: DataFrame) -> DataFrame:
+    """One row for each document: violation lists, structure, signature and one verdict.
 
+    ``units`` have part and place; ``files``, ``bilingual`` and ``english`` are (doc_id, content).
+    """
+    unit = F.struct("unit_ord", "id", "part", "place", "text", "translatable", "bilingual_output", "english_output", "target")
+    rows = units.join(targets.select("doc_id", "id", "target"), ["doc_id", "id"], "left").groupBy("doc_id").agg(F.first("document_direction").alias("document_direction"), F.array_sort(F.collect_list(unit)).alias("units"))
+    for name, own in (("source", files), ("bilingual", bilingual), ("english", english)):
+        rows = rows.join(own.select("doc_id", F.col("content").alias(name)), "doc_id", "left")
+    return checked(rows)
 
-def packages(units: DataFrame, targets: DataFrame, files: DataFrame, bilingual: DataFrame, english: DataFrame, kept: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
-    """One row for each document: violation lists, structure, signature and one verdict.
 
-    ``kept`` stores a named table and gives it back, so that each package is opened and read once.
+def checked(rows: DataFrame) -> DataFrame:
+    """The same for documents (doc_id, document_direction, units, source, bilingual, english): units in order with their
+    targets, and the packages; a document's check needs no other row.
 
-    ``units`` have part and place; ``files``, ``bilingual`` and ``english`` are (doc_id, content). Cells are met by their
-    place; paragraphs of a bilingual text by order, as translations stand between them, those in text boxes on their own, as
-    they stand before the translation of the paragraph around them; those of an English copy by place.
+    Each package is opened and read once. Cells are met by their place; paragraphs of a bilingual text by order, as
+    translations stand between them, those in text boxes on their own, as they stand before the translation of the
+    paragraph around them; those of an English copy by place.
     """
-    sheet = F.startswith("part", F.lit("xl/"))
-    own = units.select("doc_id", "id", "unit_ord", "part", "place", "text", "translatable", "bilingual_output", "english_output", "document_direction")
-    opened = {n: kept(f"parts_{n}", ooxml.parts(x)) for n, x in (("source", files), ("bilingual", bilingual), ("english", english))}
-    before, after, copied = (kept(f"structure_{n}", ooxml.structure(x)) for n, x in opened.items())
-    two = kept("lines_bilingual", ooxml.package_units(opened["bilingual"])).select("doc_id", F.col("idx").cast("long").alias("out_ord"), "part", "place", "depth", F.col("text").alias("out_text"))
-    one = kept("lines_english", ooxml.package_units(opened["english"])).select("doc_id", "part", "place", F.col("text").alias("out_text"))
-    books, texts = own.where(sheet), own.where(~sheet)
-    by_place = lambda got: own.select("doc_id", "id", "part", "place").join(got, ["doc_id", "part", "place"]).select("doc_id", "id", "out_text")
-    in_cells = checks.cells(books, targets, by_place(two.where(sheet))).drop("passed")
-    depths = ooxml.paragraphs(opened["source"]).select("doc_id", "part", F.col("idx").cast("string").alias("place"), "depth").select("doc_id", "part", "place", "depth").where("depth > 0")
-    level = F.struct("doc_id", "depth").alias("doc_id")
-    leveled = texts.join(depths, ["doc_id", "part", "place"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-    meant = leveled.join(targets, ["doc_id", "id"]).select(level, "id", "target")
-    found = checks.paragraphs(leveled.withColumn("doc_id", level), meant, two.where(~sheet).withColumn("doc_id", level)).select("doc_id.*", "missing_original", "missing_translation")
-    merged = lambda c: F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("depth", c))), lambda x: x[c]), lambda x: x != ""), ",").alias(c)
-    in_order = found.groupBy("doc_id").agg(merged("missing_original"), merged("missing_translation")).withColumn("changed_nontranslatable", F.lit(""))
-    lists = in_cells.unionByName(in_order)
-    copies = checks.english(own, targets, by_place(one)).drop("passed")
-    counted = units.groupBy("doc_id").agg(F.first("document_direction").alias("document_direction"), F.count(F.lit(1)).alias("original_units"), F.count_if("translatable").alias("translatable_count"))
-    wanted = own.where("english_output AND document_direction = 'zh-to-en'").join(targets, ["doc_id", "id"], "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("requested_replacements"))
-    out = counted
-    for more in (
-        two.groupBy("doc_id").agg(F.count(F.lit(1)).alias("output_units")), lists, not_wrapped(units, opened["bilingual"]), _same(before, after, COUNTS, "structure_ok"),
-        wanted, copies, _same(before, copied, COUNTS, "english_structure_ok"), _same(before, copied, ["format_signature"], "format_ok"),
-    ):
-        out = out.join(more, "doc_id", "left")
+    places = F.transform("units", lambda u: F.struct(u["part"].alias("part"), u["place"].alias("place")))
+    read = lambda c, **more: ooxml.read(F.col(c), F.col("places"), structure=True, **more)
+    own = settled(rows, places=places)
+    own = own.withColumns({"_s": read("source"), "_b": read("bilingual", lines=True), "_e": read("english")}).select(
+        "doc_id", "document_direction", "units", F.col("_s.structure").alias("before"), F.col("_b.structure").alias("after"), F.col("_e.structure").alias("copied"),
+        F.col("_s.found").alias("_sf"), F.col("_b.found").alias("_bf"), F.col("_e.found").alias("_ef"), F.col("_b.lines").alias("lines"),
+    )
+    fields = ("id", "text", "target", "bilingual_output", "english_output")
+    at = lambda c, k, f: F.get(F.col(c), k)[f].alias(f"{c}_{f}")
+    unit = lambda u, k: F.struct(F.startswith(u["part"], F.lit("xl/")).alias("sheet"), *(u[f].alias(f) for f in fields), at("_sf", k, "depth"), at("_bf", k, "text"), at("_bf", k, "flat"), at("_ef", k, "text"))
+    own = settled(own, z=F.transform("units", unit))
+    ids = lambda cond: F.array_join(F.transform(F.filter("z", cond), lambda x: x["id"]), ",")
+    seen = lambda x, text: lambda name: x[text] if name == "out_text" else x[name]
     required = F.col("document_direction") == "zh-to-en"
-    out = out.withColumns({c: F.coalesce(c, F.lit("")) for c in (*LISTS, *ENGLISH)} | {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("output_units", "requested_replacements")})
-    out = out.withColumn("structure_ok", F.coalesce("structure_ok", F.lit(False)))
+    cell = lambda n: lambda x: x["sheet"] & checks.cell_rules(seen(x, "_bf_text"))[n]
+    copy = lambda n: lambda x: checks.english_rules(seen(x, "_ef_text"))[n]
+    in_cells = {n: ids(cell(n)) for n in checks.cell_rules(F.col)}
+    copies = {n: F.when(required, ids(copy(n))).otherwise("") for n in ENGLISH}
+    w = F.transform(F.filter("z", lambda x: ~x["sheet"] & x["bilingual_output"]), lambda x: F.struct(F.coalesce(x["_sf_depth"], F.lit(0)).alias("depth"), x["id"].alias("id"), x["text"].alias("text"), T.normalize(F.coalesce(x["target"], F.lit(""))).alias("target")))
+    g = F.transform(F.filter(F.coalesce("lines", F.array().cast(f"array<{ooxml.LINE}>")), lambda x: ~F.startswith(x["part"], F.lit("xl/"))), lambda x: F.struct(x["depth"].alias("depth"), x["text"].alias("text"), T.normalize(x["text"]).alias("n")))
+    own = settled(own, w=w, g=g)
+    of_level = lambda c, d: F.filter(c, lambda x: x["depth"] == d)
+    level = lambda d: F.struct(of_level("w", d).alias("w"), F.transform(of_level("g", d), lambda x: x["text"]).alias("texts"), F.transform(of_level("g", d), lambda x: x["n"]).alias("normal"))
+    own = settled(own, levels=F.transform(F.array_sort(F.array_distinct(F.transform("w", lambda x: x["depth"]))), level))
+    own = settled(own, r=F.expr(f"transform(levels, l -> {checks.scanned('l.w', 'l.texts', 'l.normal')})"))
+    in_order = {n: F.array_join(F.flatten(F.col(f"r.{f}")), ",") for n, f in (("missing_original", "mo"), ("missing_translation", "mt"))}
+    lists = {n: F.concat_ws(",", F.nullif(c, F.lit("")), F.nullif(in_order[n], F.lit(""))) if n in in_order else c for n, c in in_cells.items()}
+    count = lambda cond: F.size(F.filter("units", cond)).cast("long")
+    out = own.select(
+        "doc_id", "document_direction", F.size("units").cast("long").alias("original_units"), count(lambda u: u["translatable"]).alias("translatable_count"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("output_units"),
+        *(c.alias(n) for n, c in lists.items()), ids(lambda x: x["sheet"] & x["bilingual_output"] & x["_bf_flat"]).alias("not_wrapped"), _same("before", "after", COUNTS).alias("structure_ok"),
+        F.when(required, count(lambda u: u["english_output"] & u["target"].isNotNull())).otherwise(0).alias("requested_replacements"), *(c.alias(n) for n, c in copies.items()),
+        *(F.when(required, _same("before", "copied", names)).alias(n) for n, names in (("english_structure_ok", COUNTS), ("format_ok", ["format_signature"]))), required.alias("english_required"),
+    )
     clean = lambda names: _all([F.col(c) == "" for c in names])
-    english_ok = ~required | (clean(ENGLISH) & F.coalesce("english_structure_ok", F.lit(False)) & F.coalesce("format_ok", F.lit(False)))
-    out = out.withColumns({"english_required": required, "english_passed": english_ok, "contract_version": F.lit(CONTRACT)})
-    out = out.withColumns({c: F.when(required, F.coalesce(c, F.lit(False))) for c in ("english_structure_ok", "format_ok")})
-    passed = clean(LISTS) & F.col("structure_ok") & english_ok
-    return out.withColumn("passed", passed).withColumn("phase", F.when(passed, "complete").otherwise("review-required"))
+    english_ok = ~required | (clean(ENGLISH) & F.col("english_structure_ok") & F.col("format_ok"))
+    out = out.withColumns({"english_passed": english_ok, "contract_version": F.lit(CONTRACT)})
+    passed = clean(LISTS) & F.col("structure_ok") & F.col("english_passed")
+    return out.withColumn("passed", passed).withColumn("phase", F.when(F.col("passed"), "complete").otherwise("review-required"))
+
+
+def _same(before: str, after: str, names: list[str]) -> Column:
+    """Whether a package has the same values before and after; one that can't be compared hasn't."""
+    return F.col(before).isNotNull() & _all([F.col(f"{before}.{c}").eqNullSafe(F.col(f"{after}.{c}")) for c in names])
 
 
 def _all(conditions: list[Column]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as T
+from quillgrid.functions.rows import settled
 
 ZH, EN, KEEP = "zh-to-en", "en-to-zh", "keep"
 DECIDED = 0.60
@@ -52,13 +53,37 @@ def with_roles(units: DataFrame) -> DataFrame:
     by_doc = Window.partitionBy("doc_id")
     sums = {n: c.over(by_doc) for n, c in _evidence().items() if n.endswith("score")}
     own = units.withColumns(sums).withColumn("document_direction", _verdict()[2]).drop(*sums)
-    zh_doc, was = F.col("document_direction") == ZH, F.col("detected_direction")
-    kept = zh_doc & (was == EN)
-    copied = zh_doc & (was == KEEP) & T.is_bilingual("cjk", "latin", "english_words")
-    return own.select(
-        *own.columns, F.when(kept, KEEP).when(copied, ZH).otherwise(was).alias("direction"), (((was != KEEP) & ~kept) | copied).alias("translatable"), ((was != KEEP) & ~kept).alias("bilingual_output"),
-        ((zh_doc & (was == ZH)) | copied).alias("english_output"), F.when(kept, PRESERVED).when(copied, COPIED).alias("translation_reason"),
+    flags = _flags(F.col("document_direction") == ZH, F.col("detected_direction"), T.is_bilingual("cjk", "latin", "english_words"))
+    return own.select(*own.columns, *(c.alias(n) for n, c in flags.items()))
+
+
+def _flags(zh_doc: Column, was: Column, both: Column) -> dict[str, Column]:
+    """What a unit is output as, by its document, its detected direction and whether it holds both languages."""
+    kept, copied = zh_doc & (was == EN), zh_doc & (was == KEEP) & both
+    return {
+        "direction": F.when(kept, KEEP).when(copied, ZH).otherwise(was), "translatable": ((was != KEEP) & ~kept) | copied, "bilingual_output": (was != KEEP) & ~kept,
+        "english_output": (zh_doc & (was == ZH)) | copied, "translation_reason": F.when(kept, PRESERVED).when(copied, COPIED),
+    }
+
+
+def in_documents(docs: DataFrame, lines: Column) -> DataFrame:
+    """Documents with ``document_direction`` and ``units``, an array with the roles of their lines (text and more, none blank).
+
+    The same as ``units_of`` and ``with_roles`` where a document's lines are one row already: nothing is shuffled or sorted.
+    """
+    with_field = lambda x, **more: x.withField("_", F.struct(*(c.alias(n) for n, c in more.items())))
+    normal = F.transform(lines, lambda x, k: F.struct(x.alias("l"), k.cast("long").alias("unit_ord"), T.normalize(x["text"]).alias("n")))
+    counted = F.transform(normal, lambda x: with_field(x, cjk=T.cjk_count(x["n"]).cast("long"), latin=T.latin_count(x["n"]).cast("long"), words=T.english_words(x["n"]).cast("long")))
+    both = lambda x: T.is_bilingual(x["_"]["cjk"], x["_"]["latin"], x["_"]["words"])
+    was = lambda x: T.direction(x["n"], x["_"]["cjk"], x["_"]["latin"], x["_"]["words"])
+    own = settled(docs, _u=F.transform(counted, lambda x: F.struct(x["l"].alias("l"), x["unit_ord"].alias("unit_ord"), was(x).alias("was"), both(x).alias("both"), x["_"]["cjk"].alias("cjk"), x["_"]["latin"].alias("latin"))))
+    score = lambda what, letters: F.aggregate("_u", F.lit(0).cast("long"), lambda s, x: s + F.when(x["was"] == what, 10 + x[letters]).otherwise(0))
+    own = settled(settled(own, zh_score=score(ZH, "cjk"), en_score=score(EN, "latin")), document_direction=_verdict()[2])
+    unit = lambda x: F.struct(
+        F.concat(F.lit("doc/"), F.col("doc_id"), F.lit(":"), x["unit_ord"]).alias("id"), x["unit_ord"].alias("unit_ord"), *(x["l"][c].alias(c) for c in ("text", "part", "place")),
+        *(c.alias(n) for n, c in _flags(F.col("document_direction") == ZH, x["was"], x["both"]).items() if n in ("translatable", "bilingual_output", "english_output")),
     )
+    return settled(own.drop("zh_score", "en_score"), units=F.transform("_u", unit)).drop("_u")
 
 
 def completed(units: DataFrame) -> DataFrame:

@@ -383,7 +383,7 @@ def q42(spark, d):
     from quillgrid.plans import office
     from quillgrid.sources import ooxml
 
-    return ooxml.package_units(ooxml.parts(stored(office.made(office.lined(spark, d))))).select("doc_id", "part", "place", "text")
+    return ooxml.package_units(office.made(office.lined(spark, d))).select("doc_id", "part", "place", "text")
 
 
 @query("flagship", f"{PACK} SELECT c.doc_id, c.id, u.direction, coalesce(CAST(k.b AS INTEGER), -1) AS batch_no, c.out_text FROM cells0 c JOIN units u ON c.doc_id = u.doc_id AND c.id = u.id LEFT JOIN pack k ON k.doc_id = c.doc_id AND k.id = c.id")

@@ -2,43 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import re
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from quillgrid.functions import text as T
 from quillgrid.sources import ooxml_xml as xml
 
 
-def decoded(cells: DataFrame, shared_strings: DataFrame, *by: str) -> DataFrame:
-    """Add ``cell_text``: shared strings by position (of one book, or of the book that ``by`` names), inline and plain
-    strings; formulas and the rest are null."""
-    strings = shared_strings.withColumnsRenamed({c: f"_{c}" for c in by})
+def decoded(cells: DataFrame, shared_strings: DataFrame) -> DataFrame:
+    """Add ``cell_text``: shared strings by position, inline and plain strings; formulas and the rest are null."""
     met = F.when(F.col("t") == "s", F.expr("try_cast(v AS bigint)")) == F.col("idx")
-    for c in by:
-        met = met & (F.col(c) == F.col(f"_{c}"))
-    own = cells.join(strings, met, "left").drop(*(f"_{c}" for c in by))
+    own = cells.join(shared_strings, met, "left")
     text = F.when(F.col("has_formula"), None).when(F.col("t") == "s", F.col("shared")).when(F.col("t").isin("inlineStr", "str"), F.col("v"))
     return own.withColumn("cell_text", text).drop("idx", "shared")
 
 
-def format_position(s: str):
-    """Position of a cell's format; an unreadable one counts as the first."""
-    return F.coalesce(F.expr(f"try_cast({s} AS bigint)"), F.lit(0))
-
-
-def wrapped(styles: DataFrame, *by: str) -> DataFrame:
-    """Positions of cell formats that wrap text, for each value of ``by``."""
-    return styles.where(F.col("wrap").isin("1", "true")).select(*by, "idx")
-
-
 def not_wrapped(cells: DataFrame, styles: DataFrame) -> DataFrame:
     """Cells whose format doesn't wrap; an unreadable format position counts as the first format."""
-    own = cells.withColumn("_s", format_position("s"))
-    return own.join(wrapped(styles), F.col("_s") == F.col("idx"), "left_anti").drop("_s")
+    own = cells.withColumn("_s", F.coalesce(F.expr("try_cast(s AS bigint)"), F.lit(0)))
+    wrapped = styles.where(F.col("wrap").isin("1", "true")).select("idx")
+    return own.join(wrapped, F.col("_s") == F.col("idx"), "left_anti").drop("_s")
 
 
 SUPPORTED = ("docx", "xlsx", "xlsm")
@@ -83,11 +75,6 @@ def _tables(parts_df: DataFrame, wanted: str, parse, schema: str) -> DataFrame:
     return parts_df.where(F.col("part").rlike(wanted)).mapInPandas(parsed, f"doc_id {kind}, part string, {schema}")
 
 
-def paragraphs(parts_df: DataFrame) -> DataFrame:
-    """(doc_id, part, idx, text, depth) of the non-blank paragraphs of Word story parts."""
-    return _tables(parts_df, STORY, lambda _, data: xml.paragraph_rows(data), "idx int, text string, depth int").where(T.has_text("text"))
-
-
 def sheets(parts_df: DataFrame) -> DataFrame:
     """(doc_id, sheet_ord, sheet, state, part): sheets of the workbook joined to their targets by relation id."""
     books = _tables(parts_df, r"^xl/workbook\.xml$", lambda _, data: xml.sheets(data), "sheet_ord int, sheet string, state string, rel string").drop("part")
@@ -95,34 +82,6 @@ def sheets(parts_df: DataFrame) -> DataFrame:
     return books.join(rels, ["doc_id", "rel"]).select("doc_id", "sheet_ord", "sheet", "state", T.resolve_part(F.lit("xl/workbook.xml"), "target").alias("part"))
 
 
-def shared_strings(parts_df: DataFrame) -> DataFrame:
-    return _tables(parts_df, r"^xl/sharedStrings\.xml$", lambda _, data: xml.shared_strings(data), "idx bigint, shared string").drop("part")
-
-
-def cells(parts_df: DataFrame) -> DataFrame:
-    """(doc_id, part, cell_order, cell, t, s, v, has_formula): all cells of the worksheets."""
-    return _tables(parts_df, r"^xl/worksheets/[^/]+\.xml$", lambda _, data: xml.cells(data), "cell_order int, cell string, t string, s string, v string, has_formula boolean")
-
-
-def styles(parts_df: DataFrame) -> DataFrame:
-    return _tables(parts_df, r"^xl/styles\.xml$", lambda _, data: xml.cell_formats(data), "idx bigint, wrap string").drop("part")
-
-
-def cell_texts(parts_df: DataFrame) -> DataFrame:
-    """(doc_id, sheet_ord, sheet, state, part, cell_order, cell, s, text) of text cells, hidden sheets too."""
-    own = cells(parts_df).join(sheets(parts_df), ["doc_id", "part"])
-    both = decoded(own, shared_strings(parts_df), "doc_id").withColumnRenamed("cell_text", "text")
-    return both.where(T.has_text("text")).select("doc_id", "sheet_ord", "sheet", "state", "part", "cell_order", "cell", "s", "text")
-
-
-def package_units(parts_df: DataFrame) -> DataFrame:
-    """Lines (doc_id, idx, text, part, place, depth) of Word and Excel packages in reading order."""
-    words = paragraphs(parts_df).select("doc_id", F.lit(0).alias("o"), "part", F.col("idx").alias("k"), F.col("idx").cast("string").alias("place"), "text", "depth")
-    table = cell_texts(parts_df).select("doc_id", F.col("sheet_ord").alias("o"), "part", F.col("cell_order").alias("k"), F.col("cell").alias("place"), "text", F.lit(0).alias("depth"))
-    order = Window.partitionBy("doc_id").orderBy("o", "part", "k")
-    return words.union(table).select("doc_id", (F.row_number().over(order) - 1).alias("idx"), "text", "part", "place", "depth")
-
-
 def structure(parts_df: DataFrame) -> DataFrame:
     """One row of counts and digests for each package, for comparing a source with its output."""
     counted = _tables(parts_df, r"\.xml$|^word/media/|^xl/vbaProject", lambda part, data: [xml.structure(part, data)], "media int, tables int, sections int, merged int, validations int, conditional_formats int, hyperlinks int, formulas int, signature string")
@@ -132,3 +91,141 @@ def structure(parts_df: DataFrame) -> DataFrame:
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet_ord", "sheet", "state"))), lambda x: F.concat(x["sheet"], F.lit("="), x["state"])), "\n")
     books = sheets(parts_df).groupBy("doc_id").agg(F.sha2(listed, 256).alias("sheets_digest"))
     return counted.groupBy("doc_id").agg(*sums, signed.alias("format_signature")).join(names, "doc_id").join(books, "doc_id", "left")
+
+
+_TEXT, _SHEET, _SIGNED = re.compile("[^" + T.python_class(T.SPACES)[1:]), re.compile(r"^xl/worksheets/[^/]+\.xml$"), re.compile(r"\.xml$|^word/media/|^xl/vbaProject")
+_STORY, _WHOLE = re.compile(STORY), re.compile(r"[+-]?[0-9]+")
+COUNTS = ["media", "tables", "sections", "merged", "validations", "conditional_formats", "hyperlinks", "formulas"]
+LINE = "struct<text:string,part:string,place:string,depth:int>"
+STRUCTURE = f"struct<{','.join(f'{c}:bigint' for c in COUNTS)},format_signature:string,parts_digest:string,sheets_digest:string>"
+#: What stands at a place: its text, whether its cell's format doesn't wrap, and how many paragraphs it stands in.
+FOUND = "struct<text:string,flat:boolean,depth:int>"
+
+
+def _whole(s: str | None) -> int | None:
+    return int(s) if s is not None and _WHOLE.fullmatch(s := s.strip()) else None
+
+
+def _resolved(target: str) -> str:
+    """Target of a relation of the workbook, as ``text.resolve_part`` has it."""
+    if target.startswith("/"):
+        return target.lstrip("/")
+    steps: list[str] = []
+    for x in f"xl/{target}".split("/"):
+        if x == ".." and steps:
+            steps.pop()
+        elif x not in ("", "."):
+            steps.append(x)
+    return "/".join(steps)
+
+
+class Package:
+    """A package that is unzipped once, each part of it parsed once at most."""
+
+    def __init__(self, content: bytes):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            self.members = {n: z.read(n) for n in z.namelist() if not n.endswith("/")}
+        self._parsed: dict[str, xml.Part] = {}
+        self._cells: dict[str, list] = {}
+
+    def _part(self, name: str) -> xml.Part:
+        if name not in self._parsed:
+            self._parsed[name] = xml.parse(self.members[name])
+        return self._parsed[name]
+
+    def sheets(self) -> list[tuple]:
+        """(sheet_ord, sheet, state, part), joined to their targets by relation id."""
+        book, rels = "xl/workbook.xml", "xl/_rels/workbook.xml.rels"
+        if book not in self.members or rels not in self.members:
+            return []
+        targets: dict = {}
+        for rel, target in xml.same_relations(self.members[rels]):
+            targets.setdefault(rel, []).append(target)
+        return [(i, name, state, _resolved(t)) for i, name, state, rel in xml.same_sheets(self.members[book]) for t in targets.get(rel, ())]
+
+    def cells(self, part: str) -> list[tuple]:
+        if part not in self._cells:
+            self._cells[part] = xml.cells_of(self._part(part))
+        return self._cells[part]
+
+    def lines(self) -> list[tuple]:
+        """(text, part, place, depth) of paragraphs and text cells that aren't blank, in reading order; hidden sheets too."""
+        out = []
+        for part in self.members:
+            if _STORY.search(part):
+                out += [(0, part, k, text, str(k), depth) for k, text, depth in xml.paragraph_rows_of(self._part(part))]
+        strings = None
+        for o, _, _, part in self.sheets():
+            if part not in self.members or not _SHEET.search(part):
+                continue
+            if strings is None:
+                strings = dict(xml.shared_strings_of(self._part("xl/sharedStrings.xml"))) if "xl/sharedStrings.xml" in self.members else {}
+            for k, place, t, _, v, formula in self.cells(part):
+                text = None if formula else strings.get(_whole(v)) if t == "s" else v if t in ("inlineStr", "str") else None
+                if text is not None:
+                    out.append((o, part, k, text, place, 0))
+        return [(text, part, place, depth) for _, part, _, text, place, depth in sorted(out, key=lambda x: x[:3]) if _TEXT.search(text)]
+
+    def structure(self) -> dict | None:
+        """Counts and digests for comparing a source with its output."""
+        one = lambda n, data: xml.structure(n, data, self._parsed[n]) if n in self._parsed else xml.same_structure(n, data)
+        rows = [(n, one(n, data)) for n, data in self.members.items() if _SIGNED.search(n)]
+        if not rows:
+            return None
+        digest = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
+        listed = [f"{sheet}={state}" for _, sheet, state, _ in sorted(self.sheets())]
+        return {c: sum(r[k] for _, r in rows) for k, c in enumerate(COUNTS)} | {
+            "format_signature": digest(sorted(f"{n}={r[-1]}" for n, r in rows)), "parts_digest": digest(sorted(self.members)), "sheets_digest": digest(listed) if listed else None,
+        }
+
+    def found(self, wanted: list[tuple[str, str]], lines: list[tuple]) -> list[dict]:
+        """What stands at places (part, place); a place that is wanted again gets the next line that has it."""
+        at: dict[tuple, list] = {}
+        for text, part, place, depth in reversed(lines):
+            at.setdefault((part, place), []).append((text, depth))
+        wraps, flat = None, {}
+        for part in {p for p, _ in wanted if _SHEET.search(p) and p in self.members}:
+            if wraps is None:
+                wraps = {i for i, w in xml.same_formats(self.members["xl/styles.xml"]) if w in ("1", "true")} if "xl/styles.xml" in self.members else set()
+            flat |= {(part, cell): (_whole(s) or 0) not in wraps for _, cell, _, s, _, _ in self.cells(part)}
+        out = []
+        for place in wanted:
+            text, depth = own.pop() if (own := at.get(place)) else (None, None)
+            out.append({"text": text, "flat": flat.get(place), "depth": depth})
+        return out
+
+
+def read(content: Column, wanted: Column | None = None, lines: bool = False, structure: bool = False) -> Column:
+    """What a package holds, read in one pass: ``lines`` and ``structure`` if asked for, and ``found`` at ``wanted`` places."""
+    placed = wanted is not None
+    kinds = {"lines": (lines, f"array<{LINE}>"), "structure": (structure, STRUCTURE), "found": (placed, f"array<{FOUND}>")}
+    schema = f"struct<{','.join(f'{n}:{k}' for n, (on, k) in kinds.items() if on)}>"
+    kind = to_arrow_type(_parse_datatype_string(schema))
+    names = ["text", "part", "place", "depth"]
+
+    def one(data: bytes, places) -> dict:
+        own = Package(data)
+        out, got = {}, own.lines() if lines or placed else []
+        if lines:
+            out["lines"] = [dict(zip(names, x, strict=True)) for x in got]
+        if structure:
+            out["structure"] = own.structure()
+        if placed:
+            out["found"] = own.found([(p["part"], p["place"]) for p in places or ()], got)
+        return out
+
+    @xml.uncollected
+    def each(data: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else one(x, None) for x in data.to_pylist()], type=kind)
+
+    @xml.uncollected
+    def at_places(data: pa.Array, places: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else one(x, p) for x, p in zip(data.to_pylist(), places.to_pylist(), strict=True)], type=kind)
+
+    return F.arrow_udf(each, schema)(content) if not placed else F.arrow_udf(at_places, schema)(content, wanted)
+
+
+def package_units(files: DataFrame) -> DataFrame:
+    """Lines (doc_id, idx, text, part, place, depth) of Word and Excel packages (doc_id, content) in reading order."""
+    own = files.where(F.col("error").isNull()) if "error" in files.columns else files
+    return own.select("doc_id", F.posexplode(read(F.col("content"), lines=True)["lines"]).alias("idx", "l")).select("doc_id", "idx", "l.*")

@@ -357,3 +357,38 @@ def test_packages_of_documents_come_back_whole(spark):
 def test_parts_with_entities_are_refused():
     with pytest.raises(ValueError, match="document type"):
         xml.parse(b"<!DOCTYPE a [<!ENTITY b 'c'>]><a>&b;</a>")
+
+
+def test_a_package_is_read_once_in_one_stage(spark):
+    """The round trip moves no rows between tasks, and an array of a document's units is worked out once, not for each unit."""
+    plan = office.roundtrip(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution()
+    assert "Exchange" not in plan.executedPlan().toString() and len(plan.optimizedPlan().toString()) < 20_000
+
+
+def test_checks_of_packages_move_each_document_once(spark):
+    plan = office.checked_with_faults(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Join" not in text and len(plan.optimizedPlan().toString()) < 60_000
+
+
+def test_roles_in_arrays_are_those_of_rows(spark):
+    lines = ["灯塔守望海面", "The tide comes in early", "Open 开放 every single 每天 day", "https://a.b/码头", "12-4", "码头上的工人", "plain words here", "每天 ok"]
+    docs = [(i, [lines[(i * j + j // 2) % len(lines)] for j in range(i)]) for i in range(1, 9)]
+    rows = spark.createDataFrame([(i, j, x) for i, own in docs for j, x in enumerate(own)], "doc_id bigint, idx int, text string")
+    arrays = spark.createDataFrame([(i, [(x, "p", str(j)) for j, x in enumerate(own)]) for i, own in docs], "doc_id bigint, lines array<struct<text:string,part:string,place:string>>")
+    names = ["id", "unit_ord", "text", "translatable", "bilingual_output", "english_output", "document_direction"]
+    wanted = {tuple(r) for r in roles.with_roles(roles.units_of(rows)).select(*names).collect()}
+    got = roles.in_documents(arrays, arrays.lines).collect()
+    assert {(u.id, u.unit_ord, u.text, u.translatable, u.bilingual_output, u.english_output, r.document_direction) for r in got for u in r.units} == wanted
+    assert len({x[-1] for x in wanted}) == 3
+
+
+def test_parts_keep_what_stands_around_their_root_and_undeclared_prefixes_are_refused():
+    data = f"<?xml version='1.0'?><?mso progid='x'?><!-- top --><w:document xmlns:w='{W}'><!-- in --><w:body><w:p><w:r><w:t>a &amp; b</w:t></w:r></w:p>\n<w:p/></w:body></w:document><!-- end -->".encode()
+    out, done = xml.edit_story(data, {0: ("a & b", "c < d")}, True)
+    text = out.decode()
+    assert done == 1 and text.index("<?mso progid='x'?>") < text.index("<!-- top -->") < text.index("<w:document") < text.index("<!-- in -->") and text.endswith("<!-- end -->")
+    assert [t for _, t in xml.paragraph_texts(out)] == ["a & b", "c < d", ""] and "\n<w:p/>" in text
+    for bad in (b"<a><b:c/></a>", b"<a b:c='1'/>"):
+        with pytest.raises(ValueError, match="declare"):
+            xml.parse(bad)
