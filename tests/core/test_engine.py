@@ -392,3 +392,11 @@ def test_parts_keep_what_stands_around_their_root_and_undeclared_prefixes_are_re
     for bad in (b"<a><b:c/></a>", b"<a b:c='1'/>"):
         with pytest.raises(ValueError, match="declare"):
             xml.parse(bad)
+
+
+def test_written_archives_hold_their_members():
+    own = {"a.xml": b"x", "b/é.xml": bytes(range(256)) * 40, "c": b"", "d": b"y" * 100_000}
+    for many in ({}, own):
+        for data in (render_ooxml.zipped(many), render_ooxml._zipped64(many)):
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                assert z.testzip() is None and {n: z.read(n) for n in z.namelist()} == many
