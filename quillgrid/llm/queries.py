@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillgrid.llm import decontaminate, language, license, mixing, pii, quality, secrets, sharding, simhash, toxicity
+from quillgrid.llm import audit, decontaminate, language, lexical, license, mixing, pii, quality, secrets, sharding, simhash, toxicity
 from quillgrid.llm.shared import table
 
 
@@ -19,6 +19,10 @@ def _leaks(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _ranked(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mixing": _docs(mixing.digest),
     "op2_simhash": _docs(simhash.digest),
@@ -30,8 +34,10 @@ QUERIES = {
     "op8_language": _docs(language.digest),
     "op9_license": _docs(license.digest),
     "op10_toxicity": _labelled(toxicity.digest),
+    "op11_lexical": _ranked,
+    "op13_audit": _labelled(audit.digest),
     "pipeline": corpus_pipeline.run,
 }
 
-#: None of the results follows from SQL alone: models, hashes with Spark's seeds and permutations enter all of them.
-ORACLE_SQL: dict[str, str] = {}
+#: The other results don't follow from SQL alone: models, hashes with Spark's seeds and permutations enter them.
+ORACLE_SQL = {"op11_lexical": lexical.SQL, "op13_audit": audit.SQL}
