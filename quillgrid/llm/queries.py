@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillgrid.llm import audit, decontaminate, language, lexical, license, mixing, pii, quality, secrets, sharding, simhash, toxicity
+from quillgrid.llm import audit, decontaminate, language, lexical, license, mixing, pii, quality, secrets, setjoin, sharding, simhash, toxicity
 from quillgrid.llm.shared import table
 
 
@@ -35,6 +35,7 @@ QUERIES = {
     "op9_license": _docs(license.digest),
     "op10_toxicity": _labelled(toxicity.digest),
     "op11_lexical": _ranked,
+    "op12_setjoin": _docs(setjoin.join),
     "op13_audit": _labelled(audit.digest),
     "pipeline": corpus_pipeline.run,
 }
