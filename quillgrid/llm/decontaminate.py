@@ -31,7 +31,7 @@ BLOCKS, BLOCK_BITS, BLOCK_APART = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_APART + 1) - 1
 
 _NEAR = [0] + [sum(1 << b for b in c) for k in range(1, BLOCK_APART + 1) for c in combinations(range(BLOCK_BITS), k)]
-_GAPS = "\\t\\n\\u000b\\f\\r "
+_GAPS = "\\t\\n\\u000b\\u000c\\r "  # SQL has no \\f
 
 
 def words_sql(text: str, lowered: str = "lower({})") -> str:
