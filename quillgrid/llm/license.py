@@ -147,17 +147,18 @@ class Classifier:
             if all(_TELLING_WORDS.isdisjoint(words) for _, words in block):
                 continue
             own = dict(block)
-            done = set()
+            told: dict[int, str] = {}  # each line is classified once, however many windows it has
             for first, last, words in windows(block):
                 shown = set()
                 for i in range(first, last + 1):
-                    if i in own and (i in done or not _TELLING.isdisjoint(pairs_of(own[i]))):
-                        name, p = self.classify(own[i], part=False)  # parts of a notice are told by their window
+                    if i not in told and i in own:
+                        name, p = UNKNOWN, 0.0
+                        if not _TELLING.isdisjoint(pairs_of(own[i])):
+                            name, p = self.classify(own[i], part=False)  # parts of a notice are told by their window
                         if name != UNKNOWN:
-                            shown.add(name)
-                            if i not in done:
-                                out.append((i, name, p))
-                        done.add(i)
+                            out.append((i, name, p))
+                        told[i] = name
+                    shown.add(told.get(i))
                 name, p = self.classify(words)
                 if name != UNKNOWN and name not in shown:
                     out.append((first, name, p))
