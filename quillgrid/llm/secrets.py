@@ -39,21 +39,32 @@ SAMPLE_DOCS = 2000
 SAMPLE_KEYS = 2000
 
 _SPAN = "array<struct<s:int,rank:int,e:int,kind:string>>"
+_TOKENS = "array<struct<s:int,rank:int,e:int,kind:string,token:string>>"
 
 
 def _quoted(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def _spans(name: str, rank: int, kind: str, group: int, least: int) -> str:
-    """SQL for the spans of matches ``name_m`` with pieces ``name_p`` between them."""
+#: Matches of a text that one fold takes: a fold copies what it has found with each step.
+FOLD = 128
+
+
+def _spans(name: str, rank: int, kind: str, group: int, least: int, token: bool = False) -> str:
+    """SQL for the spans of matches ``name_m`` with pieces ``name_p`` between them, with the match as ``token`` if asked for.
+
+    Folds over stretches of FOLD matches, each from where it starts, so that the time grows with the matches, not their square.
+    """
     m, p, g = f"{name}_m", f"{name}_p", f"{name}_g" if group else f"{name}_m"
-    return f"""CASE WHEN size({m}) = 0 THEN cast(array() AS {_SPAN}) ELSE aggregate(
-        sequence(0, size({m}) - 1),
-        named_struct('pos', length({p}[0]), 'found', cast(array() AS {_SPAN})),
-        (a, i) -> named_struct('pos', a.pos + length({m}[i]) + length({p}[i + 1]), 'found',
-            CASE WHEN length({g}[i]) >= {least} THEN array_append(a.found, named_struct('s', a.pos, 'rank', {rank}, 'e', a.pos + length({m}[i]), 'kind', '{kind}')) ELSE a.found END),
-        a -> a.found) END"""
+    span = _TOKENS if token else _SPAN
+    inside = f"sequence({FOLD} * b, least({FOLD} * b + {FOLD}, size({m})) - 1)"
+    long = f"transform(sequence(0, (size({m}) - 1) div {FOLD}), b -> aggregate({inside}, 0, (a, i) -> a + length({m}[i]) + length({p}[i + 1])))"
+    starts = f"aggregate({long}, named_struct('at', length({p}[0]), 'all', cast(array() AS array<int>)), (a, x) -> named_struct('at', a.at + x, 'all', array_append(a.all, a.at)), a -> a.all)"
+    found = f"named_struct('s', a.pos, 'rank', {rank}, 'e', a.pos + length({m}[i]), 'kind', '{kind}'{f", 'token', {m}[i]" if token else ''})"
+    folded = f"""aggregate({inside}, named_struct('pos', start, 'found', cast(array() AS {span})),
+        (a, i) -> named_struct('pos', a.pos + length({m}[i]) + length({p}[i + 1]), 'found', CASE WHEN length({g}[i]) >= {least} THEN array_append(a.found, {found}) ELSE a.found END),
+        a -> a.found)"""
+    return f"CASE WHEN size({m}) = 0 THEN cast(array() AS {span}) ELSE flatten(transform({starts}, (start, b) -> {folded})) END"
 
 
 def _matched(df: DataFrame, name: str, pattern: str, group: int) -> DataFrame:
@@ -102,7 +113,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_keys: int = SA
     """Log-likelihood ratios of character pairs, row by row, fitted on bounded labelled samples."""
     spark = docs.sparkSession
     sample = sample_rows(docs, sample_docs, "text")
-    secrets = base_spans(sample).select(F.explode(F.expr("transform(_base, x -> substring(_t, x.s + 1, x.e - x.s))")).alias("w"))
+    whole = [f"filter(_{kind}_m, (x, i) -> length(_{kind}_{'g' if group else 'm'}[i]) >= {least})" for kind, _, group, least in KINDS]
+    secrets = base_spans(sample).select(F.explode(F.expr(f"concat({', '.join(whole)})")).alias("w"))
     values = secrets.select(F.expr(r"regexp_extract(w, '([A-Za-z0-9+/_=-]+)[^A-Za-z0-9]*$', 1)").alias("w")).where("length(w) > 5")
     random = _pair_counts(_generated_keys(spark, sample_keys).union(values))
     ordinary = _pair_counts(_ordinary(sample))
@@ -123,7 +135,7 @@ def score_sql(token: str, ratios: list[float]) -> str:
     """SQL for the mean ratio of a token's character pairs."""
     table = f"cast(split('{','.join(map(str, ratios))}', ',') AS array<double>)"
     k = len(ALPHABET)
-    codes = f"transform(sequence(1, length({token})), i -> instr('{ALPHABET}', substring({token}, i, 1)) - 1)"
+    codes = f"transform(split({token}, ''), c -> instr('{ALPHABET}', c) - 1)"
     return f"aggregate({codes}, named_struct('was', -1, 'sum', 0.0D), (a, c) -> named_struct('was', c, 'sum', a.sum + CASE WHEN a.was < 0 THEN 0.0D ELSE element_at({table}, a.was * {k} + c + 1) END), a -> a.sum / (length({token}) - 1))"
 
 
@@ -139,11 +151,17 @@ def scan(docs: DataFrame, text: str = "text", ratios: list[float] | None = None)
     docs, text = apart(docs, INSIDE), "__text"
     out = _matched(base_spans(docs, text), "_tok", TOKEN, 0)
     # a token needs a letter and a digit, so words and numbers are not scored
-    tokens = F.expr(_spans("_tok", len(KINDS), ADDED, 0, 1))
-    out = out.withColumn("_tok", tokens)
-    fits = f"x -> NOT exists(_base, b -> b.s < x.e AND x.s < b.e) AND substring(_t, x.s + 1, x.e - x.s) rlike '[0-9]' AND substring(_t, x.s + 1, x.e - x.s) rlike '[A-Za-z]'"
-    out = out.withColumn("_tok", F.expr(f"transform(filter(_tok, {fits}), x -> named_struct('span', x, 'token', substring(_t, x.s + 1, x.e - x.s)))"))
-    out = out.withColumn("_tok", F.expr(f"transform(filter(_tok, y -> {score_sql('y.token', ratios)} > {THRESHOLD}D), y -> y.span)"))
+    out = out.withColumn("_tok", F.expr(_spans("_tok", len(KINDS), ADDED, 0, 1, token=True)))
+    # base spans are looked up by stretches of the text, about as many as the root of their number
+    width = "greatest(1, cast(ceil((length(_t) + 1) / sqrt(size(_base) + 1)) AS int))"
+    near = "transform(sequence(0, length(_t) div width), k -> filter(_base, b -> b.s div width <= k AND (b.e - 1) div width >= k))"
+    meets = "exists(sequence(x.s div width, (x.e - 1) div width), k -> exists(near[k], b -> b.s < x.e AND x.s < b.e))"
+    fits = f"x.token rlike '[0-9]' AND x.token rlike '[A-Za-z]' AND NOT {meets}"
+    scored = f"filter(_tok, x -> CASE WHEN {fits} THEN {score_sql('x.token', ratios)} > {THRESHOLD}D ELSE false END)"
+    # arrays of one element bind what is used for each token
+    placed = f"transform(array({width}), width -> transform(array({near}), near -> {scored})[0])[0]"
+    kept = f"transform({placed}, x -> named_struct('s', x.s, 'rank', x.rank, 'e', x.e, 'kind', x.kind))"
+    out = out.withColumn("_tok", F.expr(f"CASE WHEN size(_tok) = 0 THEN cast(array() AS {_SPAN}) ELSE {kept} END"))
     out = out.withColumn("_all", F.array_sort(F.concat("_base", "_tok")))
     own = [F.col(now).alias(now if was.lower() in ("_base", "_all") else was) for was, now in zip(names, docs.columns, strict=False)]
     return out.select(*own, "_base", "_all")
