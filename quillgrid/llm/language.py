@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.shared import apart, small_batches, small_side
+from quillgrid.llm.shared import clear_of, cut, small_batches, small_side
 
 SIZE = 4096
 #: Most training documents of a language, and of all together: with over 64 languages each has fewer, with thousands two.
@@ -152,22 +152,29 @@ def fold(doc_id="doc_id"):
 
 
 def training_rows(docs: DataFrame, each: int = SAMPLE_EACH, most: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, lang) of documents of each language, none held out: ``each``, or fewer where that makes over ``most``,
-    yet two at least.
+    """(doc_id, text, lang) of different documents of each language, none held out: ``each``, or fewer where that makes over
+    ``most``, yet two at least where there are two.
 
     A hash threshold that follows from the language's count leaves a few hundred candidates of each
-    language wherever they lie, so no task ranks all rows of a common language. The driver gets a count of each language.
+    language wherever they lie, so no task ranks all rows of a common language. Where it leaves too few, because ids
+    repeat, all different rows of that language are ranked. The driver gets a count of each language.
     """
-    usable = docs.where(F.col("lang").isNotNull() & (F.coalesce(fold(), F.lit(-1)) != HELD_OUT)).select("doc_id", "lang")
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    key = F.xxhash64("text").alias("__key")
+    usable = docs.where(F.col("lang").isNotNull() & (F.coalesce(fold(), F.lit(-1)) != HELD_OUT)).select("doc_id", "lang", key)
+    counts = cut(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
     each = max(2, min(each, most // max(1, counts.count())))
     h = F.xxhash64("doc_id")
-    # at 40 expected candidates fewer than 2 are next to impossible
+    # at 40 expected candidates fewer than 2 are next to impossible, unless rows share their ids
     share = F.least(F.lit(1.0), F.lit(float(2 * each + 40)) / F.col("n"))
-    some = usable.join(small_side(counts), "lang").where((F.pmod(h, F.lit(1_000_003)) / 1_000_003) < share)
-    ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))).where(F.col("_r") <= each)
-    chosen = ranked.select("doc_id", "lang").distinct()
-    return docs.select("doc_id", "text", "lang").join(small_side(chosen), ["doc_id", "lang"])
+    some = cut(usable.join(small_side(counts), "lang").where((F.pmod(h, F.lit(1_000_003)) / 1_000_003) < share).select("doc_id", "lang", "__key").distinct())
+    got = some.groupBy("lang").agg(F.count(F.lit(1)).alias("got"))
+    lacking = counts.join(got, "lang", "left").where(f"coalesce(got, 0) < least(n, {each})").select("lang")
+    if lacking.limit(1).count():
+        some = some.union(usable.join(small_side(lacking), "lang", "left_semi").select(*some.columns)).distinct()
+    ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id", "__key"))).where(F.col("_r") <= each)
+    chosen = ranked.select("doc_id", "lang", "__key")
+    own = docs.select("doc_id", "text", "lang", key).join(small_side(chosen), ["doc_id", "lang", "__key"])
+    return own.dropDuplicates(["doc_id", "lang", "__key"]).select("doc_id", "text", "lang")
 
 
 def _histograms(batches):
@@ -189,7 +196,7 @@ def train(docs: DataFrame) -> Model | None:
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score``."""
     small_batches(docs.sparkSession)
-    docs = apart(docs, ["lang_pred", "score"])
+    docs, names, own = clear_of(docs, ["__l"], ["lang_pred", "score"])
 
     @F.pandas_udf("lang_pred string, score double")
     def identified(texts: pd.Series) -> pd.DataFrame:
@@ -201,7 +208,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 out[i] = found
         return pd.DataFrame({"lang_pred": [s for s, _ in out], "score": [p for _, p in out]})
 
-    return docs.withColumn("__l", identified(F.col(text))).select(*docs.columns, F.col("__l.lang_pred").alias("lang_pred"), F.col("__l.score").alias("score"))
+    return docs.withColumn("__l", identified(F.col(names.get(text, text)))).select(*own, F.col("__l.lang_pred").alias("lang_pred"), F.col("__l.score").alias("score"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

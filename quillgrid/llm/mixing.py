@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.shared import BUCKET, MANY, NUMBER, START, apart, bucket_count, cut, gapless
+from quillgrid.llm.shared import BUCKET, MANY, NUMBER, RANK, START, bucket_count, clear_of, cut, gapless
 
 BLOCK = 16
 #: Weight of a source without a given one: its share of the rows to this power, as in temperature sampling.
@@ -185,6 +185,10 @@ def slots(fluid: Fluid, spark, stretch: int = STRETCH) -> DataFrame:
     return spark.range(0, many, 1, max(1, min(many, 10_000))).mapInPandas(worked, "__who int, __block long, __slot long")
 
 
+#: Columns that the mix works with.
+INSIDE = [BUCKET, START, RANK, MANY, NUMBER, "__who", "__block", "__slot", "__slots", "__first", "__at"]
+
+
 def mix(docs: DataFrame, source: str = "source", keys: tuple[str, ...] = ("doc_id",), weights: dict | None = None, block: int = BLOCK, stretch: int = STRETCH) -> DataFrame:
     """Add ``weight``, ``block``, ``slot``, ``release``, ``deadline`` and ``position`` (gapless from 0 in mixed order).
 
@@ -194,7 +198,8 @@ def mix(docs: DataFrame, source: str = "source", keys: tuple[str, ...] = ("doc_i
     given = [c for c in (source, *keys) if c.lower() in ADDED]
     if given:
         raise ValueError(f"source and keys must not be named like an added column: {given}")
-    docs = apart(docs, ADDED)
+    docs, now, own = clear_of(docs, INSIDE, ADDED)
+    source, keys = now.get(source, source), tuple(now.get(k, k) for k in keys)
     sizes = {r["_s"]: r["_n"] for r in docs.groupBy(F.col(source).alias("_s")).agg(F.count(F.lit(1)).alias("_n")).collect()}
     names = sorted(sizes, key=lambda s: (s is not None, str(s)))
     rows = sum(sizes.values())
@@ -236,7 +241,7 @@ def mix(docs: DataFrame, source: str = "source", keys: tuple[str, ...] = ("doc_i
     numbered = gapless(docs.withColumn("__who", code(source)), ["__who"], list(keys), bucket_count(rows), more=with_slots)
     numbered = numbered.withColumn("__block", F.expr(f"{NUMBER} div {block}")).withColumn("__slot", F.expr("__slots[cast(__block - __first AS int)]")).drop("__slots", "__first")
     out = numbered.withColumn("__at", placed("__who", NUMBER, "__slot"))
-    return out.select(*docs.columns, F.col("__at.weight").alias("weight"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), *(F.col(f"__at.{c}").alias(c) for c in ("release", "deadline", "position")))
+    return out.select(*own, F.col("__at.weight").alias("weight"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), *(F.col(f"__at.{c}").alias(c) for c in ("release", "deadline", "position")))
 
 
 #: Rows of a part file of a mixed table, and most part files; larger tables have larger files.

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.shared import apart, small_batches
+from quillgrid.llm.shared import clear_of, small_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Most tokens of an entity, and least and most digits of one without an @ or three dots.
@@ -353,7 +353,7 @@ def find(text: str | None, w: np.ndarray, t: np.ndarray) -> tuple[list[tuple[str
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add arrays ``base`` and ``spans`` of (kind, start, end)."""
     small_batches(docs.sparkSession)
-    docs = apart(docs, ["base", "spans"])
+    docs, names, own = clear_of(docs, ["__f"], ["base", "spans"])
     w, t = train()
 
     @F.pandas_udf("base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>")
@@ -362,7 +362,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
         return pd.DataFrame({"base": pd.Series([rows(b) for b, _ in found], dtype=object), "spans": pd.Series([rows(s) for _, s in found], dtype=object)})
 
-    return docs.withColumn("__f", scanned(F.col(text))).select(*docs.columns, F.col("__f.base").alias("base"), F.col("__f.spans").alias("spans"))
+    return docs.withColumn("__f", scanned(F.col(names.get(text, text)))).select(*own, F.col("__f.base").alias("base"), F.col("__f.spans").alias("spans"))
 
 
 def digest_of(spans: list[tuple[str, int, int]]) -> str:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.shared import small_batches
+from quillgrid.llm.shared import apart, different_rows, small_batches
 
 #: Most labelled rows that a model is fitted on; the rows with the smallest hashes of doc_id are taken.
 SAMPLE = 4000
@@ -162,10 +162,10 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
-    """(text, label) of a bounded, repeatable sample of labelled documents."""
+    """(text, label) of a bounded, repeatable sample of labelled documents: at most ``most`` different rows."""
     chosen = labels.where(F.col(label).isNotNull()).select(F.col("doc_id"), F.col(label).alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "_y")
+    return different_rows(docs.select("doc_id", "text"), chosen, most, "text").select("text", "_y")
 
 
 def _measured(batches):
@@ -186,8 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Trees | Non
 
 
 def judge(docs: DataFrame, model: Trees | None, text: str = "text") -> DataFrame:
-    """Add a struct ``__q`` of the counts, base_failed, score and kept."""
+    """Add a struct ``__q`` of the counts, base_failed, score and kept; an input column of that name gets ``_input`` added."""
     small_batches(docs.sparkSession)
+    docs = apart(docs, ["__q"])
 
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
     def judged(texts: pd.Series) -> pd.DataFrame:
@@ -211,4 +212,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass."""
-    return judge(docs, train(docs, labels)).where("__q.kept").drop("__q")
+    held = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    return judge(held, train(docs, labels)).where("__q.kept").select("row.*")

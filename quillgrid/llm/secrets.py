@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.shared import apart, sample_rows
+from quillgrid.llm.shared import clear_of, sample_rows
 
 #: kind, pattern, group whose length counts, least length; in the listed order.
 KINDS = [
@@ -147,9 +147,8 @@ def scan(docs: DataFrame, text: str = "text", ratios: list[float] | None = None)
     """Add ``_base`` and ``_all``, sorted spans (s, rank, e, kind); added spans overlap no base span."""
     if ratios is None:
         ratios = train(docs.select("doc_id", F.col(text).alias("text")))
-    names, docs = docs.columns, docs.select("*", F.col(text).alias("__text"))
-    docs, text = apart(docs, INSIDE), "__text"
-    out = _matched(base_spans(docs, text), "_tok", TOKEN, 0)
+    docs, names, own = clear_of(docs, INSIDE, ["_base", "_all"])
+    out = _matched(base_spans(docs, names.get(text, text)), "_tok", TOKEN, 0)
     # a token needs a letter and a digit, so words and numbers are not scored
     out = out.withColumn("_tok", F.expr(_spans("_tok", len(KINDS), ADDED, 0, 1, token=True)))
     # base spans are looked up by stretches of the text, about as many as the root of their number
@@ -163,7 +162,6 @@ def scan(docs: DataFrame, text: str = "text", ratios: list[float] | None = None)
     kept = f"transform({placed}, x -> named_struct('s', x.s, 'rank', x.rank, 'e', x.e, 'kind', x.kind))"
     out = out.withColumn("_tok", F.expr(f"CASE WHEN size(_tok) = 0 THEN cast(array() AS {_SPAN}) ELSE {kept} END"))
     out = out.withColumn("_all", F.array_sort(F.concat("_base", "_tok")))
-    own = [F.col(now).alias(now if was.lower() in ("_base", "_all") else was) for was, now in zip(names, docs.columns, strict=False)]
     return out.select(*own, "_base", "_all")
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.shared import NUMBER, apart, bucket_count, cut, gapless, small_side
+from quillgrid.llm.shared import BUCKET, MANY, NUMBER, RANK, START, bucket_count, clear_of, cut, gapless, small_side
 
 SHARDS = 24
 SEED = 20240607
@@ -86,6 +86,10 @@ def row_number_at(shard: int, slot: int, n: int, shards: int = SHARDS, seed: int
     return int(permute(np.array([slot * shards + shard]), n, seed, backwards=True)[0])
 
 
+#: Columns that the numbering of rows works with.
+INSIDE = [BUCKET, START, RANK, MANY, NUMBER, "__p", "__crc", "__hash", "__file", "__row"]
+
+
 def _placed(df: DataFrame, n: int, shards: int, seed: int) -> DataFrame:
     @F.pandas_udf("long")
     def permuted(number: pd.Series) -> pd.Series:
@@ -103,9 +107,9 @@ def with_sizes(df: DataFrame, text: str = "text") -> DataFrame:
 
 def shard_rows(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Put whole rows into shards in one shuffle; adds ``shard`` and ``slot``. The keys should tell rows apart."""
-    df = apart(df, ["shard", "slot"])
     n = df.count()
-    return _placed(gapless(df, [], keys, bucket_count(n)), n, shards, seed)
+    df, names, own = clear_of(df, INSIDE, ["shard", "slot"])
+    return _placed(gapless(df, [], [names.get(k, k) for k in keys], bucket_count(n)), n, shards, seed).select(*own, "shard", "slot")
 
 
 def _part_number(path: str) -> int:
@@ -126,16 +130,20 @@ def shard_in_order(df: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col
         places = df.select(at["file_path"].alias("file"), at["row_index"].alias("row"))
         sizes = places.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.max("row").alias("last")).collect()
     if not sizes or any(r["rows"] != r["last"] + 1 for r in sizes):
-        t = F.coalesce(F.col(text), F.lit(""))
-        own = apart(df, ["shard", "slot"]).withColumns({"__crc": F.crc32(t.cast("binary")), "__hash": F.xxhash64(t)})
-        return shard_rows(own, [id_column, "__crc", "__hash"], shards, seed).drop("__crc", "__hash")
+        own, names, back = clear_of(df, INSIDE, ["shard", "slot"])
+        t = F.coalesce(F.col(names.get(text, text)), F.lit(""))
+        marked = own.withColumns({"__crc": F.crc32(t.cast("binary")), "__hash": F.xxhash64(t)})
+        rows = gapless(marked, [], [names.get(id_column, id_column), "__crc", "__hash"], bucket_count(n := df.count()))
+        return _placed(rows, n, shards, seed).select(*back, "shard", "slot")
     starts, n = [], 0
     for r in sorted(sizes, key=lambda r: (_part_number(r["file"]), r["file"])):
         starts.append((r["file"], n))
         n += r["rows"]
     first = small_side(df.sparkSession.createDataFrame(starts, "__file string, __start long"))
-    own = apart(df.select("*", at["file_path"].alias("__file"), at["row_index"].alias("__row")), ["shard", "slot"])
-    return _placed(own.join(first, "__file").withColumn(NUMBER, F.col("__start") + F.col("__row")).drop("__start", "__row", "__file"), n, shards, seed)
+    renamed, _, back = clear_of(df, INSIDE, ["shard", "slot"])
+    # the file's columns are read where the table is, before any are renamed
+    own = df.select(*(F.col(f"`{c}`").alias(now) for c, now in zip(df.columns, renamed.columns, strict=True)), at["file_path"].alias("__file"), at["row_index"].alias("__row"))
+    return _placed(own.join(first, "__file").withColumn(NUMBER, F.col("__start") + F.col("__row")), n, shards, seed).select(*back, "shard", "slot")
 
 
 def shard_digests(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

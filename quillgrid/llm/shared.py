@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and U+0009 to U+000D.
@@ -73,6 +73,18 @@ def apart(df: DataFrame, names: list[str]) -> DataFrame:
     return df.toDF(*out) if out != df.columns else df
 
 
+def clear_of(df: DataFrame, inside: list[str], added: list[str]) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """``df`` with columns renamed that an operator's own would clash with, their names now, and what gives them back.
+
+    ``inside`` are the columns that an operator works with: input columns of such names get theirs back at the end. Those
+    named like the ``added`` ones keep ``_input``, as ``apart`` has it.
+    """
+    own = apart(df, [*inside, *added])
+    new = {a.lower() for a in added}
+    back = [F.col(f"`{now}`").alias(now if was.lower() in new else was) for was, now in zip(df.columns, own.columns, strict=True)]
+    return own, dict(zip(df.columns, own.columns, strict=True)), back
+
+
 def bucket_count(rows: int, rows_each: int = 2000, least: int = 64, most: int = 65536) -> int:
     """Buckets for a numbering: as many as the rows ask for. Beyond 131 million rows there are ``most`` buckets, whose
     rows are then sorted by a task each, spilling as any sort does: 10 ** 10 rows make buckets of 150,000."""
@@ -112,8 +124,21 @@ def gapless(df: DataFrame, group: list[str], keys: list[str], buckets: int, weig
     return ranked.join(starts, by).withColumn(NUMBER, (F.col(START) + F.col(RANK)).cast("long")).drop(START, RANK, BUCKET)
 
 
+def different_rows(df: DataFrame, chosen: DataFrame, most: int, *columns: str) -> DataFrame:
+    """At most so many different rows (columns of ``chosen``, then ``columns``) of ids that were chosen, by the hashes of their ids.
+
+    Rows are told apart by id and the hash of ``columns``, so an id that repeats brings no more rows than asked for, and
+    equal rows count once.
+    """
+    key = F.xxhash64(*columns).alias("__key")
+    met = df.select("doc_id", key).join(F.broadcast(chosen), "doc_id").distinct()
+    few = met.orderBy(F.xxhash64("doc_id"), *met.columns).limit(most)
+    own = df.select("doc_id", key, *columns).join(F.broadcast(few), ["doc_id", "__key"])
+    return own.dropDuplicates(few.columns).select(*chosen.columns, *(c for c in columns if c not in chosen.columns))
+
+
 def sample_rows(df: DataFrame, most: int, *columns: str) -> DataFrame:
-    """A bounded, repeatable sample: the rows with the smallest hashes of doc_id.
+    """A bounded, repeatable sample of at most ``most`` different rows: those with the smallest hashes of doc_id.
 
     A threshold on the hash that follows from the number of rows leaves some twice ``most`` ids to sort; where it
     leaves too few, because ids repeat, all are sorted.
@@ -126,7 +151,7 @@ def sample_rows(df: DataFrame, most: int, *columns: str) -> DataFrame:
     if rows > 4 * most and some.limit(most).count() < most:
         some = ids.distinct()
     chosen = some.orderBy(F.pmod(h, F.lit(1_000_003)), h, "doc_id").limit(most)
-    return df.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id")
+    return different_rows(df, chosen, most, *columns)
 
 
 def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
