@@ -9,7 +9,7 @@ groups that hold none of them are never seen. For the groups that are met, the q
 overlap with any member; groups below the bound stay closed, the members of the others are compared exactly. Groups of
 one class need no query of that class, so a crowd of copies costs blocks, not pairs.
 
-The order of tokens is by how far a token's counter (of 2^20, over all documents) lies above what chance gives, then by hash: any
+The order of tokens is by how far a token's counter (of 2^19, over all documents) lies above what chance gives, then by hash: any
 order keeps all links, this one keeps what many documents share out of the lookups. Tokens are 64-bit hashes of shingles,
 sets go by 128-bit names.
 
@@ -30,18 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.decontaminate import hashes_sql, text_key, words_sql
+from quillgrid.llm.decontaminate import text_key
 from quillgrid.llm.shared import cut, small_batches, small_side
-from quillgrid.llm.simhash import LOWERED, components
+from quillgrid.llm.simhash import components
 
 #: Links share SHARED in WHOLE of their union.
 SHARED, WHOLE = 4, 5
+WORDS = 5
 #: Sets that a block or group has, about.
 BLOCK = 128
 #: Rounds of putting similar sets into groups, each with a hash function of its own.
 ROUNDS = 4
 #: Counters of tokens, and how many deviations above the mean one must be to come later in the order.
-COUNTERS, UNUSUAL = 1 << 20, 5
+COUNTERS, UNUSUAL = 1 << 19, 5
 #: Queries of a group that one task takes.
 QUERIES = 2048
 #: Tokens of a block that are multiplied at once.
@@ -70,23 +71,50 @@ def indexed(n):
     return n - (2 * SHARED * n + SHARED + WHOLE - 1) // (SHARED + WHOLE) + 1
 
 
-def _set_sql(text: str, words: str = "_words") -> tuple[str, str]:
-    return words_sql(text, LOWERED), f"array_distinct({hashes_sql(words)})"
+_FORM = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
+#: Words whose hashes a worker keeps at hand.
+KNOWN_WORDS = 1 << 18
 
 
-def with_sets(rows: DataFrame) -> DataFrame:
-    """Rows with a column ``text`` as rows with the text's ``tokens``."""
-    words, tokens = _set_sql("text")
-    own = rows.select(*(c for c in rows.columns if c != "text"), F.expr(words).alias("_words"))
-    return own.select(*(c for c in own.columns if c != "_words"), F.expr(tokens).alias("tokens"))
+class Tokens:
+    """Sorted sets of 64-bit tokens of texts in UTF-8: a word's XXH64, five of them combined by odd factors and mixed."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        words = text.lower().split() if text else []  # of bytes: A-Z alone, and the six gaps
+        if not words:
+            return np.zeros(0, dtype=np.int64)
+        known = self.known
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        own = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        width = min(WORDS, len(words))
+        out = np.full(len(words) - width + 1, width, dtype=np.uint64)
+        for j in range(width):
+            out = (out ^ own[j : len(own) - width + 1 + j]) * _FORM[j]
+            out ^= out >> np.uint64(29)
+        return np.unique(_mixed(out).view(np.int64))
 
 
 def token_levels(docs: DataFrame) -> np.ndarray:
     """A small number for each counter: 0 for usual ones, else one more for each doubling."""
-    words, hashes = _set_sql("text")
-    # exploded as an expression: a filter on a column would be pushed below the words and work them out for each token
-    tokens = docs.select(F.expr(words).alias("_words")).select(F.explode(F.expr(hashes)).alias("t"))
-    counts = cut(tokens.groupBy(F.pmod("t", F.lit(COUNTERS)).cast("int").alias("c")).count())
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = Tokens(), np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, tokens(text) & (COUNTERS - 1), 1)
+        at = np.flatnonzero(counts)
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["c", "n"])
+
+    counts = cut(docs.select(F.col("text").cast("binary")).mapInArrow(counted, "c int, n long").groupBy("c").agg(F.sum("n").alias("count")))
     mean = (counts.agg(F.sum("count")).first()[0] or 0) / COUNTERS
     least = UNUSUAL * max(mean, 1.0) ** 0.5
     levels = np.zeros(COUNTERS, dtype=np.int8)
@@ -99,13 +127,12 @@ def marked(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(doc_id, key, name, n, prefix, keys): names and sizes of the sets, their first tokens in order, and minima of hashes."""
     spread = docs.sparkSession.sparkContext.broadcast(levels)
 
-    def marks(tokens: pa.Array) -> pa.Array:
-        table = spread.value
-        flat, ends = tokens.flatten().to_numpy(zero_copy_only=False), np.diff(tokens.offsets.to_numpy())
-        names, sizes, prefixes, keys, at = [], [], [], [], 0
-        for n in ends:
-            own = np.sort(flat[at : at + n])
-            at += n
+    def marks(texts: pa.Array) -> pa.Array:
+        table, tokens = spread.value, Tokens()
+        names, sizes, prefixes, keys = [], [], [], []
+        for text in texts.to_pylist():
+            own = tokens(text)
+            n = len(own)
             names.append(xxhash.xxh128_hexdigest(own.tobytes()))
             sizes.append(n)
             level = table[own & (COUNTERS - 1)]
@@ -115,14 +142,14 @@ def marked(docs: DataFrame, levels: np.ndarray) -> DataFrame:
         lists = lambda x: pa.array(x, type=pa.list_(pa.int64()))
         return pa.StructArray.from_arrays([pa.array(names, type=pa.string()), pa.array(sizes, type=pa.int32()), lists(prefixes), lists(keys)], names=["name", "n", "prefix", "keys"])
 
-    sets = with_sets(docs.select("doc_id", text_key("text").alias("key"), "text"))
-    return sets.select("doc_id", "key", F.arrow_udf(marks, _MARKS)("tokens").alias("m")).select("doc_id", "key", "m.*")
+    own = docs.select("doc_id", text_key("text").alias("key"), F.arrow_udf(marks, _MARKS)(F.col("text").cast("binary")).alias("m"))
+    return own.select("doc_id", "key", "m.*")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     """``wanted`` (with the columns doc and key of a row that has the text) with the text in their place."""
     own = small_side(cut(wanted), FEW_NAMES)
-    rows = docs.select("doc_id", text_key("text").alias("_key"), "text")
+    rows = docs.select("doc_id", text_key("text").alias("_key"), F.col("text").cast("binary").alias("text"))
     if repeated:
         rows = rows.dropDuplicates(["doc_id", "_key"])
     met = rows.join(own, (rows["_key"] == own["key"]) & rows["doc_id"].eqNullSafe(own["doc"]))
@@ -130,18 +157,16 @@ def texts_of(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(names, sets) of each group of rows (place, name, tokens) that are sorted by place."""
-    place, names, sets = None, [], []
+    """(names, sets) of each group of rows (place, name, text) that are sorted by place."""
+    place, names, sets, tokens = None, [], [], Tokens()
     for batch in batches:
-        tokens = batch.column(2)
-        flat, offsets = tokens.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *np.diff(tokens.offsets.to_numpy())])
-        for i, (p, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        for p, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if p != place:
                 if names:
                     yield names, sets
                 place, names, sets = p, [], []
             names.append(name)
-            sets.append(flat[offsets[i] : offsets[i + 1]])
+            sets.append(tokens(text))
     if names:
         yield names, sets
 
@@ -197,22 +222,24 @@ def first_links(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
     for r in range(ROUNDS):
         blocks = _placed(items.withColumn("_k", F.col("keys")[r]), "_k", 2).select("place", "name", "doc", "key")
         ordered = texts_of(docs, blocks, repeated).repartition("place").sortWithinPartitions("place", "name")
-        links = cut(with_sets(ordered).mapInArrow(_stars, "a string, b string"))
+        links = cut(ordered.select("place", "name", "text").mapInArrow(_stars, "a string, b string"))
         found.append(links)
         items = cut(items.join(small_side(links.select(F.col("b").alias("name")), FEW_NAMES), "name", "left_anti"))
     return reduce(DataFrame.union, found)
 
 
-def candidates(classed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries and the groups they meet (name, place), and all members of groups (place, name, doc, key).
+def candidates(rows: DataFrame, classed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries and the groups they meet (name, place), and all members of groups (name, doc, key, n, root, place).
 
-    ``classed`` has name, doc, key, n, prefix and the class ``root`` of each set.
+    ``rows`` have the ``prefix`` of each ``name``, ``classed`` the class ``root`` of each set besides.
     """
     grouped = cut(_placed(classed, "root", 1))
-    first = grouped.select("name", "n", "root", "place", F.posexplode("prefix").alias("at", "token"))
+    sets = rows.select("name", "prefix").join(small_side(grouped.select("name", "n", "root", "place"), FEW_NAMES), "name")
+    first = sets.select("name", "n", "root", "place", F.posexplode("prefix").alias("at", "token"))
     mark = F.xxhash64("root")
     met = first.groupBy("token").agg(F.min(mark).alias("least"), F.max(mark).alias("most")).where("least <> most").select("token")
-    live = cut(first.join(small_side(cut(met), FEW_TOKENS), "token"))
+    # copies have the same first tokens: each set counts once
+    live = cut(first.join(small_side(cut(met), FEW_TOKENS), "token").distinct())
     matrix = live.where(F.col("at") < indexed_column("n")).groupBy("token", "place", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     matrix = matrix.withColumnRenamed("root", "_root")
     queries = live.select("token", "name", "n", "root")
@@ -227,16 +254,14 @@ def indexed_column(n: str):
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A link (a, b) of each query to a group of rows (place, name, tokens, asks), members first."""
-    place, names, sets, table = None, [], [], None
+    """A link (a, b) of each query to a group of rows (place, name, text, asks), members first."""
+    place, names, sets, table, tokens = None, [], [], None, Tokens()
     for batch in batches:
-        tokens = batch.column(2)
-        flat, offsets = tokens.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *np.diff(tokens.offsets.to_numpy())])
         a, b = [], []
-        for i, (p, name, asks) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True)):
+        for p, name, text, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if p != place:
                 place, names, sets, table = p, [], [], None
-            own = flat[offsets[i] : offsets[i + 1]]
+            own = tokens(text)
             if not asks:
                 names.append(name)
                 sets.append(own)
@@ -263,16 +288,16 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.string()), pa.array(b, type=pa.string())], names=["a", "b"])
 
 
-def group_links(docs: DataFrame, classed: DataFrame, repeated: bool) -> DataFrame:
+def group_links(docs: DataFrame, rows: DataFrame, classed: DataFrame, repeated: bool) -> DataFrame:
     """Links (a, b) of sets to members of groups of other classes; the members of a group are of one class, so one link does."""
-    pairs, grouped = candidates(classed)
+    pairs, grouped = candidates(rows, classed)
     parts = pairs.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("_parts"))
     members = grouped.join(parts, "place").select("place", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), "name", "doc", "key", F.lit(False).alias("asks"))
     asking = pairs.join(parts, "place").join(classed.select("name", "doc", "key"), "name")
     asking = asking.select("place", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int").alias("part"), "name", "doc", "key", F.lit(True).alias("asks"))
     both = members.union(asking).withColumn("place", F.concat_ws("/", "place", F.col("part").cast("string"))).drop("part")
     ordered = texts_of(docs, both, repeated).repartition("place").sortWithinPartitions("place", "asks")
-    return with_sets(ordered).select("place", "name", "tokens", "asks").mapInArrow(_opened, "a string, b string")
+    return ordered.select("place", "name", "text", "asks").mapInArrow(_opened, "a string, b string")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -282,12 +307,12 @@ def join(docs: DataFrame) -> DataFrame:
     rows = cut(marked(docs, token_levels(docs)))
     some = rows.where("n > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    nodes = some.groupBy("name").agg(least, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("keys").alias("keys"))
-    nodes = cut(nodes.select("name", F.col("first.doc_id").alias("doc"), F.col("first.key").alias("key"), "n", "prefix", "keys"))
+    nodes = some.groupBy("name").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = cut(nodes.select("name", F.col("first.doc_id").alias("doc"), F.col("first.key").alias("key"), "n", "keys"))
     repeated = bool(rows.groupBy("doc_id", "key").count().where("count > 1").limit(1).count())
     classes = components(first_links(docs, nodes, repeated)).withColumnRenamed("node", "name")
-    classed = cut(nodes.join(classes, "name", "left").select("name", "doc", "key", "n", "prefix", F.coalesce("root", "name").alias("root")))
-    more = cut(group_links(docs, classed, repeated))
+    classed = cut(nodes.join(classes, "name", "left").select("name", "doc", "key", "n", F.coalesce("root", "name").alias("root")))
+    more = cut(group_links(docs, some, classed, repeated))
     of = lambda side: classed.select(F.col("name").alias(side), F.col("root").alias(f"{side}_root"))
     edges = more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
     tops = components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))

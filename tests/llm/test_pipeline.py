@@ -46,7 +46,7 @@ def test_stages_take_odd_rows(spark, odd, tmp_path):
         assert stage(spark, odd.where("false"), sf).count() == 0
     assert corpus_pipeline.sharded(spark, odd.where("false"), sf).count() == 0
     long = [(None, "one text without an id " + " ".join(f"a{i}" for i in range(40))), (None, "another text without an id " + " ".join(f"b{i}" for i in range(40))), (9, " ".join(f"c{i}" for i in range(40))), (9, " ".join(f"d{i}" for i in range(40)))]
-    more = spark.createDataFrame([(i, t, "en", "s", None, 7, 7, "x", "y") for i, t in long], odd.schema)
+    more = spark.createDataFrame([(i, t, "en", "s", None, *tuple(odd.first())[5:]) for i, t in long], odd.schema)
     odd.union(more).union(more).write.parquet(f"{tmp_path}/documents.parquet")
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.text) for r in rows} >= set(long) and len({r.text for r in rows}) == len(rows)
