@@ -50,7 +50,10 @@ COLUMNS = 8192
 #: Most tokens (a long each) that are broadcast, and most rows of names that are.
 FEW_TOKENS, FEW_NAMES = 1_000_000, 300_000
 
-_MARKS = "struct<name:string,n:int,prefix:array<bigint>,keys:array<bigint>>"
+#: Bins of a set's profile: how many of its tokens fall into each, 255 at most, which then stands for any number.
+BINS = 256
+
+_MARKS = "struct<name:string,n:int,prefix:array<bigint>,keys:array<bigint>,profile:binary>"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -129,7 +132,7 @@ def marked(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
     def marks(texts: pa.Array) -> pa.Array:
         table, tokens = spread.value, Tokens()
-        names, sizes, prefixes, keys = [], [], [], []
+        names, sizes, prefixes, keys, profiles = [], [], [], [], []
         for text in texts.to_pylist():
             own = tokens(text)
             n = len(own)
@@ -138,9 +141,10 @@ def marked(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             level = table[own & (COUNTERS - 1)]
             ordered = own[np.argsort(level, kind="stable")] if level.any() else own
             prefixes.append(ordered[: probed(n)] if n else own)
+            profiles.append(np.minimum(np.bincount(own & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes())
             keys.append(np.array([_mixed(own.view(np.uint64) * odd).min() for odd in _ODD]).view(np.int64) if n else own)
         lists = lambda x: pa.array(x, type=pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([pa.array(names, type=pa.string()), pa.array(sizes, type=pa.int32()), lists(prefixes), lists(keys)], names=["name", "n", "prefix", "keys"])
+        return pa.StructArray.from_arrays([pa.array(names, type=pa.string()), pa.array(sizes, type=pa.int32()), lists(prefixes), lists(keys), pa.array(profiles, type=pa.binary())], names=["name", "n", "prefix", "keys", "profile"])
 
     own = docs.select("doc_id", text_key("text").alias("key"), F.arrow_udf(marks, _MARKS)(F.col("text").cast("binary")).alias("m"))
     return own.select("doc_id", "key", "m.*")
@@ -229,23 +233,63 @@ def first_links(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
 
 
 def candidates(rows: DataFrame, classed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries and the groups they meet (name, place), and all members of groups (name, doc, key, n, root, place).
+    """Queries and the groups they meet (q, g, n), and all members of groups (name, doc, key, n, profile, root, place, q, g).
 
-    ``rows`` have the ``prefix`` of each ``name``, ``classed`` the class ``root`` of each set besides.
+    ``rows`` have the ``prefix`` of each ``name``, ``classed`` the class ``root`` of each set besides. Tokens are looked up
+    under hashes q and g of names and places; what comes out is joined to the names themselves.
     """
-    grouped = cut(_placed(classed, "root", 1))
-    sets = rows.select("name", "prefix").join(small_side(grouped.select("name", "n", "root", "place"), FEW_NAMES), "name")
-    first = sets.select("name", "n", "root", "place", F.posexplode("prefix").alias("at", "token"))
-    mark = F.xxhash64("root")
-    met = first.groupBy("token").agg(F.min(mark).alias("least"), F.max(mark).alias("most")).where("least <> most").select("token")
+    grouped = cut(_placed(classed, "root", 1).withColumns({"q": F.xxhash64("name"), "g": F.xxhash64("place")}))
+    sets = rows.select("name", "prefix").join(small_side(grouped.select("name", "n", F.xxhash64("root").alias("r"), "q", "g"), FEW_NAMES), "name")
+    first = sets.select("q", "g", "r", "n", F.posexplode("prefix").alias("at", "token"))
+    met = first.groupBy("token").agg(F.min("r").alias("least"), F.max("r").alias("most")).where("least <> most").select("token")
     # copies have the same first tokens: each set counts once
     live = cut(first.join(small_side(cut(met), FEW_TOKENS), "token").distinct())
-    matrix = live.where(F.col("at") < indexed_column("n")).groupBy("token", "place", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = matrix.withColumnRenamed("root", "_root")
-    queries = live.select("token", "name", "n", "root")
-    fits = (F.col("root") != F.col("_root")) & (F.col("least") <= F.col("n")) & (WHOLE * F.col("most") >= SHARED * F.col("n"))
-    pairs = queries.join(matrix, "token").where(fits).select("name", "place").distinct()
-    return cut(pairs), grouped
+    matrix = live.where(F.col("at") < indexed_column("n")).groupBy("token", "g", F.col("r").alias("_r")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    queries = live.select("token", "q", "n", "r")
+    fits = (F.col("r") != F.col("_r")) & (F.col("least") <= F.col("n")) & (WHOLE * F.col("most") >= SHARED * F.col("n"))
+    return cut(queries.join(matrix, "token").where(fits).select("q", "g", "n").distinct()), grouped
+
+
+def _summits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bin-wise maximum of the profiles of each group of rows (g, profile) that are sorted by g."""
+    last, most = None, None
+    out: tuple[list, list] = ([], [])
+    for batch in batches:
+        for g, profile in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = np.frombuffer(profile, dtype=np.uint8)
+            if g == last:
+                most = np.maximum(most, own)
+                continue
+            if most is not None:
+                out[0].append(last)
+                out[1].append(most.tobytes())
+            last, most = g, own
+    if most is not None:
+        out[0].append(last)
+        out[1].append(most.tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(out[0], type=pa.int64()), pa.array(out[1], type=pa.binary())], names=["g", "summit"])
+
+
+def bounded(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The pairs (q, g) whose profiles leave room for a link.
+
+    A query shares with a member at most what the bins of both have in common, so at most what its bins have in common with
+    the highest of the group's. Full bins bound nothing.
+    """
+
+    @F.arrow_udf("boolean")
+    def may(own: pa.Array, summit: pa.Array, sizes: pa.Array) -> pa.Array:
+        n = sizes.to_numpy(zero_copy_only=False)
+        a, b = (np.frombuffer(b"".join(x.to_pylist()), dtype=np.uint8).reshape(-1, BINS) for x in (own, summit))
+        most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+        full = ((a == 255) & (b == 255)).any(axis=1)
+        return pa.array(full | (WHOLE * most >= SHARED * n))
+
+    asked = pairs.select("g").distinct()
+    members = grouped.select("g", "profile").join(asked, "g").repartition("g").sortWithinPartitions("g")
+    summits = members.mapInArrow(_summits, "g long, summit binary")
+    both = pairs.join(summits, "g").join(grouped.select("q", "profile"), "q")
+    return cut(both.where(may("profile", "summit", "n")).select("q", "g").distinct())
 
 
 def indexed_column(n: str):
@@ -291,10 +335,12 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def group_links(docs: DataFrame, rows: DataFrame, classed: DataFrame, repeated: bool) -> DataFrame:
     """Links (a, b) of sets to members of groups of other classes; the members of a group are of one class, so one link does."""
     pairs, grouped = candidates(rows, classed)
-    parts = pairs.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("_parts"))
-    members = grouped.join(parts, "place").select("place", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), "name", "doc", "key", F.lit(False).alias("asks"))
-    asking = pairs.join(parts, "place").join(classed.select("name", "doc", "key"), "name")
-    asking = asking.select("place", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int").alias("part"), "name", "doc", "key", F.lit(True).alias("asks"))
+    pairs = bounded(pairs, grouped)
+    parts = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("_parts"))
+    members = grouped.join(parts, "g").select("place", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), "name", "doc", "key", F.lit(False).alias("asks"))
+    places = grouped.join(parts, "g").select("g", "place", "_parts").distinct()
+    asking = pairs.join(places, "g").join(grouped.select("q", "name", "doc", "key"), "q")
+    asking = asking.select("place", F.pmod("q", F.col("_parts")).cast("int").alias("part"), "name", "doc", "key", F.lit(True).alias("asks"))
     both = members.union(asking).withColumn("place", F.concat_ws("/", "place", F.col("part").cast("string"))).drop("part")
     ordered = texts_of(docs, both, repeated).repartition("place").sortWithinPartitions("place", "asks")
     return ordered.select("place", "name", "text", "asks").mapInArrow(_opened, "a string, b string")
@@ -307,11 +353,11 @@ def join(docs: DataFrame) -> DataFrame:
     rows = cut(marked(docs, token_levels(docs)))
     some = rows.where("n > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    nodes = some.groupBy("name").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = cut(nodes.select("name", F.col("first.doc_id").alias("doc"), F.col("first.key").alias("key"), "n", "keys"))
+    nodes = some.groupBy("name").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("profile").alias("profile"))
+    nodes = cut(nodes.select("name", F.col("first.doc_id").alias("doc"), F.col("first.key").alias("key"), "n", "keys", "profile"))
     repeated = bool(rows.groupBy("doc_id", "key").count().where("count > 1").limit(1).count())
     classes = components(first_links(docs, nodes, repeated)).withColumnRenamed("node", "name")
-    classed = cut(nodes.join(classes, "name", "left").select("name", "doc", "key", "n", F.coalesce("root", "name").alias("root")))
+    classed = cut(nodes.join(classes, "name", "left").select("name", "doc", "key", "n", "profile", F.coalesce("root", "name").alias("root")))
     more = cut(group_links(docs, some, classed, repeated))
     of = lambda side: classed.select(F.col("name").alias(side), F.col("root").alias(f"{side}_root"))
     edges = more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
