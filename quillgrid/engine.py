@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import text as T
 from quillgrid.operators import batching, checks, glossary, jobs, package_checks, provider, render_ooxml, rendering, responses, roles
-from quillgrid.sources import ooxml
-from quillgrid.sources.files import write_files
+from quillgrid.sources import ooxml, package_source
+from quillgrid.sources.delivery import deliver
 from quillgrid.streaming.ingest import answered
 
 PHASES = ("analysis", "translation", "review")
@@ -42,12 +42,25 @@ class Engine:
         df.withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{self._path(name)}/ingest={ingest}")
 
     def prepare(self, inputs: str) -> DataFrame:
-        """Read Word and Excel packages; writes units and a manifest, which it returns. Other files are listed as rejected."""
+        """Read Word and Excel packages; writes units and a manifest, which it returns. Other files, and packages that can't
+        be read, are listed as rejected with what is wrong."""
         files = ooxml.packages(self.spark, inputs)
-        files.write.mode("overwrite").parquet(self._path("files"))
-        files = self.read("files")
-        lines = ooxml.package_units(files)
-        lines.write.mode("overwrite").parquet(self._path("lines"))
+        own = files.where("error IS NULL").select("doc_id", ooxml.read(F.col("content"), lines=True).alias("r"))
+        read = self._kept("read", own.select("doc_id", F.col("r.lines").alias("lines"), F.col("r.error").alias("broken")))
+        broken = read.where("broken IS NOT NULL").select("doc_id", "broken")
+        files.join(broken, "doc_id", "left").withColumn("error", F.coalesce("error", "broken")).drop("broken").write.mode("overwrite").parquet(self._path("files"))
+        read.select("doc_id", F.posexplode("lines").alias("idx", "l")).select("doc_id", "idx", "l.*").write.mode("overwrite").parquet(self._path("lines"))
+        return self.refresh_roles()
+
+    def prepare_streamed(self, inputs: str, **options) -> DataFrame:
+        """As ``prepare``, part by part through the data source ``packages``, for packages too large for one task."""
+        package_source.register(self.spark)
+        broken = self.spark.read.format("packages").options(kind="error", **options).load(inputs)
+        errors = broken.groupBy("doc_id").agg(F.min("error").alias("broken"))
+        files = ooxml.packages(self.spark, inputs).join(errors, "doc_id", "left")
+        files.withColumn("error", F.coalesce("error", "broken")).drop("broken").write.mode("overwrite").parquet(self._path("files"))
+        good = self.read("files").where("error IS NULL").select("doc_id")
+        package_source.lines(self.spark, inputs, **options).join(good, "doc_id", "left_semi").write.mode("overwrite").parquet(self._path("lines"))
         return self.refresh_roles()
 
     def prepare_lines(self, lines: DataFrame) -> DataFrame:
@@ -56,8 +69,13 @@ class Engine:
         return self.refresh_roles()
 
     def refresh_roles(self, skip_rows: str | None = None) -> DataFrame:
-        """Work out roles again; rows to skip of Excel cells are applied after them, each time."""
+        """Work out roles again; rows to skip of Excel cells are applied after them, each time.
+
+        The rows to skip are fixed by the first call that names any: another specification, one for a job that has answers
+        already, and one for inputs without Excel cells are refused.
+        """
         lines = self.read("lines")
+        skip_rows = self._skipped(lines, skip_rows)
         units = roles.with_roles(roles.units_of(lines.select("doc_id", "idx", "text")))
         units = units.join(lines.select("doc_id", F.col("idx").cast("long").alias("unit_ord"), "part", "place"), ["doc_id", "unit_ord"])
         if skip_rows:
@@ -66,6 +84,24 @@ class Engine:
         units.write.mode("overwrite").parquet(self._path("units"))
         return roles.manifest(self.read("units"))
 
+    def _skipped(self, lines: DataFrame, spec: str | None) -> str | None:
+        """The rows to skip that hold for this job."""
+        was = self.read("skipped", "spec string").first()
+        if spec is None or not spec.strip():
+            return was and was["spec"]
+        spec = ",".join(t.replace(" ", "") for t in spec.split(",") if t.strip())
+        if was and was["spec"] != spec:
+            raise ValueError(f"this job leaves out the rows {was['spec']}; start another one for {spec}")
+        if not was:
+            if not lines.where(F.startswith("part", F.lit("xl/"))).limit(1).count():
+                raise ValueError("rows can be left out of Excel inputs only")
+            if self.read("events", "doc_id string, phase string, id string").limit(1).count():
+                raise ValueError("rows can be left out before the first answer only")
+            named = self.spark.createDataFrame([(spec,)], "spec string")
+            named.select(roles.row_ranges(F.col("spec"))).first()  # a bad range raises before anything is stored
+            named.write.mode("overwrite").parquet(self._path("skipped"))
+        return spec
+
     def _events(self) -> DataFrame:
         kind = dict(self.read("units").dtypes)["doc_id"]
         return self.read("events", f"doc_id {kind}, phase string, id string")
@@ -86,12 +122,22 @@ class Engine:
         return own, events.where(F.col("phase") == phase), more
 
     def next_batches(self, phase: str, limit: int = batching.LIMIT, chars: int = batching.CHARS) -> DataFrame:
-        """The open batch of each document whose gate for the phase is open; none when the phase is complete."""
+        """The open batch of each document whose gate for the phase is open; ``phase_states`` tells why a document has none."""
         if limit < 1 or chars < 1000:
             raise ValueError("limit must be at least 1 and chars at least 1000")
         own, done, more = self._open_units(phase)
         return batching.next_batches(own, phase, done, limit, chars, **more)
 
+    def phase_states(self, phase: str) -> DataFrame:
+        """(doc_id, state) of a phase: ``open``, ``complete``, or ``waiting`` for an earlier phase."""
+        if phase not in PHASES:
+            raise ValueError(f"phase must be one of {', '.join(PHASES)}")
+        done = {"analysis": "analysis", "translation": "translations", "review": "reviews"}[phase]
+        rows = jobs.progress(self.read("units"), self._events())
+        both = rows.join(jobs.gates(rows).select("doc_id", "can_lock", "can_review"), "doc_id")
+        gate = {"analysis": F.lit(True), "translation": F.col("can_lock"), "review": F.col("can_review")}[phase]
+        return both.select("doc_id", F.when(~gate, "waiting").when(F.col(done) >= F.col("total"), "complete").otherwise("open").alias("state"))
+
     def open_batches(self, phase: str, limit: int = batching.LIMIT, chars: int = batching.CHARS) -> DataFrame:
         """All open batches of such documents, packed once."""
         if limit < 1 or chars < 1000:
@@ -124,10 +170,10 @@ class Engine:
         return verdicts
 
     def lock_glossary(self, supplied: DataFrame | str | None = None) -> DataFrame:
-        """Deduplicate supplied terms (a table with source, target and ord, or a JSON file) and found ones; documents must be
-        analysed first. The glossary is stored in the order of its folded sources, and as a CSV file."""
-        if jobs.gates(jobs.progress(self.read("units"), self._events())).where("NOT can_lock").limit(1).count():
-            raise ValueError("every translatable unit must be analysed before the glossary is locked")
+        """Deduplicate supplied terms (a table with source, target and ord, or a JSON file) and found ones; some document must be
+        analysed first, those that aren't stay behind. The glossary is stored in the order of its folded sources, and as a CSV file."""
+        if not jobs.gates(jobs.progress(self.read("units"), self._events())).where("can_lock").limit(1).count():
+            raise ValueError("every translatable unit of a document must be analysed before the glossary is locked")
         terms = self.read("terms", "ord bigint, pos int, source string, target string, direction string, domain string, confidence string, context_unit_ids array<string>, definition string, notes string, src_rank int")
         place = F.struct(F.col("ord").cast("long").alias("ord"), F.col("pos").cast("int").alias("pos")).alias("ord")
         terms = terms.select(*glossary.COLUMNS, "src_rank", place)
@@ -148,18 +194,22 @@ class Engine:
     def finalize(self) -> DataFrame:
         """Render both outputs as rows, and packages where files were read; returns the checks of each document.
 
-        Packages are read again and checked; the result is stored as ``qa`` (and as JSON lines), with ``report`` and ``artefacts``.
+        Documents that lack translations are left out and listed in ``unfinished`` with the number that they lack; where all
+        do, it is an error. Packages are read again and checked; the result is stored as ``qa`` (and as JSON lines), with ``report`` and ``artefacts``.
         """
         units = roles.completed(self.read("units"))
         self.targets().write.mode("overwrite").parquet(self._path("targets"))
         targets = self.read("targets")
-        if units.where("translatable").join(targets, ["doc_id", "id"], "left_anti").limit(1).count():
-            raise ValueError("some translatable units have no translation")
+        lacking = units.where("translatable").join(targets, ["doc_id", "id"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lacking"))
+        lacking = self._kept("unfinished", lacking)
+        units = units.join(lacking, "doc_id", "left_anti")
+        if lacking.limit(1).count() and not units.limit(1).count():
+            raise ValueError("no document has translations of all its translatable units")
         rendering.bilingual_cells(units, targets).write.mode("overwrite").parquet(self._path("bilingual"))
         rendering.english_copy(units, targets).write.mode("overwrite").parquet(self._path("english"))
         if not units.where("part <> 'text'").limit(1).count():
             return self._kept("qa", checks.cells(units, targets, self.read("bilingual")))
-        files = self.read("files").where("error IS NULL")
+        files = self.read("files").where("error IS NULL").join(lacking, "doc_id", "left_anti")
         placed = units.join(targets, ["doc_id", "id"]).select("doc_id", "part", "place", "text", "target", "bilingual_output", "english_output")
         two = self._kept("bilingual_files", render_ooxml.rendered(files, placed.where("bilingual_output"), True))
         copies = files.join(units.where("document_direction = 'zh-to-en'").select("doc_id").distinct(), "doc_id", "left_semi")
@@ -173,6 +223,7 @@ class Engine:
 
     def deliver(self, root: str, flat: bool = False) -> DataFrame:
         """Write the output files of finalized packages under ``root``, a folder for each or all in one; returns (path, bytes).
+        They are put in place when all are written, and ``root`` then has a list of them.
 
         Inputs whose outputs would have the same name are refused before anything is written.
         """
@@ -189,7 +240,7 @@ class Engine:
         rows = told.select(F.inline(F.array(text("qa", F.col("_qa")), text("report", F.col("_report")), text("glossary", terms))))
         for name in ("bilingual", "english"):
             rows = rows.union(named.where(F.col(name).isNotNull()).join(self.read(f"{name}_files"), "doc_id").select(F.col(name).alias("path"), "content"))
-        return self._kept("delivered", write_files(rows, root))
+        return self._kept("delivered", deliver(rows, root))
 
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(self._path(name))
@@ -209,7 +260,8 @@ class Engine:
     def run(self, model: provider.Provider, limit: int = batching.LIMIT, chars: int = batching.CHARS, supplied: DataFrame | str | None = None) -> DataFrame:
         """All phases until no batch is open, then the outputs; finished phases are skipped, so it can be started again.
 
-        A pass asks all open batches of a phase; batches that were rejected are packed again for the next.
+        A pass asks all open batches of a phase; batches that were rejected are packed again for the next. Where a pass gets
+        no answer accepted, the documents that are stuck stay behind, with their last problems in ``stuck``, and the others go on.
         """
         for phase in PHASES:
             if phase == "translation":
@@ -221,8 +273,11 @@ class Engine:
                 if not payloads.limit(1).count():
                     break
                 provider.answers(payloads, model).write.parquet(path + "/answers")
-                got = self.spark.read.parquet(path + "/answers").where("answer IS NOT NULL").select("doc_id", "batch_no", F.col("answer").alias("content"))
+                answers = self.spark.read.parquet(path + "/answers")
+                got = answers.where("answer IS NOT NULL").select("doc_id", "batch_no", F.col("answer").alias("content"))
                 verdicts = self.ingest(phase, payloads, got)
                 if not verdicts.where("accepted").limit(1).count():
-                    raise RuntimeError(f"no batch of {phase} was accepted")
+                    stuck = answers.groupBy("doc_id").agg(F.lit(phase).alias("phase"), F.count(F.lit(1)).alias("batches"), F.max("problem").alias("problem"))
+                    stuck.write.mode("overwrite").parquet(self._path(f"stuck/pass={phase}"))
+                    break
         return self.finalize()

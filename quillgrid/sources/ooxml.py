@@ -6,6 +6,8 @@ import hashlib
 import io
 import re
 import zipfile
+import zlib
+from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
@@ -18,12 +20,15 @@ from quillgrid.functions import text as T
 from quillgrid.sources import ooxml_xml as xml
 
 
-def decoded(cells: DataFrame, shared_strings: DataFrame) -> DataFrame:
-    """Add ``cell_text``: shared strings by position, inline and plain strings; formulas and the rest are null."""
-    met = F.when(F.col("t") == "s", F.expr("try_cast(v AS bigint)")) == F.col("idx")
-    own = cells.join(shared_strings, met, "left")
+def decoded(cells: DataFrame, shared_strings: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Add ``cell_text``: shared strings by position, inline and plain strings; formulas and the rest are null.
+
+    ``by`` are columns of both, such as the package's id, within which positions count.
+    """
+    at = cells.withColumn("_at", F.when(F.col("t") == "s", F.expr("try_cast(v AS bigint)")))
+    own = at.join(shared_strings.withColumnRenamed("idx", "_at"), [*(by or []), "_at"], "left").drop("_at")
     text = F.when(F.col("has_formula"), None).when(F.col("t") == "s", F.col("shared")).when(F.col("t").isin("inlineStr", "str"), F.col("v"))
-    return own.withColumn("cell_text", text).drop("idx", "shared")
+    return own.withColumn("cell_text", text).drop("shared")
 
 
 def not_wrapped(cells: DataFrame, styles: DataFrame) -> DataFrame:
@@ -34,6 +39,10 @@ def not_wrapped(cells: DataFrame, styles: DataFrame) -> DataFrame:
 
 
 SUPPORTED = ("docx", "xlsx", "xlsm")
+#: What reading a package or part that is torn, encrypted, malformed or too large raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, expat.ExpatError, KeyError, ValueError, OSError, EOFError, SyntaxError, NotImplementedError, RuntimeError)
+#: Bytes that a package which is held as a whole may unpack to.
+MOST_BYTES = 1 << 30
 # Fixed value: parts of a Word package that hold text.
 STORY = r"^word/(document|header\d+|footer\d+|footnotes|endnotes|comments)\.xml$"
 
@@ -124,6 +133,8 @@ class Package:
 
     def __init__(self, content: bytes):
         with zipfile.ZipFile(io.BytesIO(content)) as z:
+            if sum(m.file_size for m in z.infolist()) > MOST_BYTES:
+                raise ValueError(f"the package would unpack to more than {MOST_BYTES} bytes")
             self.members = {n: z.read(n) for n in z.namelist() if not n.endswith("/")}
         self._parsed: dict[str, xml.Part] = {}
         self._cells: dict[str, list] = {}
@@ -196,14 +207,21 @@ class Package:
 
 
 def read(content: Column, wanted: Column | None = None, lines: bool = False, structure: bool = False) -> Column:
-    """What a package holds, read in one pass: ``lines`` and ``structure`` if asked for, and ``found`` at ``wanted`` places."""
+    """What a package holds, read in one pass: ``lines`` and ``structure`` if asked for, and ``found`` at ``wanted`` places;
+    of one that can't be read an ``error`` alone."""
     placed = wanted is not None
-    kinds = {"lines": (lines, f"array<{LINE}>"), "structure": (structure, STRUCTURE), "found": (placed, f"array<{FOUND}>")}
+    kinds = {"lines": (lines, f"array<{LINE}>"), "structure": (structure, STRUCTURE), "found": (placed, f"array<{FOUND}>"), "error": (True, "string")}
     schema = f"struct<{','.join(f'{n}:{k}' for n, (on, k) in kinds.items() if on)}>"
     kind = to_arrow_type(_parse_datatype_string(schema))
     names = ["text", "part", "place", "depth"]
 
     def one(data: bytes, places) -> dict:
+        try:
+            return whole(data, places)
+        except BROKEN as e:
+            return {"error": f"{type(e).__name__}: {e}"[:500]}
+
+    def whole(data: bytes, places) -> dict:
         own = Package(data)
         out, got = {}, own.lines() if lines or placed else []
         if lines:
@@ -226,6 +244,7 @@ def read(content: Column, wanted: Column | None = None, lines: bool = False, str
 
 
 def package_units(files: DataFrame) -> DataFrame:
-    """Lines (doc_id, idx, text, part, place, depth) of Word and Excel packages (doc_id, content) in reading order."""
+    """Lines (doc_id, idx, text, part, place, depth) of Word and Excel packages (doc_id, content) in reading order; none of
+    packages that can't be read."""
     own = files.where(F.col("error").isNull()) if "error" in files.columns else files
     return own.select("doc_id", F.posexplode(read(F.col("content"), lines=True)["lines"]).alias("idx", "l")).select("doc_id", "idx", "l.*")

@@ -1,6 +1,7 @@
 import io
 import json
 import os
+import random
 import signal
 import sys
 import threading
@@ -116,7 +117,8 @@ def test_whole_run_over_packages(spark, tmp_path):
     names = {r.bilingual.rsplit("/", 1)[1]: r for r in engine.read("artefacts").collect()}
     assert set(names) == {"harbour.bilingual.xlsm", "list.bilingual.docx"} and names["list.bilingual.docx"].english.endswith("/list/list.english.docx") and names["harbour.bilingual.xlsm"].english is None
     delivered = {r.path: r.bytes for r in engine.deliver(str(tmp_path / "out")).collect()}
-    there = {"/" + str(p.relative_to(tmp_path / "out")): p for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    there = {"/" + str(p.relative_to(tmp_path / "out")): p for p in (tmp_path / "out").rglob("*") if p.is_file() and p.suffix != ".crc"}
+    assert there.pop("/delivered.jsonl")
     assert set(there) == set(delivered) == {f"/harbour/harbour.{x}" for x in ("bilingual.xlsm", "glossary.csv", "qa-report.md", "qa.json")} | {f"/list/list.{x}" for x in ("bilingual.docx", "english.docx", "glossary.csv", "qa-report.md", "qa.json")}
     assert all(p.stat().st_size == delivered[n] for n, p in there.items())
     assert members(there["/harbour/harbour.bilingual.xlsm"].read_bytes()) == book and there["/list/list.glossary.csv"].read_bytes() == csv
@@ -216,13 +218,93 @@ def test_relevant_terms_fill_up_to_the_cap(spark):
     assert len(got[2]) == 60 and not any(m for _, m in got[2]) and len(got[3]) == 70 and all(m for _, m in got[3])
 
 
+def test_occurrences_equal_containment(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcé水") for _ in range(n))
+    texts = [(i, word(rng.randrange(0, 400))) for i in range(60)] + [(99, None)]
+    spellings = sorted({word(rng.choice((1, 2, 3, 4, 5, 7, 9, 13, 20))) for _ in range(300)} | {t[5:90] for _, t in texts[:20] if t and len(t) > 90})
+    own = spark.createDataFrame(list(enumerate(spellings)), "term int, spelling string")
+    got = glossary.occurrences(own, spark.createDataFrame(texts, "batch int, text string")).distinct()
+    want = {(b, k) for b, t in texts for k, x in enumerate(spellings) if t and x and x in t}
+    assert {tuple(r) for r in got.collect()} == want and any(len(spellings[k]) > 64 for _, k in want)
+
+
+def test_a_large_glossary_stays_off_the_driver(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the glossary were too large to broadcast
+    try:
+        terms = spark.range(200_000).selectExpr("id AS ord", "concat('term ', id, ' end') AS source", "concat('Ziel ', id, ' aus') AS target")
+        batches = spark.createDataFrame([(1, "see term 77 end and ziel 199999 aus"), (2, "nothing")], "batch bigint, text string")
+        got = {(r.batch, r.source) for r in glossary.relevant(terms, batches, 2).where("matched").collect()}
+        assert got == {(1, "term 77 end"), (1, "term 199999 end")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_skipped_rows_survive_a_refresh(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "harbour.xlsx").write_bytes(harbour_workbook())
     engine = Engine(spark, str(tmp_path / "work"))
     engine.prepare(str(tmp_path / "in"))
-    for _ in range(2):
-        assert engine.refresh_roles("2-5").first().translatable_count == 2
+    for spec in ("2-5", None, " 2-5 "):
+        assert engine.refresh_roles(spec).first().translatable_count == 2
+    with pytest.raises(ValueError, match="leaves out the rows 2-5"):
+        engine.refresh_roles("3")
+
+
+def test_rows_can_be_left_out_of_fresh_excel_jobs_only(spark, tmp_path):
+    plain = Engine(spark, str(tmp_path / "plain"))
+    plain.prepare_lines(spark.createDataFrame([(1, 0, "The gate is open now")], "doc_id bigint, idx int, text string"))
+    with pytest.raises(ValueError, match="Excel"):
+        plain.refresh_roles("1")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "harbour.xlsx").write_bytes(harbour_workbook())
+    engine = Engine(spark, str(tmp_path / "work"))
+    engine.prepare(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="bad row range"):
+        engine.refresh_roles("0-x")
+    payloads = spark.createDataFrame(engine.open_batches("analysis").collect(), engine.open_batches("analysis").schema)
+    doc = payloads.first().doc_id
+    engine.ingest("analysis", payloads, spark.createDataFrame([(doc, 0, '{"terms": []}')], "doc_id string, batch_no int, content string"))
+    with pytest.raises(ValueError, match="before the first answer"):
+        engine.refresh_roles("2-5")
+
+
+class Moody:
+    """Answers for all documents but one."""
+
+    def answer(self, system: str, prompt: str) -> str:
+        items = json.loads(prompt.rpartition("Items:\n")[2])
+        if any("hopeless" in i["text"] for i in items) and "source_hash" in system:
+            return "no object at all"
+        return json.dumps({"terms": [], "items": [{"id": i["id"], "source_hash": i["source_hash"], "status": "ok", "target": "译文"} for i in items]}, ensure_ascii=False)
+
+
+def test_a_stuck_document_does_not_hold_up_the_others(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "work"))
+    lines = [(1, 0, "The gate is open now"), (2, 0, "A hopeless line of words"), (3, 0, "Another plain line here")]
+    engine.prepare_lines(spark.createDataFrame(lines, "doc_id bigint, idx int, text string"))
+    assert {r.state for r in engine.phase_states("translation").collect()} == {"waiting"}
+    qa = {r.doc_id: r.passed for r in engine.run(Moody()).collect()}
+    assert qa == {1: True, 3: True}
+    assert [(r.doc_id, r.lacking) for r in engine.read("unfinished").collect()] == [(2, 1)]
+    assert [(r.doc_id, r.phase, r.batches) for r in engine.read("stuck").collect()] == [(2, "translation", 1)]
+    states = {r.doc_id: r.state for r in engine.phase_states("translation").collect()}
+    assert states == {1: "complete", 2: "open", 3: "complete"}
+    assert {r.doc_id: r.passed for r in engine.run(provider.Echo("译")).collect()} == {1: True, 2: True, 3: True}  # it goes on later
+
+
+def test_a_broken_package_is_rejected_alone(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    book = harbour_workbook()
+    for name, data in (("good.xlsx", book), ("torn.xlsx", book[: len(book) // 2]), ("bad.docx", render_ooxml.zipped({"word/document.xml": b"<open>"}))):
+        (tmp_path / "in" / name).write_bytes(data)
+    counts = []
+    for k, prepare in enumerate(("prepare", "prepare_streamed")):
+        engine = Engine(spark, str(tmp_path / f"work{k}"))
+        counts.append([(r.doc_id, r.unit_count, r.translatable_count) for r in getattr(engine, prepare)(str(tmp_path / "in")).collect()])
+        told = {r.path.rpartition("/")[2]: r.error for r in engine.read("files").collect()}
+        assert told["good.xlsx"] is None and "BadZipFile" in told["torn.xlsx"] and "ExpatError" in told["bad.docx"]
+    assert counts[0] == counts[1] and len(counts[0]) == 1
 
 
 class Stub(BaseHTTPRequestHandler):
