@@ -138,12 +138,12 @@ class Engine:
         gate = {"analysis": F.lit(True), "translation": F.col("can_lock"), "review": F.col("can_review")}[phase]
         return both.select("doc_id", F.when(~gate, "waiting").when(F.col(done) >= F.col("total"), "complete").otherwise("open").alias("state"))
 
-    def open_batches(self, phase: str, limit: int = batching.LIMIT, chars: int = batching.CHARS) -> DataFrame:
-        """All open batches of such documents, packed once."""
+    def open_batches(self, phase: str, limit: int = batching.LIMIT, chars: int = batching.CHARS, long: bool = False) -> DataFrame:
+        """All open batches of such documents, packed once; ``long`` packs each document in blocks, for very long ones."""
         if limit < 1 or chars < 1000:
             raise ValueError("limit must be at least 1 and chars at least 1000")
         own, done, more = self._open_units(phase)
-        return batching.payloads(batching.pending(own, done), phase, limit, chars, **more)
+        return batching.payloads(batching.pending(own, done), phase, limit, chars, long=long, **more)
 
     def ingest(self, phase: str, payloads: DataFrame, raw: DataFrame) -> DataFrame:
         """Take raw answers (doc_id, batch_no, content) to batches; returns the verdict on each batch."""

@@ -168,6 +168,11 @@ class Reader(DataSourceReader):
     def _may(self, name: str, value) -> bool:
         return name not in self.only or value in self.only[name]
 
+    def _reads(self, part: str) -> bool:
+        """Whether a part's rows, or its errors, are asked for."""
+        kind = _wanted(part)
+        return bool(kind) and self._may("part", part) and (self._may("kind", kind) or self._may("kind", "error"))
+
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
@@ -192,7 +197,7 @@ class Reader(DataSourceReader):
             with store.open_input_file(path) as f, zipfile.ZipFile(f) as z:
                 out = []
                 for m in z.infolist():
-                    if _wanted(m.filename) and self._may("part", m.filename) and self._may("kind", _wanted(m.filename)):
+                    if self._reads(m.filename):
                         many = max(1, -(-m.file_size // self.split)) if SHEET.search(m.filename) and m.file_size <= self.most else 1
                         edges = [m.file_size * k // many for k in range(many)] + [None]
                         out += [Piece(path, m.filename, edges[k], edges[k + 1], k) for k in range(many)]
@@ -227,7 +232,7 @@ class Reader(DataSourceReader):
             with store.open_input_file(piece.place) as f, zipfile.ZipFile(f) as z:
                 for m in z.infolist() if piece.part is None else [z.getinfo(piece.part)]:
                     part, kind = m.filename, _wanted(m.filename)
-                    if not kind or not self._may("part", part) or not self._may("kind", kind):
+                    if not self._reads(part):
                         continue
                     if m.file_size > self.most:
                         raise ValueError(f"the part would unpack to {m.file_size} bytes")

@@ -229,15 +229,13 @@ def test_occurrences_equal_containment(spark):
     assert {tuple(r) for r in got.collect()} == want and any(len(spellings[k]) > 64 for _, k in want)
 
 
-def test_a_large_glossary_stays_off_the_driver(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the glossary were too large to broadcast
-    try:
+def test_a_large_glossary_stays_off_the_driver(spark, monkeypatch):
+    for few in ((0, 0), glossary.FEW):  # joined by a shuffle, and broadcast where it is small
+        monkeypatch.setattr(glossary, "FEW", few)
         terms = spark.range(200_000).selectExpr("id AS ord", "concat('term ', id, ' end') AS source", "concat('Ziel ', id, ' aus') AS target")
         batches = spark.createDataFrame([(1, "see term 77 end and ziel 199999 aus"), (2, "nothing")], "batch bigint, text string")
         got = {(r.batch, r.source) for r in glossary.relevant(terms, batches, 2).where("matched").collect()}
         assert got == {(1, "term 77 end"), (1, "term 199999 end")}
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_skipped_rows_survive_a_refresh(spark, tmp_path):
