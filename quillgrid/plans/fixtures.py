@@ -22,8 +22,14 @@ def units_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds and joins by document, finds its rows together.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition("doc_id")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
-    return lines.select("doc_id", "idx", F.expr(_MIXED).alias("text"))
+    # the text comes out of the generator, so that no filter works it out again
+    return docs.select("doc_id", F.expr(f"inline(transform(split(text, '\\n'), (line, idx) -> struct(idx, {_MIXED} AS text)))"))
+
+
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): the lines of ``units_src`` as one text for each document, without cutting documents into rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition("doc_id")
+    return docs.select("doc_id", F.expr(f"array_join(transform(split(text, '\\n'), (line, idx) -> {_MIXED}), '\\n', '')").alias("text"))
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
