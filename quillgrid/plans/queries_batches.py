@@ -352,7 +352,8 @@ def q26(spark, d):
     from quillgrid.sources import ooxml
 
     shapes = office.shapes(spark.read.parquet(f"{d}/documents.parquet"))
-    return ooxml.structure(ooxml.parts(office.shaped(shapes))).select("doc_id", *(F.col(c).cast("long").alias(c) for c in _SHAPES))
+    own = office.shaped(shapes).select("doc_id", ooxml.read(F.col("content"), structure=True)["structure"].alias("s"))
+    return own.select("doc_id", *(F.col("s")[c].alias(c) for c in _SHAPES))
 
 
 _CHECKED = f"""WITH {DUCK}, u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord) - 1 AS idx FROM units),
