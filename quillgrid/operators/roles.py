@@ -14,10 +14,13 @@ PRESERVED, COPIED = "preserve_existing_english_once", "english_copy_of_existing_
 
 
 def units_of(lines: DataFrame) -> DataFrame:
-    """Units of (doc_id, idx, text): non-blank lines with id, order, hash and detected direction."""
-    counted = lines.where(T.has_text("text")).withColumn("normalized_text", T.normalize("text"))
+    """Units of (doc_id, idx, text): non-blank lines with id, order, hash and detected direction.
+
+    Texts are normalised and counted once, also where a later filter refers to the counts.
+    """
     n = "normalized_text"
-    counted = counted.withColumns({"cjk": T.cjk_count(n).cast("long"), "latin": T.latin_count(n).cast("long"), "english_words": T.english_words(n).cast("long")})
+    counted = settled(lines.where(T.has_text("text")), normalized_text=T.normalize("text"))
+    counted = settled(counted, cjk=T.cjk_count(n).cast("long"), latin=T.latin_count(n).cast("long"), english_words=T.english_words(n).cast("long"))
     return counted.select(
         "doc_id", F.concat(F.lit("doc/"), F.col("doc_id"), F.lit(":"), F.col("idx")).alias("id"), F.col("idx").cast("long").alias("unit_ord"), "text", n, F.sha2("text", 256).alias("source_hash"),
         "cjk", "latin", "english_words", T.direction(n, "cjk", "latin", "english_words").alias("detected_direction"),
