@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.operators import glossary
@@ -20,9 +20,10 @@ def pending(units: DataFrame, done: DataFrame | None = None) -> DataFrame:
     return out if done is None else out.join(done.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_anti")
 
 
-def packed(units: DataFrame, limit: int = LIMIT, chars: int = CHARS) -> DataFrame:
+def packed(units: DataFrame, limit: int = LIMIT, chars: int = CHARS, more: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, id, unit_ord, batch_no): an ordered prefix at a time; a batch closes before the unit that would exceed
-    the count or the characters, and its first unit always goes in.
+    the count or the characters, and its first unit always goes in. With ``more`` these columns of units and the place
+    ``pos`` in the batch come along, so that no join has to fetch them.
 
     One ordered fold for each document, which keeps only where batches start; the units are then cut there.
     """
@@ -32,9 +33,11 @@ def packed(units: DataFrame, limit: int = LIMIT, chars: int = CHARS) -> DataFram
             ELSE named_struct('i', s.i + 1, 'k', s.k + 1, 't', s.t + x.n, 'o', s.o) END,
         s -> s.o)"""
     cut = "transform(starts, (a, b) -> struct(b AS batch_no, slice(u, a + 1, coalesce(get(starts, b + 1), size(u)) - a) AS own))"
-    rows = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.expr("struct(unit_ord, id, length(text) AS n)"))).alias("u")).withColumn("starts", F.expr(starts))
+    unit = F.struct("unit_ord", "id", F.length("text").alias("n"), *(c.alias(name) for name, c in (more or {}).items()))
+    rows = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(unit)).alias("u")).withColumn("starts", F.expr(starts))
     batches = rows.select("doc_id", F.inline(F.expr(cut)))
-    return batches.select("doc_id", "batch_no", F.explode("own").alias("x")).select("doc_id", "x.id", "x.unit_ord", "batch_no")
+    out = batches.select("doc_id", "batch_no", F.posexplode("own").alias("pos", "x"))
+    return out.select("doc_id", "x.id", "x.unit_ord", "batch_no", *([*(f"x.{name}" for name in more), "pos"] if more else []))
 
 
 #: Units of a block of a long document.

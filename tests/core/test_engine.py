@@ -12,11 +12,12 @@ from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from quillgrid import background
 from quillgrid.engine import Engine
-from quillgrid.operators import glossary, provider, render_ooxml, responses, roles
-from quillgrid.plans import office
+from quillgrid.operators import batching, glossary, provider, render_ooxml, responses, roles
+from quillgrid.plans import catalogue, office
 from quillgrid.sources import files, ooxml
 from quillgrid.sources import ooxml_xml as xml
 from quillgrid.streaming import ingest
@@ -495,3 +496,24 @@ def test_written_archives_hold_their_members():
         for data in (render_ooxml.zipped(many), render_ooxml._zipped64(many)):
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 assert z.testzip() is None and {n: z.read(n) for n in z.namelist()} == many
+
+
+def test_packages_are_made_in_small_batches(spark):
+    """Python gets documents by bounded batches in every query that makes packages, and structure is told in one row."""
+    for name in ("q42_package_units", "q26_structure_counts"):
+        for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+            spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+        out = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert out.count() > 0 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_texts_are_counted_once(spark):
+    """A filter on counts doesn't work texts out again, and items of batches come without a join."""
+    plan = catalogue.QUERIES["q05_existing_bilingual"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 3 and plan.count("regexp_extract_all(") == 1
+    units = spark.createDataFrame([(1, f"u{i}", i, "x" * 4000, f"h{i}") for i in range(5)], "doc_id int, id string, unit_ord long, text string, source_hash string")
+    own = batching.packed(units, more={"head": F.left("text", F.lit(2)), "source_hash": F.col("source_hash")})
+    assert [tuple(r) for r in own.orderBy("unit_ord").collect()] == [(1, f"u{i}", i, i // 2, "xx", f"h{i}", i % 2) for i in range(5)]
+    assert "Join" not in own._jdf.queryExecution().optimizedPlan().toString()
