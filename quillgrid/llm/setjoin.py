@@ -9,8 +9,8 @@ groups that hold none of them are never seen. For the groups that are met, the q
 overlap with any member; groups below the bound stay closed, the members of the others are compared exactly. Groups of
 one class need no query of that class, so a crowd of copies costs blocks, not pairs.
 
-The order of tokens is by how far a token's counter (of 2^19, over all documents) lies above what chance gives, then by hash: any
-order keeps all links, this one keeps what many documents share out of the lookups. Tokens are 64-bit hashes of shingles,
+The order of tokens is by the value of a token's counter (of 2^21, over all documents), in steps, then by hash: any
+order keeps all links, this one keeps what several documents share out of the lookups. Tokens are 64-bit hashes of shingles,
 sets go by 128-bit names.
 
 Defined results: a null or empty text, or one of gaps alone, has the empty set, size 0, and is its own component; fewer than
@@ -41,8 +41,8 @@ WORDS = 5
 BLOCK = 128
 #: Rounds of putting similar sets into groups, each with a hash function of its own.
 ROUNDS = 4
-#: Counters of tokens, and how many deviations above the mean one must be to come later in the order.
-COUNTERS, UNUSUAL = 1 << 19, 5
+#: Counters of tokens, and how many of them go in one row.
+COUNTERS, STRETCH = 1 << 21, 1 << 12
 #: Queries of a group that one task takes.
 QUERIES = 2048
 #: Tokens of a block that are multiplied at once.
@@ -104,26 +104,45 @@ class Tokens:
         return np.unique(_mixed(out).view(np.int64))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the highest needs, that width first."""
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The sum of the packed counts of one stretch of counters."""
+    out = np.zeros(STRETCH, dtype=np.int64)
+    for n in table["n"].to_pylist():
+        out += np.frombuffer(n, dtype=f"<u{n[0]}", offset=1)
+    return pa.table({"at": table["at"].slice(0, 1), "n": pa.array([out.tobytes()], type=pa.binary())})
+
+
 def token_levels(docs: DataFrame) -> np.ndarray:
-    """A small number for each counter: 0 for usual ones, else one more for each doubling."""
+    """A small number for each counter, higher for higher counts: eighths of a deviation from the mean, held to 0 to 255.
+
+    Rare tokens share counters with others, yet what many documents share still lifts its counter, so taking tokens by
+    their counters' values leaves shared passages out of the first tokens long before they stand out from all chance.
+    """
+
+    many = COUNTERS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = Tokens(), np.zeros(COUNTERS, dtype=np.int64)
+        tokens, counts = Tokens(), np.zeros(many, dtype=np.int32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                np.add.at(counts, tokens(text) & (COUNTERS - 1), 1)
-        at = np.flatnonzero(counts)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["c", "n"])
+                np.add.at(counts, tokens(text) & (many - 1), 1)
+        blocks = [k for k, part in enumerate(counts.reshape(-1, STRETCH)) if part.any()]
+        packed = [_packed(counts[k * STRETCH : (k + 1) * STRETCH]) for k in blocks]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, type=pa.int32()), pa.array(packed, type=pa.binary())], names=["at", "n"])
 
-    counts = cut(docs.select(F.col("text").cast("binary")).mapInArrow(counted, "c int, n long").groupBy("c").agg(F.sum("n").alias("count")))
-    mean = (counts.agg(F.sum("count")).first()[0] or 0) / COUNTERS
-    least = UNUSUAL * max(mean, 1.0) ** 0.5
-    levels = np.zeros(COUNTERS, dtype=np.int8)
-    high = counts.where(F.col("count") - F.lit(mean) > least).select("c", (1 + F.floor(F.log2((F.col("count") - F.lit(mean)) / least))).cast("int").alias("level")).toArrow()
-    levels[high["c"].to_numpy()] = high["level"].to_numpy()
-    return levels
+    rows = docs.select(F.col("text").cast("binary")).mapInArrow(counted, "at int, n binary")
+    sums = rows.groupBy("at").applyInArrow(_summed, "at int, n binary").toArrow()
+    counts = np.zeros(many, dtype=np.int64)
+    for at, n in zip(sums["at"].to_pylist(), sums["n"].to_pylist(), strict=True):
+        counts[at * STRETCH : (at + 1) * STRETCH] = np.frombuffer(n, dtype=np.int64)
+    mean = counts.sum() / many
+    return np.clip(128 + 8 * (counts - mean) / max(mean, 1.0) ** 0.5, 0, 255).astype(np.uint8)
 
 
 def marked(docs: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -138,8 +157,8 @@ def marked(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             n = len(own)
             names.append(xxhash.xxh128_hexdigest(own.tobytes()))
             sizes.append(n)
-            level = table[own & (COUNTERS - 1)]
-            ordered = own[np.argsort(level, kind="stable")] if level.any() else own
+            level = table[own & (len(table) - 1)]
+            ordered = own[np.argsort(level, kind="stable")]
             prefixes.append(ordered[: probed(n)] if n else own)
             profiles.append(np.minimum(np.bincount(own & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes())
             keys.append(np.array([_mixed(own.view(np.uint64) * odd).min() for odd in _ODD]).view(np.int64) if n else own)

@@ -193,3 +193,20 @@ def test_samples_are_bounded_where_ids_repeat(spark):
     assert sample_rows(df, 50, "text").count() == 50
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id bigint, quality int, toxic int")
     assert quality.sampled(df, labels, "quality", 40).count() == 40
+
+
+def test_passages_of_a_few_documents_propose_no_pairs(spark, monkeypatch):
+    """Texts that share a quarter with nine others aren't held against them, though their passages don't stand out from chance."""
+    monkeypatch.setattr(setjoin, "COUNTERS", 1 << 12)
+    rows = [(i, " ".join([*(f"own{i}x{k}" for k in range(90)), *(f"shared{i // 10}x{k}" for k in range(34))])) for i in range(300)]
+    rows += [(1000 + i, f"{rows[i][1]} end") for i in range(0, 300, 50)]
+    pairs, plain = [], setjoin.candidates
+
+    def counted(*args):
+        out = plain(*args)
+        pairs.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(setjoin, "candidates", counted)
+    got = {r.doc_id: r.component_id for r in setjoin.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i % 1000 for i, _ in rows} and pairs[0] < 300
