@@ -2,12 +2,14 @@
 
 Equal sets are one row. Similar sets are put into groups: in a few rounds, those with one minimum of a hash function meet
 in blocks of about BLOCK, the exact links of a block are found at once, and one set of each class that came out goes on to
-the next round; what is linked so far makes the groups, cut to at most about BLOCK sets each. The matrix has a row for
-each token and group in whose token union it is. A set is a query against the groups of other classes: it looks up the
-tokens that stand first in an order that puts rare tokens first, one of which any partner has among its own first ones, so
-groups that hold none of them are never seen. For the groups that are met, the query's tokens in the whole union bound its
-overlap with any member; groups below the bound stay closed, the members of the others are compared exactly. Groups of
-one class need no query of that class, so a crowd of copies costs blocks, not pairs.
+the next round. A large class makes groups of its own, small ones make them with others of the same minima, so that
+near copies which lie just below 0.8 from each other stand together too; a group has BLOCK sets or, in a crowd, some of
+the crowd's square root. The matrix has a row for each token and group in whose token union it is. Groups meet at the
+tokens that stand first in an order that puts rare tokens first, one of which any two partners have among their first
+ones, so groups without one in common are never seen. A set of one is a query against the other: its tokens in the whole
+union bound its overlap with any member; groups below the bound stay closed, the members of the others are compared
+exactly. Sets of one class need no comparison, and a group tells links that join classes, not pairs, so a crowd costs
+groups times sets where copies lie on both sides of 0.8, and blocks elsewhere.
 
 The order of tokens is by the value of a token's counter (of 2^21, over all documents), in steps, then by hash: any
 order keeps all links, this one keeps what several documents share out of the lookups. Tokens are 64-bit hashes of shingles,
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +44,14 @@ WORDS = 5
 BLOCK = 128
 #: Rounds of putting similar sets into groups, each with a hash function of its own.
 ROUNDS = 4
+#: Minima that classes have in common which share a group.
+AGREED = 3
 #: Counters of tokens, and how many of them go in one row.
 COUNTERS, STRETCH = 1 << 21, 1 << 12
+#: In crowds a group has so many square roots of its crowd, but tokens (a long each) up to so many.
+ROOTS, GROUP_TOKENS = 8, 1 << 21
 #: Queries of a group that one task takes.
-QUERIES = 2048
+QUERIES = 1024
 #: Tokens of a block that are multiplied at once.
 COLUMNS = 8192
 #: Most tokens (a long each) that are broadcast, and most rows of names that are.
@@ -251,22 +258,46 @@ def first_links(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
     return reduce(DataFrame.union, found)
 
 
+def groups(classed: DataFrame) -> DataFrame:
+    """``classed`` with the group ``place`` of each set and hashes q, g and r of its name, group and class.
+
+    Large classes have groups of their own; small ones share those of that choice of AGREED minima which most classes have, so
+    that what many near copies just below 0.8 make isn't a group each, and what has but a passage in common stays apart.
+    """
+    classes = classed.groupBy("root").agg(F.count(F.lit(1)).alias("_own"), *(F.min(F.col("keys")[k]).alias(f"_{k}") for k in range(ROUNDS)))
+    small = cut(classes.where(F.col("_own") < BLOCK))
+    chosen = F.array(*(F.xxhash64(F.lit(k), *(f"_{x}" for x in some)) for k, some in enumerate(combinations(range(ROUNDS), AGREED))))
+    keys = small.select("root", F.explode(chosen).alias("key"))
+    liked = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1")
+    best = keys.join(liked, "key").groupBy("root").agg(F.max(F.struct("_many", "key")).alias("_best"))
+    best = best.select("root", F.col("_best.key").cast("string").alias("_home"))
+    own = cut(classed.drop("keys").join(best, "root", "left").withColumn("home", F.coalesce("_home", "root")).drop("_home"))
+    sizes = own.groupBy("home").agg(F.count(F.lit(1)).alias("_many"), F.sum("n").alias("_tokens"))
+    parts = F.greatest(F.ceil(F.col("_many") / F.greatest(F.lit(BLOCK), ROOTS * F.sqrt("_many"))), F.ceil(F.col("_tokens") / GROUP_TOKENS))
+    place = F.concat_ws("/", "home", F.pmod(F.xxhash64("name"), parts).cast("string"))
+    placed = own.join(sizes, "home").withColumn("place", place).drop("home", "_many", "_tokens")
+    return cut(placed.withColumns({"q": F.xxhash64("name"), "g": F.xxhash64("place"), "r": F.xxhash64("root")}))
+
+
 def candidates(rows: DataFrame, classed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries and the groups they meet (q, g, n), and all members of groups (name, doc, key, n, profile, root, place, q, g).
+    """Groups (asker, g) whose sets have first tokens in common, in sizes and classes that may link, and the ``groups``.
 
-    ``rows`` have the ``prefix`` of each ``name``, ``classed`` the class ``root`` of each set besides. Tokens are looked up
-    under hashes q and g of names and places; what comes out is joined to the names themselves.
+    ``rows`` have the ``prefix`` of each ``name``. Tokens are looked up once for each group, however many sets have them.
     """
-    grouped = cut(_placed(classed, "root", 1).withColumns({"q": F.xxhash64("name"), "g": F.xxhash64("place")}))
-    sets = rows.select("name", "prefix").join(small_side(grouped.select("name", "n", F.xxhash64("root").alias("r"), "q", "g"), FEW_NAMES), "name")
-    first = sets.select("q", "g", "r", "n", F.posexplode("prefix").alias("at", "token"))
-    met = first.groupBy("token").agg(F.min("r").alias("least"), F.max("r").alias("most")).where("least <> most").select("token")
-    # copies have the same first tokens: each set counts once
-    live = cut(first.join(small_side(cut(met), FEW_TOKENS), "token").distinct())
-    matrix = live.where(F.col("at") < indexed_column("n")).groupBy("token", "g", F.col("r").alias("_r")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    queries = live.select("token", "q", "n", "r")
-    fits = (F.col("r") != F.col("_r")) & (F.col("least") <= F.col("n")) & (WHOLE * F.col("most") >= SHARED * F.col("n"))
-    return cut(queries.join(matrix, "token").where(fits).select("q", "g", "n").distinct()), grouped
+    grouped = groups(classed)
+    sets = rows.select("name", "prefix").join(small_side(grouped.select("name", "n", "r", "g"), FEW_NAMES), "name")
+    first = sets.select("g", "r", "n", F.posexplode("prefix").alias("at", "token"))
+    ends = [F.min("r").alias("low"), F.max("r").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")]
+    met = first.groupBy("token").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high").select("token")
+    live = first.join(small_side(cut(met), FEW_TOKENS), "token")
+    # a group is found at a token if one of its sets has it early enough
+    early = F.col("at") < indexed_column("n")
+    matrix = cut(live.groupBy("token", "g").agg(*ends, *(F.min(F.when(early, F.col(c))).alias(f"{c}_early") for c in ("r", "n")), *(F.max(F.when(early, F.col(c))).alias(f"{c}_late") for c in ("r", "n"))))
+    asking = matrix.select("token", F.col("g").alias("asker"), "low", "high", "least", "most")
+    asked = matrix.where("n_early IS NOT NULL").select("token", "g", "r_early", "r_late", "n_early", "n_late")
+    others = (F.col("low") != F.col("r_early")) | (F.col("high") != F.col("r_early")) | (F.col("low") != F.col("r_late"))
+    fits = others & (F.col("n_early") <= F.col("most")) & (WHOLE * F.col("n_late") >= SHARED * F.col("least"))
+    return cut(asking.join(asked, "token").where(fits).select("asker", "g").distinct()), grouped
 
 
 def _summits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,10 +321,10 @@ def _summits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bounded(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The pairs (q, g) whose profiles leave room for a link.
+    """The sets and groups (q, g) of groups that meet (asker, g) whose profiles leave room for a link.
 
     A query shares with a member at most what the bins of both have in common, so at most what its bins have in common with
-    the highest of the group's. Full bins bound nothing.
+    the highest of the group's. Full bins bound nothing. Members are no larger than the query and of another class.
     """
 
     @F.arrow_udf("boolean")
@@ -305,10 +336,13 @@ def bounded(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
         return pa.array(full | (WHOLE * most >= SHARED * n))
 
     asked = pairs.select("g").distinct()
-    members = grouped.select("g", "profile").join(asked, "g").repartition("g").sortWithinPartitions("g")
-    summits = members.mapInArrow(_summits, "g long, summit binary")
-    both = pairs.join(summits, "g").join(grouped.select("q", "profile"), "q")
-    return cut(both.where(may("profile", "summit", "n")).select("q", "g").distinct())
+    members = grouped.select("g", "profile", "n", "r").join(asked, "g")
+    ends = members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("r").alias("low"), F.max("r").alias("high"))
+    summits = members.select("g", "profile").repartition("g").sortWithinPartitions("g").mapInArrow(_summits, "g long, summit binary")
+    both = pairs.join(cut(summits.join(ends, "g")), "g").join(grouped.select(F.col("g").alias("asker"), "q", "n", "r", "profile"), "asker")
+    other = (F.col("r") != F.col("low")) | (F.col("r") != F.col("high"))
+    fits = other & (F.col("least") <= F.col("n")) & (WHOLE * F.col("most") >= SHARED * F.col("n"))
+    return cut(both.where(fits).where(may("profile", "summit", "n")).select("q", "g").distinct())
 
 
 def indexed_column(n: str):
@@ -316,27 +350,52 @@ def indexed_column(n: str):
     return n - F.ceil(2 * SHARED * n / (SHARED + WHOLE)) + 1
 
 
+class _Classes:
+    """Classes of a group's members and queries, merged as links are told."""
+
+    def __init__(self, roots: list[int]):
+        self.up: dict[int, int] = {}
+        self.top = np.array(roots, dtype=np.int64)
+
+    def root(self, r: int) -> int:
+        while (above := self.up.get(r, r)) != r:
+            self.up[r] = r = self.up.get(above, above)
+        return r
+
+    def merged(self, r: int, linked: np.ndarray) -> np.ndarray:
+        """Those of the linked members that bring class r another class, one for each."""
+        own = self.root(r)
+        others, first = np.unique(self.top[linked], return_index=True)
+        new = others != own
+        if new.any():
+            self.up |= dict.fromkeys(others[new].tolist(), own)
+            self.top[np.isin(self.top, others[new])] = own
+        return linked[first[new]]
+
+
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A link (a, b) of each query to a group of rows (place, name, text, asks), members first."""
-    place, names, sets, table, tokens = None, [], [], None, Tokens()
+    """Links (a, b) that join the classes of queries and members of each group of rows (place, name, text, asks, r), members first."""
+    place, names, sets, roots, table, tokens = None, [], [], [], None, Tokens()
     for batch in batches:
         a, b = [], []
-        for p, name, text, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for p, name, text, asks, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if p != place:
-                place, names, sets, table = p, [], [], None
+                place, names, sets, roots, table = p, [], [], [], None
             own = tokens(text)
             if not asks:
                 names.append(name)
                 sets.append(own)
+                roots.append(r)
                 continue
             if table is None and sets:
                 members = np.concatenate(sets)
                 order = np.argsort(members, kind="stable")
                 union, starts = np.unique(members[order], return_index=True)
-                table = union, np.append(starts, len(order)), np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order], np.array([len(s) for s in sets])
+                table = union, np.append(starts, len(order)), np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order], np.array([len(s) for s in sets]), _Classes(roots)
+                sets = []
             if table is None:
                 continue
-            union, starts, owner, sizes = table
+            union, starts, owner, sizes, classes = table
             at = np.minimum(np.searchsorted(union, own), len(union) - 1)
             at = at[union[at] == own]
             if WHOLE * len(at) < SHARED * len(own):  # the union bounds the overlap with any member
@@ -345,24 +404,24 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(many)
             both = np.bincount(owner[np.repeat(starts[at] - ends + many, many) + np.arange(many.sum())], minlength=len(sizes))
             linked = np.flatnonzero(WHOLE * both >= SHARED * (sizes + len(own) - both))
-            if len(linked):
+            for k in classes.merged(r, linked):
                 a.append(name)
-                b.append(names[linked[0]])
+                b.append(names[k])
         yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.string()), pa.array(b, type=pa.string())], names=["a", "b"])
 
 
 def group_links(docs: DataFrame, rows: DataFrame, classed: DataFrame, repeated: bool) -> DataFrame:
-    """Links (a, b) of sets to members of groups of other classes; the members of a group are of one class, so one link does."""
+    """Links (a, b) of sets to members of groups, enough to join the classes that are linked."""
     pairs, grouped = candidates(rows, classed)
     pairs = bounded(pairs, grouped)
     parts = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("_parts"))
-    members = grouped.join(parts, "g").select("place", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), "name", "doc", "key", F.lit(False).alias("asks"))
-    places = grouped.join(parts, "g").select("g", "place", "_parts").distinct()
-    asking = pairs.join(places, "g").join(grouped.select("q", "name", "doc", "key"), "q")
-    asking = asking.select("place", F.pmod("q", F.col("_parts")).cast("int").alias("part"), "name", "doc", "key", F.lit(True).alias("asks"))
+    held = cut(grouped.join(parts, "g").select("g", "place", "_parts", "name", "doc", "key", "r"))
+    members = held.select("place", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), "name", "doc", "key", F.lit(False).alias("asks"), "r")
+    asking = pairs.join(held.select("g", "place", "_parts").distinct(), "g").join(grouped.select("q", "name", "doc", "key", "r"), "q")
+    asking = asking.select("place", F.pmod("q", F.col("_parts")).cast("int").alias("part"), "name", "doc", "key", F.lit(True).alias("asks"), "r")
     both = members.union(asking).withColumn("place", F.concat_ws("/", "place", F.col("part").cast("string"))).drop("part")
     ordered = texts_of(docs, both, repeated).repartition("place").sortWithinPartitions("place", "asks")
-    return ordered.select("place", "name", "text", "asks").mapInArrow(_opened, "a string, b string")
+    return ordered.select("place", "name", "text", "asks", "r").mapInArrow(_opened, "a string, b string")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -376,7 +435,7 @@ def join(docs: DataFrame) -> DataFrame:
     nodes = cut(nodes.select("name", F.col("first.doc_id").alias("doc"), F.col("first.key").alias("key"), "n", "keys", "profile"))
     repeated = bool(rows.groupBy("doc_id", "key").count().where("count > 1").limit(1).count())
     classes = components(first_links(docs, nodes, repeated)).withColumnRenamed("node", "name")
-    classed = cut(nodes.join(classes, "name", "left").select("name", "doc", "key", "n", "profile", F.coalesce("root", "name").alias("root")))
+    classed = cut(nodes.join(classes, "name", "left").select("name", "doc", "key", "n", "profile", "keys", F.coalesce("root", "name").alias("root")))
     more = cut(group_links(docs, some, classed, repeated))
     of = lambda side: classed.select(F.col("name").alias(side), F.col("root").alias(f"{side}_root"))
     edges = more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()

@@ -210,3 +210,25 @@ def test_passages_of_a_few_documents_propose_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "candidates", counted)
     got = {r.doc_id: r.component_id for r in setjoin.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {i: i % 1000 for i, _ in rows} and pairs[0] < 300
+
+
+def test_crowds_around_the_threshold_ask_groups_not_sets(spark, monkeypatch):
+    """Near copies most of which lie just below 0.8 aren't held each against each."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(400):
+        own = base[:]
+        for k in rng.sample(range(150), 2 + i % 2):
+            own[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(own)))
+    asked, plain = [], setjoin.texts_of
+
+    def counted(docs, wanted, repeated):
+        if "asks" in wanted.columns:
+            asked.append(wanted.where("asks").count())
+        return plain(docs, wanted, repeated)
+
+    monkeypatch.setattr(setjoin, "texts_of", counted)
+    assert joined(spark.createDataFrame(rows, "doc_id bigint, text string")) == slow_join(rows)
+    assert sum(asked) < 400 * 40
