@@ -132,10 +132,7 @@ class Package:
     """A package that is unzipped once, each part of it parsed once at most."""
 
     def __init__(self, content: bytes):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            if sum(m.file_size for m in z.infolist()) > MOST_BYTES:
-                raise ValueError(f"the package would unpack to more than {MOST_BYTES} bytes")
-            self.members = {n: z.read(n) for n in z.namelist() if not n.endswith("/")}
+        self.members = xml.unzipped(content, MOST_BYTES)
         self._parsed: dict[str, xml.Part] = {}
         self._cells: dict[str, list] = {}
 

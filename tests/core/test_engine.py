@@ -517,3 +517,22 @@ def test_texts_are_counted_once(spark):
     own = batching.packed(units, more={"head": F.left("text", F.lit(2)), "source_hash": F.col("source_hash")})
     assert [tuple(r) for r in own.orderBy("unit_ord").collect()] == [(1, f"u{i}", i, i // 2, "xx", f"h{i}", i % 2) for i in range(5)]
     assert "Join" not in own._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_archives_are_read_without_zipfile_and_others_as_by_it(monkeypatch):
+    own = {"a.xml": b"<a/>" * 300, "b/\u00e9.xml": bytes(range(256)) * 40, "c": b""}
+    plain, odd = render_ooxml.zipped(own), io.BytesIO()
+    with zipfile.ZipFile(odd, "w", zipfile.ZIP_DEFLATED) as z:
+        z.comment = b"note"
+        z.writestr("folder/", b"")
+        for n, data in own.items():
+            z.writestr(n, data)
+    assert xml.unzipped(odd.getvalue()) == xml.unzipped(b"#!/bin/sh" + plain) == own
+    at = plain.index(b"a.xml") + 5
+    for torn in (plain[:-30], plain[: at + 9] + b"\xff\xff\xff" + plain[at + 12 :], b"PK", b""):
+        with pytest.raises(ooxml.BROKEN):
+            xml.unzipped(torn)
+    with pytest.raises(ValueError, match="more than 100 bytes"):
+        xml.unzipped(plain, 100)
+    monkeypatch.setattr(zipfile, "ZipFile", None)
+    assert ooxml.Package(plain).members == own and list(own) == list(xml.unzipped(plain))
