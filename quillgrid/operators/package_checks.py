@@ -34,18 +34,22 @@ def checked(rows: DataFrame) -> DataFrame:
 
     Each package is opened and read once. Cells are met by their place; paragraphs of a bilingual text by order, as
     translations stand between them, those in text boxes on their own, as they stand before the translation of the
-    paragraph around them; those of an English copy by place.
+    paragraph around them; those of an English copy by place. Where ``before``, the structure of the source, is given, its
+    units came with their ``depth`` from one reading of it, and it isn't read again.
     """
+    known = "before" in rows.columns
     places = F.transform("units", lambda u: F.struct(u["part"].alias("part"), u["place"].alias("place")))
     read = lambda c, **more: ooxml.read(F.col(c), F.col("places"), structure=True, **more)
     own = settled(rows, places=places)
-    own = own.withColumns({"_s": read("source"), "_b": read("bilingual", lines=True), "_e": read("english")}).select(
-        "doc_id", "document_direction", "units", F.col("_s.structure").alias("before"), F.col("_b.structure").alias("after"), F.col("_e.structure").alias("copied"),
-        F.col("_s.found").alias("_sf"), F.col("_b.found").alias("_bf"), F.col("_e.found").alias("_ef"), F.col("_b.lines").alias("lines"),
+    own = own.withColumns(({} if known else {"_s": read("source")}) | {"_b": read("bilingual", lines=True), "_e": read("english")})
+    source = ["before"] if known else [F.col("_s.structure").alias("before"), F.col("_s.found").alias("_sf")]
+    own = own.select(
+        "doc_id", "document_direction", "units", *source, F.col("_b.structure").alias("after"), F.col("_e.structure").alias("copied"),
+        F.col("_b.found").alias("_bf"), F.col("_e.found").alias("_ef"), F.col("_b.lines").alias("lines"),
     )
     fields = ("id", "text", "target", "bilingual_output", "english_output")
     at = lambda c, k, f: F.get(F.col(c), k)[f].alias(f"{c}_{f}")
-    unit = lambda u, k: F.struct(F.startswith(u["part"], F.lit("xl/")).alias("sheet"), *(u[f].alias(f) for f in fields), at("_sf", k, "depth"), at("_bf", k, "text"), at("_bf", k, "flat"), at("_ef", k, "text"))
+    unit = lambda u, k: F.struct(F.startswith(u["part"], F.lit("xl/")).alias("sheet"), *(u[f].alias(f) for f in fields), u["depth"].alias("_sf_depth") if known else at("_sf", k, "depth"), at("_bf", k, "text"), at("_bf", k, "flat"), at("_ef", k, "text"))
     own = settled(own, z=F.transform("units", unit))
     ids = lambda cond: F.array_join(F.transform(F.filter("z", cond), lambda x: x["id"]), ",")
     seen = lambda x, text: lambda name: x[text] if name == "out_text" else x[name]

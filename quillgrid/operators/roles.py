@@ -69,10 +69,11 @@ def _flags(zh_doc: Column, was: Column, both: Column) -> dict[str, Column]:
     }
 
 
-def in_documents(docs: DataFrame, lines: Column) -> DataFrame:
+def in_documents(docs: DataFrame, lines: Column, *more: str) -> DataFrame:
     """Documents with ``document_direction`` and ``units``, an array with the roles of their lines (text and more, none blank).
 
     The same as ``units_of`` and ``with_roles`` where a document's lines are one row already: nothing is shuffled or sorted.
+    Units get ``more`` fields of their lines.
     """
     with_field = lambda x, **more: x.withField("_", F.struct(*(c.alias(n) for n, c in more.items())))
     normal = F.transform(lines, lambda x, k: F.struct(x.alias("l"), k.cast("long").alias("unit_ord"), T.normalize(x["text"]).alias("n")))
@@ -83,7 +84,7 @@ def in_documents(docs: DataFrame, lines: Column) -> DataFrame:
     score = lambda what, letters: F.aggregate("_u", F.lit(0).cast("long"), lambda s, x: s + F.when(x["was"] == what, 10 + x[letters]).otherwise(0))
     own = settled(settled(own, zh_score=score(ZH, "cjk"), en_score=score(EN, "latin")), document_direction=_verdict()[2])
     unit = lambda x: F.struct(
-        F.concat(F.lit("doc/"), F.col("doc_id"), F.lit(":"), x["unit_ord"]).alias("id"), x["unit_ord"].alias("unit_ord"), *(x["l"][c].alias(c) for c in ("text", "part", "place")),
+        F.concat(F.lit("doc/"), F.col("doc_id"), F.lit(":"), x["unit_ord"]).alias("id"), x["unit_ord"].alias("unit_ord"), *(x["l"][c].alias(c) for c in ("text", "part", "place", *more)),
         *(c.alias(n) for n, c in _flags(F.col("document_direction") == ZH, x["was"], x["both"]).items() if n in ("translatable", "bilingual_output", "english_output")),
     )
     return settled(own.drop("zh_score", "en_score"), units=F.transform("_u", unit)).drop("_u")

@@ -536,3 +536,9 @@ def test_plain_archives_are_read_without_zipfile_and_others_as_by_it(monkeypatch
         xml.unzipped(plain, 100)
     monkeypatch.setattr(zipfile, "ZipFile", None)
     assert ooxml.Package(plain).members == own and list(own) == list(xml.unzipped(plain))
+
+
+def test_checks_read_a_source_once(spark):
+    """Units tell all that the checks need of it: packages are read at places for both outputs alone."""
+    plan = office.checked_with_faults(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(x.count("at_places(") for x in plan.splitlines() if "ArrowEvalPython" in x) == 2
